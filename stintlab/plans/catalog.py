@@ -38,7 +38,7 @@ CFG = C.default_config()
 
 
 def _laps(spark, sf):
-    return L.load_laps(spark, sf)
+    return L.load_race_laps(spark, sf)
 
 
 def _feats(spark, sf):
@@ -51,7 +51,14 @@ def _feats(spark, sf):
 SELECT season, event_name, session_type, Driver, Team, LapNumber, Stint, PitInTime, PitOutTime,
        LapTime, Time, Position, TyreLife, Compound, TrackStatus, IsAccurate FROM laps"""))
 def q_laps(spark, sf):
-    return _laps(spark, sf)
+    return L.load_laps(spark, sf)
+
+
+@register("jn01_asof_weather", O.with_fragments(["laps_w"], """
+SELECT season, event_name, Driver, LapNumber, Time, AirTemp, TrackTemp, Humidity FROM laps_w"""))
+def q_jn01(spark, sf):
+    return _laps(spark, sf).select("season", "event_name", "Driver", "LapNumber", "Time", "AirTemp", "TrackTemp",
+                                   "Humidity")
 
 
 # ------------------------------------------------------------------ minimum slice

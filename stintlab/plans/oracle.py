@@ -86,15 +86,26 @@ SELECT season, event_name, 'Q' AS session_type, CAST(user_id AS VARCHAR) AS Driv
        CAST(1 + k % 4 AS DOUBLE) AS TyreLife
 FROM ev WHERE event_type = 'click'""")
 
+frag("laps_w", ["laps", "weather"], """
+SELECT l.*,
+       CASE WHEN f.Time IS NULL OR (b.Time IS NOT NULL AND l.Time - b.Time <= f.Time - l.Time) THEN b.AirTemp ELSE f.AirTemp END AS AirTemp,
+       CASE WHEN f.Time IS NULL OR (b.Time IS NOT NULL AND l.Time - b.Time <= f.Time - l.Time) THEN b.TrackTemp ELSE f.TrackTemp END AS TrackTemp,
+       CASE WHEN f.Time IS NULL OR (b.Time IS NOT NULL AND l.Time - b.Time <= f.Time - l.Time) THEN b.Humidity ELSE f.Humidity END AS Humidity
+FROM laps l
+ASOF LEFT JOIN weather b ON l.season = b.season AND l.event_name = b.event_name AND l.session_type = b.session_type
+     AND l.Time >= b.Time
+ASOF LEFT JOIN weather f ON l.season = f.season AND l.event_name = f.event_name AND l.session_type = f.session_type
+     AND l.Time <= f.Time""")
+
 # ---------------------------------------------------------------- features (CP1)
-frag("f0", ["laps"], f"""
+frag("f0", ["laps_w"], f"""
 SELECT *, coalesce(CAST(season AS VARCHAR), 'nan') || '_' || coalesce(event_name, 'nan') || '_' ||
           coalesce(Driver, 'nan') || '_' || coalesce(CAST(Stint AS VARCHAR), 'nan') AS driver_stint_id,
        CASE WHEN LapNumber IS NULL THEN NULL
             ELSE greatest(0.0::DOUBLE, 110.0::DOUBLE - CAST(LapNumber AS DOUBLE) * 2.3::DOUBLE) END AS fuel_load_kg,
        CAST(LapTime AS DOUBLE) AS LapTime_s,
        row_number() OVER (PARTITION BY {STK} ORDER BY LapNumber) AS _n
-FROM laps""")
+FROM laps_w""")
 
 frag("f1", ["f0"], f"""
 SELECT *, quantile_cont(_ref, 0.5) OVER (PARTITION BY {STK}) AS _m
@@ -192,7 +203,8 @@ SELECT f.*, coalesce(ec.code, -1) AS circuit_id_enc, coalesce(ec.code, -1) AS ci
        CAST(CASE f.Compound WHEN 'HARD' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'SOFT' THEN 2 ELSE -1 END AS INTEGER) AS compound_type,
        CAST(CASE f.Compound WHEN 'HARD' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'SOFT' THEN 2 ELSE -1 END AS INTEGER) AS compound_enc,
        coalesce(et.code, -1) AS team_id_enc, coalesce(et.code, -1) AS team_id,
-       1 AS track_temp_category,
+       CAST(CASE WHEN f.TrackTemp < 30.0 THEN 0 WHEN f.TrackTemp <= 45.0 THEN 1 WHEN f.TrackTemp > 45.0 THEN 2
+                 ELSE 1 END AS INTEGER) AS track_temp_category,
        coalesce(f.Position, 20.0) / 20.0 AS starting_position_norm,
        CASE f.event_name WHEN 'Bahrain' THEN 0.8 WHEN 'Monaco' THEN 0.2 WHEN 'Spain' THEN 0.8 WHEN 'Britain' THEN 0.6
             WHEN 'Singapore' THEN 0.6 WHEN 'Qatar' THEN 1.0 ELSE 0.5 END AS circuit_softness,

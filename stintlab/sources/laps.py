@@ -154,6 +154,21 @@ def load_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laps_from_events(read_table(spark, sf_dir, "events"))
 
 
+WEATHER_COLS = ["AirTemp", "TrackTemp", "Humidity"]
+
+
+def merge_weather(laps: DataFrame, weather: DataFrame) -> DataFrame:
+    """JN01: each lap gets the session's weather reading nearest in ``Time``."""
+    from ..operators.asof import asof_nearest
+    return asof_nearest(laps, weather, SESSION_KEYS, "Time", WEATHER_COLS)
+
+
+def load_race_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC7/SRC8/JN01: race laps with weather merged (the feature pipeline's input)."""
+    events = read_table(spark, sf_dir, "events")
+    return merge_weather(laps_from_events(events), weather_from_events(events))
+
+
 def load_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weather_from_events(read_table(spark, sf_dir, "events"))
 
