@@ -65,10 +65,36 @@ class FeatureState:
     @classmethod
     def fit(cls, train: DataFrame, cfg: C.Config, reference: DataFrame | None = None,
             check_seasons: bool = True) -> "FeatureState":
-        reference = train if reference is None else reference
+        """One small aggregate, one collect: per (season, circuit label, team label)
+        the max caution flag. Its size is bounded by seasons x circuits x teams and is
+        checked before collecting; above the limit the state stays as DataFrames."""
+        limit = cfg.broadcast_row_limit
+        if reference is None:
+            if check_seasons:
+                assert_seasons_subset(train, cfg.train_seasons, "historical_sc_prob")
+            flag = "sc_or_vsc_flag" if "sc_or_vsc_flag" in train.columns else "safety_car_flag"
+            summary = train.groupBy("season", "event_name", _labels(F.col("event_name")).alias("c_label"),
+                                    _labels(F.col("Team")).alias("t_label")).agg(F.max(flag).alias("had_sc"))
+            rows = summary.limit(limit + 1).collect()
+            if len(rows) <= limit:
+                circuits = sorted({r["c_label"] for r in rows})
+                teams = sorted({r["t_label"] for r in rows})
+                races: dict = {}
+                for r in rows:
+                    if r["event_name"] is None:
+                        continue
+                    key = (r["season"], r["event_name"])
+                    races[key] = max(races.get(key, r["had_sc"]), r["had_sc"])
+                per_event: dict = {}
+                for (_, event), had in races.items():
+                    per_event.setdefault(event, []).append(had)
+                sc_map = {e: float(sum(v)) / len(v) for e, v in per_event.items()}
+                default = float(sum(sc_map.values()) / len(sc_map)) if sc_map else 0.0
+                return cls({c: i for i, c in enumerate(circuits)}, {t: i for i, t in enumerate(teams)},
+                           sc_map, default, limit)
+            reference = train
         if check_seasons:
             assert_seasons_subset(reference, cfg.train_seasons, "historical_sc_prob")
-        limit = cfg.broadcast_row_limit
         circuits = fit_label_encoder(train, "event_name")
         teams = fit_label_encoder(train, "Team")
         sc = historical_sc_table(reference, cfg)

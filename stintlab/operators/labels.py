@@ -53,10 +53,10 @@ def apply_cleaning_masks(df: DataFrame, cfg: C.Config) -> DataFrame:
     out = out.filter(F.col("LapNumber") > 1)
     out = out.filter(~S.is_wet_compound(F.col("Compound"), cfg))
     keys = STINT_KEYS if all(c in out.columns for c in STINT_KEYS) else ["driver_stint_id"]
-    median = F.percentile(F.col("LapTime_s"), 0.5).over(Window.partitionBy(*keys))
-    keep = F.coalesce(F.col("LapTime_s") <= median * F.lit(cfg.outlier_threshold), F.lit(False)) | \
+    out = out.withColumn("_stint_median", F.percentile(F.col("LapTime_s"), 0.5).over(Window.partitionBy(*keys)))
+    keep = F.coalesce(F.col("LapTime_s") <= F.col("_stint_median") * F.lit(cfg.outlier_threshold), F.lit(False)) | \
         (F.col("is_pit_out_lap") == 1)
-    out = out.filter(keep)
+    out = out.filter(keep).drop("_stint_median")
     return out.filter(F.col("LapTime_s").isNotNull() & (F.col("LapTime_s") > 0))
 
 

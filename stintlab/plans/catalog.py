@@ -100,3 +100,84 @@ def q_cp1(spark, sf):
                     r6("gap_ahead_s"), r6("gap_ahead_trend"), "safety_car_flag", "vsc_flag", "sc_or_vsc_flag",
                     "TrackStatus", r6("track_evolution_delta"), "undercut_threat", r6("lap_norm"),
                     r6("lap_count_norm"))
+
+
+# ------------------------------------------------------------------ CP2: split features with train-fitted state
+
+def _fs(spark, sf):
+    return P.features_with_state(_laps(spark, sf), CFG)
+
+
+@register("cp2_split_features", O.with_fragments(["fs"], """
+SELECT driver_stint_id, LapNumber, split, circuit_id_enc, circuit_id, compound_type, compound_enc, team_id_enc,
+       team_id, track_temp_category, round(starting_position_norm, 6) AS starting_position_norm,
+       round(circuit_softness, 6) AS circuit_softness, round(historical_sc_prob, 6) AS historical_sc_prob,
+       round(lap_norm, 6) AS lap_norm, round(lap_count_norm, 6) AS lap_count_norm,
+       round(AirTemp, 6) AS AirTemp, round(TrackTemp, 6) AS TrackTemp FROM fs"""))
+def q_cp2(spark, sf):
+    f = _fs(spark, sf)
+    return f.select("driver_stint_id", "LapNumber", "split", "circuit_id_enc", "circuit_id", "compound_type",
+                    "compound_enc", "team_id_enc", "team_id", "track_temp_category", r6("starting_position_norm"),
+                    r6("circuit_softness"), r6("historical_sc_prob"), r6("lap_norm"), r6("lap_count_norm"),
+                    r6("AirTemp"), r6("TrackTemp"))
+
+
+@register("ml01_encoders", O.with_fragments(["enc_circuit", "enc_team"], """
+SELECT 'circuit_id' AS encoder, label, code FROM enc_circuit
+UNION ALL SELECT 'team_id' AS encoder, label, code FROM enc_team"""))
+def q_ml01(spark, sf):
+    from ..operators.encode import fit_label_encoder
+    train = P.split_frames(_laps(spark, sf), CFG)[0]
+    return fit_label_encoder(train, "event_name").select(F.lit("circuit_id").alias("encoder"), "label", "code") \
+        .unionByName(fit_label_encoder(train, "Team").select(F.lit("team_id").alias("encoder"), "label", "code"))
+
+
+@register("ag01_historical_sc_prob", O.with_fragments(["sc_prob"], """
+SELECT event_name, round(historical_sc_prob, 6) AS historical_sc_prob FROM sc_prob"""))
+def q_ag01(spark, sf):
+    from ..operators.encode import historical_sc_table
+    train = P.split_frames(P.base_features(_laps(spark, sf), CFG), CFG)[0]
+    return historical_sc_table(train, CFG).select("event_name", r6("historical_sc_prob"))
+
+
+# ------------------------------------------------------------------ labels and cleaning
+
+from ..operators import labels as LB  # noqa: E402
+
+
+@register("wn12_pit_labels", O.with_fragments(["lab_all"], """
+SELECT driver_stint_id, LapNumber, split, pit_label, loss_weight FROM lab_all"""))
+def q_wn12(spark, sf):
+    return LB.encode_pit_labels(_fs(spark, sf)).select("driver_stint_id", "LapNumber", "split", "pit_label",
+                                                       "loss_weight")
+
+
+@register("ag23_label_distribution", O.with_fragments(["lab_all"], """
+SELECT split, pit_label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY split), 6) AS share
+FROM lab_all GROUP BY split, pit_label"""))
+def q_ag23(spark, sf):
+    from ..operators import explore as X
+    return X.label_distribution(LB.encode_pit_labels(_fs(spark, sf)), ["split"])
+
+
+@register("cp3_clean_then_label", O.with_fragments(["ev_lab"], """
+SELECT driver_stint_id, LapNumber, split, is_pit_out_lap, pit_label, loss_weight,
+       round(LapTime_s, 6) AS LapTime_s FROM ev_lab"""))
+def q_cp3(spark, sf):
+    return LB.clean_then_label(_fs(spark, sf), CFG).select("driver_stint_id", "LapNumber", "split",
+                                                           "is_pit_out_lap", "pit_label", "loss_weight",
+                                                           r6("LapTime_s"))
+
+
+@register("cp4_label_clean_filter", O.with_fragments(["cl_lab"], f"""
+SELECT driver_stint_id, LapNumber, split, pit_label, is_pit_out_lap, {O.TOP4} AS is_top4 FROM cl_lab"""))
+def q_cp4(spark, sf):
+    return LB.label_then_clean(_fs(spark, sf), CFG).select("driver_stint_id", "LapNumber", "split", "pit_label",
+                                                           "is_pit_out_lap", "is_top4")
+
+
+@register("pr13_top4_constructors", O.with_fragments(["laps"], f"""
+SELECT Team, {O.TOP4} AS is_top4, count(*) AS n_laps FROM laps GROUP BY ALL"""))
+def q_pr13(spark, sf):
+    laps = LB.filter_top_constructors(L.load_laps(spark, sf), CFG)
+    return laps.groupBy("Team", "is_top4").agg(F.count(F.lit(1)).alias("n_laps"))

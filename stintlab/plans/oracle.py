@@ -230,3 +230,50 @@ def with_fragments(needed: list, final_sql: str) -> str:
         visit(name)
     ctes = ",\n".join(f"{n} AS ({FRAGMENTS[n]})" for n in order)
     return f"WITH {ctes}\n{final_sql}"
+
+
+# ---------------------------------------------------------------- labels / cleaning
+def label_frags(prefix: str, src: str) -> str:
+    """Register pit-label fragments over ``src``; returns the name of the labelled frame."""
+    frag(f"{prefix}_src", [src], f"""
+SELECT *, CASE WHEN max(CASE WHEN PitInTime IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY {DK}) = 1
+               THEN PitInTime IS NOT NULL
+               ELSE coalesce(lead(Stint) OVER (PARTITION BY {DK} ORDER BY LapNumber) IS NOT NULL
+                    AND lead(Stint) OVER (PARTITION BY {DK} ORDER BY LapNumber) IS DISTINCT FROM Stint, false)
+          END AS _is_pit
+FROM {src}""")
+    frag(f"{prefix}_warn", [f"{prefix}_src"], f"""
+SELECT DISTINCT a.season, a.event_name, a.session_type, a.Driver, a.LapNumber
+FROM {prefix}_src a JOIN {prefix}_src p
+  ON p.season = a.season AND p.event_name = a.event_name AND p.session_type = a.session_type AND p.Driver = a.Driver
+ AND p._is_pit AND p.LapNumber BETWEEN a.LapNumber + 1 AND a.LapNumber + 3""")
+    frag(prefix, [f"{prefix}_src", f"{prefix}_warn"], f"""
+SELECT s.* EXCLUDE (_is_pit),
+       CAST(CASE WHEN s._is_pit THEN 2 WHEN w.Driver IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS pit_label,
+       CASE WHEN s.sc_or_vsc_flag = 1 THEN 0.0 ELSE 1.0 END AS loss_weight
+FROM {prefix}_src s LEFT JOIN {prefix}_warn w
+  ON w.season = s.season AND w.event_name = s.event_name AND w.session_type = s.session_type
+ AND w.Driver = s.Driver AND w.LapNumber = s.LapNumber""")
+    return prefix
+
+
+def clean_frags(prefix: str, src: str) -> str:
+    frag(prefix, [src], f"""
+SELECT * EXCLUDE (_med) FROM (
+  SELECT *, quantile_cont(LapTime_s, 0.5) OVER (PARTITION BY {STK}) AS _med
+  FROM (SELECT *, CAST(PitOutTime IS NOT NULL AS INTEGER) AS is_pit_out_lap FROM {src}) a
+  WHERE LapNumber > 1 AND NOT coalesce(Compound IN ('INTERMEDIATE', 'WET'), false)) b
+WHERE (coalesce(LapTime_s <= _med * 1.35::DOUBLE, false) OR is_pit_out_lap = 1)
+  AND LapTime_s IS NOT NULL AND LapTime_s > 0""")
+    return prefix
+
+
+TOP4 = "(contains('red bull', lower(coalesce(Team, ''))) OR contains(lower(coalesce(Team, '')), 'red bull') OR " \
+       "contains('mercedes', lower(coalesce(Team, ''))) OR contains(lower(coalesce(Team, '')), 'mercedes') OR " \
+       "contains('ferrari', lower(coalesce(Team, ''))) OR contains(lower(coalesce(Team, '')), 'ferrari') OR " \
+       "contains('mclaren', lower(coalesce(Team, ''))) OR contains(lower(coalesce(Team, '')), 'mclaren'))"
+
+label_frags("lab_all", "fs")                 # labels on all split features
+clean_frags("cl_lab", "lab_all")             # CP4: label -> clean
+clean_frags("cl_all", "fs")                  # CP3: clean -> label
+label_frags("ev_lab", "cl_all")
