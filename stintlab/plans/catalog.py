@@ -181,3 +181,56 @@ SELECT Team, {O.TOP4} AS is_top4, count(*) AS n_laps FROM laps GROUP BY ALL"""))
 def q_pr13(spark, sf):
     laps = LB.filter_top_constructors(L.load_laps(spark, sf), CFG)
     return laps.groupBy("Team", "is_top4").agg(F.count(F.lit(1)).alias("n_laps"))
+
+
+# ------------------------------------------------------------------ fingerprints, LOCO
+
+from ..operators import fingerprint as FP  # noqa: E402
+
+
+def _labeled(spark, sf):
+    """Evaluation path over all splits: clean -> label (CP3)."""
+    return LB.clean_then_label(_fs(spark, sf), CFG)
+
+
+def _fingerprints(spark, sf, labeled=None):
+    labeled = labeled if labeled is not None else _labeled(spark, sf)
+    return FP.compute_circuit_fingerprints(labeled.filter(F.col("split") == "train"), CFG)
+
+
+FP_COLS = ["avg_deg_rate", "compound_variance", "track_temp_percentile", "high_speed_fraction",
+           "hist_soft_stint_len", "sc_vsc_frequency"]
+
+
+@register("cp5_circuit_fingerprints", O.with_fragments(["fp"], "SELECT circuit_id, event_name, " + ", ".join(
+    f"round({c}, 6) AS {c}" for c in FP_COLS) + " FROM fp"))
+def q_cp5(spark, sf):
+    return _fingerprints(spark, sf).select("circuit_id", "event_name", *[r6(c) for c in FP_COLS])
+
+
+@register("jn12_nearest_fingerprint", O.with_fragments(["fp"], f"""
+SELECT a.circuit_id, a.event_name, round(min(sqrt({O.FP_DIFF})), 6) AS fingerprint_distance
+FROM fp a JOIN fp b ON a.event_name <> b.event_name GROUP BY a.circuit_id, a.event_name"""))
+def q_jn12(spark, sf):
+    near = FP.nearest_fingerprint(_fingerprints(spark, sf), CFG, include_self=False)
+    return near.select("circuit_id", "event_name", r6("fingerprint_distance"))
+
+
+@register("ag17_loco_cv", O.with_fragments(["loco"], """
+SELECT circuit, round(mae_p50, 6) AS mae_p50, round(fingerprint_distance, 6) AS fingerprint_distance,
+       circuit_type FROM loco"""))
+def q_ag17(spark, sf):
+    fs = _fs(spark, sf)
+    loco = FP.run_loco_cv(fs, _fingerprints(spark, sf, LB.clean_then_label(fs, CFG)), CFG)
+    return loco.select("circuit", r6("mae_p50"), r6("fingerprint_distance"), "circuit_type")
+
+
+@register("ag18_loco_pearson", O.with_fragments(["loco"], """
+SELECT CASE WHEN count(*) < 2 THEN 0.0
+            ELSE round(covar_pop(mae_p50, fingerprint_distance)
+                       / nullif(sqrt(var_pop(mae_p50) * var_pop(fingerprint_distance)), 0), 6) END AS pearson_r
+FROM loco"""))
+def q_ag18(spark, sf):
+    fs = _fs(spark, sf)
+    loco = FP.run_loco_cv(fs, _fingerprints(spark, sf, LB.clean_then_label(fs, CFG)), CFG)
+    return FP.loco_pearson(loco).select(r6("pearson_r"))

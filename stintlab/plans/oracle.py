@@ -277,3 +277,41 @@ label_frags("lab_all", "fs")                 # labels on all split features
 clean_frags("cl_lab", "lab_all")             # CP4: label -> clean
 clean_frags("cl_all", "fs")                  # CP3: clean -> label
 label_frags("ev_lab", "cl_all")
+
+
+# ---------------------------------------------------------------- fingerprints / LOCO
+frag("fp_train", ["ev_lab"], "SELECT * FROM ev_lab WHERE split = 'train'")
+frag("fp", ["fp_train"], """
+SELECT CAST(b.circuit_id AS INTEGER) AS circuit_id, b.event_name,
+       coalesce(d.avg_deg_rate, 0.0) AS avg_deg_rate, coalesce(d.compound_variance, 0.0) AS compound_variance,
+       coalesce(a.tp, 0.0) AS track_temp_percentile,
+       CASE b.event_name WHEN 'Bahrain' THEN 0.35 WHEN 'Monaco' THEN 0.05 WHEN 'Spain' THEN 0.35
+            WHEN 'Britain' THEN 0.60 WHEN 'Singapore' THEN 0.08 WHEN 'Qatar' THEN 0.52 ELSE 0.35 END AS high_speed_fraction,
+       coalesce(b.soft, 0.0) AS hist_soft_stint_len, CAST(s.freq AS DOUBLE) AS sc_vsc_frequency
+FROM (SELECT circuit_id, min(event_name) AS event_name,
+             quantile_cont(CASE WHEN Compound = 'SOFT' THEN CAST(TyreLife AS DOUBLE) END, 0.5) AS soft
+      FROM fp_train WHERE circuit_id IS NOT NULL GROUP BY circuit_id) b
+LEFT JOIN (SELECT circuit_id, avg(CASE WHEN n > 5 THEN slope END) AS avg_deg_rate, stddev_samp(m) AS compound_variance
+           FROM (SELECT circuit_id, Compound, count(*) AS n, regr_slope(lap_time_delta_s, tire_age_laps) AS slope,
+                        avg(lap_time_delta_s) AS m
+                 FROM fp_train WHERE Compound IN ('SOFT', 'MEDIUM', 'HARD') AND circuit_id IS NOT NULL GROUP BY ALL) x
+           GROUP BY circuit_id) d ON d.circuit_id = b.circuit_id
+LEFT JOIN (SELECT circuit_id, avg(h) AS freq
+           FROM (SELECT circuit_id, season, event_name, max(sc_or_vsc_flag) AS h FROM fp_train
+                 WHERE circuit_id IS NOT NULL GROUP BY ALL) y GROUP BY circuit_id) s ON s.circuit_id = b.circuit_id
+LEFT JOIN (SELECT event_name, a / max(a) OVER () AS tp
+           FROM (SELECT event_name, avg(AirTemp) AS a FROM fp_train GROUP BY event_name) z) a ON a.event_name = b.event_name""")
+
+FP_DIFF = " + ".join(f"CAST(a.{c} <> b.{c} AS INTEGER)" for c in
+                     ["avg_deg_rate", "compound_variance", "track_temp_percentile", "high_speed_fraction",
+                      "hist_soft_stint_len", "sc_vsc_frequency"])
+
+frag("loco", ["fs", "fp"], """
+SELECT h.circuit,
+       (SELECT avg(abs(t.lap_time_delta_s - (SELECT quantile_cont(o.lap_time_delta_s, 0.5) FROM fs o
+                                             WHERE o.split = 'train' AND o.event_name <> h.circuit)))
+        FROM fs t WHERE t.split = 'test' AND t.event_name = h.circuit) AS mae_p50,
+       0.0 AS fingerprint_distance,
+       CASE WHEN h.circuit IN ('Monaco', 'Singapore') THEN 'street' ELSE 'permanent' END AS circuit_type
+FROM (SELECT DISTINCT event_name AS circuit FROM fs WHERE split = 'test'
+      AND event_name IN (SELECT event_name FROM fp)) h""")
