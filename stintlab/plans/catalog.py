@@ -234,3 +234,30 @@ def q_ag18(spark, sf):
     fs = _fs(spark, sf)
     loco = FP.run_loco_cv(fs, _fingerprints(spark, sf, LB.clean_then_label(fs, CFG)), CFG)
     return FP.loco_pearson(loco).select(r6("pearson_r"))
+
+
+# ------------------------------------------------------------------ qualifying, compound dataset
+
+from ..operators import compound as CO  # noqa: E402
+from ..sources import qualifying as Q  # noqa: E402
+
+
+@register("cp6_qualifying_q2_compound", O.with_fragments(["quali"], """
+SELECT season, event_name, Driver, LapNumber, SessionPart, Compound, q2_compound FROM quali"""))
+def q_cp6(spark, sf):
+    q = Q.load_qualifying_sessions(L.load_qualifying_raw(spark, sf))
+    return q.select("season", "event_name", "Driver", "LapNumber", "SessionPart", "Compound", "q2_compound")
+
+
+XGB_COLS = FP_COLS + ["AirTemp", "Humidity", "TrackTemp", "FreshTyre", "TyreLife", "qualifying_pace_delta_s"]
+
+
+def _xgb(spark, sf):
+    quali = Q.load_qualifying_sessions(L.load_qualifying_raw(spark, sf))
+    return CO.build_compound_dataset(quali, _fingerprints(spark, sf))
+
+
+@register("ml08_compound_dataset", O.with_fragments(["xgb"], "SELECT season, event_name, Driver, label, " + ", ".join(
+    f"round({c}, 6) AS {c}" for c in XGB_COLS) + " FROM xgb WHERE label IS NOT NULL"))
+def q_ml08(spark, sf):
+    return _xgb(spark, sf).select("season", "event_name", "Driver", "label", *[r6(c) for c in XGB_COLS])

@@ -315,3 +315,29 @@ SELECT h.circuit,
        CASE WHEN h.circuit IN ('Monaco', 'Singapore') THEN 'street' ELSE 'permanent' END AS circuit_type
 FROM (SELECT DISTINCT event_name AS circuit FROM fs WHERE split = 'test'
       AND event_name IN (SELECT event_name FROM fp)) h""")
+
+
+# ---------------------------------------------------------------- qualifying / compound dataset
+frag("q2c", ["quali_raw"], """
+SELECT season, event_name, Driver, Compound AS q2_compound FROM (
+  SELECT *, row_number() OVER (PARTITION BY season, event_name, Driver
+                               ORDER BY LapTime IS NULL, LapTime, LapNumber) AS rn
+  FROM quali_raw WHERE SessionPart = 'Q2' AND Compound IS NOT NULL) x WHERE rn = 1""")
+frag("quali", ["quali_raw", "q2c"], """
+SELECT q.*, c.q2_compound FROM quali_raw q
+LEFT JOIN q2c c ON c.season = q.season AND c.event_name = q.event_name AND c.Driver = q.Driver
+WHERE q.SessionPart IN ('Q2', 'Q3')""")
+frag("xgb", ["quali", "fp"], """
+SELECT q.season, q.event_name, q.Driver,
+       coalesce(f.avg_deg_rate, 0.0) AS avg_deg_rate, coalesce(f.compound_variance, 0.0) AS compound_variance,
+       coalesce(f.track_temp_percentile, 0.0) AS track_temp_percentile,
+       coalesce(f.high_speed_fraction, 0.0) AS high_speed_fraction,
+       coalesce(f.hist_soft_stint_len, 0.0) AS hist_soft_stint_len,
+       coalesce(f.sc_vsc_frequency, 0.0) AS sc_vsc_frequency,
+       coalesce(q.AirTemp, 0.0) AS AirTemp, coalesce(q.Humidity, 0.0) AS Humidity,
+       coalesce(q.TrackTemp, 0.0) AS TrackTemp, coalesce(CAST(q.FreshTyre AS DOUBLE), 0.0) AS FreshTyre,
+       coalesce(q.TyreLife, 0.0) AS TyreLife,
+       coalesce(q.LapTime - min(q.LapTime) OVER (PARTITION BY q.season, q.event_name), 0.0) AS qualifying_pace_delta_s,
+       CAST(CASE upper(coalesce(q.q2_compound, '')) WHEN 'HARD' THEN 0 WHEN 'SUPERHARD' THEN 0 WHEN 'MEDIUM' THEN 1
+            WHEN 'SOFT' THEN 2 WHEN 'SUPERSOFT' THEN 2 WHEN 'ULTRASOFT' THEN 2 WHEN 'HYPERSOFT' THEN 2 END AS INTEGER) AS label
+FROM quali q LEFT JOIN fp f ON f.event_name = q.event_name""")
