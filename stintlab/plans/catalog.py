@@ -189,8 +189,9 @@ from ..operators import fingerprint as FP  # noqa: E402
 
 
 def _labeled(spark, sf):
-    """Evaluation path over all splits: clean -> label (CP3)."""
-    return LB.clean_then_label(_fs(spark, sf), CFG)
+    """Evaluation path over all splits: clean -> label (CP3), materialised once."""
+    from ..session import cut_lineage
+    return cut_lineage(LB.clean_then_label(_fs(spark, sf), CFG))
 
 
 def _fingerprints(spark, sf, labeled=None):
@@ -261,3 +262,103 @@ def _xgb(spark, sf):
     f"round({c}, 6) AS {c}" for c in XGB_COLS) + " FROM xgb WHERE label IS NOT NULL"))
 def q_ml08(spark, sf):
     return _xgb(spark, sf).select("season", "event_name", "Driver", "label", *[r6(c) for c in XGB_COLS])
+
+
+# ------------------------------------------------------------------ thresholds, predictions, metrics
+
+from ..operators import classify as CL  # noqa: E402
+from ..operators import metrics as MT  # noqa: E402
+
+
+def _scored_splits(spark, sf):
+    """Labelled laps (clean -> label) with the baseline score; thresholds tuned on the
+    validation pit-window dataset; labels predicted for every split."""
+    labeled = CL.baseline_pit_score(_labeled(spark, sf))
+    val = CL.build_pit_window_dataset(labeled.filter(F.col("split") == "val"), CFG)
+    thresholds, global_thr = CL.tune_circuit_thresholds(val, CFG)
+    return labeled, val, thresholds, global_thr
+
+
+@register("ml05_global_threshold", O.with_fragments(["thr_best"], """
+SELECT round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM thr_best WHERE g = '*'"""))
+def q_ml05(spark, sf):
+    labeled = CL.baseline_pit_score(_labeled(spark, sf))
+    val = CL.build_pit_window_dataset(labeled.filter(F.col("split") == "val"), CFG)
+    return CL.find_threshold_max_f1(val).select(r6("threshold"), r6("f1"))
+
+
+@register("ml06_circuit_thresholds", O.with_fragments(["thr_circuit"], """
+SELECT event_name, round(threshold, 6) AS threshold FROM thr_circuit"""))
+def q_ml06(spark, sf):
+    _, _, thresholds, _ = _scored_splits(spark, sf)
+    return thresholds.select("event_name", r6("threshold"))
+
+
+@register("pr21_predict_labels", O.with_fragments(["test_pred"], """
+SELECT driver_stint_id, LapNumber, round(p, 6) AS p, pred_label FROM test_pred"""))
+def q_pr21(spark, sf):
+    labeled, _, thresholds, global_thr = _scored_splits(spark, sf)
+    pred = CL.predict_labels(labeled.filter(F.col("split") == "test"), thresholds, global_thr)
+    return pred.select("driver_stint_id", "LapNumber", r6("p"), "pred_label")
+
+
+@register("ms04_binary_metrics", O.with_fragments(["pw_val_pred"], """
+WITH d AS (SELECT p, sum(y) AS tp, sum(1 - y) AS fp FROM pw_val_pred GROUP BY p),
+     c AS (SELECT d.p, d.tp, d.fp, (SELECT sum(tp) FROM d d2 WHERE d2.p >= d.p) AS ctp,
+                  (SELECT sum(fp) FROM d d2 WHERE d2.p >= d.p) AS cfp FROM d),
+     pairs AS (SELECT sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) AS w
+               FROM pw_val_pred a JOIN pw_val_pred b ON a.y = 1 AND b.y = 0),
+     tot AS (SELECT sum(y) AS P, sum(1 - y) AS N, sum(CASE WHEN pred_label = 2 AND y = 1 THEN 1 ELSE 0 END) AS tp,
+                    sum(CASE WHEN pred_label = 2 AND y = 0 THEN 1 ELSE 0 END) AS fp,
+                    sum(CASE WHEN pred_label <> 2 AND y = 1 THEN 1 ELSE 0 END) AS fn,
+                    avg(pow(p - y, 2)) AS brier FROM pw_val_pred)
+SELECT round(CASE WHEN tot.P > 0 THEN (SELECT sum(tp::DOUBLE / tot.P * ctp / (ctp + cfp)) FROM c) ELSE 0.0 END, 6)
+         AS average_precision,
+       round(CASE WHEN tot.P > 0 AND tot.N > 0 THEN (SELECT w FROM pairs) / (tot.P * tot.N) ELSE 0.5 END, 6) AS auc,
+       round(coalesce(2.0 * tot.tp / nullif(2 * tot.tp + tot.fp + tot.fn, 0), 0.0), 6) AS f1,
+       round(coalesce(tot.tp / nullif(tot.tp + tot.fp, 0), 0.0), 6) AS precision,
+       round(coalesce(tot.tp / nullif(tot.tp + tot.fn, 0), 0.0), 6) AS recall,
+       round(coalesce(tot.brier, 0.0), 6) AS brier
+FROM tot"""))
+def q_ms04(spark, sf):
+    labeled, val, thresholds, global_thr = _scored_splits(spark, sf)
+    pred = CL.predict_labels(val, thresholds, global_thr)
+    m = CL.binary_metrics(pred)
+    return m.select(*[r6(c) for c in m.columns])
+
+
+@register("ms01_confusion_matrix", O.with_fragments(["test_pred"], """
+SELECT t.true_label, t.pred_label, CAST(coalesce(n, 0) AS BIGINT) AS n
+FROM (SELECT a AS true_label, b AS pred_label FROM unnest([0, 1, 2]) x(a), unnest([0, 1, 2]) y(b)) t
+LEFT JOIN (SELECT pit_label AS true_label, pred_label, count(*) AS n FROM test_pred GROUP BY ALL) c
+  ON c.true_label = t.true_label AND c.pred_label = t.pred_label"""))
+def q_ms01(spark, sf):
+    labeled, _, thresholds, global_thr = _scored_splits(spark, sf)
+    pred = CL.predict_labels(labeled.filter(F.col("split") == "test"), thresholds, global_thr)
+    return MT.confusion_matrix(pred)
+
+
+@register("ms02_classification_report", O.with_fragments(["rep2"], """
+SELECT CAST(label AS INTEGER) AS label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM rep2"""))
+def q_ms02(spark, sf):
+    labeled, _, thresholds, global_thr = _scored_splits(spark, sf)
+    pred = CL.predict_labels(labeled.filter(F.col("split") == "test"), thresholds, global_thr)
+    rep = MT.per_class_report(pred)
+    return rep.select("label", r6("precision"), r6("recall"), r6("f1"), "support")
+
+
+@register("ms03_multiclass_summary", O.with_fragments(["rep2", "mcc_parts"], """
+SELECT round((SELECT avg(f1) FROM rep2), 6) AS macro_f1,
+       round(CASE WHEN n_true <= 1 THEN 0.0
+                  ELSE coalesce((c * s - tp_sum) / nullif(sqrt((s * s - pp) * (s * s - tt)), 0.0), 0.0) END, 6) AS mcc,
+       round(coalesce((SELECT max(recall) FROM rep2 WHERE label = 2), 0.0), 6) AS pit_now_recall,
+       round(coalesce((SELECT max(precision) FROM rep2 WHERE label = 2), 0.0), 6) AS pit_now_precision,
+       round(coalesce((SELECT max(recall) FROM rep2 WHERE label = 1), 0.0), 6) AS pit_soon_recall,
+       round(coalesce((SELECT max(precision) FROM rep2 WHERE label = 0), 0.0), 6) AS stay_out_precision
+FROM mcc_parts"""))
+def q_ms03(spark, sf):
+    labeled, _, thresholds, global_thr = _scored_splits(spark, sf)
+    pred = CL.predict_labels(labeled.filter(F.col("split") == "test"), thresholds, global_thr)
+    m = MT.multiclass_summary(pred)
+    return m.select(*[r6(c) for c in m.columns])

@@ -229,6 +229,10 @@ def with_fragments(needed: list, final_sql: str) -> str:
     for name in needed:
         visit(name)
     ctes = ",\n".join(f"{n} AS ({FRAGMENTS[n]})" for n in order)
+    body = final_sql.strip()
+    if body.upper().startswith("WITH "):
+        # the final query brings its own CTEs: append them to the fragment list
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{final_sql}"
 
 
@@ -341,3 +345,64 @@ SELECT q.season, q.event_name, q.Driver,
        CAST(CASE upper(coalesce(q.q2_compound, '')) WHEN 'HARD' THEN 0 WHEN 'SUPERHARD' THEN 0 WHEN 'MEDIUM' THEN 1
             WHEN 'SOFT' THEN 2 WHEN 'SUPERSOFT' THEN 2 WHEN 'ULTRASOFT' THEN 2 WHEN 'HYPERSOFT' THEN 2 END AS INTEGER) AS label
 FROM quali q LEFT JOIN fp f ON f.event_name = q.event_name""")
+
+
+# ---------------------------------------------------------------- pit-window dataset, thresholds, metrics
+frag("pw", ["ev_lab"], """
+SELECT *, CAST(pit_label IN (1, 2) AS INTEGER) AS y,
+       round(coalesce(tire_age_laps, 0.0) / (coalesce(tire_age_laps, 0.0) + 5.0::DOUBLE), 6) AS p
+FROM ev_lab WHERE pit_label IN (0, 1, 2) AND loss_weight > 0""")
+frag("pw_val", ["pw"], "SELECT * FROM pw WHERE split = 'val'")
+
+# brute force: every distinct score against every row of its group
+frag("thr_cand", ["pw_val"], """
+SELECT g, s, round(2.0 * prec * rec / (prec + rec + 1e-9), 12) AS f1, P FROM (
+  SELECT d.g, d.s,
+         sum(CASE WHEN v.p >= d.s AND v.y = 1 THEN 1 ELSE 0 END)::DOUBLE
+           / sum(CASE WHEN v.p >= d.s THEN 1 ELSE 0 END) AS prec,
+         CASE WHEN sum(v.y) = 0 THEN 1.0
+              ELSE sum(CASE WHEN v.p >= d.s AND v.y = 1 THEN 1 ELSE 0 END)::DOUBLE / sum(v.y) END AS rec,
+         sum(v.y) AS P
+  FROM (SELECT DISTINCT '*' AS g, p AS s FROM pw_val
+        UNION ALL SELECT DISTINCT CAST(event_name AS VARCHAR) AS g, p AS s FROM pw_val) d
+  JOIN (SELECT '*' AS g, p, y FROM pw_val UNION ALL SELECT CAST(event_name AS VARCHAR) AS g, p, y FROM pw_val) v
+    ON v.g = d.g
+  GROUP BY d.g, d.s) x""")
+frag("thr_best", ["thr_cand"], """
+SELECT g, s AS threshold, f1, P AS positives FROM (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY f1 DESC, s ASC) AS rn FROM thr_cand) x WHERE rn = 1""")
+frag("thr_circuit", ["thr_best", "pw_val"], """
+SELECT c.g AS event_name,
+       CASE WHEN coalesce(b.positives, 0) > 0 THEN b.threshold
+            ELSE (SELECT threshold FROM thr_best WHERE g = '*') END AS threshold
+FROM (SELECT DISTINCT CAST(event_name AS VARCHAR) AS g FROM pw_val
+      UNION SELECT unnest(['Bahrain', 'Britain', 'Spain', 'Italy', 'Monaco', 'Singapore'])) c
+LEFT JOIN thr_best b ON b.g = c.g""")
+frag("pred_all", ["ev_lab", "thr_circuit", "thr_best"], """
+SELECT l.*, round(coalesce(l.tire_age_laps, 0.0) / (coalesce(l.tire_age_laps, 0.0) + 5.0::DOUBLE), 6) AS p,
+       CAST(CASE WHEN round(coalesce(l.tire_age_laps, 0.0) / (coalesce(l.tire_age_laps, 0.0) + 5.0::DOUBLE), 6)
+                      >= coalesce(t.threshold, (SELECT threshold FROM thr_best WHERE g = '*')) THEN 2 ELSE 0 END
+            AS INTEGER) AS pred_label
+FROM ev_lab l LEFT JOIN thr_circuit t ON t.event_name = CAST(l.event_name AS VARCHAR)""")
+frag("pw_val_pred", ["pred_all"], """
+SELECT *, CAST(pit_label IN (1, 2) AS INTEGER) AS y FROM pred_all
+WHERE split = 'val' AND pit_label IN (0, 1, 2) AND loss_weight > 0""")
+frag("test_pred", ["pred_all"], "SELECT * FROM pred_all WHERE split = 'test'")
+frag("rep", ["test_pred"], """
+SELECT coalesce(t.label, p.label) AS label, coalesce(t.support, 0) AS support,
+       coalesce(p.predicted, 0) AS predicted, coalesce(c.tp, 0) AS tp
+FROM (SELECT pit_label AS label, count(*) AS support FROM test_pred GROUP BY 1) t
+FULL JOIN (SELECT pred_label AS label, count(*) AS predicted FROM test_pred GROUP BY 1) p ON p.label = t.label
+LEFT JOIN (SELECT pit_label AS label, count(*) AS tp FROM test_pred WHERE pit_label = pred_label GROUP BY 1) c
+  ON c.label = coalesce(t.label, p.label)""")
+frag("rep2", ["rep"], """
+SELECT label, coalesce(tp / nullif(predicted, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall,
+       coalesce(2.0 * tp / nullif(support + predicted, 0), 0.0) AS f1, support FROM rep""")
+frag("mcc_parts", ["test_pred"], """
+SELECT * FROM
+ (SELECT sum(CASE WHEN pit_label = pred_label THEN 1 ELSE 0 END)::DOUBLE AS c, count(*)::DOUBLE AS s FROM test_pred) m,
+ (SELECT sum(t_k::DOUBLE * p_k) AS tp_sum, sum(p_k::DOUBLE * p_k) AS pp, sum(t_k::DOUBLE * t_k) AS tt,
+         sum(CASE WHEN t_k > 0 THEN 1 ELSE 0 END) AS n_true
+  FROM (SELECT coalesce(t.k, p.k) AS k, coalesce(t_k, 0) AS t_k, coalesce(p_k, 0) AS p_k
+        FROM (SELECT pit_label AS k, count(*) AS t_k FROM test_pred GROUP BY 1) t
+        FULL JOIN (SELECT pred_label AS k, count(*) AS p_k FROM test_pred GROUP BY 1) p ON p.k = t.k) k) kk""")

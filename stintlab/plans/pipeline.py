@@ -9,6 +9,7 @@ from .. import config as C
 from ..functions import scalars as S
 from ..operators import features as FE
 from ..operators.encode import FeatureState
+from ..session import cut_lineage
 
 
 def season_split(df: DataFrame, cfg: C.Config) -> DataFrame:
@@ -72,9 +73,16 @@ def prepare_splits(laps: DataFrame, cfg: C.Config):
     return finish(train), finish(val), finish(test), state
 
 
-def features_with_state(laps: DataFrame, cfg: C.Config) -> DataFrame:
-    """All seasons' features with train-fitted state, tagged by split (one frame)."""
+def features_with_state(laps: DataFrame, cfg: C.Config, materialize: bool = True) -> DataFrame:
+    """All seasons' features with train-fitted state, tagged by split (one frame).
+
+    With ``materialize`` the window-heavy base features are written once as a reliable
+    checkpoint (in the cluster's ``spark.checkpoint.dir``) before the state is fitted,
+    so fitting and every later action read the stage instead of recomputing it.
+    """
     # lap_count_norm is normalised within each split frame, as when splits are run apart.
     feats = FE.add_lap_norm(season_split(base_features(laps, cfg, lap_norm=False), cfg), within=["split"])
+    if materialize:
+        feats = cut_lineage(feats)
     state = FeatureState.fit(feats.filter(F.col("split") == "train"), cfg)
     return state.add_historical_sc_prob(FE.add_circuit_softness(state.encode(feats), cfg))
