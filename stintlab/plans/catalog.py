@@ -362,3 +362,107 @@ def q_ms03(spark, sf):
     pred = CL.predict_labels(labeled.filter(F.col("split") == "test"), thresholds, global_thr)
     m = MT.multiclass_summary(pred)
     return m.select(*[r6(c) for c in m.columns])
+
+
+# ------------------------------------------------------------------ forecast table, counterfactual
+
+from ..operators import counterfactual as CF  # noqa: E402
+from ..operators import forecast as FC  # noqa: E402
+
+
+def _forecast(spark, sf, labeled=None):
+    labeled = labeled if labeled is not None else _labeled(spark, sf)
+    return FC.predict_quantiles(labeled.filter(F.col("split") == "train"), labeled.filter(F.col("split") == "test"),
+                                CFG)
+
+
+@register("ml13_quantile_forecast", O.with_fragments(["fc"], """
+SELECT driver_stint_id, event_name, LapNumber, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90
+FROM fc"""))
+def q_ml13(spark, sf):
+    return _forecast(spark, sf).select("driver_stint_id", "event_name", "LapNumber", r6("p10"), r6("p50"), r6("p90"))
+
+
+def _fc_joined(spark, sf):
+    labeled = _labeled(spark, sf)
+    return FC.with_actuals(_forecast(spark, sf, labeled), labeled.filter(F.col("split") == "test"))
+
+
+@register("wn17_cliff_lead_time", O.with_fragments(["fc_act"], """
+SELECT round(coalesce(avg(lead), 0.0), 6) AS cliff_lead_time_mean,
+       round(coalesce(stddev_pop(lead), 0.0), 6) AS cliff_lead_time_std
+FROM (SELECT CAST(greatest(cl - coalesce(wa, cl), 0) AS DOUBLE) AS lead
+      FROM (SELECT driver_stint_id, min(CASE WHEN y > 1.0 THEN LapNumber END) AS cl,
+                   min(CASE WHEN p90 > 1.0 THEN LapNumber END) AS wa FROM fc_act GROUP BY 1) s
+      WHERE cl IS NOT NULL) x"""))
+def q_wn17(spark, sf):
+    m = FC.cliff_lead_time(_fc_joined(spark, sf), CFG)
+    return m.select(*[r6(c) for c in m.columns])
+
+
+@register("ms05_quantile_metrics", O.with_fragments(["fc_act"], """
+SELECT round(avg(abs(y - p50)), 6) AS p50_mae_overall, round(avg(CAST(y <= p90 AS DOUBLE)), 6) AS p90_coverage,
+       round(avg(CAST(y >= p10 AS DOUBLE)), 6) AS p10_coverage,
+       round((avg(greatest(0.1 * (y - p10), (0.1 - 1.0) * (y - p10))) + avg(greatest(0.5 * (y - p50), (0.5 - 1.0) * (y - p50)))
+              + avg(greatest(0.9 * (y - p90), (0.9 - 1.0) * (y - p90)))) / 3.0, 6) AS pinball_loss
+FROM fc_act WHERE p50 IS NOT NULL"""))
+def q_ms05(spark, sf):
+    m = MT.quantile_metrics(_fc_joined(spark, sf).filter(F.col("p50").isNotNull()))
+    return m.select(*[r6(c) for c in m.columns])
+
+
+@register("ms06_mae_by_compound", O.with_fragments(["fc_act"], """
+SELECT Compound, round(avg(abs(y - p50)), 6) AS mae, count(*) AS n FROM fc_act
+WHERE p50 IS NOT NULL AND Compound IN ('HARD', 'MEDIUM', 'SOFT') GROUP BY Compound"""))
+def q_ms06(spark, sf):
+    j = _fc_joined(spark, sf).filter(F.col("p50").isNotNull() & F.col("Compound").isin("HARD", "MEDIUM", "SOFT"))
+    return MT.mae_by_group(j).select("Compound", r6("mae"), "n")
+
+
+def _cf_laps(spark, sf):
+    labeled, _, thresholds, global_thr = _scored_splits(spark, sf)
+    test = CL.predict_labels(labeled.filter(F.col("split") == "test"), thresholds, global_thr)
+    curve = _forecast(spark, sf, labeled).select("driver_stint_id", "LapNumber", "p50")
+    return test.join(curve, ["driver_stint_id", "LapNumber"], "left")
+
+
+@register("cf3_per_race_deltas", O.with_fragments(["cf_race"], """
+SELECT race_id, round(delta_pos, 6) AS delta_pos, is_wet, is_street FROM cf_race"""))
+def q_cf3(spark, sf):
+    return CF.per_race_deltas(_cf_laps(spark, sf), CFG).select("race_id", r6("delta_pos"), "is_wet", "is_street")
+
+
+@register("cf4_per_driver_deltas", O.with_fragments(["cf_driver"], """
+SELECT driver_id, race_id, driver, team, round(delta_pos, 6) AS delta_pos, is_wet, is_street FROM cf_driver"""))
+def q_cf4(spark, sf):
+    d = CF.per_driver_deltas(_cf_laps(spark, sf), CFG)
+    return d.select("driver_id", "race_id", "driver", "team", r6("delta_pos"), "is_wet", "is_street")
+
+
+@register("cf5_per_team_deltas", O.with_fragments(["cf_team"], """
+SELECT team_id, race_id, team, round(delta_pos, 6) AS delta_pos, is_wet, is_street FROM cf_team"""))
+def q_cf5(spark, sf):
+    t = CF.per_team_deltas(CF.per_driver_deltas(_cf_laps(spark, sf), CFG))
+    return t.select("team_id", "race_id", "team", r6("delta_pos"), "is_wet", "is_street")
+
+
+@register("ag21_race_summary", O.with_fragments(["cf_race"], O.entity_summary_sql("cf_race", "race",
+                                                                                  "street_circuit_mean")))
+def q_ag21(spark, sf):
+    s = CF.aggregate_races(CF.per_race_deltas(_cf_laps(spark, sf), CFG))
+    return s.select(*[r6(c) if t == "double" else c for c, t in s.dtypes])
+
+
+@register("ag20_driver_summary", O.with_fragments(["cf_driver"], O.entity_summary_sql("cf_driver", "driver")))
+def q_ag20(spark, sf):
+    s = CF.aggregate_by_entity(CF.per_driver_deltas(_cf_laps(spark, sf), CFG), "driver")
+    return s.select(*[r6(c) if t == "double" else c for c, t in s.dtypes])
+
+
+@register("pr14_focus_team_summary", O.with_fragments(["cf_team"], O.entity_summary_sql(
+    "(SELECT * FROM cf_team WHERE length(trim(lower(team))) > 0 AND (contains('red bull racing', trim(lower(team)))"
+    " OR contains(trim(lower(team)), 'red bull racing')))", "team")))
+def q_pr14(spark, sf):
+    teams = CF.focus_team_filter(CF.per_team_deltas(CF.per_driver_deltas(_cf_laps(spark, sf), CFG)), CFG.focus_team)
+    s = CF.aggregate_by_entity(teams, "team")
+    return s.select(*[r6(c) if t == "double" else c for c, t in s.dtypes])

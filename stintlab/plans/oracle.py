@@ -406,3 +406,86 @@ SELECT * FROM
   FROM (SELECT coalesce(t.k, p.k) AS k, coalesce(t_k, 0) AS t_k, coalesce(p_k, 0) AS p_k
         FROM (SELECT pit_label AS k, count(*) AS t_k FROM test_pred GROUP BY 1) t
         FULL JOIN (SELECT pred_label AS k, count(*) AS p_k FROM test_pred GROUP BY 1) p ON p.k = t.k) k) kk""")
+
+
+# ---------------------------------------------------------------- forecast table and evaluation
+def _fq(keys: str) -> str:
+    return f"""
+SELECT {keys}, quantile_cont(lap_time_delta_s, 0.1) AS q0, quantile_cont(lap_time_delta_s, 0.5) AS q1,
+       quantile_cont(lap_time_delta_s, 0.9) AS q2
+FROM ev_lab WHERE split = 'train' AND lap_time_delta_s IS NOT NULL GROUP BY {keys}"""
+
+
+frag("fq1", ["ev_lab"], _fq("event_name, Compound, tire_age_laps"))
+frag("fq2", ["ev_lab"], _fq("Compound, tire_age_laps"))
+frag("fq3", ["ev_lab"], _fq("tire_age_laps"))
+frag("fc", ["fq1", "fq2", "fq3", "ev_lab"], """
+SELECT t.driver_stint_id, t.event_name, t.LapNumber, avg(coalesce(a.q0, b.q0, c.q0)) AS p10,
+       avg(coalesce(a.q1, b.q1, c.q1)) AS p50, avg(coalesce(a.q2, b.q2, c.q2)) AS p90
+FROM (SELECT * FROM ev_lab WHERE split = 'test') t
+LEFT JOIN fq1 a ON a.event_name = t.event_name AND a.Compound = t.Compound AND a.tire_age_laps = t.tire_age_laps
+LEFT JOIN fq2 b ON b.Compound = t.Compound AND b.tire_age_laps = t.tire_age_laps
+LEFT JOIN fq3 c ON c.tire_age_laps = t.tire_age_laps
+WHERE coalesce(a.q1, b.q1, c.q1) IS NOT NULL
+GROUP BY t.driver_stint_id, t.event_name, t.LapNumber""")
+frag("fc_act", ["fc", "ev_lab"], """
+SELECT t.driver_stint_id, t.LapNumber, t.Compound, t.sc_or_vsc_flag, t.lap_time_delta_s AS y, f.p10, f.p50, f.p90
+FROM (SELECT * FROM ev_lab WHERE split = 'test') t LEFT JOIN fc f
+  ON f.driver_stint_id = t.driver_stint_id AND f.LapNumber = t.LapNumber""")
+
+# ---------------------------------------------------------------- counterfactual
+frag("cf_rows", ["test_pred", "fc"], """
+SELECT l.*, f.p50 FROM test_pred l LEFT JOIN fc f ON f.driver_stint_id = l.driver_stint_id AND f.LapNumber = l.LapNumber""")
+frag("cf_hist", ["cf_rows"], """
+SELECT p.event_name, p.Driver, p.driver_stint_id, p.LapNumber, p.lap_time_delta_s AS d, p.p50 AS p50_here,
+       p.pred_label AS pr, p.sc_or_vsc_flag AS sc,
+       max(CASE WHEN h.sc_or_vsc_flag = 1 AND h.pred_label = 2 THEN 1 ELSE 0 END) AS sc_call,
+       min(CASE WHEN h.pred_label = 2 AND h.sc_or_vsc_flag = 0 THEN h.LapNumber END) AS q_lap
+FROM cf_rows p JOIN cf_rows h ON h.driver_stint_id = p.driver_stint_id AND h.LapNumber <= p.LapNumber
+WHERE p.pit_label = 2
+GROUP BY p.event_name, p.Driver, p.driver_stint_id, p.LapNumber, p.lap_time_delta_s, p.p50, p.pred_label, p.sc_or_vsc_flag""")
+frag("cf_contrib", ["cf_hist", "cf_rows"], """
+SELECT c.*,
+  CASE WHEN c.sc_call = 1 THEN 0.0
+       WHEN c.q_lap IS NOT NULL THEN
+         CASE WHEN c.q_lap < c.LapNumber AND greatest(c.d - coalesce(q.p50, q.lap_time_delta_s), 0.0) >= 0.0
+              THEN greatest(c.d - coalesce(q.p50, q.lap_time_delta_s), 0.0) / 22.0 ELSE 0.0 END
+       WHEN c.pr = 0 AND c.sc = 0 THEN -greatest(c.d - coalesce(c.p50_here, c.d), 0.0) / 22.0
+       ELSE 0.0 END AS contribution
+FROM cf_hist c LEFT JOIN cf_rows q ON q.driver_stint_id = c.driver_stint_id AND q.LapNumber = c.q_lap""")
+frag("cf_race", ["cf_contrib", "test_pred"], """
+SELECT u.event_name AS race_id, least(greatest(coalesce(s.total, 0.0), -5.0), 5.0) AS delta_pos, u.is_wet,
+       u.event_name IN ('Monaco', 'Singapore') AS is_street
+FROM (SELECT event_name, bool_or(coalesce(Compound IN ('INTERMEDIATE', 'WET'), false)) AS is_wet
+      FROM test_pred GROUP BY event_name) u
+LEFT JOIN (SELECT event_name, sum(contribution) AS total FROM cf_contrib GROUP BY event_name) s
+  ON s.event_name = u.event_name""")
+frag("cf_driver", ["cf_contrib", "test_pred"], """
+SELECT u.event_name || '_' || u.Driver AS driver_id, u.event_name AS race_id, u.Driver AS driver,
+       coalesce(u.team, 'unknown') AS team,
+       least(greatest(coalesce(s.total, 0.0), -5.0), 5.0) AS delta_pos, u.is_wet,
+       u.event_name IN ('Monaco', 'Singapore') AS is_street
+FROM (SELECT event_name, Driver, bool_or(coalesce(Compound IN ('INTERMEDIATE', 'WET'), false)) AS is_wet,
+             arg_min(Team, LapNumber) FILTER (WHERE Team IS NOT NULL) AS team
+      FROM test_pred GROUP BY event_name, Driver) u
+LEFT JOIN (SELECT event_name, Driver, sum(contribution) AS total FROM cf_contrib GROUP BY event_name, Driver) s
+  ON s.event_name = u.event_name AND s.Driver = u.Driver""")
+frag("cf_team", ["cf_driver"], """
+SELECT race_id || '_' || team AS team_id, race_id, team, sum(delta_pos) AS delta_pos,
+       arg_min(is_wet, driver) AS is_wet, arg_min(is_street, driver) AS is_street
+FROM cf_driver GROUP BY race_id, team""")
+
+
+def entity_summary_sql(src: str, entity: str, street_name: str | None = None) -> str:
+    street = street_name or f"street_{entity}_mean"
+    return f"""
+SELECT round(coalesce(avg(delta_pos), 0.0), 6) AS mean_delta_pos,
+       round(coalesce(stddev_pop(delta_pos), 0.0), 6) AS std_delta_pos,
+       round(coalesce(median(delta_pos), 0.0), 6) AS median_delta_pos,
+       CAST(count(*) FILTER (WHERE delta_pos > 0.1) AS BIGINT) AS {entity}s_positive,
+       CAST(count(*) FILTER (WHERE delta_pos < -0.1) AS BIGINT) AS {entity}s_negative,
+       CAST(count(*) FILTER (WHERE abs(delta_pos) < 0.1) AS BIGINT) AS {entity}s_neutral,
+       round(coalesce(avg(delta_pos) FILTER (WHERE is_wet = false), 0.0), 6) AS dry_{entity}_mean,
+       round(coalesce(avg(delta_pos) FILTER (WHERE is_street = true), 0.0), 6) AS {street},
+       round(coalesce(avg(delta_pos) FILTER (WHERE is_wet = true), 0.0), 6) AS wet_{entity}_mean
+FROM {src}"""
