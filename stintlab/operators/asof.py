@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import sized_broadcast
+
 
 def asof_nearest(left: DataFrame, right: DataFrame, by: list, on: str, value_cols: list,
-                 bucket_width: float = 60.0) -> DataFrame:
+                 bucket_width: float = 60.0, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Left join ``right[value_cols]`` of the row nearest in ``on`` within ``by`` groups.
 
     Left rows with a NULL ``on`` (or a group without right rows) get NULLs.
@@ -39,7 +41,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list, on: str, value_col
         .filter(F.col("_b0") <= F.col("_b1")) \
         .withColumn("_bucket", F.explode(F.sequence(F.col("_b0"), F.col("_b1")))) \
         .drop("_tmin", "_tmax", "_b0", "_b1")
-    r = buckets.alias("_r")
+    # The bucketed right side is small next to the left side (readings, not laps); it is
+    # broadcast only after a row-count check, otherwise both sides shuffle on the keys.
+    r = sized_broadcast(buckets, broadcast_rows).alias("_r")
     lft = left.withColumn("_bucket", F.floor(F.col(on).cast("double") / b)).alias("_l")
     x2 = F.col(f"_l.{on}").cast("double") * 2.0
     cond = [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in by]

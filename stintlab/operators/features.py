@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
-from ..sources.laps import SESSION_KEYS, STINT_KEYS
+from ..session import sized_broadcast
+from ..sources.laps import SESSION_KEYS, STINT_KEYS, STINT_SHUFFLE_KEYS
+from .ranking import attach_scalars
 
 LAP_KEYS = SESSION_KEYS + ["LapNumber"]
 
@@ -28,6 +30,14 @@ def stint_window(df: DataFrame | None = None, ordered: bool = True):
     return w.orderBy("LapNumber") if ordered else w
 
 
+def to_driver_partitioning(df: DataFrame) -> DataFrame:
+    """Hash-partition on (season, event_name, Driver): satisfies every stint and
+    driver window (their keys are supersets), so one exchange serves them all."""
+    if all(c in df.columns for c in STINT_SHUFFLE_KEYS):
+        return df.repartition(*STINT_SHUFFLE_KEYS)
+    return df.repartition("driver_stint_id") if "driver_stint_id" in df.columns else df
+
+
 def _session_keys(df: DataFrame) -> list:
     return [k for k in SESSION_KEYS if k in df.columns]
 
@@ -137,6 +147,8 @@ def add_lap_level_features(df: DataFrame, cfg: C.Config, gap: bool = True, under
     out = df
     if undercut and "PitInTime" in df.columns:
         out = out.withColumn("_recent_pit", _recent_pit_flag(out, cfg.undercut_threat_laps))
+    # One exchange for every (session, lap) window below.
+    out = out.repartition(*lap_keys)
     out = out.withColumn("_gap", gap_to_leader(out))
     if gap:
         pos = F.col("Position").cast("string").try_cast("double") if "Position" in out.columns else F.lit(None)
@@ -172,6 +184,7 @@ def add_lap_level_features(df: DataFrame, cfg: C.Config, gap: bool = True, under
 def add_gap_trend(df: DataFrame) -> DataFrame:
     """WN08: gap_ahead_s minus its value 3 stint rows earlier; NULL -> 0."""
     w = stint_window(df)
+    df = to_driver_partitioning(df)
     return df.withColumn("gap_ahead_trend",
                          F.coalesce(F.col("gap_ahead_s") - F.lag("gap_ahead_s", 3).over(w), F.lit(0.0)))
 
@@ -187,7 +200,16 @@ def add_undercut_threat(df: DataFrame, cfg: C.Config) -> DataFrame:
     return add_lap_level_features(df, cfg, gap=False, undercut=True, evolution=False)
 
 
-def add_track_evolution(df: DataFrame, cfg: C.Config) -> DataFrame:
+def lap3_medians(laps: DataFrame, cfg: C.Config) -> DataFrame:
+    """Per session: median of LapTime_s + lap * effect over lap-3 rows (one row/session).
+    Computed from the raw lap columns so it never re-runs the feature windows."""
+    skeys = _session_keys(laps)
+    lt = F.col("LapTime_s") if "LapTime_s" in laps.columns else S.to_seconds_col(laps, "LapTime")
+    corrected = lt + F.col("LapNumber") * F.lit(cfg.track_evolution_fuel_effect)
+    return laps.filter(F.col("LapNumber") == 3).groupBy(*skeys).agg(F.percentile(corrected, 0.5).alias("_lap3_median"))
+
+
+def add_track_evolution(df: DataFrame, cfg: C.Config, source: DataFrame | None = None) -> DataFrame:
     """WN09: lap-3 median (per session) minus the per-lap median of fuel-added time.
 
     Needs ``_lap_median`` from ``add_lap_level_features`` (added here if absent). The
@@ -195,29 +217,29 @@ def add_track_evolution(df: DataFrame, cfg: C.Config) -> DataFrame:
     """
     out = df if "_lap_median" in df.columns else add_lap_level_features(df, cfg, gap=False, undercut=False)
     skeys = _session_keys(out)
-    corrected = F.col("LapTime_s") + F.col("LapNumber") * F.lit(cfg.track_evolution_fuel_effect)
-    lap3 = (out.filter(F.col("LapNumber") == 3).groupBy(*skeys)
-            .agg(F.percentile(corrected, 0.5).alias("_lap3_median")))
-    out = out.join(lap3, on=skeys, how="left") if skeys else out.crossJoin(lap3)
+    lap3 = lap3_medians(source if source is not None else out, cfg)
+    out = out.join(sized_broadcast(lap3, cfg.broadcast_row_limit), on=skeys, how="left") if skeys \
+        else attach_scalars(out, lap3)
     return out.withColumn("track_evolution_delta", F.col("_lap3_median") - F.col("_lap_median")) \
         .drop("_lap3_median", "_lap_median")
 
 
 # --------------------------------------------------------------------------- WN10, AG29
 
-def add_lap_norm(df: DataFrame, fitted_max_laps: float | None = None, within: list | None = None) -> DataFrame:
+def add_lap_norm(df: DataFrame, fitted_max_laps: float | None = None, within: list | None = None,
+                 source: DataFrame | None = None) -> DataFrame:
     """WN10 + AG29: lap / session length; session length / max session length of the
     frame (or of a fitted maximum). ``within`` names frame-defining columns (e.g. a
     split tag) so several frames can be normalised in one pass. Session lengths are one
     row per (season, event); the max is a window over that small table, never over laps."""
     within = list(within or [])
     keys = within + ["season", "event_name"]
-    totals = df.groupBy(*keys).agg(F.max("LapNumber").alias("_total_laps"))
+    totals = (source if source is not None else df).groupBy(*keys).agg(F.max("LapNumber").alias("_total_laps"))
     if fitted_max_laps is None:
         totals = totals.withColumn("_max_total", F.max("_total_laps").over(Window.partitionBy(*within)))
     else:
         totals = totals.withColumn("_max_total", F.lit(float(fitted_max_laps)))
-    out = df.join(totals, on=keys, how="left")
+    out = df.join(sized_broadcast(totals, C.Config().broadcast_row_limit), on=keys, how="left")
     return out.withColumns({
         "lap_norm": F.col("LapNumber") / F.col("_total_laps"),
         "lap_count_norm": F.col("_total_laps") / F.col("_max_total"),

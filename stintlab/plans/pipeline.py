@@ -34,18 +34,17 @@ def base_features(df: DataFrame, cfg: C.Config, lap_norm: bool = True) -> DataFr
     Exchange plan: stint windows (one hash partitioning on season, event, Driver) ->
     (session, lap) windows (one exchange) -> stint window for the gap trend.
     """
-    out = FE.add_stint_id(df)
+    raw = df if "LapTime_s" in df.columns else df.withColumn("LapTime_s", S.to_seconds_col(df, "LapTime"))
+    out = FE.to_driver_partitioning(FE.add_stint_id(raw))
     out = FE.add_fuel_load(out, cfg)
-    if "LapTime_s" not in out.columns:
-        out = out.withColumn("LapTime_s", S.to_seconds_col(out, "LapTime"))
     out = FE.add_lap_time_delta(out, cfg)
     out = FE.add_degradation_derivatives(out)
     out = FE.add_tire_age_features(out)
     out = FE.add_sc_flags(out, cfg)
     out = FE.add_lap_level_features(out, cfg, gap=True, undercut=True, evolution=True)
     out = FE.add_gap_trend(out)
-    out = FE.add_track_evolution(out, cfg)
-    return FE.add_lap_norm(out) if lap_norm else out
+    out = FE.add_track_evolution(out, cfg, source=raw)
+    return FE.add_lap_norm(out, source=raw) if lap_norm else out
 
 
 def run_full_feature_pipeline(df: DataFrame, cfg: C.Config, state: FeatureState | None = None,
@@ -64,7 +63,8 @@ def run_full_feature_pipeline(df: DataFrame, cfg: C.Config, state: FeatureState
 def prepare_splits(laps: DataFrame, cfg: C.Config):
     """CP2: features per split, with encoders/SC probabilities fitted on train only."""
     feats = base_features(laps, cfg, lap_norm=False)
-    train, val, test = (FE.add_lap_norm(f) for f in split_frames(feats, cfg))
+    raws = split_frames(laps, cfg)
+    train, val, test = (FE.add_lap_norm(f, source=r) for f, r in zip(split_frames(feats, cfg), raws))
     state = FeatureState.fit(train, cfg)
 
     def finish(frame: DataFrame) -> DataFrame:
@@ -81,7 +81,8 @@ def features_with_state(laps: DataFrame, cfg: C.Config, materialize: bool = True
     so fitting and every later action read the stage instead of recomputing it.
     """
     # lap_count_norm is normalised within each split frame, as when splits are run apart.
-    feats = FE.add_lap_norm(season_split(base_features(laps, cfg, lap_norm=False), cfg), within=["split"])
+    feats = FE.add_lap_norm(season_split(base_features(laps, cfg, lap_norm=False), cfg), within=["split"],
+                            source=season_split(laps, cfg))
     if materialize:
         feats = cut_lineage(feats)
     state = FeatureState.fit(feats.filter(F.col("split") == "train"), cfg)

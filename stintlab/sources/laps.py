@@ -100,11 +100,14 @@ def laps_from_events(events: DataFrame) -> DataFrame:
     w_lap = Window.partitionBy("season", "event_name", "session_type", "LapNumber").orderBy("Time", "Driver")
     status = (F.when(F.col("k") < 3, "4").when(F.col("k") == 3, "14").when(F.col("k") == 4, "16")
               .when(F.col("k") <= 7, "2").when(F.col("k") == 8, "6").otherwise("1"))
+    # stint window first: it reuses the driver partitioning; the lap window then
+    # needs the one (session, lap) exchange.
+    drv = drv.withColumn("TyreLife", F.row_number().over(w_stint).cast("double"))
     out = drv.select(
         "season", "event_name", "session_type", "Driver", "Team", "LapNumber", "Stint",
         "PitInTime", "PitOutTime", "LapTime", "Time",
         F.row_number().over(w_lap).cast("double").alias("Position"),
-        F.row_number().over(w_stint).cast("double").alias("TyreLife"),
+        "TyreLife",
         literal_map({i: c for i, c in enumerate(COMPOUND_CYCLE) if c is not None})[
             ((F.col("user_id") + F.col("Stint").cast("long")) % len(COMPOUND_CYCLE)).cast("int")].alias("Compound"),
         status.alias("TrackStatus"),
