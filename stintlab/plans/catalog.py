@@ -466,3 +466,237 @@ def q_pr14(spark, sf):
     teams = CF.focus_team_filter(CF.per_team_deltas(CF.per_driver_deltas(_cf_laps(spark, sf), CFG)), CFG.focus_team)
     s = CF.aggregate_by_entity(teams, "team")
     return s.select(*[r6(c) if t == "double" else c for c, t in s.dtypes])
+
+
+# ------------------------------------------------------------------ exploratory analysis (CP8) and plot tables (CP7)
+
+from ..operators import explore as X  # noqa: E402
+
+
+def _eda(spark, sf):
+    """The exploratory frame: cleaned, labelled laps of all seasons."""
+    return _labeled(spark, sf)
+
+
+@register("ag22_stints_by_dimension", O.with_fragments(["ev_lab"], """
+SELECT 'compound' AS dimension, c.value, CAST(coalesce(n, 0) AS BIGINT) AS n_stints
+FROM (SELECT unnest(['SOFT', 'MEDIUM', 'HARD']) AS value) c
+LEFT JOIN (SELECT Compound AS value, count(DISTINCT driver_stint_id) AS n FROM ev_lab WHERE Compound IS NOT NULL
+           GROUP BY 1) x ON x.value = c.value
+UNION ALL SELECT 'circuit', event_name, count(DISTINCT driver_stint_id) FROM ev_lab WHERE event_name IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'constructor', Team, count(DISTINCT driver_stint_id) FROM ev_lab WHERE Team IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'season', CAST(season AS VARCHAR), count(DISTINCT driver_stint_id) FROM ev_lab GROUP BY 2"""))
+def q_ag22(spark, sf):
+    return X.stints_by_dimension(_eda(spark, sf))
+
+
+@register("ag24_stint_length_histogram", O.with_fragments(["ev_lab"], """
+WITH l AS (SELECT Compound, driver_stint_id, max(tire_age_laps) AS length FROM ev_lab
+           WHERE Compound IN ('SOFT', 'MEDIUM', 'HARD') GROUP BY ALL HAVING max(tire_age_laps) IS NOT NULL),
+     r AS (SELECT Compound, CASE WHEN max(length) > min(length) THEN min(length) ELSE min(length) - 0.5 END AS a,
+                  CASE WHEN max(length) > min(length) THEN max(length) ELSE max(length) + 0.5 END AS b
+           FROM l GROUP BY Compound)
+SELECT l.Compound, CAST(least(floor((l.length - r.a) * (20.0 / (r.b - r.a))), 19) AS INTEGER) AS bin, count(*) AS n
+FROM l JOIN r ON r.Compound = l.Compound GROUP BY ALL"""))
+def q_ag24(spark, sf):
+    return X.stint_length_histogram(_eda(spark, sf))
+
+
+def _box_sql(f):
+    return f"""
+SELECT Compound, '{f}' AS feature, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
+       round((SELECT min({f}) FROM ev_lab e WHERE e.Compound = q.Compound AND e.{f} >= q.q1 - 1.5 * (q.q3 - q.q1)), 6) AS whislo,
+       round((SELECT max({f}) FROM ev_lab e WHERE e.Compound = q.Compound AND e.{f} <= q.q3 + 1.5 * (q.q3 - q.q1)), 6) AS whishi
+FROM (SELECT Compound, quantile_cont({f}, 0.25) AS q1, quantile_cont({f}, 0.5) AS med, quantile_cont({f}, 0.75) AS q3
+      FROM ev_lab WHERE {f} IS NOT NULL AND Compound IS NOT NULL GROUP BY Compound) q"""
+
+
+@register("ag25_box_stats", O.with_fragments(["ev_lab"], _box_sql("deg_velocity") + "\nUNION ALL" +
+                                             _box_sql("deg_acceleration")))
+def q_ag25(spark, sf):
+    b = X.box_stats(_eda(spark, sf))
+    return b.select("Compound", "feature", *[r6(c) for c in ["q1", "median", "q3", "whislo", "whishi"]])
+
+
+@register("ag26_pit_now_rate_by_threat", O.with_fragments(["ev_lab"], """
+SELECT undercut_threat, round(avg(CAST(pit_label = 2 AS DOUBLE)), 6) AS pit_now_rate FROM ev_lab GROUP BY 1"""))
+def q_ag26(spark, sf):
+    return X.pit_now_rate_by(_eda(spark, sf)).select("undercut_threat", r6("pit_now_rate"))
+
+
+@register("ag27_dataset_summary", O.with_fragments(["ev_lab"], """
+SELECT count(*) AS lap_rows, count(DISTINCT driver_stint_id) AS stints,
+       array_to_string(list_sort(list_distinct(list(event_name))), ', ') AS circuits,
+       array_to_string(list_sort(list_distinct(list(Team))), ', ') AS constructors,
+       round(avg(CAST(pit_label = 2 AS DOUBLE)), 6) AS pit_now_prevalence,
+       round(avg(CAST(pit_label = 1 AS DOUBLE)), 6) AS pit_soon_prevalence,
+       round(avg(CAST(pit_label = 0 AS DOUBLE)), 6) AS stay_out_prevalence FROM ev_lab"""))
+def q_ag27(spark, sf):
+    s = X.dataset_summary(_eda(spark, sf))
+    return s.select("lap_rows", "stints", "circuits", "constructors",
+                    *[r6(c) for c in ["pit_now_prevalence", "pit_soon_prevalence", "stay_out_prevalence"]])
+
+
+@register("ag28_delta_distribution", O.with_fragments(["cf_race"], """
+SELECT s.subset, CAST(coalesce(n, 0) AS BIGINT) AS n, round(coalesce(mean, 0.0), 6) AS mean,
+       round(coalesce(std, 0.0), 6) AS std, round(coalesce(q1, 0.0), 6) AS q1, round(coalesce(med, 0.0), 6) AS median,
+       round(coalesce(q3, 0.0), 6) AS q3
+FROM (SELECT unnest(['all', 'dry', 'street']) AS subset) s LEFT JOIN (
+  SELECT subset, count(*) AS n, avg(delta_pos) AS mean, stddev_pop(delta_pos) AS std,
+         quantile_cont(delta_pos, 0.25) AS q1, quantile_cont(delta_pos, 0.5) AS med, quantile_cont(delta_pos, 0.75) AS q3
+  FROM (SELECT 'all' AS subset, delta_pos FROM cf_race
+        UNION ALL SELECT 'dry', delta_pos FROM cf_race WHERE is_wet = false
+        UNION ALL SELECT 'street', delta_pos FROM cf_race WHERE is_street = true) u GROUP BY subset) d
+  ON d.subset = s.subset"""))
+def q_ag28(spark, sf):
+    d = X.delta_distribution(CF.per_race_deltas(_cf_laps(spark, sf), CFG))
+    return d.select("subset", "n", *[r6(c) for c in ["mean", "std", "q1", "median", "q3"]])
+
+
+@register("so3_longest_stints", O.with_fragments(["ev_lab"], """
+SELECT event_name, Compound, driver_stint_id, max_age FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_name, Compound ORDER BY max_age DESC, driver_stint_id) AS rn
+  FROM (SELECT event_name, Compound, driver_stint_id, max(tire_age_laps) AS max_age FROM ev_lab
+        WHERE Compound IN ('SOFT', 'MEDIUM', 'HARD') GROUP BY ALL HAVING max(tire_age_laps) IS NOT NULL) a) b
+WHERE rn = 1"""))
+def q_so3(spark, sf):
+    return X.longest_stints(_eda(spark, sf)).select("event_name", "Compound", "driver_stint_id", "max_age")
+
+
+@register("wn21_stint_spans", O.with_fragments(["ev_lab"], """
+SELECT season, event_name, Driver, Stint, min(LapNumber) AS start_lap, max(LapNumber) - min(LapNumber) + 1 AS length,
+       arg_min(Compound, LapNumber) AS compound FROM ev_lab WHERE split = 'test' GROUP BY ALL"""))
+def q_wn21(spark, sf):
+    return X.stint_spans(_eda(spark, sf).filter(F.col("split") == "test"))
+
+
+@register("wn20_fixed_reference_baseline", O.with_fragments(["ev_lab"], """
+SELECT driver_stint_id, LapNumber, round(_c - quantile_cont(CASE WHEN _len < 4 OR _n BETWEEN 2 AND 5 THEN _c END, 0.5)
+                                         OVER (PARTITION BY driver_stint_id), 6) AS eda_lap_time_delta_s
+FROM (SELECT *, LapTime_s - _n * 0.1495::DOUBLE AS _c FROM (
+        SELECT *, row_number() OVER (PARTITION BY driver_stint_id ORDER BY LapNumber) AS _n,
+               count(*) OVER (PARTITION BY driver_stint_id) AS _len FROM ev_lab) a) b"""))
+def q_wn20(spark, sf):
+    return X.fixed_reference_baseline(_eda(spark, sf), CFG).select("driver_stint_id", "LapNumber",
+                                                                     r6("eda_lap_time_delta_s"))
+
+
+@register("wn19_autocorrelation", O.with_fragments(["ev_lab"], """
+WITH s AS (SELECT driver_stint_id, lap_time_delta_s AS x,
+                  row_number() OVER (PARTITION BY driver_stint_id ORDER BY LapNumber) AS i,
+                  count(*) OVER (PARTITION BY driver_stint_id) AS len
+           FROM ev_lab WHERE lap_time_delta_s IS NOT NULL),
+     lags AS (SELECT CAST(unnest(range(1, 16)) AS INTEGER) AS lag),
+     pr AS (SELECT a.driver_stint_id, l.lag, a.x, b.x AS y FROM s a JOIN lags l ON a.len > l.lag + 2
+            JOIN s b ON b.driver_stint_id = a.driver_stint_id AND b.i = a.i + l.lag),
+     per AS (SELECT driver_stint_id, lag, covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0) AS r
+             FROM pr GROUP BY ALL)
+SELECT l.lag, round(avg(per.r), 6) AS mean_autocorr FROM lags l LEFT JOIN per ON per.lag = l.lag GROUP BY l.lag"""))
+def q_wn19(spark, sf):
+    return X.autocorrelation(_eda(spark, sf)).select("lag", r6("mean_autocorr"))
+
+
+@register("ag30_eda_fingerprints", O.with_fragments(["ev_lab"], """
+SELECT b.event_name, round(coalesce(s.avg_deg_rate, 0.0), 6) AS avg_deg_rate, round(m.cv, 6) AS compound_variance,
+       round(b.track_temp_mean, 6) AS track_temp_mean, round(b.gap_mean, 6) AS gap_mean,
+       round(so.soft, 6) AS hist_soft_stint_len, round(sc.f, 6) AS sc_vsc_frequency
+FROM (SELECT event_name, avg(AirTemp) AS track_temp_mean, avg(gap_ahead_s) AS gap_mean FROM ev_lab GROUP BY 1) b
+LEFT JOIN (SELECT event_name, avg(CASE WHEN n > 5 THEN sl END) AS avg_deg_rate FROM (
+             SELECT event_name, Compound, count(*) AS n, regr_slope(lap_time_delta_s, tire_age_laps) AS sl FROM ev_lab
+             WHERE Compound IN ('SOFT', 'MEDIUM', 'HARD') AND tire_age_laps IS NOT NULL AND lap_time_delta_s IS NOT NULL
+             GROUP BY ALL) x GROUP BY 1) s ON s.event_name = b.event_name
+LEFT JOIN (SELECT event_name, stddev_samp(mm) AS cv FROM (SELECT event_name, Compound, avg(lap_time_delta_s) AS mm
+           FROM ev_lab WHERE Compound IS NOT NULL GROUP BY ALL) y GROUP BY 1) m ON m.event_name = b.event_name
+LEFT JOIN (SELECT event_name, quantile_cont(a, 0.5) AS soft FROM (SELECT event_name, driver_stint_id,
+           max(tire_age_laps) AS a FROM ev_lab WHERE Compound = 'SOFT' GROUP BY ALL) z GROUP BY 1) so
+  ON so.event_name = b.event_name
+LEFT JOIN (SELECT event_name, avg(h) AS f FROM (SELECT season, event_name, max(sc_or_vsc_flag) AS h FROM ev_lab
+           GROUP BY ALL) w GROUP BY 1) sc ON sc.event_name = b.event_name"""))
+def q_ag30(spark, sf):
+    return X.eda_fingerprints(_eda(spark, sf)).select("event_name", *[r6(c) for c in X.EDA_FP_COLS])
+
+
+@register("ml15_fingerprint_pca")
+def q_ml15(spark, sf):
+    return X.fingerprint_pca(X.eda_fingerprints(_eda(spark, sf))).select("event_name", r6("pc1"), r6("pc2"))
+
+
+def _rank_expr(c: str) -> str:
+    return f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) AS r_{c}"
+
+
+def _spearman_sql() -> str:
+    cols = X.CORR_COLS
+    cc = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    ranks = ", ".join(_rank_expr(c) for c in cols)
+    pairs = "\nUNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN '{a}' = '{b}' THEN 1.0 ELSE corr(r_{a}, r_{b}) END, 6) AS rho"
+        f" FROM rk" for a in cols for b in cols)
+    return f"WITH rk AS (SELECT {ranks} FROM (SELECT * FROM ev_lab WHERE {cc}) cc)\n{pairs}"
+
+
+@register("ms09_spearman_matrix", O.with_fragments(["ev_lab"], _spearman_sql()))
+def q_ms09(spark, sf):
+    return X.spearman_matrix(_eda(spark, sf)).select("a", "b", r6("rho"))
+
+
+def _anova_sql() -> str:
+    parts = []
+    for f in X.TEST_FEATURES:
+        parts.append(f"""
+SELECT '{f}' AS feature, CAST(k AS INTEGER) AS groups, round(fs, 6) AS anova_f,
+       round(CASE WHEN k = 3 THEN pow(1.0 + 2.0 * fs / (n - k), -(n - k) / 2.0) END, 6) AS anova_p,
+       round(h, 6) AS kruskal_h, round(CASE WHEN k = 3 THEN exp(-h / 2.0) END, 6) AS kruskal_p
+FROM (SELECT k, n, (ssb / (k - 1)) / nullif(ssw / (n - k), 0.0) AS fs,
+             (12.0 / (n * (n + 1.0)) * sr - 3 * (n + 1.0)) / nullif(1.0 - tt / (n * n * n - n), 0.0) AS h
+      FROM (SELECT count(DISTINCT g) AS k, count(*)::DOUBLE AS n,
+                   (SELECT sum(ng * pow(mg - mall, 2)) FROM (SELECT g, count(*) AS ng, avg(v) AS mg FROM s_{f} GROUP BY g) a,
+                           (SELECT avg(v) AS mall FROM s_{f}) b) AS ssb,
+                   (SELECT sum(pow(v - mg, 2)) FROM s_{f} JOIN (SELECT g AS gg, avg(v) AS mg FROM s_{f} GROUP BY g) c
+                      ON c.gg = s_{f}.g) AS ssw,
+                   (SELECT sum(pow(rs, 2) / ng) FROM (SELECT g, sum(r) AS rs, count(*) AS ng FROM
+                      (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM s_{f}) q
+                      GROUP BY g) t) AS sr,
+                   (SELECT sum(pow(t, 3) - t) FROM (SELECT count(*)::DOUBLE AS t FROM s_{f} GROUP BY v) u) AS tt
+            FROM s_{f}) m) z WHERE k >= 2""")
+    srcs = ",\n".join(
+        f"s_{f} AS (SELECT pit_label AS g, {f} AS v FROM ev_lab WHERE {f} IS NOT NULL AND pit_label IS NOT NULL "
+        f"AND pit_label IN (SELECT pit_label FROM ev_lab WHERE {f} IS NOT NULL GROUP BY pit_label HAVING count(*) > 3))"
+        for f in X.TEST_FEATURES)
+    return f"WITH {srcs}\n" + "\nUNION ALL".join(parts)
+
+
+@register("ms10_anova_kruskal", O.with_fragments(["ev_lab"], _anova_sql()))
+def q_ms10(spark, sf):
+    t = X.anova_kruskal(_eda(spark, sf))
+    return t.select("feature", "groups", *[r6(c) for c in ["anova_f", "anova_p", "kruskal_h", "kruskal_p"]])
+
+
+@register("ag14_mean_quantile_curve", O.with_fragments(["fc"], """
+SELECT event_name, LapNumber, round(avg(p10), 6) AS p10, round(avg(p50), 6) AS p50, round(avg(p90), 6) AS p90
+FROM fc GROUP BY event_name, LapNumber"""))
+def q_ag14(spark, sf):
+    return FC.mean_curve(_forecast(spark, sf)).select("event_name", "LapNumber", r6("p10"), r6("p50"), r6("p90"))
+
+
+@register("wn18_first_cliff_lap", O.with_fragments(["fc"], """
+SELECT event_name, min(CASE WHEN p90 > 1.0 THEN LapNumber END) AS cliff_lap
+FROM (SELECT event_name, LapNumber, avg(p90) AS p90 FROM fc GROUP BY ALL) c GROUP BY event_name"""))
+def q_wn18(spark, sf):
+    return FC.first_cliff_lap(FC.mean_curve(_forecast(spark, sf)), CFG)
+
+
+@register("ml14_cubic_trend")
+def q_ml14(spark, sf):
+    t = FC.cubic_trend(FC.mean_curve(_forecast(spark, sf)))
+    return t.select("event_name", *[r6(c) for c in ["c3", "c2", "c1", "c0"]])
+
+
+@register("st2_pit_annotations", O.with_fragments(["test_pred"], """
+SELECT DISTINCT event_name, Driver, LapNumber, 'Actual pit' AS annotation_text FROM test_pred WHERE pit_label = 2
+UNION SELECT DISTINCT event_name, Driver, LapNumber, 'Model pit' FROM test_pred WHERE pred_label = 2"""))
+def q_st2(spark, sf):
+    labeled, _, thresholds, global_thr = _scored_splits(spark, sf)
+    test = CL.predict_labels(labeled.filter(F.col("split") == "test"), thresholds, global_thr)
+    from ..plans import report as R
+    return R.pit_annotations(test)
