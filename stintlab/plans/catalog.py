@@ -700,3 +700,106 @@ def q_st2(spark, sf):
     test = CL.predict_labels(labeled.filter(F.col("split") == "test"), thresholds, global_thr)
     from ..plans import report as R
     return R.pit_annotations(test)
+
+
+# ------------------------------------------------------------------ model panels
+
+from ..operators import panels as PN  # noqa: E402
+
+
+@register("wn14_global_lap_index", O.with_fragments(["ev_lab"], """
+SELECT l.driver_stint_id, l.LapNumber, CAST(l.LapNumber + 1000 * s.o AS BIGINT) AS lap_number_global
+FROM ev_lab l JOIN (SELECT season, event_name, session_type,
+                           dense_rank() OVER (ORDER BY season, event_name, session_type) - 1 AS o
+                    FROM (SELECT DISTINCT season, event_name, session_type FROM ev_lab) d) s
+  ON s.season = l.season AND s.event_name = l.event_name AND s.session_type = l.session_type"""))
+def q_wn14(spark, sf):
+    return PN.add_global_lap_index(_labeled(spark, sf), CFG).select("driver_stint_id", "LapNumber",
+                                                                    "lap_number_global")
+
+
+def _windows(spark, sf):
+    return PN.build_lstm_windows(_labeled(spark, sf), CFG)
+
+
+@register("wn15_lstm_windows", O.with_fragments(["lstm_win"], """
+SELECT driver_stint_id, LapNumber, y, w, CAST(n_steps AS INTEGER) AS n_steps, round(seq_sum, 6) AS seq_sum,
+       round(static_sum, 6) AS static_sum FROM lstm_win"""))
+def q_wn15(spark, sf):
+    w = _windows(spark, sf)
+    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
+    return w.select("driver_stint_id", "LapNumber", "y", "w", F.size("seq").alias("n_steps"),
+                    r6(total(F.flatten("seq")), "seq_sum"), r6(total(F.col("static")), "static_sum"))
+
+
+def _scaler_sql() -> str:
+    seq = "\nUNION ALL ".join(
+        f"SELECT 'seq' AS part, {i} AS idx, round(avg(r.{c}), 6) AS mean, "
+        f"round(coalesce(nullif(stddev_pop(r.{c}), 0.0), 1.0), 6) AS scale FROM steps r"
+        for i, c in enumerate(O.LSTM_SEQ))
+    st = "\nUNION ALL ".join(
+        f"SELECT 'static' AS part, {i} AS idx, round(avg(a.{c}), 6) AS mean, "
+        f"round(coalesce(nullif(stddev_pop(a.{c}), 0.0), 1.0), 6) AS scale FROM anchors a"
+        for i, c in enumerate(O.LSTM_STATIC))
+    return f"""WITH anchors AS (SELECT i.* FROM imp i JOIN lstm_win w ON w.driver_stint_id = i.driver_stint_id
+                          AND w.LapNumber = i.LapNumber WHERE w.split = 'train'),
+     steps AS (SELECT i.* FROM (SELECT *, row_number() OVER (PARTITION BY driver_stint_id ORDER BY LapNumber) AS rn
+                                FROM imp) i
+               JOIN (SELECT * FROM lstm_win WHERE split = 'train') w ON w.driver_stint_id = i.driver_stint_id
+                AND i.rn BETWEEN w.rn - 10 AND w.rn - 1)
+{seq}
+UNION ALL {st}"""
+
+
+@register("ml11_window_scaler", O.with_fragments(["lstm_win", "imp"], _scaler_sql()))
+def q_ml11(spark, sf):
+    labeled = _labeled(spark, sf)
+    train = PN.build_lstm_windows(labeled.filter(F.col("split") == "train"), CFG)
+    return PN.fit_window_scaler(train).select("part", "idx", r6("mean"), r6("scale"))
+
+
+PANEL_CFG = CFG.replace(encoder_length=5, prediction_length=2, min_encoder_length=5, min_prediction_length=2)
+
+
+@register("wn16_panel_windows")
+def q_wn16(spark, sf):
+    labeled = _labeled(spark, sf)
+    cats = PN.panel_categories(labeled.filter(F.col("split") == "train"), PANEL_CFG)
+    p = PN.build_panel(labeled, PANEL_CFG, cats)
+    return p.select("driver_stint_id", "time_idx", F.size("encoder_target").alias("enc_len"),
+                    F.size("decoder_target").alias("dec_len"), r6("target_center"), r6("target_scale"),
+                    "circuit_id_code", "compound_type_code", "team_id_code")
+
+
+def _panel_sql() -> str:
+    cats = [("circuit_id", "event_name"), ("compound_type", "Compound"), ("team_id", "Team")]
+    codes = ",\n".join(
+        f"c_{t} AS (SELECT label, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS code FROM "
+        f"(SELECT DISTINCT coalesce({s}, 'unknown') AS label FROM ev_lab WHERE split = 'train') d)" for t, s in cats)
+    joins = "\n".join(f"LEFT JOIN c_{t} ON c_{t}.label = f.{t}" for t, _ in cats)
+    code_cols = ", ".join(f"coalesce(c_{t}.code, 0) AS {t}_code" for t, _ in cats)
+    return f"""WITH {codes},
+sess AS (SELECT season, event_name, session_type, dense_rank() OVER (ORDER BY season, event_name, session_type) - 1 AS o
+         FROM (SELECT DISTINCT season, event_name, session_type FROM ev_lab) d),
+pf AS (SELECT l.driver_stint_id, CAST(l.LapNumber + 1000 * s.o AS BIGINT) AS t, coalesce(l.lap_time_delta_s, 0.0) AS y,
+              coalesce(l.event_name, 'unknown') AS circuit_id, coalesce(l.Compound, 'unknown') AS compound_type,
+              coalesce(l.Team, 'unknown') AS team_id
+       FROM ev_lab l JOIN sess s ON s.season = l.season AND s.event_name = l.event_name AND s.session_type = l.session_type),
+grid AS (SELECT driver_stint_id, unnest(generate_series(min(t), max(t))) AS t FROM pf GROUP BY driver_stint_id),
+ff AS (SELECT g.driver_stint_id, g.t,
+              last_value(p.y IGNORE NULLS) OVER wf AS y, last_value(p.circuit_id IGNORE NULLS) OVER wf AS circuit_id,
+              last_value(p.compound_type IGNORE NULLS) OVER wf AS compound_type,
+              last_value(p.team_id IGNORE NULLS) OVER wf AS team_id
+       FROM grid g LEFT JOIN pf p ON p.driver_stint_id = g.driver_stint_id AND p.t = g.t
+       WINDOW wf AS (PARTITION BY g.driver_stint_id ORDER BY g.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+f AS (SELECT *, count(y) OVER we AS enc_len, count(y) OVER wd AS dec_len, avg(y) OVER we AS center,
+             coalesce(nullif(stddev_pop(y) OVER we, 0.0), 1.0) AS scale
+      FROM ff WINDOW we AS (PARTITION BY driver_stint_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
+                     wd AS (PARTITION BY driver_stint_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING))
+SELECT f.driver_stint_id, f.t AS time_idx, CAST(f.enc_len AS INTEGER) AS enc_len, CAST(f.dec_len AS INTEGER) AS dec_len,
+       round(f.center, 6) AS target_center, round(f.scale, 6) AS target_scale, {code_cols}
+FROM f {joins}
+WHERE f.enc_len >= 5 AND f.dec_len >= 2"""
+
+
+ORACLE["wn16_panel_windows"] = O.with_fragments(["ev_lab"], _panel_sql())

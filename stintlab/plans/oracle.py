@@ -489,3 +489,26 @@ SELECT round(coalesce(avg(delta_pos), 0.0), 6) AS mean_delta_pos,
        round(coalesce(avg(delta_pos) FILTER (WHERE is_street = true), 0.0), 6) AS {street},
        round(coalesce(avg(delta_pos) FILTER (WHERE is_wet = true), 0.0), 6) AS wet_{entity}_mean
 FROM {src}"""
+
+
+# ---------------------------------------------------------------- panels
+LSTM_SEQ = ["lap_time_delta_s", "deg_velocity", "deg_acceleration", "tire_age_laps", "tire_age_sq", "fuel_load_kg",
+            "gap_ahead_s", "gap_ahead_trend", "undercut_threat", "sc_or_vsc_flag", "lap_norm", "Position"]
+LSTM_STATIC = ["circuit_id_enc", "compound_enc", "starting_position_norm", "circuit_softness", "track_temp_category",
+               "historical_sc_prob", "team_id_enc", "lap_count_norm"]
+
+frag("imp", ["ev_lab"], "SELECT * REPLACE (" + ", ".join(
+    [f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in LSTM_SEQ + LSTM_STATIC
+     if c not in ("tire_age_laps", "tire_age_sq")] +
+    ["coalesce(tire_age_laps, CAST(row_number() OVER (PARTITION BY driver_stint_id ORDER BY LapNumber) AS DOUBLE)) "
+     "AS tire_age_laps",
+     "coalesce(tire_age_sq, pow(coalesce(tire_age_laps, CAST(row_number() OVER (PARTITION BY driver_stint_id "
+     "ORDER BY LapNumber) AS DOUBLE)), 2)) AS tire_age_sq"]) + ") FROM ev_lab")
+frag("lstm_win", ["imp"], f"""
+SELECT driver_stint_id, LapNumber, split, CAST(pit_label AS INTEGER) AS y, CAST(loss_weight AS DOUBLE) AS w,
+       count(*) OVER wn AS n_steps,
+       sum({' + '.join(LSTM_SEQ)}) OVER wn AS seq_sum,
+       {' + '.join(LSTM_STATIC)} AS static_sum, rn
+FROM (SELECT *, row_number() OVER (PARTITION BY driver_stint_id ORDER BY LapNumber) AS rn FROM imp) x
+WINDOW wn AS (PARTITION BY driver_stint_id ORDER BY LapNumber ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)
+QUALIFY count(*) OVER wn = 10 AND LapNumber > 3""")
