@@ -803,3 +803,97 @@ WHERE f.enc_len >= 5 AND f.dec_len >= 2"""
 
 
 ORACLE["wn16_panel_windows"] = O.with_fragments(["ev_lab"], _panel_sql())
+
+
+# ------------------------------------------------------------------ MLlib models (rows-only checks)
+
+from ..operators import models as MD  # noqa: E402
+
+# Tree counts for the registered model queries: MLlib early stopping is tolerance
+# based, so the iteration cap bounds the correctness/bench run time.
+QUERY_TREES = 20
+
+
+@register("ml02_pit_model_validation_metrics")
+def q_ml02(spark, sf):
+    labeled = _labeled(spark, sf)
+    model = CL.train_pit_model(labeled.filter(F.col("split") == "train"), labeled.filter(F.col("split") == "val"),
+                               CFG, max_iter=QUERY_TREES)
+    val = CL.build_pit_window_dataset(labeled.filter(F.col("split") == "val"), CFG, model.features)
+    m = CL.binary_metrics(model.predict_labels(val))
+    return m.select(*[r6(c) for c in m.columns])
+
+
+@register("ml07_compound_accuracy")
+def q_ml07(spark, sf):
+    data = _xgb(spark, sf)
+    model = MD.train_compound_model(data, CFG, max_iter=QUERY_TREES)
+    return MD.compound_accuracy(model, data, CFG).select(r6("accuracy"), "n_test")
+
+
+@register("ml09_linear_attributions")
+def q_ml09(spark, sf):
+    phi = MD.linear_attributions(_xgb(spark, sf), CFG)
+    return phi.groupBy("event_name", "feature", "class").agg(r6(F.avg("phi"), "mean_phi"),
+                                                             F.count(F.lit(1)).alias("n"))
+
+
+@register("ml10_heuristic_recovery")
+def q_ml10(spark, sf):
+    phi = MD.linear_attributions(_xgb(spark, sf), CFG)
+    return MD.heuristic_recovery(phi, CFG).select("heuristic", "passed")
+
+
+@register("ml12_feature_ablations")
+def q_ml12(spark, sf):
+    labeled = _labeled(spark, sf)
+    return MD.run_ablations(labeled.filter(F.col("split") == "train"), labeled.filter(F.col("split") == "val"),
+                            labeled.filter(F.col("split") == "test"), CFG, max_iter=5) \
+        .select("ablation_name", r6("average_precision"), r6("f1"), r6("delta_average_precision"), r6("delta_f1"))
+
+
+# ------------------------------------------------------------------ sources and sinks
+
+from ..sources import io as IO  # noqa: E402
+
+
+@register("src12_season_event_codes", O.with_fragments(["laps"], """
+SELECT season, event_name, CAST(dense_rank() OVER (PARTITION BY season ORDER BY event_name) - 1 AS INTEGER) AS circuit_id,
+       n_laps FROM (SELECT season, event_name, count(*) AS n_laps FROM laps GROUP BY ALL) x"""))
+def q_src12(spark, sf):
+    coded = IO.season_event_codes(L.load_laps(spark, sf))
+    return coded.groupBy("season", "event_name", "circuit_id").agg(F.count(F.lit(1)).alias("n_laps"))
+
+
+@register("src11_load_status", O.with_fragments(["laps"], f"""
+SELECT e.season, CAST(coalesce(l.n, 0) AS BIGINT) AS loaded_sessions, CAST(coalesce(f.n, 0) AS BIGINT) AS failed_sessions,
+       coalesce(f.n, 0) = 0 AND coalesce(l.n, 0) > 0 AS complete
+FROM (SELECT DISTINCT season FROM (SELECT unnest(range(2018, 2024)) AS season UNION SELECT season FROM laps) s) e
+LEFT JOIN (SELECT season, count(*) AS n FROM (SELECT DISTINCT season, event_name, session_type FROM laps) a GROUP BY 1) l
+  ON l.season = e.season
+LEFT JOIN (SELECT x.season, count(*) AS n FROM
+             (SELECT s.season, c.event_name FROM (SELECT unnest(range(2018, 2024)) AS season) s,
+                     (SELECT unnest({list(L.CIRCUITS)}) AS event_name) c) x
+           WHERE NOT EXISTS (SELECT 1 FROM laps WHERE laps.season = x.season AND laps.event_name = x.event_name)
+           GROUP BY 1) f ON f.season = e.season"""))
+def q_src11(spark, sf):
+    laps = L.load_laps(spark, sf)
+    expected = spark.createDataFrame([(s, c, "R") for s in range(L.FIRST_SEASON, L.FIRST_SEASON + L.N_SEASONS)
+                                      for c in L.CIRCUITS], "season int, event_name string, session_type string")
+    return IO.load_status(laps, expected).select("season", "loaded_sessions", "failed_sessions", "complete")
+
+
+@register("src6_selected_accurate_laps", O.with_fragments(["laps"], """
+SELECT event_name, count(*) AS n_laps FROM laps
+WHERE IsAccurate AND event_name IN ('Britain', 'Monaco', 'Singapore') GROUP BY 1"""))
+def q_src6(spark, sf):
+    laps = IO.accurate_laps(IO.select_circuits(L.load_laps(spark, sf), ["Britain", "Monaco", "Singapore"]))
+    return laps.groupBy("event_name").agg(F.count(F.lit(1)).alias("n_laps"))
+
+
+@register("src5_stage_roundtrip", O.with_fragments(["feat"], """
+SELECT season, count(*) AS n_laps, round(sum(lap_time_delta_s), 6) AS sum_delta FROM feat GROUP BY season"""))
+def q_src5(spark, sf):
+    path = IO.fresh_stage_path(spark, "features")
+    staged = IO.stage(spark, path, lambda: _feats(spark, sf), partition_by=["season"])
+    return staged.groupBy("season").agg(F.count(F.lit(1)).alias("n_laps"), r6(F.sum("lap_time_delta_s"), "sum_delta"))
