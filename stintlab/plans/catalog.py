@@ -897,3 +897,50 @@ def q_src5(spark, sf):
     path = IO.fresh_stage_path(spark, "features")
     staged = IO.stage(spark, path, lambda: _feats(spark, sf), partition_by=["season"])
     return staged.groupBy("season").agg(F.count(F.lit(1)).alias("n_laps"), r6(F.sum("lap_time_delta_s"), "sum_delta"))
+
+
+# ------------------------------------------------------------------ streaming ingestion (= batch result)
+
+@register("stream_session_ingest", O.with_fragments(["feat"], """
+SELECT season, count(*) AS n_laps, round(sum(lap_time_delta_s), 6) AS sum_delta FROM feat GROUP BY season"""))
+def q_stream(spark, sf):
+    from ..streaming import ingest as ST
+    src = IO.fresh_stage_path(spark, "session-files")
+    # one file per session (season, circuit), the unit the source ingests
+    L.load_race_laps(spark, sf).repartition("season", "event_name").write.partitionBy("season", "event_name") \
+        .parquet(src)
+    laps_schema = spark.read.parquet(src).schema
+    sink = IO.fresh_stage_path(spark, "session-features")
+    q = ST.start_session_ingest(spark, src, laps_schema, sink, IO.fresh_stage_path(spark, "stream-ckpt"), CFG,
+                                files_per_trigger=8)
+    q.awaitTermination()
+    out = ST.read_ingested(spark, sink)
+    return out.groupBy("season").agg(F.count(F.lit(1)).alias("n_laps"), r6(F.sum("lap_time_delta_s"), "sum_delta"))
+
+
+# ------------------------------------------------------------------ metric report (MS08)
+
+@register("ms08_metric_report")
+def q_ms08(spark, sf):
+    labeled, val, thresholds, global_thr = _scored_splits(spark, sf)
+    m = CL.binary_metrics(CL.predict_labels(val, thresholds, global_thr))
+    rep = MT.metric_report(m, CFG, "pit_window")
+    return rep.select("section", "metric", r6("value"), "target")
+
+
+@register("src1_split_tables", O.with_fragments(["laps"], """
+SELECT season, count(*) AS n_laps, round(sum(LapTime), 6) AS sum_lap_time FROM laps GROUP BY season"""))
+def q_src1(spark, sf):
+    """SRC1-SRC3, SRC9, SRC10: split tables written as stage parquet (test as CSV too),
+    loaded all-or-nothing, CSV read back with the lap schema, unioned by name."""
+    laps = L.load_laps(spark, sf)
+    folder = IO.fresh_stage_path(spark, "splits")
+    train, val, test = P.split_frames(laps, CFG)
+    for name, frame in (("train", train), ("val", val), ("test", test)):
+        IO.write_any(frame, f"{folder}/{name}_raw.parquet", partition_by=["season"])
+    IO.write_any(test.drop("PitInTime", "PitOutTime"), f"{folder}/test_raw.csv")
+    loaded = IO.load_splits(spark, folder)
+    csv_schema = test.drop("PitInTime", "PitOutTime").schema
+    test_csv = IO.read_any(spark, f"{folder}/test_raw.csv", csv_schema)
+    both = IO.union_sessions([loaded[0], loaded[1], test_csv])
+    return both.groupBy("season").agg(F.count(F.lit(1)).alias("n_laps"), r6(F.sum("LapTime"), "sum_lap_time"))
