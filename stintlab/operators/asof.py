@@ -3,10 +3,13 @@
 Each right row (e.g. a weather reading) owns the half-open interval of left times for
 which it is the nearest reading: ``(t_prev + t)/2 < x <= (t + t_next)/2`` (ties go to the
 earlier reading, i.e. backward). Comparisons use ``2x`` against the sums, which is exact
-in floating point. Intervals are clipped to the left side's time range per group and
-exploded into fixed-width time buckets; the left side joins on (group keys, bucket) plus
-the exact interval test. The big side is hash-partitioned by (group, bucket), so a hot
-group is spread over many tasks, and AQE can split skewed buckets further.
+in floating point. Intervals are exploded into fixed-width time buckets over the
+readings' own range; left times are bucketed and clamped into that range, then join on
+(group keys, bucket) plus the exact interval test. Only the right side is windowed
+(readings, per group); the big left side is never sorted per group. When the bucketed
+right side passes the size check it is broadcast (no shuffle of the left side);
+otherwise both sides hash-partition on (group, bucket), spreading a hot group over many
+tasks, and AQE can split skewed buckets further.
 """
 
 from __future__ import annotations
@@ -25,26 +28,27 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list, on: str, value_col
     """
     w = Window.partitionBy(*by).orderBy(F.col(on))
     t = F.col(on).cast("double")
-    intervals = right.filter(F.col(on).isNotNull()).select(
-        *by, *value_cols,
+    b = F.lit(float(bucket_width))
+    right = right.filter(F.col(on).isNotNull())
+    intervals = right.select(
+        *by, *value_cols, t.alias("_t"),
         (F.lag(t).over(w) + t).alias("_lo2"),
         (t + F.lead(t).over(w)).alias("_hi2"),
     )
-    # Time range of the left side per group (one row per group, partial aggregation).
-    span = left.filter(F.col(on).isNotNull()).groupBy(*by).agg(
-        F.min(F.col(on).cast("double")).alias("_tmin"), F.max(F.col(on).cast("double")).alias("_tmax"))
-    b = F.lit(float(bucket_width))
-    lo = F.greatest(F.coalesce(F.col("_lo2") / 2.0, F.col("_tmin")), F.col("_tmin"))
-    hi = F.least(F.coalesce(F.col("_hi2") / 2.0, F.col("_tmax")), F.col("_tmax"))
-    buckets = intervals.join(span, on=by, how="inner") \
-        .withColumn("_b0", F.floor(lo / b)).withColumn("_b1", F.floor(hi / b)) \
-        .filter(F.col("_b0") <= F.col("_b1")) \
-        .withColumn("_bucket", F.explode(F.sequence(F.col("_b0"), F.col("_b1")))) \
-        .drop("_tmin", "_tmax", "_b0", "_b1")
+    # Each group's reading range, in buckets (one row per group; right side only).
+    bounds = right.groupBy(*by).agg(F.floor(F.min(t) / b).alias("_bmin"), F.floor(F.max(t) / b).alias("_bmax"))
+    # First/last readings own everything before/after them; their buckets stop at the
+    # range ends and left rows outside the range are clamped onto those end buckets.
+    b0 = F.when(F.col("_lo2").isNull(), F.floor(F.col("_t") / b)).otherwise(F.floor(F.col("_lo2") / 2.0 / b))
+    b1 = F.when(F.col("_hi2").isNull(), F.floor(F.col("_t") / b)).otherwise(F.floor(F.col("_hi2") / 2.0 / b))
+    buckets = intervals.withColumn("_bucket", F.explode(F.sequence(b0, F.greatest(b0, b1)))).drop("_t")
     # The bucketed right side is small next to the left side (readings, not laps); it is
     # broadcast only after a row-count check, otherwise both sides shuffle on the keys.
     r = sized_broadcast(buckets, broadcast_rows).alias("_r")
-    lft = left.withColumn("_bucket", F.floor(F.col(on).cast("double") / b)).alias("_l")
+    lft = left.join(sized_broadcast(bounds, broadcast_rows), on=by, how="left") \
+        .withColumn("_bucket", F.least(F.greatest(F.floor(F.col(on).cast("double") / b), F.col("_bmin")),
+                                       F.col("_bmax"))) \
+        .drop("_bmin", "_bmax").alias("_l")
     x2 = F.col(f"_l.{on}").cast("double") * 2.0
     cond = [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in by]
     cond.append(F.col("_l._bucket") == F.col("_r._bucket"))

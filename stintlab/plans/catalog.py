@@ -38,7 +38,10 @@ CFG = C.default_config()
 
 
 def _laps(spark, sf):
-    return L.load_race_laps(spark, sf)
+    """Race laps derived from ``events`` (bridge + as-of weather), materialised once as
+    a reliable checkpoint: it is the source table every later stage and size check reads."""
+    from ..session import cut_lineage
+    return cut_lineage(L.load_race_laps(spark, sf))
 
 
 def _feats(spark, sf):

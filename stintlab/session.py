@@ -62,9 +62,17 @@ def stage_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
+    """Reliable checkpoint into the shared checkpoint folder (survives executor loss;
+    never a local checkpoint). The frame is persisted for the duration of the write,
+    since writing the checkpoint files would otherwise recompute it; the returned
+    frame reads the files and keeps the input's partitioning."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
 
 
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
