@@ -204,7 +204,7 @@ def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
 
 
 def train_pit_model(train: DataFrame, val: DataFrame, cfg: C.Config, features: list | None = None,
-                    max_iter: int | None = None) -> PitModel:
+                    max_iter: int | None = None, extra_circuits=None) -> PitModel:
     """ML02-ML03 + ML06: boosted trees with balanced weights and validation-based early
     stopping, isotonic calibration fitted on validation, thresholds tuned on
     calibrated validation scores."""
@@ -228,5 +228,5 @@ def train_pit_model(train: DataFrame, val: DataFrame, cfg: C.Config, features: l
     calibrator = iso.fit(val_scored.withColumn("_iso_in", F.col("_raw_p")))
     model.calibrator = calibrator
     cal = model.predict_proba(va, "p")
-    model.thresholds, model.global_threshold = tune_circuit_thresholds(cal, cfg)
+    model.thresholds, model.global_threshold = tune_circuit_thresholds(cal, cfg, extra_circuits=extra_circuits)
     return model

@@ -274,3 +274,9 @@ def spearman_matrix(df: DataFrame, cols=CORR_COLS) -> DataFrame:
     rows = [(a, b, None if v != v else float(v)) for i, a in enumerate(cols) for j, (b, v) in
             enumerate(zip(cols, mat[i]))]
     return df.sparkSession.createDataFrame(rows, "a string, b string, rho double")
+
+
+def representative_stint_laps(df: DataFrame) -> DataFrame:
+    """JN13: laps of the longest stint per (circuit, compound) — a left-semi join of
+    the lap frame with the sampled stint ids."""
+    return df.join(longest_stints(df).select("driver_stint_id"), "driver_stint_id", "left_semi")

@@ -947,3 +947,16 @@ def q_src1(spark, sf):
     test_csv = IO.read_any(spark, f"{folder}/test_raw.csv", csv_schema)
     both = IO.union_sessions([loaded[0], loaded[1], test_csv])
     return both.groupBy("season").agg(F.count(F.lit(1)).alias("n_laps"), r6(F.sum("LapTime"), "sum_lap_time"))
+
+
+@register("jn13_representative_stint_laps", O.with_fragments(["ev_lab"], """
+SELECT driver_stint_id, LapNumber, round(tire_age_laps, 6) AS tire_age_laps, round(lap_time_delta_s, 6) AS lap_time_delta_s
+FROM ev_lab WHERE driver_stint_id IN (
+  SELECT driver_stint_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY event_name, Compound ORDER BY max_age DESC, driver_stint_id) AS rn
+    FROM (SELECT event_name, Compound, driver_stint_id, max(tire_age_laps) AS max_age FROM ev_lab
+          WHERE Compound IN ('SOFT', 'MEDIUM', 'HARD') GROUP BY ALL HAVING max(tire_age_laps) IS NOT NULL) a) b
+  WHERE rn = 1)"""))
+def q_jn13(spark, sf):
+    laps = X.representative_stint_laps(_eda(spark, sf))
+    return laps.select("driver_stint_id", "LapNumber", r6("tire_age_laps"), r6("lap_time_delta_s"))
