@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
-from .ranking import attach_scalars, running_totals
+from .ranking import attach_scalars, exact_quantiles, running_totals
 
 COMPOUNDS = ["SOFT", "MEDIUM", "HARD"]
 TEST_FEATURES = ["deg_acceleration", "deg_velocity", "gap_ahead_s", "gap_ahead_trend", "fuel_load_kg",
@@ -69,8 +69,8 @@ def box_stats(df: DataFrame, features=("deg_velocity", "deg_acceleration"), by:
     out = None
     for f in features:
         src = df.filter(F.col(f).isNotNull() & F.col(by).isNotNull())
-        q = src.groupBy(by).agg(F.percentile(F.col(f), [0.25, 0.5, 0.75]).alias("_q"))
-        q = q.select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+        q = exact_quantiles(src, f, [0.25, 0.5, 0.75], by=[by]).select(
+            by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
         iqr = F.col("q3") - F.col("q1")
         w = src.join(q, by).groupBy(by, "q1", "median", "q3").agg(
             F.min(F.when(F.col(f) >= F.col("q1") - 1.5 * iqr, F.col(f))).alias("whislo"),
@@ -181,9 +181,10 @@ def eda_fingerprints(df: DataFrame) -> DataFrame:
         .agg(F.stddev_samp("_m").alias("compound_variance"))
     base = df.groupBy("event_name").agg(F.avg("AirTemp").alias("track_temp_mean"),
                                         F.avg("gap_ahead_s").alias("gap_mean"))
-    soft = df.filter(F.col("Compound") == "SOFT").groupBy("event_name", "driver_stint_id") \
-        .agg(F.max("tire_age_laps").alias("_a")).groupBy("event_name") \
-        .agg(F.percentile("_a", 0.5).alias("hist_soft_stint_len"))
+    soft_lengths = df.filter(F.col("Compound") == "SOFT").groupBy("event_name", "driver_stint_id") \
+        .agg(F.max("tire_age_laps").alias("_a"))
+    soft = exact_quantiles(soft_lengths, "_a", [0.5], by=["event_name"]) \
+        .select("event_name", F.col("q0").alias("hist_soft_stint_len"))
     sc = df.groupBy("season", "event_name").agg(F.max("sc_or_vsc_flag").alias("_h")).groupBy("event_name") \
         .agg(F.avg("_h").alias("sc_vsc_frequency"))
     out = base.join(slopes, "event_name", "left").join(means, "event_name", "left") \

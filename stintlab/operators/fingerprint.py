@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import scalars as S
 from .encode import assert_seasons_subset
+from .ranking import exact_quantiles
 
 COMPOUNDS = ["SOFT", "MEDIUM", "HARD"]
 
@@ -126,8 +127,8 @@ def run_loco_cv(full: DataFrame, fp: DataFrame, cfg: C.Config, include_self: boo
     fan = hist.withColumn("circuit", F.explode(F.filter(
         F.array(*[F.lit(n) for n in held_names]) if held_names else F.array().cast("array<string>"),
         lambda h: ~h.eqNullSafe(F.col("event_name")))))
-    baseline = fan.groupBy("circuit").agg(
-        F.percentile(F.col("lap_time_delta_s"), F.lit(0.5), F.col("_cnt")).alias("_baseline"))
+    baseline = exact_quantiles(fan, "lap_time_delta_s", [0.5], by=["circuit"], weight="_cnt") \
+        .select("circuit", F.col("q0").alias("_baseline"))
     held_laps = test.select(F.col("event_name").alias("circuit"), "lap_time_delta_s")
     mae = held_laps.join(baseline, "circuit", "left").groupBy("circuit").agg(
         F.avg(F.abs(F.col("lap_time_delta_s") - F.col("_baseline"))).alias("mae_p50"))

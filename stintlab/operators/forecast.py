@@ -15,14 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from .ranking import exact_quantiles
 
 LEVELS = [["event_name", "Compound", "tire_age_laps"], ["Compound", "tire_age_laps"], ["tire_age_laps"]]
 
 
 def fit_quantile_table(train: DataFrame, cfg: C.Config, keys: list, target: str = "lap_time_delta_s") -> DataFrame:
     qs = [float(q) for q in cfg.quantiles]
-    agg = train.filter(F.col(target).isNotNull()).groupBy(*keys).agg(F.percentile(F.col(target), qs).alias("_q"))
-    return agg.select(*keys, *[F.col("_q")[i].alias(f"_q{i}") for i in range(len(qs))])
+    # exact quantiles without holding a (possibly huge) key group in one task
+    out = exact_quantiles(train.filter(F.col(target).isNotNull()), target, qs, by=keys, prefix="_q")
+    return out.select(*keys, *[f"_q{i}" for i in range(len(qs))])
 
 
 def predict_quantiles(train: DataFrame, test: DataFrame, cfg: C.Config, target: str = "lap_time_delta_s") -> DataFrame:

@@ -139,3 +139,18 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_exact_quantiles_vs_numpy(spark):
+    import numpy as np
+    from stintlab.operators.ranking import exact_quantiles
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), round(rng.gauss(0, 1), 2)) for _ in range(2000)] + [("d", 1.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in exact_quantiles(df, "v", [0.1, 0.5, 0.9], by=["g"], n_buckets=16).collect()}
+    for g in "abcd":
+        vals = np.array([v for k, v in rows if k == g])
+        for i, p in enumerate([0.1, 0.5, 0.9]):
+            assert got[g][f"q{i}"] == pytest.approx(float(np.quantile(vals, p)), abs=1e-9)
+    spark_pct = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m")).collect()}
+    assert all(got[g]["q1"] == pytest.approx(spark_pct[g], abs=1e-12) for g in "abcd")
