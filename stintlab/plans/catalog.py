@@ -869,7 +869,7 @@ def q_src12(spark, sf):
 
 
 @register("src11_load_status", O.with_fragments(["laps"], f"""
-SELECT e.season, CAST(coalesce(l.n, 0) AS BIGINT) AS loaded_sessions, CAST(coalesce(f.n, 0) AS BIGINT) AS failed_sessions,
+SELECT CAST(e.season AS INTEGER) AS season, CAST(coalesce(l.n, 0) AS BIGINT) AS loaded_sessions, CAST(coalesce(f.n, 0) AS BIGINT) AS failed_sessions,
        coalesce(f.n, 0) = 0 AND coalesce(l.n, 0) > 0 AS complete
 FROM (SELECT DISTINCT season FROM (SELECT unnest(range(2018, 2024)) AS season UNION SELECT season FROM laps) s) e
 LEFT JOIN (SELECT season, count(*) AS n FROM (SELECT DISTINCT season, event_name, session_type FROM laps) a GROUP BY 1) l
