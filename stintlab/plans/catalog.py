@@ -960,3 +960,32 @@ FROM ev_lab WHERE driver_stint_id IN (
 def q_jn13(spark, sf):
     laps = X.representative_stint_laps(_eda(spark, sf))
     return laps.select("driver_stint_id", "LapNumber", r6("tire_age_laps"), r6("lap_time_delta_s"))
+
+
+# ------------------------------------------------------------------ null profile and gate (AG15, AG16)
+
+NULL_COLS = ["LapTime_s", "lap_time_delta_s", "deg_velocity", "deg_acceleration", "tire_age_laps", "gap_ahead_s",
+             "gap_ahead_trend", "undercut_threat", "track_evolution_delta", "AirTemp", "TrackTemp", "Humidity",
+             "Compound", "PitInTime", "PitOutTime"]
+
+
+@register("ag15_null_profile", O.with_fragments(["feat"], "\nUNION ALL ".join(
+    [f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM feat" for c in NULL_COLS]
+    + ["SELECT 'rows' AS column_name, count(*) AS null_count FROM feat"])))
+def q_ag15(spark, sf):
+    from ..operators.panels import null_profile
+    prof = null_profile(_feats(spark, sf).select(*NULL_COLS))
+    return prof.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("long")
+                                                    .alias("null_count")) for c in ["rows"] + NULL_COLS])).alias("x")) \
+        .select("x.*")
+
+
+@register("ag16_null_fraction_gate", O.with_fragments(["feat"], """
+SELECT round(avg(CAST(lap_time_delta_s IS NULL AS DOUBLE)), 6) AS lap_time_delta_s,
+       round(avg(CAST(deg_acceleration IS NULL AS DOUBLE)), 6) AS deg_acceleration,
+       round(avg(CAST(tire_age_laps IS NULL AS DOUBLE)), 6) AS tire_age_laps,
+       round(avg(CAST(undercut_threat IS NULL AS DOUBLE)), 6) AS undercut_threat FROM feat"""))
+def q_ag16(spark, sf):
+    from ..operators import features as FE
+    g = FE.null_fraction_gate(_feats(spark, sf))
+    return g.select(*[r6(c) for c in g.columns])
