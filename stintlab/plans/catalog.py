@@ -989,3 +989,10 @@ def q_ag16(spark, sf):
     from ..operators import features as FE
     g = FE.null_fraction_gate(_feats(spark, sf))
     return g.select(*[r6(c) for c in g.columns])
+
+
+@register("ag09_fingerprint_ranges", O.with_fragments(["fp"], "SELECT " + ", ".join(
+    f"round(coalesce(nullif(max({c}) - min({c}), 0.0), 1.0), 6) AS {c}" for c in FP_COLS) + " FROM fp"))
+def q_ag09(spark, sf):
+    r = FP.feature_ranges(_fingerprints(spark, sf))
+    return r.select(*[r6(c) for c in FP_COLS])

@@ -84,3 +84,23 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def cluster_settings(input_bytes: int, cores: int, target_partition_mb: int = 128) -> dict:
+    """Shuffle/scan sizing for a cluster run over ``input_bytes`` of parquet.
+
+    Initial shuffle partitions are sized so each holds about ``target_partition_mb``
+    (at least 2 waves of the cluster's cores); AQE then coalesces small partitions and
+    splits skewed join partitions. Scan splits stay at 256 MB. Apply with
+    ``SparkSession.builder.config(...)`` or ``spark.conf.set`` before planning.
+    """
+    target = target_partition_mb * 1024 * 1024
+    partitions = max(2 * cores, int(input_bytes // target) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_partition_mb}m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": "256m",
+    }
