@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
+from ..session import sized_broadcast
 
 BASE_COLS = C.FINGERPRINT_COLS + ["lap_count_norm"]
 
@@ -16,8 +17,8 @@ def build_compound_dataset(quali: DataFrame, fp: DataFrame, target_col: str = "c
     get ``_fp``) + weather + tyre + pace delta to the event's fastest lap; target coded
     0/1/2 with legacy names folded; rows with unsupported targets dropped.
 
-    Returns ``season, event_name, Driver, <features...>, label``; ``features`` lists
-    the feature columns in order in the frame's metadata column ``feature_names``.
+    Returns ``season, event_name, Driver[, LapNumber], <features...>, label``;
+    ``feature_columns`` lists the features in order.
     """
     fp_cols = [c for c in fp.columns if c != "event_name"]
     clash = [c for c in fp_cols if c in quali.columns]
@@ -28,8 +29,12 @@ def build_compound_dataset(quali: DataFrame, fp: DataFrame, target_col: str = "c
     if "LapTime" in merged.columns or "LapTime_s" in merged.columns:
         if "LapTime_s" not in merged.columns:
             merged = merged.withColumn("LapTime_s", S.to_seconds_col(merged, "LapTime"))
-        fastest = F.min("LapTime_s").over(Window.partitionBy("season", "event_name"))
-        merged = merged.withColumn("qualifying_pace_delta_s", F.col("LapTime_s") - fastest)
+        # AG12: fastest lap per (season, event) as a partial aggregate (one row per
+        # session, size-checked broadcast) rather than a session-wide window
+        fastest = merged.groupBy("season", "event_name").agg(F.min("LapTime_s").alias("_fastest"))
+        merged = merged.join(sized_broadcast(fastest, C.Config().broadcast_row_limit), ["season", "event_name"],
+                             "left")
+        merged = merged.withColumn("qualifying_pace_delta_s", F.col("LapTime_s") - F.col("_fastest"))
         pace = ["qualifying_pace_delta_s"]
     weather = [c for c in ["AirTemp", "Humidity", "TrackTemp"] if c in merged.columns]
     tyre = [c for c in ["FreshTyre", "TyreLife"] if c in merged.columns]
@@ -45,11 +50,12 @@ def build_compound_dataset(quali: DataFrame, fp: DataFrame, target_col: str = "c
         any_q2 = merged.filter(F.col("q2_compound").isNotNull()).limit(1).count() > 0
         target = F.col("q2_compound") if any_q2 else F.col("Compound")
     label = S.compound_target_code(F.coalesce(target.cast("string"), F.lit("")))
-    out = merged.select("season", "event_name", "Driver",
+    keys = ["season", "event_name", "Driver"] + (["LapNumber"] if "LapNumber" in merged.columns else [])
+    out = merged.select(*keys,
                         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features],
                         label.alias("label"))
     return out.filter(F.col("label").isNotNull())
 
 
 def feature_columns(df: DataFrame) -> list:
-    return [c for c in df.columns if c not in ("season", "event_name", "Driver", "label")]
+    return [c for c in df.columns if c not in ("season", "event_name", "Driver", "LapNumber", "label")]

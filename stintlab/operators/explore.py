@@ -122,10 +122,11 @@ def longest_stints(df: DataFrame) -> DataFrame:
     stint id), as a top-1 per group aggregate."""
     per = df.filter(F.col("Compound").isin(*COMPOUNDS)).groupBy("event_name", "Compound", "driver_stint_id") \
         .agg(F.max("tire_age_laps").alias("max_age")).filter(F.col("max_age").isNotNull())
-    # top-1 per group: highest age, then smallest stint id (row_number = 1 is planned with a
-    # per-partition group limit before the shuffle)
-    w = Window.partitionBy("event_name", "Compound").orderBy(F.col("max_age").desc(), F.col("driver_stint_id"))
-    return per.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    # top-1 per group as a partial aggregate: highest age, then smallest stint id
+    best = per.groupBy("event_name", "Compound").agg(
+        F.min(F.struct((-F.col("max_age")).alias("neg_age"), F.col("driver_stint_id").alias("id"))).alias("_b"))
+    return best.select("event_name", "Compound", F.col("_b.id").alias("driver_stint_id"),
+                       (-F.col("_b.neg_age")).alias("max_age"))
 
 
 def stint_spans(df: DataFrame) -> DataFrame:
