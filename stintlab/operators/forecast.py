@@ -15,15 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .ranking import exact_quantiles
+from .ranking import bucket_boundaries, exact_quantiles
 
 LEVELS = [["event_name", "Compound", "tire_age_laps"], ["Compound", "tire_age_laps"], ["tire_age_laps"]]
 
 
-def fit_quantile_table(train: DataFrame, cfg: C.Config, keys: list, target: str = "lap_time_delta_s") -> DataFrame:
+def fit_quantile_table(train: DataFrame, cfg: C.Config, keys: list, target: str = "lap_time_delta_s",
+                       bounds: list | None = None) -> DataFrame:
     qs = [float(q) for q in cfg.quantiles]
     # exact quantiles without holding a (possibly huge) key group in one task
-    out = exact_quantiles(train.filter(F.col(target).isNotNull()), target, qs, by=keys, prefix="_q")
+    out = exact_quantiles(train.filter(F.col(target).isNotNull()), target, qs, by=keys, prefix="_q", bounds=bounds)
     return out.select(*keys, *[f"_q{i}" for i in range(len(qs))])
 
 
@@ -31,8 +32,9 @@ def predict_quantiles(train: DataFrame, test: DataFrame, cfg: C.Config, target:
     """ML13 + JN08 + AG13: prediction table for every test lap with a prediction."""
     out = test.select("driver_stint_id", "event_name", "LapNumber", "Compound", "tire_age_laps")
     names = ["p10", "p50", "p90"]
+    bounds = bucket_boundaries(train.filter(F.col(target).isNotNull()), target, 64)  # shared by all levels
     for level, keys in enumerate(LEVELS):
-        table = fit_quantile_table(train, cfg, keys, target)
+        table = fit_quantile_table(train, cfg, keys, target, bounds)
         table = table.select(*keys, *[F.col(f"_q{i}").alias(f"_l{level}_{i}") for i in range(len(names))])
         out = out.join(table, on=keys, how="left")
     preds = out.select(

@@ -24,13 +24,15 @@ def bucket_boundaries(df: DataFrame, key: str, n_buckets: int) -> list:
 
 
 def running_totals(df: DataFrame, key: str, value_cols: list, by: list | None = None, descending: bool = True,
-                   n_buckets: int = 64, inclusive: bool = True, prefix: str = "cum_") -> DataFrame:
+                   n_buckets: int = 64, inclusive: bool = True, prefix: str = "cum_",
+                   bounds: list | None = None) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows of the same ``by`` group whose key comes
     before (and, if ``inclusive``, equal to) this row's key in the given direction.
     Rows should have distinct keys per group (aggregate first) when ``inclusive``
     ties must be included; with equal keys, RANGE frames include all peers."""
     by = list(by or [])
-    bounds = bucket_boundaries(df, key, n_buckets)
+    if bounds is None:
+        bounds = bucket_boundaries(df, key, n_buckets)
     k = F.col(key).cast("double")
     if bounds:
         # number of boundaries below the key (a plain sum of comparisons, codegen'd)
@@ -64,7 +66,7 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list, by: list | None = None, weight: str | None = None,
-                    n_buckets: int = 64, prefix: str = "q") -> DataFrame:
+                    n_buckets: int = 64, prefix: str = "q", bounds: list | None = None) -> DataFrame:
     """Exact (linearly interpolated) quantiles per group without holding a group in one
     task. Values are reduced to a (group, value) -> count histogram, cumulative counts
     come from ``running_totals`` (spread over value buckets), and the value at rank
@@ -78,7 +80,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: list, by: list | None = No
     src = df.filter(F.col(value).isNotNull())
     w = F.col(weight) if weight else F.lit(1)
     hist = src.groupBy(*by, value).agg(F.sum(w).cast("long").alias("_cnt"))
-    cum = running_totals(hist, value, ["_cnt"], by=by, descending=False, n_buckets=n_buckets, prefix="_cum")
+    if bounds is None:
+        # bucket boundaries from one scan of the raw values (no shuffle); shared bounds
+        # can be passed in when several quantile tables read the same column
+        bounds = bucket_boundaries(src, value, n_buckets)
+    cum = running_totals(hist, value, ["_cnt"], by=by, descending=False, prefix="_cum", bounds=bounds)
     sizes = hist.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
     cum = cum.join(sizes, on=by, how="inner") if by else attach_scalars(cum, sizes)
     aggs = []
