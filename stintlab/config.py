@@ -280,6 +280,9 @@ class Config:
     compound_gbt: dict = field(default_factory=lambda: dict(COMPOUND_GBT))
     # Largest dimension table we are willing to broadcast (rows); above it, shuffle joins.
     broadcast_row_limit: int = 100_000
+    # Largest fitted table inlined as a literal map / array in an expression; above it
+    # the table stays a DataFrame and is applied with a (size-checked) broadcast join.
+    inline_limit: int = 1_000
 
     def replace(self, **kwargs: Any) -> "Config":
         out = copy.deepcopy(self)

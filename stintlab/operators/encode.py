@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
+from ..session import sized_broadcast
 
 
 def _labels(c):
@@ -90,17 +91,26 @@ class FeatureState:
                     per_event.setdefault(event, []).append(had)
                 sc_map = {e: float(sum(v)) / len(v) for e, v in per_event.items()}
                 default = float(sum(sc_map.values()) / len(sc_map)) if sc_map else 0.0
-                return cls({c: i for i, c in enumerate(circuits)}, {t: i for i, t in enumerate(teams)},
-                           sc_map, default, limit)
+                spark = train.sparkSession
+                c_codes = {c: i for i, c in enumerate(circuits)}
+                t_codes = {t: i for i, t in enumerate(teams)}
+                # small tables are inlined as map literals; larger ones become DataFrames
+                # (bounded by the collected row count) applied with a broadcast join
+                as_table = lambda m, k, v, kt, vt: m if len(m) <= cfg.inline_limit else \
+                    spark.createDataFrame(list(m.items()), f"{k} {kt}, {v} {vt}")
+                return cls(as_table(c_codes, "label", "code", "string", "int"),
+                           as_table(t_codes, "label", "code", "string", "int"),
+                           as_table(sc_map, "event_name", "historical_sc_prob", "string", "double"),
+                           default, limit)
             reference = train
         if check_seasons:
             assert_seasons_subset(reference, cfg.train_seasons, "historical_sc_prob")
         circuits = fit_label_encoder(train, "event_name")
         teams = fit_label_encoder(train, "Team")
         sc = historical_sc_table(reference, cfg)
-        c_map = _collect_small(circuits, "label", "code", limit)
-        t_map = _collect_small(teams, "label", "code", limit)
-        sc_map = _collect_small(sc, "event_name", "historical_sc_prob", limit)
+        c_map = _collect_small(circuits, "label", "code", cfg.inline_limit)
+        t_map = _collect_small(teams, "label", "code", cfg.inline_limit)
+        sc_map = _collect_small(sc, "event_name", "historical_sc_prob", cfg.inline_limit)
         if sc_map is not None:
             default = float(sum(sc_map.values()) / len(sc_map)) if sc_map else 0.0
         else:
@@ -116,7 +126,7 @@ class FeatureState:
             if not codes:
                 return df.withColumn(out, F.lit(-1))
             return df.withColumn(out, F.coalesce(S.literal_map(codes)[_labels(F.col(src))], F.lit(-1)).cast("int"))
-        dim = codes.withColumnRenamed("code", out)
+        dim = sized_broadcast(codes.withColumnRenamed("code", out), C.Config().broadcast_row_limit)
         joined = df.withColumn("_label", _labels(F.col(src))).join(dim, F.col("_label") == dim["label"], "left")
         return joined.withColumn(out, F.coalesce(F.col(out), F.lit(-1)).cast("int")).drop("_label", "label")
 
@@ -140,7 +150,7 @@ class FeatureState:
             return df.withColumn("historical_sc_prob",
                                  F.coalesce(S.literal_map(self.sc_prob)[F.col("event_name")],
                                             F.lit(self.sc_default)))
-        out = df.join(self.sc_prob, on="event_name", how="left")
+        out = df.join(sized_broadcast(self.sc_prob, C.Config().broadcast_row_limit), on="event_name", how="left")
         return out.withColumn("historical_sc_prob", F.coalesce(F.col("historical_sc_prob"), F.lit(self.sc_default)))
 
 

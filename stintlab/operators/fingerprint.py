@@ -95,7 +95,7 @@ def _collect_vectors(fp: DataFrame, limit: int):
 def nearest_fingerprint(fp: DataFrame, cfg: C.Config, include_self: bool = True) -> DataFrame:
     """JN12: per circuit, the distance to the nearest fingerprint (itself included by
     default, as specified — then always 0)."""
-    rows = _collect_vectors(fp, cfg.broadcast_row_limit)
+    rows = _collect_vectors(fp, cfg.inline_limit)
     others = F.array(*[F.struct(F.lit(r["event_name"]).alias("event_name"),
                                 F.array(*[F.lit(float(r[c])) for c in C.FINGERPRINT_COLS]).alias("v"))
                        for r in rows])
@@ -119,8 +119,8 @@ def run_loco_cv(full: DataFrame, fp: DataFrame, cfg: C.Config, include_self: boo
     near = nearest_fingerprint(fp, cfg, include_self).select(
         F.col("event_name").alias("circuit"), "fingerprint_distance")
     held = test.select(F.col("event_name").alias("circuit")).distinct().join(near, "circuit", "inner")
-    held_names = [r["circuit"] for r in held.select("circuit").limit(cfg.broadcast_row_limit + 1).collect()]
-    if len(held_names) > cfg.broadcast_row_limit:
+    held_names = [r["circuit"] for r in held.select("circuit").limit(cfg.inline_limit + 1).collect()]
+    if len(held_names) > cfg.inline_limit:
         raise ValueError("too many held-out circuits to inline")
     hist = train.filter(F.col("lap_time_delta_s").isNotNull()).groupBy("event_name", "lap_time_delta_s") \
         .agg(F.count(F.lit(1)).alias("_cnt"))
