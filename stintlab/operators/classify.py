@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .ranking import attach_scalars, running_totals
+from .ranking import attach_scalars, bucket_boundaries, running_totals
 
 DEGRADATION_CIRCUITS = ["Bahrain", "Britain", "Spain", "Italy", "Monaco", "Singapore"]
 
@@ -46,22 +46,27 @@ def baseline_pit_score(df: DataFrame, out: str = "p") -> DataFrame:
     return df.withColumn(out, F.round(age / (age + F.lit(5.0)), 6))
 
 
-def score_table(df: DataFrame, score: str = "p", label: str = "y", by: list | None = None) -> DataFrame:
+def score_table(df: DataFrame, score: str = "p", label: str = "y", by: list | None = None,
+                bounds: list | None = None) -> DataFrame:
     """Per distinct score: positives and negatives at that score, and running totals
-    over scores >= it (descending), plus group totals."""
+    over scores >= it (descending), plus group totals. Bucket boundaries come from one
+    scan of the raw scores (or are passed in to share them)."""
     by = list(by or [])
     g = df.groupBy(*by, score).agg(F.sum(F.col(label)).alias("tp"), F.sum(1 - F.col(label)).alias("fp"))
-    cum = running_totals(g, score, ["tp", "fp"], by=by, descending=True)
+    if bounds is None:
+        bounds = bucket_boundaries(df, score, 64)
+    cum = running_totals(g, score, ["tp", "fp"], by=by, descending=True, bounds=bounds)
     tot = g.groupBy(*by).agg(F.sum("tp").alias("n_pos"), F.sum("fp").alias("n_neg"))
     return cum.join(tot, on=by, how="inner") if by else attach_scalars(cum, tot)
 
 
-def find_threshold_max_f1(df: DataFrame, score: str = "p", label: str = "y", by: list | None = None) -> DataFrame:
+def find_threshold_max_f1(df: DataFrame, score: str = "p", label: str = "y", by: list | None = None,
+                          bounds: list | None = None) -> DataFrame:
     """ML05: the distinct score maximising F1 = 2PR/(P+R+1e-9) of ``score >= s``;
     ties -> lowest score (F1 rounded to 12 dp so ties agree across engines).
     Returns one row per ``by`` group: (by..., threshold, f1, positives)."""
     by = list(by or [])
-    t = score_table(df, score, label, by)
+    t = score_table(df, score, label, by, bounds)
     precision = F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
     recall = F.when(F.col("n_pos") == 0, F.lit(1.0)).otherwise(F.col("cum_tp") / F.col("n_pos"))
     f1 = F.lit(2.0) * precision * recall / (precision + recall + F.lit(1e-9))
@@ -77,9 +82,11 @@ def tune_circuit_thresholds(val: DataFrame, cfg: C.Config, score: str = "p", lab
     """ML06: per-circuit thresholds over validation circuits plus configured ones;
     circuits without positives (or rows) get the global threshold.
     Returns (threshold frame (circuit, threshold), global threshold float)."""
-    glob = find_threshold_max_f1(val, score, label).first()
+    bounds = bucket_boundaries(val, score, 64)  # shared by the global and per-circuit searches
+    glob = find_threshold_max_f1(val, score, label, bounds=bounds).first()
     global_thr = float(glob["threshold"]) if glob is not None and glob["threshold"] is not None else 0.5
-    per = find_threshold_max_f1(val.withColumn("_c", F.col(circuit_col).cast("string")), score, label, by=["_c"])
+    per = find_threshold_max_f1(val.withColumn("_c", F.col(circuit_col).cast("string")), score, label, by=["_c"],
+                                bounds=bounds)
     extra = list(DEGRADATION_CIRCUITS if extra_circuits is None else extra_circuits)
     spark = val.sparkSession
     circuits = val.select(F.col(circuit_col).cast("string").alias("_c")).distinct() \

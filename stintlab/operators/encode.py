@@ -71,13 +71,14 @@ class FeatureState:
         checked before collecting; above the limit the state stays as DataFrames."""
         limit = cfg.broadcast_row_limit
         if reference is None:
-            if check_seasons:
-                assert_seasons_subset(train, cfg.train_seasons, "historical_sc_prob")
             flag = "sc_or_vsc_flag" if "sc_or_vsc_flag" in train.columns else "safety_car_flag"
             summary = train.groupBy("season", "event_name", _labels(F.col("event_name")).alias("c_label"),
                                     _labels(F.col("Team")).alias("t_label")).agg(F.max(flag).alias("had_sc"))
             rows = summary.limit(limit + 1).collect()
             if len(rows) <= limit:
+                # ST4 on the collected summary (it is grouped by season): no extra job
+                if check_seasons and not {r["season"] for r in rows} <= {int(x) for x in cfg.train_seasons}:
+                    raise AssertionError("historical_sc_prob must be computed from training seasons only")
                 circuits = sorted({r["c_label"] for r in rows})
                 teams = sorted({r["t_label"] for r in rows})
                 races: dict = {}
@@ -102,6 +103,8 @@ class FeatureState:
                            as_table(t_codes, "label", "code", "string", "int"),
                            as_table(sc_map, "event_name", "historical_sc_prob", "string", "double"),
                            default, limit)
+            if check_seasons:
+                assert_seasons_subset(train, cfg.train_seasons, "historical_sc_prob")
             reference = train
         if check_seasons:
             assert_seasons_subset(reference, cfg.train_seasons, "historical_sc_prob")
