@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import bpe_chunks, html_extract, near_dedup, packing, prefix_hashes, quality_rules, substring_dedup
+from .frames import stage
+from .tokens import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,3 +32,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10(spark, sf_dir):
     return (substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
+@register("op6_minhash_near_dedup")
+def op6(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words_each=2)
+
+
+@register("op2_vector_packing")
+def op2(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@register("op5_quality_rules")
+def op5(spark, sf_dir):
+    stats = stage(quality_rules.with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+                  .drop("text"), "statistics")
+    rules = quality_rules.learn_quality(stats, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(stats, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
+
+
+@register("op3_prefix_fingerprints")
+def op3(spark, sf_dir):
+    return prefix_hashes.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@register("op4_chunked_bpe")
+def op4(spark, sf_dir):
+    return bpe_chunks.encode_texts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                   vocabulary("byte_bpe_50k.tiktoken"), digests=True)
+
+
+@register("op8_html_main_text")
+def op8(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))

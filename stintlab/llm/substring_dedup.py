@@ -44,8 +44,6 @@ BLOCK_WINDOWS = 1 << 20
 _POWERS = tb.WordPowers(0x9E3779B97F4A7C55)
 _POWERS_2 = tb.WordPowers(0xC2B2AE3D27D4EB4F)
 
-_KEY = "id long, tag long"
-
 
 def _rolling_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every ``w`` consecutive values (doubling steps)."""
@@ -78,7 +76,7 @@ def _changes(x: np.ndarray) -> np.ndarray:
 def _anchors(min_words: int, seed_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = batch.column("id"), batch.column("tag")
+            ids = batch.column("id")
             for group in tb.groups(batch.column("text")):
                 rows, found = [], []
                 for i, _, mins in _group_anchors(group, min_words, seed_words)[-1]:
@@ -86,48 +84,36 @@ def _anchors(min_words: int, seed_words: int):
                     found.append(values)
                     rows.append(np.full(len(values), group.rows[i]))
                 if rows:
-                    at = pa.array(np.concatenate(rows))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(tb.as_int64(np.concatenate(found))), ids.take(at), tags.take(at)], ["anchor", "id", "tag"])
+                        [pa.array(tb.as_int64(np.concatenate(found))), ids.take(pa.array(np.concatenate(rows)))], ["anchor", "id"])
 
     return run
 
 
-def _reduce_block(parts: list[tuple], block: int) -> Iterator[pa.RecordBatch]:
-    """Of each window keep the earliest document for the shuffle; later ones are settled here.
+def _settle_block(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of each window only the earliest document's rows go on to the shuffle; the others are settled.
 
-    Rows: ``earlier`` is true where an earlier document of the block has the window (the row then
-    only marks coverage and needs no lookup)."""
-    ids, tags, at, h1, h2 = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((at, tags, ids, h2, h1))
-    ids, tags, at, h1, h2 = (x[order] for x in (ids, tags, at, h1, h2))
+    A waiting row has a place and the window's hashes. A settled row stands for ``h1`` adjoining windows
+    from its place on that an earlier document has; its ``h2`` is null.
+    """
+    ids, at, h1, h2 = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((at, ids, h2, h1))
+    ids, at, h1, h2 = (x[order] for x in (ids, at, h1, h2))
     head = np.ones(len(ids), bool)
     head[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    first = ids[head][np.cumsum(head) - 1]
-    # every row of the earliest document waits for the global answer; later documents are covered
-    waits = ids == first
-    kept = {"id": ids[waits], "tag": tags[waits], "at": at[waits], "h1": h1[waits], "h2": h2[waits]}
-    yield _window_batch(kept, False)
-    yield _window_batch({"id": ids[~waits], "tag": tags[~waits], "at": at[~waits], "h1": None, "h2": None}, True)
-
-
-def _window_batch(x: dict, covered: bool) -> pa.RecordBatch:
-    if covered:  # runs of adjoining windows as (start, length)
-        order = np.lexsort((x["at"], x["tag"], x["id"]))
-        ids, tags, at = (x[k][order] for k in ("id", "tag", "at"))
-        head = np.ones(len(ids), bool)
-        head[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (at[1:] > at[:-1] + 1)
-        begin = np.flatnonzero(head)
-        last = np.append(begin[1:], len(ids))[:len(begin)] - 1
-        n = len(begin)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids[begin]), pa.array(tags[begin]), pa.array(at[begin].astype(np.int32)),
-             pa.array((at[last] - at[begin] + 1).astype(np.int32) if n else np.zeros(0, np.int32)),
-             pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], ["id", "tag", "at", "run", "h1", "h2"])
-    n = len(x["id"])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x["id"]), pa.array(x["tag"]), pa.array(x["at"].astype(np.int32)), pa.array(np.ones(n, np.int32)),
-         pa.array(x["h1"]), pa.array(x["h2"])], ["id", "tag", "at", "run", "h1", "h2"])
+    waits = ids == ids[head][np.cumsum(head) - 1]
+    names = ["id", "at", "h1", "h2"]
+    yield pa.RecordBatch.from_arrays([pa.array(x[waits]) for x in (ids, at, h1, h2)], names)
+    ids, at = ids[~waits], at[~waits]
+    order = np.lexsort((at, ids))
+    ids, at = ids[order], at[order]
+    head = np.ones(len(ids), bool)
+    head[1:] = (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + 1)
+    begin = np.flatnonzero(head)
+    if len(begin):
+        runs = at[np.append(begin[1:], len(ids)) - 1] - at[begin] + 1
+        yield pa.RecordBatch.from_arrays([pa.array(ids[begin]), pa.array(at[begin]), pa.array(runs),
+                                          pa.nulls(len(begin), pa.int32())], names)
 
 
 def _windows(min_words: int, seed_words: int):
@@ -137,8 +123,8 @@ def _windows(min_words: int, seed_words: int):
             batch = batch.filter(batch.column("anchors").is_valid())
             wanted = batch.column("anchors")
             values = np.asarray(wanted.flatten(), dtype=np.int64).view(np.uint64)
-            cuts = np.concatenate([[0], np.cumsum(np.asarray(wanted.value_lengths().fill_null(0)))])
-            ids, tags = np.asarray(batch.column("id")), np.asarray(batch.column("tag"))
+            cuts = np.concatenate([[0], np.cumsum(np.asarray(wanted.value_lengths()))])
+            ids, tags = np.asarray(batch.column("id")), np.asarray(batch.column("tag")).astype(np.int64) << 32
             for group in tb.groups(batch.column("text")):
                 starts, ends, bounds, spans, docs = _group_anchors(group, min_words, seed_words)
                 h1 = spans.windows(min_words)
@@ -147,72 +133,78 @@ def _windows(min_words: int, seed_words: int):
                     row = group.rows[i]
                     at = np.flatnonzero(np.isin(mins, values[cuts[row]:cuts[row + 1]]))
                     if len(at):
-                        parts.append((np.full(len(at), ids[row]), np.full(len(at), tags[row]), at,
-                                      tb.as_int64(h1[lo + at]), (h2[lo + at] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                        parts.append((np.full(len(at), ids[row]), tags[row] + at, tb.as_int64(h1[lo + at]),
+                                      (h2[lo + at] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                         held += len(at)
                 if held >= BLOCK_WINDOWS:
-                    yield from _reduce_block(parts, held)
+                    yield from _settle_block(parts)
                     parts, held = [], 0
         if parts:
-            yield from _reduce_block(parts, held)
+            yield from _settle_block(parts)
 
     return run
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and ``tag``, a hash that tells rows apart that share an id."""
+    """id, text and ``tag``, a 31-bit hash of the text that tells rows apart that share an id."""
     docs = pick(df, id=id_col, text=text_col)
-    return docs.select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("tag"))
+    tag = F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")
+    return docs.select(F.col("id").cast("long").alias("id"), "text", tag.alias("tag"))
 
 
 def repeat_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                  seed_words: int = SEED_WORDS) -> DataFrame:
     """Maximal word spans that also occur in a row with a smaller id.
 
-    One row per id and distinct text with such spans: ``id``, ``tag`` (hash of the text) and
-    ``spans``, ordered disjoint structs (``start``, ``stop``) in words.
+    One row per id with such spans: ``id`` and ``spans``, ordered disjoint structs (``tag``, ``start``,
+    ``stop``) in words; ``tag`` is the hash of the text that holds the span.
     """
     if not 0 < seed_words <= min_words:
         raise ValueError("seed_words must lie between 1 and min_words")
     prepare(df.sparkSession)
     docs = _rows(df, id_col, text_col)
-    seeds = stage(docs.where("id is not null").mapInArrow(_anchors(min_words, seed_words), f"anchor long, {_KEY}"), "seeds")
+    seeds = stage(docs.where("id is not null").mapInArrow(_anchors(min_words, seed_words), "anchor long, id long"), "seeds")
     shared = (seeds.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
               .where("lo < hi").select("anchor"))
-    wanted = seeds.join(shared, "anchor").groupBy("id", "tag").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = seeds.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     # rows without shared anchors pass through, so that this exchange of the texts is the one that
     # remove_repeats uses again; the task skips them
-    found = (docs.join(wanted.hint("shuffle_hash"), ["id", "tag"], "left").select("id", "tag", "text", "anchors")
-             .mapInArrow(_windows(min_words, seed_words), f"{_KEY}, at int, run int, h1 long, h2 int"))
-    # settled rows carry no window; they are spread by their id instead
-    by = Window.partitionBy("h1", "h2", F.when(F.col("h1").isNull(), F.col("id")))
-    first = F.min("id").over(by)
-    covered = (found.withColumn("first", first).where("h1 is null or first < id")
-               .select("id", "tag", "at", (F.col("at") + F.col("run") - 1 + min_words).alias("stop")))
-    return _merge(covered)
-
-
-def _merge(covered: DataFrame) -> DataFrame:
-    """Merge overlapping or adjoining [at, stop) per document; a document's windows are bounded by its words."""
-    order = Window.partitionBy("id", "tag").orderBy("at", "stop")
-    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    step = covered.withColumn("before", before)
-    step = step.withColumn("part", F.sum((F.col("before").isNull() | (F.col("at") > F.col("before"))).cast("int")).over(order))
-    return (step.groupBy("id", "tag", "part").agg(F.min("at").alias("start"), F.max("stop").alias("stop"))
-            .groupBy("id", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")))
+    found = (docs.join(wanted.hint("shuffle_hash"), "id", "left").select("id", "tag", "text", "anchors")
+             .mapInArrow(_windows(min_words, seed_words), "id long, at long, h1 long, h2 int"))
+    # settled rows need no lookup; they are spread by their id
+    by = Window.partitionBy("h1", "h2", F.when(F.col("h2").isNull(), F.col("id")))
+    covered = (found.withColumn("first", F.min("id").over(by)).where("h2 is null or first < id")
+               .select("id", "at", F.when(F.col("h2").isNull(), F.col("h1")).otherwise(1).alias("run")))
+    return _merge(covered, min_words)
+
+
+def _merge(covered: DataFrame, min_words: int) -> DataFrame:
+    """Merge windows that overlap or adjoin. Places hold the tag above bit 32, so texts never merge."""
+    order = Window.partitionBy("id").orderBy("at", "run")
+    spans = covered.select("id", "at", "run", (F.col("at") + F.col("run") + (min_words - 1)).alias("stop"))
+    spans = spans.withColumn("before", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.col("before").isNull() | (F.col("at") > F.col("before"))
+    spans = spans.withColumn("part", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    low = F.lit(0xFFFFFFFF).cast("long")
+    return (spans.groupBy("id", "part").agg(F.min("at").alias("start"), F.max("stop").alias("stop"))
+            .select("id", F.struct(F.shiftright("start", 32).cast("int").alias("tag"),
+                                   F.col("start").bitwiseAND(low).cast("int").alias("start"),
+                                   F.col("stop").bitwiseAND(low).cast("int").alias("stop")).alias("span"))
+            .groupBy("id").agg(F.sort_array(F.collect_list("span")).alias("spans")))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+        rows = zip(batch.column("text").to_pylist(), batch.column("tag").to_pylist(), batch.column("spans").to_pylist())
         totals, removed, kept = [], [], []
-        for text, cuts in zip(texts, spans):
+        for text, tag, cuts in rows:
             words = (text or "").encode().split()
             totals.append(len(words))
             gone = 0
             for cut in reversed(cuts or []):
-                del words[cut["start"]:cut["stop"]]
-                gone += cut["stop"] - cut["start"]
+                if cut["tag"] == tag:
+                    del words[cut["start"]:cut["stop"]]
+                    gone += cut["stop"] - cut["start"]
             removed.append(gone)
             kept.append(b" ".join(words))
         yield pa.RecordBatch.from_arrays(
@@ -229,7 +221,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text) and ``kept_text`` (kept words joined by one space).
     """
     spans = repeat_spans(df, id_col, text_col, min_words, seed_words)
-    rows = (_rows(df, id_col, text_col).join(spans.hint("shuffle_hash"), ["id", "tag"], "left")
-            .select("id", "text", "spans"))
+    rows = (_rows(df, id_col, text_col).join(spans.hint("shuffle_hash"), "id", "left")
+            .select("id", "tag", "text", "spans"))
     out = rows.mapInArrow(_cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.withColumnRenamed("id", id_col)
