@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_chunks, html_extract, near_dedup, packing, prefix_hashes, quality_rules, substring_dedup
+from . import bpe_chunks, html_extract, license_scan, lm_score, near_dedup, packing, prefix_hashes, quality_rules, sharding, substring_dedup
 from .frames import stage
 from .tokens import vocabulary
 
@@ -66,3 +67,26 @@ def op4(spark, sf_dir):
 @register("op8_html_main_text")
 def op8(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@register("op1_ce_difference", lm_score.ORACLE)
+def op1(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    out = lm_score.score(table(spark, sf_dir, "documents"), good)
+    return out.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "ce_difference")])
+
+
+@register("op7_license_scan", license_scan.oracle("source || '/' || lang || '/' || (doc_id // 100)::VARCHAR"))
+def op7(spark, sf_dir):
+    # documents stand for files in directories source/lang/hundred
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), path)
+
+
+#: bytes of text in a shard of the registered query
+SHARD_BYTES = 1 << 20
+
+
+@register("op9_extendible_sharding", sharding.oracle(SHARD_BYTES))
+def op9(spark, sf_dir):
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), limit_bytes=SHARD_BYTES)

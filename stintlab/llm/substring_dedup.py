@@ -31,10 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .frames import pick, prepare, stage
+from .frames import prepare, stage
 
 MIN_WORDS = 50
 SEED_WORDS = 20
@@ -145,15 +146,16 @@ def _windows(min_words: int, seed_words: int):
     return run
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and ``tag``, a 31-bit hash of the text that tells rows apart that share an id."""
-    docs = pick(df, id=id_col, text=text_col)
-    tag = F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int")
-    return docs.select(F.col("id").cast("long").alias("id"), "text", tag.alias("tag"))
+def _rows(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """id, text, the carried columns as ``rest``, and ``tag``, a 31-bit hash of the text that tells rows apart
+    that share an id."""
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"),
+                     F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in carry]).alias("rest"))
+    return docs.withColumn("tag", F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int"))
 
 
 def repeat_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                 seed_words: int = SEED_WORDS) -> DataFrame:
+                 seed_words: int = SEED_WORDS, carry: list[str] | None = None) -> DataFrame:
     """Maximal word spans that also occur in a row with a smaller id.
 
     One row per id with such spans: ``id`` and ``spans``, ordered disjoint structs (``tag``, ``start``,
@@ -162,14 +164,14 @@ def repeat_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 0 < seed_words <= min_words:
         raise ValueError("seed_words must lie between 1 and min_words")
     prepare(df.sparkSession)
-    docs = _rows(df, id_col, text_col)
-    seeds = stage(docs.where("id is not null").mapInArrow(_anchors(min_words, seed_words), "anchor long, id long"), "seeds")
+    docs = _rows(df, id_col, text_col, carry or [])
+    seeds = stage(docs.where("id is not null").select("id", "text").mapInArrow(_anchors(min_words, seed_words), "anchor long, id long"), "seeds")
     shared = (seeds.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
               .where("lo < hi").select("anchor"))
     wanted = seeds.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     # rows without shared anchors pass through, so that this exchange of the texts is the one that
     # remove_repeats uses again; the task skips them
-    found = (docs.join(wanted.hint("shuffle_hash"), "id", "left").select("id", "tag", "text", "anchors")
+    found = (docs.join(wanted.hint("shuffle_hash"), "id", "left").select("id", "tag", "text", "rest", "anchors")
              .mapInArrow(_windows(min_words, seed_words), "id long, at long, h1 long, h2 int"))
     # settled rows need no lookup; they are spread by their id
     by = Window.partitionBy("h1", "h2", F.when(F.col("h2").isNull(), F.col("id")))
@@ -193,35 +195,47 @@ def _merge(covered: DataFrame, min_words: int) -> DataFrame:
             .groupBy("id").agg(F.sort_array(F.collect_list("span")).alias("spans")))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(batch.column("text").to_pylist(), batch.column("tag").to_pylist(), batch.column("spans").to_pylist())
-        totals, removed, kept = [], [], []
-        for text, tag, cuts in rows:
-            words = (text or "").encode().split()
-            totals.append(len(words))
-            gone = 0
-            for cut in reversed(cuts or []):
-                if cut["tag"] == tag:
-                    del words[cut["start"]:cut["stop"]]
-                    gone += cut["stop"] - cut["start"]
-            removed.append(gone)
-            kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()),
-             pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-             pa.array([k.decode() for k in kept], pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+def _cut(as_is: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("text").to_pylist(), batch.column("tag").to_pylist(), batch.column("spans").to_pylist())
+            totals, removed, digests, kept = [], [], [], []
+            for text, tag, cuts in rows:
+                words = (text or "").encode().split()
+                totals.append(len(words))
+                gone = 0
+                for cut in reversed(cuts or []):
+                    if cut["tag"] == tag:
+                        del words[cut["start"]:cut["stop"]]
+                        gone += cut["stop"] - cut["start"]
+                removed.append(gone)
+                left = b" ".join(words)
+                digests.append(hashlib.sha256(left).hexdigest())
+                kept.append(text if as_is and not gone else left.decode())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("rest"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()),
+                 pa.array(digests, pa.string()), pa.array(kept, pa.string())],
+                ["id", "rest", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    return run
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                   seed_words: int = SEED_WORDS) -> DataFrame:
+                   seed_words: int = SEED_WORDS, carry: list[str] | None = None, as_is: bool = False) -> DataFrame:
     """Every row's text without the words of its repeat spans.
 
-    Columns: the id, ``n_words``, ``n_removed``, ``kept_sha256`` (lowercase hex of the UTF-8 kept
-    text) and ``kept_text`` (kept words joined by one space).
+    Columns: the id, the columns named in ``carry``, ``n_words``, ``n_removed``, ``kept_sha256`` (lowercase hex of
+    the kept words joined by one space, in UTF-8) and ``kept_text`` (those words; with ``as_is`` a text that
+    loses nothing stays as it was, white space included).
     """
-    spans = repeat_spans(df, id_col, text_col, min_words, seed_words)
-    rows = (_rows(df, id_col, text_col).join(spans.hint("shuffle_hash"), "id", "left")
-            .select("id", "tag", "text", "spans"))
-    out = rows.mapInArrow(_cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.withColumnRenamed("id", id_col)
+    carry = carry or []
+    clash = {id_col, "n_words", "n_removed", "kept_sha256", "kept_text"} & set(carry)
+    if clash:
+        raise ValueError(f"columns cannot be carried: {sorted(clash)}")
+    spans = repeat_spans(df, id_col, text_col, min_words, seed_words, carry)
+    rows = (_rows(df, id_col, text_col, carry).join(spans.hint("shuffle_hash"), "id", "left")
+            .select("id", "tag", "text", "rest", "spans"))
+    schema = (T.StructType().add("id", "long").add("rest", rows.schema["rest"].dataType).add("n_words", "long").add("n_removed", "long")
+              .add("kept_sha256", "string").add("kept_text", "string"))
+    out = rows.mapInArrow(_cut(as_is), schema)
+    return out.select(F.col("id").alias(id_col), *[F.col(f"rest.`{c}`").alias(c) for c in carry], "n_words", "n_removed", "kept_sha256", "kept_text")
