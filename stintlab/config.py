@@ -236,7 +236,7 @@ PANEL_UNKNOWN_REALS = [
 PIT_GBT = {"max_iter": 500, "max_depth": 5, "step_size": 0.03, "min_instances_per_node": 25,
            "subsampling_rate": 0.8, "feature_subset": "0.8", "seed": 42}
 COMPOUND_GBT = {"max_iter": 400, "max_depth": 5, "step_size": 0.05, "subsampling_rate": 0.8,
-                "feature_subset": "0.7", "seed": 42}
+                "feature_subset": "0.7", "seed": 42, "min_instances_per_node": 3, "min_info_gain": 0.1}
 
 
 @dataclass
@@ -278,11 +278,6 @@ class Config:
     metric_targets: dict = field(default_factory=lambda: dict(METRIC_TARGETS))
     pit_gbt: dict = field(default_factory=lambda: dict(PIT_GBT))
     compound_gbt: dict = field(default_factory=lambda: dict(COMPOUND_GBT))
-    # Largest dimension table we are willing to broadcast (rows); above it, shuffle joins.
-    broadcast_row_limit: int = 100_000
-    # Largest fitted table inlined as a literal map / array in an expression; above it
-    # the table stays a DataFrame and is applied with a (size-checked) broadcast join.
-    inline_limit: int = 1_000
 
     def replace(self, **kwargs: Any) -> "Config":
         out = copy.deepcopy(self)

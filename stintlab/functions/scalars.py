@@ -15,11 +15,6 @@ from pyspark.sql import types as T
 from .. import config as C
 
 
-def col_or(df_cols, name: str, default) -> Column:
-    """``name`` if the frame has it, else a literal default (optional-column rule)."""
-    return F.col(name) if name in df_cols else F.lit(default)
-
-
 def nan_to_null(c: Column) -> Column:
     """NaN is a value in Spark but missing in the semantics we follow: map it to NULL."""
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)

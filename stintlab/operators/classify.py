@@ -54,7 +54,7 @@ def score_table(df: DataFrame, score: str = "p", label: str = "y", by: list | No
     by = list(by or [])
     g = df.groupBy(*by, score).agg(F.sum(F.col(label)).alias("tp"), F.sum(1 - F.col(label)).alias("fp"))
     if bounds is None:
-        bounds = bucket_boundaries(df, score, 64)
+        bounds = bucket_boundaries(df, score)
     cum = running_totals(g, score, ["tp", "fp"], by=by, descending=True, bounds=bounds)
     tot = g.groupBy(*by).agg(F.sum("tp").alias("n_pos"), F.sum("fp").alias("n_neg"))
     return cum.join(tot, on=by, how="inner") if by else attach_scalars(cum, tot)
@@ -82,7 +82,7 @@ def tune_circuit_thresholds(val: DataFrame, cfg: C.Config, score: str = "p", lab
     """ML06: per-circuit thresholds over validation circuits plus configured ones;
     circuits without positives (or rows) get the global threshold.
     Returns (threshold frame (circuit, threshold), global threshold float)."""
-    bounds = bucket_boundaries(val, score, 64)  # shared by the global and per-circuit searches
+    bounds = bucket_boundaries(val, score)  # shared by the global and per-circuit searches
     glob = find_threshold_max_f1(val, score, label, bounds=bounds).first()
     global_thr = float(glob["threshold"]) if glob is not None and glob["threshold"] is not None else 0.5
     per = find_threshold_max_f1(val.withColumn("_c", F.col(circuit_col).cast("string")), score, label, by=["_c"],
@@ -101,9 +101,9 @@ def tune_circuit_thresholds(val: DataFrame, cfg: C.Config, score: str = "p", lab
 def predict_labels(df: DataFrame, thresholds: DataFrame, global_thr: float, score: str = "p",
                    circuit_col: str = "event_name") -> DataFrame:
     """PR21 + JN11: 2 if score >= the circuit's threshold (default: global), else 0.
-    The threshold table has one row per circuit; AQE broadcasts it at runtime."""
+    The threshold table has one row per circuit of the sport and is broadcast."""
     thr = thresholds.select(F.col(circuit_col).alias("_tc"), F.col("threshold").alias("_thr"))
-    joined = df.join(thr, F.col(circuit_col).cast("string") == F.col("_tc"), "left")
+    joined = df.join(F.broadcast(thr), F.col(circuit_col).cast("string") == F.col("_tc"), "left")
     limit = F.coalesce(F.col("_thr"), F.lit(float(global_thr)))
     return joined.withColumn("pred_label", F.when(F.col(score) >= limit, 2).otherwise(0).cast("int")) \
         .drop("_tc", "_thr")
@@ -179,8 +179,9 @@ class PitModel:
         from pyspark.sql import SparkSession
         spark = SparkSession.active()
         if self.thresholds is not None:
-            self.thresholds.coalesce(1).write.mode("overwrite").parquet(f"{path}/thresholds")
-        meta = {"features": self.features, "global_threshold": self.global_threshold}
+            self.thresholds.write.mode("overwrite").parquet(f"{path}/thresholds")
+        meta = {"features": self.features, "global_threshold": self.global_threshold,
+                "calibrated": self.calibrator is not None, "per_circuit": self.thresholds is not None}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(
             f"{path}/meta")
 
@@ -189,25 +190,23 @@ class PitModel:
         import json
         from pyspark.ml import PipelineModel
         from pyspark.ml.regression import IsotonicRegressionModel
-        pipeline = PipelineModel.load(f"{path}/pipeline")
-        try:
-            calibrator = IsotonicRegressionModel.load(f"{path}/calibrator")
-        except Exception:  # noqa: BLE001 - calibrator is optional
-            calibrator = None
+        # the metadata, written last, says which parts belong to the model: one that is
+        # missing or broken is an error
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        try:
-            thresholds = spark.read.parquet(f"{path}/thresholds")
-        except Exception:  # noqa: BLE001 - thresholds are optional
-            thresholds = None
+        pipeline = PipelineModel.load(f"{path}/pipeline")
+        calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if meta["calibrated"] else None
+        thresholds = spark.read.parquet(f"{path}/thresholds") if meta["per_circuit"] else None
         return cls(pipeline, calibrator, meta["features"], thresholds, float(meta["global_threshold"]))
 
 
-def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
-    """Balanced class weights n / (2 * n_class) as a column ``w``."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
+def class_weights(df: DataFrame, fitted_on: DataFrame | None = None, label: str = "y") -> DataFrame:
+    """Balanced class weights n / (2 * n_class) as a column ``w``, counted on ``fitted_on``
+    (the training rows) and applied to ``df``. One row per class."""
+    src = df if fitted_on is None else fitted_on
+    counts = src.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    total = src.agg(F.count(F.lit(1)).alias("_n"))
     weights = attach_scalars(counts, total).select(label, (F.col("_n") / (2.0 * F.col("_nc"))).alias("w"))
-    return df.join(F.broadcast(weights), on=label, how="left")
+    return df.join(F.broadcast(weights), on=label, how="left").withColumn("w", F.coalesce("w", F.lit(1.0)))
 
 
 def train_pit_model(train: DataFrame, val: DataFrame, cfg: C.Config, features: list | None = None,
@@ -222,7 +221,7 @@ def train_pit_model(train: DataFrame, val: DataFrame, cfg: C.Config, features: l
     features = features or pit_feature_names(train, cfg)
     tr = build_pit_window_dataset(train, cfg, features).withColumn("_is_val", F.lit(False))
     va = build_pit_window_dataset(val, cfg, features).withColumn("_is_val", F.lit(True))
-    both = class_weights(tr.unionByName(va, allowMissingColumns=True), "y")
+    both = class_weights(tr.unionByName(va, allowMissingColumns=True), fitted_on=tr)
     p = cfg.pit_gbt
     gbt = GBTClassifier(labelCol="y", featuresCol="features", weightCol="w", validationIndicatorCol="_is_val",
                         maxIter=max_iter or p["max_iter"], maxDepth=p["max_depth"], stepSize=p["step_size"],

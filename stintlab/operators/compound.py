@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
-from ..session import sized_broadcast
 
 BASE_COLS = C.FINGERPRINT_COLS + ["lap_count_norm"]
 
@@ -23,17 +22,16 @@ def build_compound_dataset(quali: DataFrame, fp: DataFrame, target_col: str = "c
     fp_cols = [c for c in fp.columns if c != "event_name"]
     clash = [c for c in fp_cols if c in quali.columns]
     fp_side = fp.select("event_name", *[F.col(c).alias(f"{c}_fp" if c in clash else c) for c in fp_cols])
-    # The fingerprint table has one row per circuit; AQE broadcasts it at runtime.
-    merged = quali.join(fp_side, on="event_name", how="left")
+    # the fingerprint table has one row per circuit of the sport
+    merged = quali.join(F.broadcast(fp_side), on="event_name", how="left")
     pace = []
     if "LapTime" in merged.columns or "LapTime_s" in merged.columns:
         if "LapTime_s" not in merged.columns:
             merged = merged.withColumn("LapTime_s", S.to_seconds_col(merged, "LapTime"))
         # AG12: fastest lap per (season, event) as a partial aggregate (one row per
-        # session, size-checked broadcast) rather than a session-wide window
+        # session) rather than a session-wide window
         fastest = merged.groupBy("season", "event_name").agg(F.min("LapTime_s").alias("_fastest"))
-        merged = merged.join(sized_broadcast(fastest, C.Config().broadcast_row_limit), ["season", "event_name"],
-                             "left")
+        merged = merged.join(fastest, ["season", "event_name"], "left")
         merged = merged.withColumn("qualifying_pace_delta_s", F.col("LapTime_s") - F.col("_fastest"))
         pace = ["qualifying_pace_delta_s"]
     weather = [c for c in ["AirTemp", "Humidity", "TrackTemp"] if c in merged.columns]

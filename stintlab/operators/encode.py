@@ -1,22 +1,21 @@
 """Train-fitted state: categorical encoders and historical SC probability.
 
 Statistics are fitted on the training split only and applied to any split
-(``FeatureState.fit`` / ``apply``). The fitted tables are tiny — one row per circuit or
-team — and are pulled to the driver only after their size is checked; they are then
-applied as literal ``map`` lookups (codegen'd, no join). Above the limit they stay
-DataFrames and are applied with a left join, which AQE plans at runtime.
+(``FeatureState.fit`` / ``apply``). The fitted tables stay DataFrames with one row per
+circuit or team, and are applied as broadcast left joins: their size is bounded by the
+sport, not by the laps.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
-from ..session import sized_broadcast
+from .ranking import attach_scalars
 
 
 def _labels(c):
@@ -35,7 +34,7 @@ def historical_sc_table(reference: DataFrame, cfg: C.Config) -> DataFrame:
     """AG01: max caution flag per (season, event) -> mean per event."""
     flag = "sc_or_vsc_flag" if "sc_or_vsc_flag" in reference.columns else "safety_car_flag"
     if flag not in reference.columns:
-        raise KeyError("historical reference must include sc_or_vsc_flag or safety_car_flag")
+        raise KeyError("the SC reference needs a caution flag column")
     races = reference.groupBy("season", "event_name").agg(F.max(flag).alias("had_sc"))
     return races.filter(F.col("event_name").isNotNull()) \
         .groupBy("event_name").agg(F.avg("had_sc").alias("historical_sc_prob"))
@@ -45,96 +44,40 @@ def assert_seasons_subset(df: DataFrame, allowed, what: str) -> None:
     """ST4: the seasons of ``df`` must be a subset of ``allowed`` (left-anti must be empty)."""
     bad = df.select("season").distinct().filter(~F.col("season").isin(*[int(s) for s in allowed]))
     if bad.limit(1).count() > 0:
-        raise AssertionError(f"{what} must be computed from training seasons only")
-
-
-def _collect_small(df: DataFrame, key: str, value: str, limit: int):
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return {r[key]: r[value] for r in rows}
+        raise AssertionError(f"{what}: rows from outside the training seasons")
 
 
 @dataclass
 class FeatureState:
-    circuit_codes: object  # dict label->code, or a DataFrame(label, code) when large
-    team_codes: object
-    sc_prob: object        # dict event->prob, or DataFrame(event_name, historical_sc_prob)
-    sc_default: float
-    limit: int = field(default=C.Config().broadcast_row_limit)
+    """Train-fitted tables: ``circuit_codes`` and ``team_codes`` (label, code), ``sc_prob``
+    (event_name, historical_sc_prob) and its one-row mean ``sc_default``."""
+
+    circuit_codes: DataFrame
+    team_codes: DataFrame
+    sc_prob: DataFrame
+    sc_default: DataFrame
 
     @classmethod
     def fit(cls, train: DataFrame, cfg: C.Config, reference: DataFrame | None = None,
             check_seasons: bool = True) -> "FeatureState":
-        """One small aggregate, one collect: per (season, circuit label, team label)
-        the max caution flag. Its size is bounded by seasons x circuits x teams and is
-        checked before collecting; above the limit the state stays as DataFrames."""
-        limit = cfg.broadcast_row_limit
-        if reference is None:
-            flag = "sc_or_vsc_flag" if "sc_or_vsc_flag" in train.columns else "safety_car_flag"
-            summary = train.groupBy("season", "event_name", _labels(F.col("event_name")).alias("c_label"),
-                                    _labels(F.col("Team")).alias("t_label")).agg(F.max(flag).alias("had_sc"))
-            rows = summary.limit(limit + 1).collect()
-            if len(rows) <= limit:
-                # ST4 on the collected summary (it is grouped by season): no extra job
-                if check_seasons and not {r["season"] for r in rows} <= {int(x) for x in cfg.train_seasons}:
-                    raise AssertionError("historical_sc_prob must be computed from training seasons only")
-                circuits = sorted({r["c_label"] for r in rows})
-                teams = sorted({r["t_label"] for r in rows})
-                races: dict = {}
-                for r in rows:
-                    if r["event_name"] is None:
-                        continue
-                    key = (r["season"], r["event_name"])
-                    races[key] = max(races.get(key, r["had_sc"]), r["had_sc"])
-                per_event: dict = {}
-                for (_, event), had in races.items():
-                    per_event.setdefault(event, []).append(had)
-                sc_map = {e: float(sum(v)) / len(v) for e, v in per_event.items()}
-                default = float(sum(sc_map.values()) / len(sc_map)) if sc_map else 0.0
-                spark = train.sparkSession
-                c_codes = {c: i for i, c in enumerate(circuits)}
-                t_codes = {t: i for i, t in enumerate(teams)}
-                # small tables are inlined as map literals; larger ones become DataFrames
-                # (bounded by the collected row count) applied with a broadcast join
-                as_table = lambda m, k, v, kt, vt: m if len(m) <= cfg.inline_limit else \
-                    spark.createDataFrame(list(m.items()), f"{k} {kt}, {v} {vt}")
-                return cls(as_table(c_codes, "label", "code", "string", "int"),
-                           as_table(t_codes, "label", "code", "string", "int"),
-                           as_table(sc_map, "event_name", "historical_sc_prob", "string", "double"),
-                           default, limit)
-            if check_seasons:
-                assert_seasons_subset(train, cfg.train_seasons, "historical_sc_prob")
-            reference = train
+        """Fit on ``train``; SC probabilities on ``reference`` where one is given."""
+        reference = train if reference is None else reference
         if check_seasons:
             assert_seasons_subset(reference, cfg.train_seasons, "historical_sc_prob")
-        circuits = fit_label_encoder(train, "event_name")
-        teams = fit_label_encoder(train, "Team")
         sc = historical_sc_table(reference, cfg)
-        c_map = _collect_small(circuits, "label", "code", cfg.inline_limit)
-        t_map = _collect_small(teams, "label", "code", cfg.inline_limit)
-        sc_map = _collect_small(sc, "event_name", "historical_sc_prob", cfg.inline_limit)
-        if sc_map is not None:
-            default = float(sum(sc_map.values()) / len(sc_map)) if sc_map else 0.0
-        else:
-            default = float(sc.agg(F.avg("historical_sc_prob")).first()[0] or 0.0)
-        return cls(c_map if c_map is not None else circuits,
-                   t_map if t_map is not None else teams,
-                   sc_map if sc_map is not None else sc, default, limit)
+        default = sc.agg(F.coalesce(F.avg("historical_sc_prob"), F.lit(0.0)).alias("_sc_default"))
+        return cls(fit_label_encoder(train, "event_name"), fit_label_encoder(train, "Team"), sc, default)
 
     # -- application ---------------------------------------------------------
     @staticmethod
-    def _encode(df: DataFrame, src: str, codes, out: str) -> DataFrame:
-        if isinstance(codes, dict):
-            if not codes:
-                return df.withColumn(out, F.lit(-1))
-            return df.withColumn(out, F.coalesce(S.literal_map(codes)[_labels(F.col(src))], F.lit(-1)).cast("int"))
-        dim = sized_broadcast(codes.withColumnRenamed("code", out), C.Config().broadcast_row_limit)
-        joined = df.withColumn("_label", _labels(F.col(src))).join(dim, F.col("_label") == dim["label"], "left")
-        return joined.withColumn(out, F.coalesce(F.col(out), F.lit(-1)).cast("int")).drop("_label", "label")
+    def _encode(df: DataFrame, src: str, codes: DataFrame, out: str) -> DataFrame:
+        # one row per circuit or team of the sport: bounded by construction
+        dim = F.broadcast(codes.select(F.col("label").alias("_label"), F.col("code").alias("_code")))
+        joined = df.withColumn("_label", _labels(F.col(src))).join(dim, "_label", "left")
+        return joined.withColumn(out, F.coalesce("_code", F.lit(-1)).cast("int")).drop("_label", "_code")
 
     def encode(self, df: DataFrame) -> DataFrame:
-        """ML01 / JN14 / PR08 / PR10 / PR11 (``encode_categoricals``)."""
+        """ML01 / JN14 / PR08 / PR10 / PR11 as one step."""
         out = self._encode(df, "event_name", self.circuit_codes, "circuit_id_enc")
         out = out.withColumn("circuit_id", F.col("circuit_id_enc"))
         out = out.withColumn("compound_type", S.compound_code(F.col("Compound")))
@@ -147,17 +90,6 @@ class FeatureState:
 
     def add_historical_sc_prob(self, df: DataFrame) -> DataFrame:
         """JN06: per-event probability, default = mean over events."""
-        if isinstance(self.sc_prob, dict):
-            if not self.sc_prob:
-                return df.withColumn("historical_sc_prob", F.lit(self.sc_default))
-            return df.withColumn("historical_sc_prob",
-                                 F.coalesce(S.literal_map(self.sc_prob)[F.col("event_name")],
-                                            F.lit(self.sc_default)))
-        out = df.join(sized_broadcast(self.sc_prob, C.Config().broadcast_row_limit), on="event_name", how="left")
-        return out.withColumn("historical_sc_prob", F.coalesce(F.col("historical_sc_prob"), F.lit(self.sc_default)))
-
-
-def encode_categoricals(df: DataFrame, cfg: C.Config, state: FeatureState | None = None):
-    """Fit on ``df`` (no state) or apply a train-fitted state; returns (frame, state)."""
-    state = state or FeatureState.fit(df, cfg, check_seasons=False)
-    return state.encode(df), state
+        out = df.join(F.broadcast(self.sc_prob), on="event_name", how="left")  # one row per circuit
+        out = attach_scalars(out, self.sc_default)
+        return out.withColumn("historical_sc_prob", F.coalesce("historical_sc_prob", "_sc_default")).drop("_sc_default")

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
-from ..session import sized_broadcast
 from ..sources.laps import SESSION_KEYS, STINT_KEYS, STINT_SHUFFLE_KEYS
 from .ranking import attach_scalars
 
@@ -169,7 +168,8 @@ def add_lap_level_features(df: DataFrame, cfg: C.Config, gap: bool = True, under
                                                           F.col("Driver").asc_nulls_first())
             out = out.withColumn("_below", F.max(pitter_gap).over(w_gap.rowsBetween(Window.unboundedPreceding, -1)))
             out = out.withColumn("_below", F.min("_below").over(Window.partitionBy(*(lap_keys + ["_gap"]))))
-            threat = F.col("_gap").isNotNull() & F.col("_below").isNotNull() & \
+            # where no rival is below, a peer's own gap is all that min() can find: it is no threat
+            threat = F.col("_gap").isNotNull() & F.col("_below").isNotNull() & (F.col("_below") < F.col("_gap")) & \
                 ((F.col("_gap") - F.col("_below")) < F.lit(float(cfg.undercut_threat_gap_s)))
             out = out.withColumn("undercut_threat", F.when(threat, 1).otherwise(0).cast("int"))
             out = out.drop("_recent_pit", "_below")
@@ -218,8 +218,7 @@ def add_track_evolution(df: DataFrame, cfg: C.Config, source: DataFrame | None =
     out = df if "_lap_median" in df.columns else add_lap_level_features(df, cfg, gap=False, undercut=False)
     skeys = _session_keys(out)
     lap3 = lap3_medians(source if source is not None else out, cfg)
-    out = out.join(sized_broadcast(lap3, cfg.broadcast_row_limit), on=skeys, how="left") if skeys \
-        else attach_scalars(out, lap3)
+    out = out.join(lap3, on=skeys, how="left") if skeys else attach_scalars(out, lap3)
     return out.withColumn("track_evolution_delta", F.col("_lap3_median") - F.col("_lap_median")) \
         .drop("_lap3_median", "_lap_median")
 
@@ -239,7 +238,7 @@ def add_lap_norm(df: DataFrame, fitted_max_laps: float | None = None, within: li
         totals = totals.withColumn("_max_total", F.max("_total_laps").over(Window.partitionBy(*within)))
     else:
         totals = totals.withColumn("_max_total", F.lit(float(fitted_max_laps)))
-    out = df.join(sized_broadcast(totals, C.Config().broadcast_row_limit), on=keys, how="left")
+    out = df.join(totals, on=keys, how="left")
     return out.withColumns({
         "lap_norm": F.col("LapNumber") / F.col("_total_laps"),
         "lap_count_norm": F.col("_total_laps") / F.col("_max_total"),
@@ -255,22 +254,31 @@ def add_circuit_softness(df: DataFrame, cfg: C.Config) -> DataFrame:
 
 # --------------------------------------------------------------------------- AG16
 
-def null_fraction_gate(df: DataFrame, cols=("lap_time_delta_s", "deg_acceleration", "tire_age_laps",
-                                            "undercut_threat"), limit: float = 0.05) -> DataFrame:
-    """AG16: fail (at action time) when a key column has more than 5 % NULLs.
+GATED = ("lap_time_delta_s", "deg_acceleration", "tire_age_laps", "undercut_threat")
 
-    Implemented as a lazy check: a one-row aggregate whose ``raise_error`` fires in the
-    executor; ``check_null_fractions`` runs it.
-    """
-    aggs = [F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols if c in df.columns]
-    return df.agg(*aggs)
-
-
-def check_null_fractions(df: DataFrame, cols=("lap_time_delta_s", "deg_acceleration", "tire_age_laps",
-                                              "undercut_threat"), limit: float = 0.05) -> dict:
-    row = null_fraction_gate(df, cols, limit).first()
-    fractions = row.asDict() if row is not None else {}
-    for name, frac in fractions.items():
-        if frac is not None and frac > limit:
-            raise AssertionError(f"{name} exceeds {limit:.0%} null threshold: {frac:.3f}")
-    return fractions
+
+def null_fractions(df: DataFrame, cols=GATED) -> DataFrame:
+    """AG16: share of NULLs per key column (one aggregate, one row)."""
+    return df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols if c in df.columns])
+
+
+def null_fraction_gate(df: DataFrame, cols=GATED, limit: float = 0.05) -> DataFrame:
+    """AG16, lazy: ``df`` itself, whose rows fail at action time when a key column has more
+    than ``limit`` NULLs. The one-row aggregate is attached to every row."""
+    names = [c for c in cols if c in df.columns]
+    if not names:
+        return df
+    over = F.concat_ws(", ", *[F.when(F.col(c) > F.lit(limit), F.concat(F.lit(f"{c}: "), F.round(c, 3).cast("string"))) for c in names])
+    verdict = null_fractions(df, names).select(F.when(over != "", F.raise_error(F.concat(F.lit("too many nulls in "), over)))
+                                               .otherwise(F.lit(True)).alias("_gate"))
+    return attach_scalars(df, verdict).filter("_gate").drop("_gate")
+
+
+def check_null_fractions(df: DataFrame, cols=GATED, limit: float = 0.05) -> dict:
+    """AG16, eager: the fractions, or an error that names the columns over the limit."""
+    row = null_fractions(df, cols).first()
+    found = {k: v for k, v in row.asDict().items() if v is not None}
+    bad = [f"{k} {v:.3f}" for k, v in found.items() if v > limit]
+    if bad:
+        raise AssertionError(f"share of nulls over {limit:.0%}: {', '.join(bad)}")
+    return found

@@ -3,21 +3,19 @@ leave-one-circuit-out validation (AG17-AG18).
 
 Every fingerprint dimension is a partial aggregate per circuit (map-side combined), so
 the lap table is never brought to one task; the fingerprint table has one row per
-circuit. Distances run over that small table: its vectors are collected after a size
-check and compared with higher-order array functions — no join, no cross product.
+circuit. Nearest fingerprints come from an equi-join on shared dimension values.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
+from ..sources.io import exists
 from .encode import assert_seasons_subset
-from .ranking import exact_quantiles
+from .ranking import attach_scalars, exact_quantiles
 
 COMPOUNDS = ["SOFT", "MEDIUM", "HARD"]
 
@@ -85,24 +83,26 @@ def fingerprint_distance(a: Column, b: Column, ranges: Column | None = None) ->
     return F.sqrt(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def _collect_vectors(fp: DataFrame, limit: int):
-    rows = fp.select("event_name", *C.FINGERPRINT_COLS).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"fingerprint table exceeds {limit} rows; refusing to inline it")
-    return rows
-
-
 def nearest_fingerprint(fp: DataFrame, cfg: C.Config, include_self: bool = True) -> DataFrame:
     """JN12: per circuit, the distance to the nearest fingerprint (itself included by
-    default, as specified — then always 0)."""
-    rows = _collect_vectors(fp, cfg.inline_limit)
-    others = F.array(*[F.struct(F.lit(r["event_name"]).alias("event_name"),
-                                F.array(*[F.lit(float(r[c])) for c in C.FINGERPRINT_COLS]).alias("v"))
-                       for r in rows])
-    cands = others if include_self else F.filter(others, lambda o: ~o["event_name"].eqNullSafe(F.col("event_name")))
-    dists = F.transform(cands, lambda o: fingerprint_distance(fp_vector(), o["v"]))
-    return fp.select("circuit_id", "event_name",
-                     F.when(F.size(dists) > 0, F.array_min(dists)).alias("fingerprint_distance"))
+    default, as specified — then always 0).
+
+    With the default metric a distance is the root of the number of differing
+    dimensions, so the nearest fingerprint is the one that shares most of them: one
+    equi-join on (dimension, value) over the circuit table, no pairs without a match.
+    """
+    n = len(C.FINGERPRINT_COLS)
+    dims = fp.select("circuit_id", "event_name", F.posexplode(fp_vector()).alias("dim", "v"))
+    other = dims.select(F.col("circuit_id").alias("_o"), F.col("event_name").alias("_e"), "dim", "v")
+    different = F.lit(True) if include_self else ~F.col("event_name").eqNullSafe(F.col("_e"))
+    best = (dims.join(other, ["dim", "v"]).filter(different).groupBy("circuit_id", "event_name", "_o", "_e")
+            .agg(F.count(F.lit(1)).alias("_same")).groupBy("circuit_id", "event_name").agg(F.max("_same").alias("_same")))
+    # a circuit that shares nothing with any other has the full distance, if there is another
+    events = fp.agg(F.count_distinct(F.coalesce("event_name", F.lit(""))).alias("_n"))
+    out = attach_scalars(fp.select("circuit_id", "event_name").join(best, ["circuit_id", "event_name"], "left"), events)
+    alone = (F.col("_n") < 2) & F.lit(not include_self)
+    return out.select("circuit_id", "event_name",
+                      F.when(~alone, F.sqrt(F.lit(float(n)) - F.coalesce("_same", F.lit(0)))).alias("fingerprint_distance"))
 
 
 def run_loco_cv(full: DataFrame, fp: DataFrame, cfg: C.Config, include_self: bool = True) -> DataFrame:
@@ -119,18 +119,16 @@ def run_loco_cv(full: DataFrame, fp: DataFrame, cfg: C.Config, include_self: boo
     near = nearest_fingerprint(fp, cfg, include_self).select(
         F.col("event_name").alias("circuit"), "fingerprint_distance")
     held = test.select(F.col("event_name").alias("circuit")).distinct().join(near, "circuit", "inner")
-    held_names = [r["circuit"] for r in held.select("circuit").limit(cfg.inline_limit + 1).collect()]
-    if len(held_names) > cfg.inline_limit:
-        raise ValueError("too many held-out circuits to inline")
     hist = train.filter(F.col("lap_time_delta_s").isNotNull()).groupBy("event_name", "lap_time_delta_s") \
         .agg(F.count(F.lit(1)).alias("_cnt"))
-    fan = hist.withColumn("circuit", F.explode(F.filter(
-        F.array(*[F.lit(n) for n in held_names]) if held_names else F.array().cast("array<string>"),
-        lambda h: ~h.eqNullSafe(F.col("event_name")))))
+    # the held-out circuits as one array (bounded by the circuits of the sport)
+    names = held.agg(F.collect_set("circuit").alias("_held"))
+    fan = attach_scalars(hist, names).withColumn(
+        "circuit", F.explode(F.filter("_held", lambda h: ~h.eqNullSafe(F.col("event_name"))))).drop("_held")
     baseline = exact_quantiles(fan, "lap_time_delta_s", [0.5], by=["circuit"], weight="_cnt") \
         .select("circuit", F.col("q0").alias("_baseline"))
     held_laps = test.select(F.col("event_name").alias("circuit"), "lap_time_delta_s")
-    mae = held_laps.join(baseline, "circuit", "left").groupBy("circuit").agg(
+    mae = held_laps.join(F.broadcast(baseline), "circuit", "left").groupBy("circuit").agg(
         F.avg(F.abs(F.col("lap_time_delta_s") - F.col("_baseline"))).alias("mae_p50"))
     return held.join(mae, "circuit", "left").select(
         "circuit", "mae_p50", "fingerprint_distance",
@@ -145,12 +143,12 @@ def loco_pearson(loco: DataFrame) -> DataFrame:
 
 
 def save_fingerprints(fp: DataFrame, path: str) -> None:
-    """SRC4: one small parquet file."""
-    fp.coalesce(1).write.mode("overwrite").parquet(path)
+    """SRC4: a small parquet table."""
+    fp.write.mode("overwrite").parquet(path)
 
 
 def load_fingerprints(spark, path: str) -> DataFrame:
     """SRC4."""
-    if not os.path.exists(path) and not path.startswith(("hdfs:", "s3", "gs:", "abfs")):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     return spark.read.parquet(path)

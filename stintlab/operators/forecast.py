@@ -9,8 +9,6 @@ key); predictions are equi-joins. The output keeps the prediction-table interfac
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +30,11 @@ def predict_quantiles(train: DataFrame, test: DataFrame, cfg: C.Config, target:
     """ML13 + JN08 + AG13: prediction table for every test lap with a prediction."""
     out = test.select("driver_stint_id", "event_name", "LapNumber", "Compound", "tire_age_laps")
     names = ["p10", "p50", "p90"]
-    bounds = bucket_boundaries(train.filter(F.col(target).isNotNull()), target, 64)  # shared by all levels
+    bounds = bucket_boundaries(train.filter(F.col(target).isNotNull()), target)  # shared by all levels
     for level, keys in enumerate(LEVELS):
         table = fit_quantile_table(train, cfg, keys, target, bounds)
         table = table.select(*keys, *[F.col(f"_q{i}").alias(f"_l{level}_{i}") for i in range(len(names))])
-        out = out.join(table, on=keys, how="left")
+        out = out.join(F.broadcast(table), on=keys, how="left")  # circuits x compounds x tyre ages at most
     preds = out.select(
         "driver_stint_id", "event_name", "LapNumber",
         *[F.coalesce(*[F.col(f"_l{lv}_{i}") for lv in range(len(LEVELS))]).alias(n) for i, n in enumerate(names)])
@@ -78,16 +76,37 @@ def first_cliff_lap(curve: DataFrame, cfg: C.Config) -> DataFrame:
 
 
 def cubic_trend(curve: DataFrame, x: str = "LapNumber", y: str = "p50", by: str = "event_name") -> DataFrame:
-    """ML14: cubic least-squares trend of the mean p50 curve per circuit (>= 4 points).
-
-    The curve table has one row per (circuit, lap), so each group is bounded by the
-    number of laps; a grouped Pandas UDF solves the 4x4 least-squares problem."""
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[x, y]).sort_values(x)
-        if len(pdf) < 4:
-            return pd.DataFrame({by: [], "c3": [], "c2": [], "c1": [], "c0": []})
-        coef = np.polyfit(pdf[x].astype(float).to_numpy(), pdf[y].astype(float).to_numpy(), 3)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "c3": [coef[0]], "c2": [coef[1]], "c1": [coef[2]],
-                             "c0": [coef[3]]})
-    schema = f"{by} string, c3 double, c2 double, c1 double, c0 double"
-    return curve.select(by, x, y).groupBy(by).applyInPandas(fit, schema)
+    """ML14: cubic least-squares trend of the mean p50 curve per circuit (>= 4 distinct laps).
+
+    One aggregate of power sums per circuit gives the normal equations. Laps are centred
+    and scaled per circuit first, which keeps the 4x4 system well conditioned; it is
+    solved by elimination over columns and the coefficients are moved back.
+    """
+    rows = curve.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    size = rows.groupBy(by).agg(F.avg("_x").alias("_m"), F.greatest(F.stddev_pop("_x"), F.lit(1e-9)).alias("_s"), F.count_distinct("_x").alias("_n"))
+    z = rows.join(F.broadcast(size), by).filter("_n >= 4").withColumn("_z", (F.col("_x") - F.col("_m")) / F.col("_s"))
+    sums = z.groupBy(by, "_m", "_s").agg(*[F.sum(F.pow("_z", F.lit(k))).alias(f"_p{k}") for k in range(7)],
+                                         *[F.sum(F.pow("_z", F.lit(k)) * F.col("_y")).alias(f"_b{k}") for k in range(4)])
+    out = sums.withColumns({f"_a{i}{j}": F.col(f"_p{i + j}") for i in range(4) for j in range(4)})
+    for k in range(4):  # Gauss-Jordan; the matrix is positive definite, so pivots are not zero
+        out = out.withColumns({**{f"_a{k}{j}": F.col(f"_a{k}{j}") / F.col(f"_a{k}{k}") for j in range(4)},
+                               f"_b{k}": F.col(f"_b{k}") / F.col(f"_a{k}{k}")})
+        for i in [i for i in range(4) if i != k]:
+            out = out.withColumns({**{f"_a{i}{j}": F.col(f"_a{i}{j}") - F.col(f"_a{i}{k}") * F.col(f"_a{k}{j}") for j in range(4)},
+                                   f"_b{i}": F.col(f"_b{i}") - F.col(f"_a{i}{k}") * F.col(f"_b{k}")})
+    d0, d1, d2, d3 = (F.col(f"_b{k}") / F.pow("_s", F.lit(k)) for k in range(4))
+    m = F.col("_m")
+    return out.select(by, d3.alias("c3"), (d2 - 3 * d3 * m).alias("c2"), (d1 - 2 * d2 * m + 3 * d3 * m * m).alias("c1"),
+                      (d0 - d1 * m + d2 * m * m - d3 * m * m * m).alias("c0"))
+
+
+def trend_points(curve: DataFrame, trend: DataFrame, x: str = "LapNumber", by: str = "event_name") -> DataFrame:
+    """ML14 applied: the trend's value at every lap of the curve."""
+    v = F.col(x).cast("double")
+    value = ((F.col("c3") * v + F.col("c2")) * v + F.col("c1")) * v + F.col("c0")
+    return curve.join(F.broadcast(trend), by).select(by, x, value.alias("trend"))
+
+
+def ordered_predictions(pred: DataFrame) -> DataFrame:
+    """SO4: the prediction table in (stint, lap) order (a range-partitioned sort)."""
+    return pred.orderBy("driver_stint_id", "LapNumber")

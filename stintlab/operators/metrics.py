@@ -86,24 +86,20 @@ def mae_by_group(df: DataFrame, by: str = "Compound", y: str = "y", pred: str =
                                F.count(F.lit(1)).alias("n"))
 
 
-def accuracy(df: DataFrame, y: str = "label", pred: str = "prediction") -> DataFrame:
-    """MS07: share of exact matches."""
-    return df.agg(F.avg((F.col(y) == F.col(pred)).cast("double")).alias("accuracy"))
-
-
 def metric_report(metrics: DataFrame, cfg: C.Config, section: str = "") -> DataFrame:
-    """MS08: a one-row metric frame -> long (section, metric, value, target) table.
-    Numeric metrics only; the target comes from the configured target table."""
-    numeric = [f.name for f in metrics.schema.fields if f.dataType.typeName() in
-               ("double", "float", "integer", "long", "short", "decimal")]
+    """MS08: a one-row metric frame -> long (section, metric, value, text, target) table. Numbers go
+    to ``value``, strings to ``text``; the target comes from the configured target table."""
+    numeric = ("double", "float", "integer", "long", "short", "decimal")
     prefix = f"{section}_" if section.startswith("counterfactual") else ""
-    stacked = metrics.select(F.explode(F.array(*[
-        F.struct(F.lit(f"{prefix}{c}").alias("metric"), F.col(c).cast("double").alias("value")) for c in numeric
-    ])).alias("m")).select("m.*")
+    entries = []
+    for f in metrics.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in numeric or kind == "string":
+            entries.append(F.struct(
+                F.lit(f"{prefix}{f.name}").alias("metric"),
+                (F.col(f.name).cast("double") if kind in numeric else F.lit(None).cast("double")).alias("value"),
+                (F.col(f.name) if kind == "string" else F.lit(None).cast("string")).alias("text")))
+    stacked = metrics.select(F.explode(F.array(*entries)).alias("m")).select("m.*")
     targets = metrics.sparkSession.createDataFrame(list(cfg.metric_targets.items()), "metric string, target double")
-    return stacked.join(F.broadcast(targets), "metric", "left").select(
-        F.lit(section).alias("section"), "metric", "value", "target")
-
-
-def share_within(df: DataFrame, count_col: str, by: list) -> DataFrame:
-    return df.withColumn("share", F.col(count_col) / F.sum(count_col).over(Window.partitionBy(*by)))
+    return stacked.join(F.broadcast(targets), "metric", "left").select(  # the configured targets: a few rows
+        F.lit(section).alias("section"), "metric", "value", "text", "target")

@@ -11,19 +11,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..session import sized_broadcast
 from .ranking import attach_scalars
 
 SESSION = ["season", "event_name", "session_type"]
 
 
-def add_global_lap_index(df: DataFrame, cfg: C.Config | None = None) -> DataFrame:
+def add_global_lap_index(df: DataFrame) -> DataFrame:
     """WN14: ``LapNumber + 1000 * session ordinal``; ordinals are dense ranks of the
-    sorted distinct sessions (one row per session, size-checked broadcast)."""
-    limit = (cfg or C.Config()).broadcast_row_limit
+    sorted distinct sessions (a window over one row per session)."""
     sessions = df.select(*SESSION).distinct()
     sessions = sessions.withColumn("_ord", F.dense_rank().over(Window.orderBy(*SESSION)) - 1)
-    out = df.join(sized_broadcast(sessions, limit), on=SESSION, how="left")
+    out = df.join(sessions, on=SESSION, how="left")
     return out.withColumn("lap_number_global", (F.col("LapNumber") + F.col("_ord") * 1000).cast("long")).drop("_ord")
 
 
@@ -101,7 +99,7 @@ def transform_windows(windows: DataFrame, scaler: DataFrame) -> DataFrame:
 def prepare_panel_frame(df: DataFrame, cfg: C.Config) -> DataFrame:
     """PR18 + PR19 + WN14: aliases, string categoricals with ``unknown``, imputation
     and the global time index."""
-    out = add_global_lap_index(df, cfg)
+    out = add_global_lap_index(df)
     if "air_temp" not in out.columns and "AirTemp" in out.columns:
         out = out.withColumn("air_temp", F.col("AirTemp"))
     if "humidity" not in out.columns and "Humidity" in out.columns:
@@ -113,7 +111,7 @@ def prepare_panel_frame(df: DataFrame, cfg: C.Config) -> DataFrame:
     return impute_for_models(out, list(dict.fromkeys(reals)))
 
 
-def build_panel(df: DataFrame, cfg: C.Config, categories: dict | None = None) -> DataFrame:
+def build_panel(df: DataFrame, cfg: C.Config, categories: DataFrame | None = None) -> DataFrame:
     """WN16: encoder/decoder windows per stint on the gap-filled global time index.
 
     Missing time steps are filled by exploding each stint's index range and
@@ -152,24 +150,19 @@ def build_panel(df: DataFrame, cfg: C.Config, categories: dict | None = None) ->
     out = out.withColumn("target_center", mean)
     var = F.aggregate("encoder_target", F.lit(0.0), lambda a, v: a + (v - F.col("target_center")) * (v - F.col("target_center"))) / n
     out = out.withColumn("target_scale", F.coalesce(F.nullif(F.sqrt(var), F.lit(0.0)), F.lit(1.0)))
-    if categories:
-        for c, labels in categories.items():
-            if c in out.columns:
-                codes = {lab: i + 1 for i, lab in enumerate(sorted(labels))}
-                from ..functions.scalars import literal_map
-                out = out.withColumn(f"{c}_code", F.coalesce(literal_map(codes)[F.col(c)], F.lit(0)))
+    if categories is not None:
+        for c in [c for c in C.PANEL_STATIC_CATEGORICALS if c in out.columns]:
+            codes = categories.filter(F.col("category") == c).select(F.col("label").alias(c), F.col("code").alias(f"{c}_code"))
+            out = out.join(F.broadcast(codes), c, "left")  # labels of one category: circuits, compounds, teams
+            out = out.withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(0)))
     return out
 
 
-def panel_categories(train: DataFrame, cfg: C.Config, limit: int | None = None) -> dict:
-    """Train-fitted categorical vocabularies for the panel (bounded, size-checked)."""
-    limit = limit or cfg.broadcast_row_limit
+def panel_categories(train: DataFrame, cfg: C.Config) -> DataFrame:
+    """Train-fitted categorical vocabularies: (category, label, code), codes from 1 in
+    label order."""
     frame = prepare_panel_frame(train, cfg)
-    out = {}
-    for c in C.PANEL_STATIC_CATEGORICALS:
-        if c in frame.columns:
-            rows = frame.select(c).distinct().limit(limit + 1).collect()
-            if len(rows) > limit:
-                raise ValueError(f"too many categories in {c}")
-            out[c] = [r[0] for r in rows]
-    return out
+    names = [c for c in C.PANEL_STATIC_CATEGORICALS if c in frame.columns]
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("label")) for c in names]))
+    labels = frame.select(pairs.alias("x")).select("x.*").distinct()
+    return labels.withColumn("code", F.row_number().over(Window.partitionBy("category").orderBy("label")))

@@ -10,21 +10,42 @@ Equal keys always share a bucket, so ties are handled exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucket_boundaries(df: DataFrame, key: str, n_buckets: int) -> list:
+#: distinct keys that one bucket of running totals is meant to hold
+KEYS_PER_BUCKET = 50_000
+
+
+def bucket_boundaries(df: DataFrame, key: str, n_buckets: int | None = None) -> list:
+    """Ordered bucket bounds for ``key``. Unless given, the number of buckets follows the
+    number of distinct keys, so the tasks of a running total grow with the data."""
+    k = F.col(key).cast("double")
+    if n_buckets is None:
+        n_buckets = 1 + (df.agg(F.approx_count_distinct(k).alias("n")).first()["n"] or 0) // KEYS_PER_BUCKET
     if n_buckets <= 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, 10000).alias("b")).first()
+    row = df.agg(F.percentile_approx(k, probs, max(10_000, 10 * n_buckets)).alias("b")).first()
     vals = row["b"] if row is not None and row["b"] is not None else []
     return sorted(set(float(v) for v in vals if v is not None))
 
 
+def bucket_number(key: Column, bounds: list) -> Column:
+    """Number of bounds below the key. Two levels: every ``step``-th bound first, then the
+    bounds within that step, so the work per row grows with the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    every, coarse = (F.array(*[F.lit(b) for b in part]) for part in (bounds, bounds[::step]))
+    below = F.size(F.filter(coarse, lambda b: b < key))
+    inner = F.size(F.filter(F.slice(every, F.greatest((below - 1) * step + 1, F.lit(1)), step), lambda b: b < key))
+    return F.when(below == 0, 0).otherwise((below - 1) * step + inner)
+
+
 def running_totals(df: DataFrame, key: str, value_cols: list, by: list | None = None, descending: bool = True,
-                   n_buckets: int = 64, inclusive: bool = True, prefix: str = "cum_",
+                   n_buckets: int | None = None, inclusive: bool = True, prefix: str = "cum_",
                    bounds: list | None = None) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows of the same ``by`` group whose key comes
     before (and, if ``inclusive``, equal to) this row's key in the given direction.
@@ -33,13 +54,8 @@ def running_totals(df: DataFrame, key: str, value_cols: list, by: list | None =
     by = list(by or [])
     if bounds is None:
         bounds = bucket_boundaries(df, key, n_buckets)
-    k = F.col(key).cast("double")
-    if bounds:
-        # number of boundaries below the key (a plain sum of comparisons, codegen'd)
-        below = sum((k > F.lit(b)).cast("int") for b in bounds)
-        bucket = below if descending is False else F.lit(len(bounds)) - below
-    else:
-        bucket = F.lit(0)
+    below = bucket_number(F.col(key).cast("double"), bounds)
+    bucket = F.lit(len(bounds)) - below if descending else below
     out = df.withColumn("_bkt", bucket.cast("int"))
     order = F.col(key).desc() if descending else F.col(key).asc()
     frame_end = Window.currentRow if inclusive else -1
@@ -66,7 +82,7 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list, by: list | None = None, weight: str | None = None,
-                    n_buckets: int = 64, prefix: str = "q", bounds: list | None = None) -> DataFrame:
+                    n_buckets: int | None = None, prefix: str = "q", bounds: list | None = None) -> DataFrame:
     """Exact (linearly interpolated) quantiles per group without holding a group in one
     task. Values are reduced to a (group, value) -> count histogram, cumulative counts
     come from ``running_totals`` (spread over value buckets), and the value at rank

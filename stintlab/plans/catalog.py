@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..operators import features as FE
+from ..session import staged_table
 from ..sources import laps as L
 from . import oracle as O
 from . import pipeline as P
@@ -38,14 +40,18 @@ CFG = C.default_config()
 
 
 def _laps(spark, sf):
-    """Race laps derived from ``events`` (bridge + as-of weather), materialised once as
-    a reliable checkpoint: it is the source table every later stage and size check reads."""
-    from ..session import cut_lineage
-    return cut_lineage(L.load_race_laps(spark, sf))
+    """Race laps derived from ``events`` (bridge + as-of weather): a stage table by season."""
+    return staged_table("race-laps", [L.read_table(spark, sf, "events")], lambda: L.load_race_laps(spark, sf))
+
+
+def _base(spark, sf):
+    """The window features of all laps, without the frame-dependent lap norms: a stage table."""
+    return staged_table("base-features", [L.read_table(spark, sf, "events")],
+                        lambda: P.base_features(_laps(spark, sf), CFG, lap_norm=False))
 
 
 def _feats(spark, sf):
-    return P.base_features(_laps(spark, sf), CFG)
+    return FE.add_lap_norm(_base(spark, sf), source=_laps(spark, sf))
 
 
 # ------------------------------------------------------------------ sources / bridge
@@ -72,7 +78,6 @@ SELECT driver_stint_id, LapNumber, round(LapTime_s, 6) AS LapTime_s, round(fuel_
        round(deg_acceleration, 6) AS deg_acceleration FROM f4"""))
 def q_wn03(spark, sf):
     laps = _laps(spark, sf)
-    from ..operators import features as FE
     out = FE.add_degradation_derivatives(FE.add_lap_time_delta(FE.add_fuel_load(FE.add_stint_id(laps), CFG), CFG))
     return out.select("driver_stint_id", "LapNumber", r6("LapTime_s"), r6("fuel_load_kg"), r6("lap_time_delta_s"),
                       r6("deg_velocity"), r6("deg_acceleration"))
@@ -97,7 +102,7 @@ SELECT driver_stint_id, LapNumber, session_type, round(fuel_load_kg, 6) AS fuel_
        round(track_evolution_delta, 6) AS track_evolution_delta, undercut_threat,
        round(lap_norm, 6) AS lap_norm, round(lap_count_norm, 6) AS lap_count_norm FROM feat"""))
 def q_cp1(spark, sf):
-    f = _feats(spark, sf)
+    f = FE.null_fraction_gate(_feats(spark, sf))  # AG16 in the pipeline
     return f.select("driver_stint_id", "LapNumber", "session_type", r6("fuel_load_kg"), r6("lap_time_delta_s"),
                     r6("deg_velocity"), r6("deg_acceleration"), r6("tire_age_laps"), r6("tire_age_sq"),
                     r6("gap_ahead_s"), r6("gap_ahead_trend"), "safety_car_flag", "vsc_flag", "sc_or_vsc_flag",
@@ -108,7 +113,8 @@ def q_cp1(spark, sf):
 # ------------------------------------------------------------------ CP2: split features with train-fitted state
 
 def _fs(spark, sf):
-    return P.features_with_state(_laps(spark, sf), CFG)
+    tagged = P.season_split(_base(spark, sf), CFG)
+    return P.apply_train_state(FE.add_lap_norm(tagged, within=["split"], source=P.season_split(_laps(spark, sf), CFG)), CFG)
 
 
 @register("cp2_split_features", O.with_fragments(["fs"], """
@@ -139,7 +145,7 @@ def q_ml01(spark, sf):
 SELECT event_name, round(historical_sc_prob, 6) AS historical_sc_prob FROM sc_prob"""))
 def q_ag01(spark, sf):
     from ..operators.encode import historical_sc_table
-    train = P.split_frames(P.base_features(_laps(spark, sf), CFG), CFG)[0]
+    train = P.split_frames(_base(spark, sf), CFG)[0]
     return historical_sc_table(train, CFG).select("event_name", r6("historical_sc_prob"))
 
 
@@ -192,14 +198,16 @@ from ..operators import fingerprint as FP  # noqa: E402
 
 
 def _labeled(spark, sf):
-    """Evaluation path over all splits: clean -> label (CP3), materialised once."""
-    from ..session import cut_lineage
-    return cut_lineage(LB.clean_then_label(_fs(spark, sf), CFG))
+    """Evaluation path over all splits: clean -> label (CP3), a stage table by split and season."""
+    return staged_table("labelled-laps", [L.read_table(spark, sf, "events")], lambda: LB.clean_then_label(_fs(spark, sf), CFG),
+                        partition_by=("split", "season"))
 
 
-def _fingerprints(spark, sf, labeled=None):
-    labeled = labeled if labeled is not None else _labeled(spark, sf)
-    return FP.compute_circuit_fingerprints(labeled.filter(F.col("split") == "train"), CFG)
+def _fingerprints(spark, sf):
+    """One row per circuit, from the labelled training laps."""
+    train = _labeled(spark, sf).filter(F.col("split") == "train")
+    return staged_table("fingerprints", [L.read_table(spark, sf, "events")],
+                        lambda: FP.compute_circuit_fingerprints(train, CFG), partition_by=())
 
 
 FP_COLS = ["avg_deg_rate", "compound_variance", "track_temp_percentile", "high_speed_fraction",
@@ -224,8 +232,7 @@ def q_jn12(spark, sf):
 SELECT circuit, round(mae_p50, 6) AS mae_p50, round(fingerprint_distance, 6) AS fingerprint_distance,
        circuit_type FROM loco"""))
 def q_ag17(spark, sf):
-    fs = _fs(spark, sf)
-    loco = FP.run_loco_cv(fs, _fingerprints(spark, sf, LB.clean_then_label(fs, CFG)), CFG)
+    loco = FP.run_loco_cv(_fs(spark, sf), _fingerprints(spark, sf), CFG, include_self=False)
     return loco.select("circuit", r6("mae_p50"), r6("fingerprint_distance"), "circuit_type")
 
 
@@ -235,8 +242,7 @@ SELECT CASE WHEN count(*) < 2 THEN 0.0
                        / nullif(sqrt(var_pop(mae_p50) * var_pop(fingerprint_distance)), 0), 6) END AS pearson_r
 FROM loco"""))
 def q_ag18(spark, sf):
-    fs = _fs(spark, sf)
-    loco = FP.run_loco_cv(fs, _fingerprints(spark, sf, LB.clean_then_label(fs, CFG)), CFG)
+    loco = FP.run_loco_cv(_fs(spark, sf), _fingerprints(spark, sf), CFG, include_self=False)
     return FP.loco_pearson(loco).select(r6("pearson_r"))
 
 
@@ -369,6 +375,7 @@ def q_ms03(spark, sf):
 
 # ------------------------------------------------------------------ forecast table, counterfactual
 
+from . import report as R  # noqa: E402
 from ..operators import counterfactual as CF  # noqa: E402
 from ..operators import forecast as FC  # noqa: E402
 
@@ -383,7 +390,8 @@ def _forecast(spark, sf, labeled=None):
 SELECT driver_stint_id, event_name, LapNumber, round(p10, 6) AS p10, round(p50, 6) AS p50, round(p90, 6) AS p90
 FROM fc"""))
 def q_ml13(spark, sf):
-    return _forecast(spark, sf).select("driver_stint_id", "event_name", "LapNumber", r6("p10"), r6("p50"), r6("p90"))
+    table = FC.ordered_predictions(_forecast(spark, sf))  # SO4
+    return table.select("driver_stint_id", "event_name", "LapNumber", r6("p10"), r6("p50"), r6("p90"))
 
 
 def _fc_joined(spark, sf):
@@ -689,10 +697,25 @@ def q_wn18(spark, sf):
     return FC.first_cliff_lap(FC.mean_curve(_forecast(spark, sf)), CFG)
 
 
-@register("ml14_cubic_trend")
+def _trend_sql(points: str) -> str:
+    """Least-squares cubic by orthogonal polynomials, step by step (the Spark side solves normal equations)."""
+    return f"""WITH c AS ({points}),
+ok AS (SELECT event_name FROM c GROUP BY event_name HAVING count(DISTINCT x) >= 4),
+p AS (SELECT event_name, x, y, x - avg(x) OVER e AS q1, x * x AS x2, x * x * x AS x3 FROM c SEMI JOIN ok USING (event_name)
+      WINDOW e AS (PARTITION BY event_name)),
+p2 AS (SELECT *, x2 - avg(x2) OVER e - sum(x2 * q1) OVER e / sum(q1 * q1) OVER e * q1 AS q2 FROM p WINDOW e AS (PARTITION BY event_name)),
+p3 AS (SELECT *, x3 - avg(x3) OVER e - sum(x3 * q1) OVER e / sum(q1 * q1) OVER e * q1
+              - sum(x3 * q2) OVER e / sum(q2 * q2) OVER e * q2 AS q3 FROM p2 WINDOW e AS (PARTITION BY event_name))
+SELECT event_name, CAST(x AS INTEGER) AS LapNumber,
+       round(avg(y) OVER e + sum(y * q1) OVER e / sum(q1 * q1) OVER e * q1 + sum(y * q2) OVER e / sum(q2 * q2) OVER e * q2
+             + sum(y * q3) OVER e / sum(q3 * q3) OVER e * q3, 5) AS trend FROM p3 WINDOW e AS (PARTITION BY event_name)"""
+
+
+@register("ml14_cubic_trend", O.with_fragments(["fc"], _trend_sql(
+    "SELECT event_name, CAST(LapNumber AS DOUBLE) AS x, avg(p50) AS y FROM fc GROUP BY event_name, LapNumber")))
 def q_ml14(spark, sf):
-    t = FC.cubic_trend(FC.mean_curve(_forecast(spark, sf)))
-    return t.select("event_name", *[r6(c) for c in ["c3", "c2", "c1", "c0"]])
+    curve = FC.mean_curve(_forecast(spark, sf))
+    return FC.trend_points(curve, FC.cubic_trend(curve)).select("event_name", "LapNumber", F.round("trend", 5).alias("trend"))
 
 
 @register("st2_pit_annotations", O.with_fragments(["test_pred"], """
@@ -701,10 +724,28 @@ UNION SELECT DISTINCT event_name, Driver, LapNumber, 'Model pit' FROM test_pred
 def q_st2(spark, sf):
     labeled, _, thresholds, global_thr = _scored_splits(spark, sf)
     test = CL.predict_labels(labeled.filter(F.col("split") == "test"), thresholds, global_thr)
-    from ..plans import report as R
     return R.pit_annotations(test)
 
 
+@register("cp7_degradation_points", O.with_fragments(["ev_lab", "fc"], "WITH tr AS (" + _trend_sql(
+    "SELECT event_name, CAST(LapNumber AS DOUBLE) AS x, avg(p50) AS y FROM fc GROUP BY event_name, LapNumber") + """),
+a AS (SELECT event_name, unnest(['combined', Compound]) AS panel, LapNumber, lap_time_delta_s AS v, pit_label FROM ev_lab WHERE split = 'test'),
+l AS (SELECT * FROM a WHERE panel IN ('SOFT', 'MEDIUM', 'HARD', 'combined')),
+cu AS (SELECT event_name, LapNumber, avg(p10) AS p10, avg(p50) AS p50, avg(p90) AS p90 FROM fc GROUP BY ALL),
+m AS (SELECT event_name, 'p10' AS series, LapNumber, p10 AS v FROM cu UNION ALL SELECT event_name, 'p50', LapNumber, p50 FROM cu
+      UNION ALL SELECT event_name, 'p90', LapNumber, p90 FROM cu UNION ALL SELECT event_name, 'trend', LapNumber, trend FROM tr
+      UNION ALL SELECT event_name, 'cliff', min(LapNumber), NULL FROM cu WHERE p90 > 1.0 GROUP BY event_name),
+u AS (SELECT event_name, panel, 'actual' AS series, LapNumber, v FROM l
+      UNION ALL SELECT DISTINCT event_name, panel, 'pit', LapNumber, CAST(NULL AS DOUBLE) FROM l WHERE pit_label = 2
+      UNION ALL SELECT m.event_name, p.panel, series, LapNumber, v FROM m JOIN (SELECT DISTINCT event_name, panel FROM l) p USING (event_name))
+SELECT event_name, panel, series, count(*) AS n, round(sum(v), 3) AS total, min(LapNumber) AS first_lap FROM u GROUP BY ALL"""))
+def q_cp7_points(spark, sf):
+    labeled = _labeled(spark, sf)
+    points = R.degradation_points(labeled.filter(F.col("split") == "test"), _forecast(spark, sf, labeled), CFG)
+    return points.groupBy("event_name", "panel", "series").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"), F.min("LapNumber").alias("first_lap"))
+
+
 # ------------------------------------------------------------------ model panels
 
 from ..operators import panels as PN  # noqa: E402
@@ -717,7 +758,7 @@ FROM ev_lab l JOIN (SELECT season, event_name, session_type,
                     FROM (SELECT DISTINCT season, event_name, session_type FROM ev_lab) d) s
   ON s.season = l.season AND s.event_name = l.event_name AND s.session_type = l.session_type"""))
 def q_wn14(spark, sf):
-    return PN.add_global_lap_index(_labeled(spark, sf), CFG).select("driver_stint_id", "LapNumber",
+    return PN.add_global_lap_index(_labeled(spark, sf)).select("driver_stint_id", "LapNumber",
                                                                     "lap_number_global")
 
 
@@ -725,14 +766,27 @@ def _windows(spark, sf):
     return PN.build_lstm_windows(_labeled(spark, sf), CFG)
 
 
+def _in_order(column):
+    """Sum of the values times their place (from 1): another order gives another sum."""
+    placed = F.transform(F.col(column), lambda v, i: v * (i + 1))
+    return F.aggregate(placed, F.lit(0.0), lambda a, v: a + v)
+
+
+def _steps_in_order(column):
+    """The same over the steps of a sequence and the features of a step."""
+    step = lambda s: F.aggregate(F.transform(s, lambda v, j: v * (j + 1)), F.lit(0.0), lambda a, v: a + v)
+    return F.aggregate(F.transform(F.col(column), lambda s, i: step(s) * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+
+
 @register("wn15_lstm_windows", O.with_fragments(["lstm_win"], """
 SELECT driver_stint_id, LapNumber, y, w, CAST(n_steps AS INTEGER) AS n_steps, round(seq_sum, 6) AS seq_sum,
-       round(static_sum, 6) AS static_sum FROM lstm_win"""))
+       round(seq_order, 5) AS seq_order, round(static_sum, 6) AS static_sum FROM lstm_win"""))
 def q_wn15(spark, sf):
     w = _windows(spark, sf)
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
     return w.select("driver_stint_id", "LapNumber", "y", "w", F.size("seq").alias("n_steps"),
-                    r6(total(F.flatten("seq")), "seq_sum"), r6(total(F.col("static")), "static_sum"))
+                    r6(total(F.flatten("seq")), "seq_sum"),
+                    F.round(_steps_in_order("seq"), 5).alias("seq_order"), r6(total(F.col("static")), "static_sum"))
 
 
 def _scaler_sql() -> str:
@@ -761,7 +815,8 @@ def q_ml11(spark, sf):
     return PN.fit_window_scaler(train).select("part", "idx", r6("mean"), r6("scale"))
 
 
-PANEL_CFG = CFG.replace(encoder_length=5, prediction_length=2, min_encoder_length=5, min_prediction_length=2)
+# The configured maximum lengths; only the minimum lengths are lowered to the short stints of the data.
+PANEL_CFG = CFG.replace(min_encoder_length=5, min_prediction_length=2)
 
 
 @register("wn16_panel_windows")
@@ -771,6 +826,7 @@ def q_wn16(spark, sf):
     p = PN.build_panel(labeled, PANEL_CFG, cats)
     return p.select("driver_stint_id", "time_idx", F.size("encoder_target").alias("enc_len"),
                     F.size("decoder_target").alias("dec_len"), r6("target_center"), r6("target_scale"),
+                    r6(_in_order("encoder_target"), "enc_order"), r6(_in_order("decoder_target"), "dec_order"),
                     "circuit_id_code", "compound_type_code", "team_id_code")
 
 
@@ -796,11 +852,14 @@ ff AS (SELECT g.driver_stint_id, g.t,
        FROM grid g LEFT JOIN pf p ON p.driver_stint_id = g.driver_stint_id AND p.t = g.t
        WINDOW wf AS (PARTITION BY g.driver_stint_id ORDER BY g.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 f AS (SELECT *, count(y) OVER we AS enc_len, count(y) OVER wd AS dec_len, avg(y) OVER we AS center,
+             list(y) OVER we AS enc, list(y) OVER wd AS dec,
              coalesce(nullif(stddev_pop(y) OVER we, 0.0), 1.0) AS scale
-      FROM ff WINDOW we AS (PARTITION BY driver_stint_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
-                     wd AS (PARTITION BY driver_stint_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING))
+      FROM ff WINDOW we AS (PARTITION BY driver_stint_id ORDER BY t ROWS BETWEEN {CFG.encoder_length} PRECEDING AND 1 PRECEDING),
+                     wd AS (PARTITION BY driver_stint_id ORDER BY t ROWS BETWEEN CURRENT ROW AND {CFG.prediction_length - 1} FOLLOWING))
 SELECT f.driver_stint_id, f.t AS time_idx, CAST(f.enc_len AS INTEGER) AS enc_len, CAST(f.dec_len AS INTEGER) AS dec_len,
-       round(f.center, 6) AS target_center, round(f.scale, 6) AS target_scale, {code_cols}
+       round(f.center, 6) AS target_center, round(f.scale, 6) AS target_scale,
+       round(list_sum(list_transform(f.enc, lambda v, i: v * i)), 6) AS enc_order,
+       round(list_sum(list_transform(f.dec, lambda v, i: v * i)), 6) AS dec_order, {code_cols}
 FROM f {joins}
 WHERE f.enc_len >= 5 AND f.dec_len >= 2"""
 
@@ -812,16 +871,11 @@ ORACLE["wn16_panel_windows"] = O.with_fragments(["ev_lab"], _panel_sql())
 
 from ..operators import models as MD  # noqa: E402
 
-# Tree counts for the registered model queries: MLlib early stopping is tolerance
-# based, so the iteration cap bounds the correctness/bench run time.
-QUERY_TREES = 20
-
-
 @register("ml02_pit_model_validation_metrics")
 def q_ml02(spark, sf):
     labeled = _labeled(spark, sf)
     model = CL.train_pit_model(labeled.filter(F.col("split") == "train"), labeled.filter(F.col("split") == "val"),
-                               CFG, max_iter=QUERY_TREES)
+                               CFG)
     val = CL.build_pit_window_dataset(labeled.filter(F.col("split") == "val"), CFG, model.features)
     m = CL.binary_metrics(model.predict_labels(val))
     return m.select(*[r6(c) for c in m.columns])
@@ -830,7 +884,7 @@ def q_ml02(spark, sf):
 @register("ml07_compound_accuracy")
 def q_ml07(spark, sf):
     data = _xgb(spark, sf)
-    model = MD.train_compound_model(data, CFG, max_iter=QUERY_TREES)
+    model = MD.train_compound_model(data, CFG)
     return MD.compound_accuracy(model, data, CFG).select(r6("accuracy"), "n_test")
 
 
@@ -851,10 +905,32 @@ def q_ml10(spark, sf):
 def q_ml12(spark, sf):
     labeled = _labeled(spark, sf)
     return MD.run_ablations(labeled.filter(F.col("split") == "train"), labeled.filter(F.col("split") == "val"),
-                            labeled.filter(F.col("split") == "test"), CFG, max_iter=5) \
+                            labeled.filter(F.col("split") == "test"), CFG) \
         .select("ablation_name", r6("average_precision"), r6("f1"), r6("delta_average_precision"), r6("delta_f1"))
 
 
+@register("ml10_recovery_summary")
+def q_ml10_summary(spark, sf):
+    return MD.recovery_summary(MD.heuristic_recovery(MD.linear_attributions(_xgb(spark, sf), CFG), CFG))
+
+
+@register("cp7_attribution_ranking")
+def q_cp7_ranking(spark, sf):
+    rank = R.attribution_ranking(MD.linear_attributions(_xgb(spark, sf), CFG))
+    return rank.select("event_name", "feature", r6("mean_abs_phi"), r6("mean_phi"), "place")
+
+
+@register("cf3_trained_model_deltas")
+def q_cf3_trained(spark, sf):
+    """The evaluation path with the fitted classifier: its calibrated labels through CF3."""
+    labeled = _labeled(spark, sf)
+    split = {k: labeled.filter(F.col("split") == k) for k in ("train", "val", "test")}
+    model = CL.train_pit_model(split["train"], split["val"], CFG)
+    curve = _forecast(spark, sf, labeled).select("driver_stint_id", "LapNumber", "p50")
+    test = model.predict_labels(split["test"]).join(curve, ["driver_stint_id", "LapNumber"], "left")
+    return CF.per_race_deltas(test, CFG).select("race_id", r6("delta_pos"), "is_wet", "is_street")
+
+
 # ------------------------------------------------------------------ sources and sinks
 
 from ..sources import io as IO  # noqa: E402
@@ -904,8 +980,17 @@ def q_src5(spark, sf):
 
 # ------------------------------------------------------------------ streaming ingestion (= batch result)
 
-@register("stream_session_ingest", O.with_fragments(["feat"], """
-SELECT season, count(*) AS n_laps, round(sum(lap_time_delta_s), 6) AS sum_delta FROM feat GROUP BY season"""))
+STREAMED = ["lap_time_delta_s", "deg_velocity", "deg_acceleration", "gap_ahead_s", "gap_ahead_trend", "track_evolution_delta",
+            "undercut_threat", "lap_norm", "lap_count_norm", "sc_or_vsc_flag", "fuel_load_kg", "tire_age_sq"]
+
+
+def _longest(spark, sf) -> float:
+    """The fitted longest session, which a stream cannot know from its own batches."""
+    return float(_laps(spark, sf).agg(F.max("LapNumber").alias("n")).first()["n"] or 1)
+
+
+@register("stream_session_ingest", O.with_fragments(["feat"], "SELECT season, count(*) AS n_laps, " + ", ".join(
+    f"round(sum({c}), 6) AS sum_{c}" for c in STREAMED) + " FROM feat GROUP BY season"))
 def q_stream(spark, sf):
     from ..streaming import ingest as ST
     src = IO.fresh_stage_path(spark, "session-files")
@@ -914,25 +999,33 @@ def q_stream(spark, sf):
         .parquet(src)
     laps_schema = spark.read.parquet(src).schema
     sink = IO.fresh_stage_path(spark, "session-features")
-    q = ST.start_session_ingest(spark, src, laps_schema, sink, IO.fresh_stage_path(spark, "stream-ckpt"), CFG,
-                                files_per_trigger=8)
+    q = ST.start_session_ingest(spark, src, laps_schema, sink, IO.fresh_stage_path(spark, "stream-ckpt"), 
+                                _longest(spark, sf), CFG, files_per_trigger=8)
     q.awaitTermination()
     out = ST.read_ingested(spark, sink)
-    return out.groupBy("season").agg(F.count(F.lit(1)).alias("n_laps"), r6(F.sum("lap_time_delta_s"), "sum_delta"))
+    return out.groupBy("season").agg(F.count(F.lit(1)).alias("n_laps"), *[r6(F.sum(F.col(c).cast("double")), f"sum_{c}") for c in STREAMED])
 
 
 # ------------------------------------------------------------------ metric report (MS08)
 
+_MS08 = ["average_precision", "auc", "f1", "precision", "recall", "brier"]
+ORACLE["ms08_metric_report"] = "WITH m AS (" + ORACLE["ms04_binary_metrics"] + ")\n" + "\nUNION ALL ".join(
+    f"SELECT 'pit_window' AS section, '{c}' AS metric, {c} AS value, CAST(NULL AS VARCHAR) AS text, "
+    f"CAST({CFG.metric_targets.get(c, 'NULL')} AS DOUBLE) AS target FROM m" for c in _MS08) + (
+    "\nUNION ALL SELECT 'pit_window', 'policy', CAST(NULL AS DOUBLE), 'max-F1', CAST(NULL AS DOUBLE)")
+
+
 @register("ms08_metric_report")
 def q_ms08(spark, sf):
     labeled, val, thresholds, global_thr = _scored_splits(spark, sf)
-    m = CL.binary_metrics(CL.predict_labels(val, thresholds, global_thr))
+    m = CL.binary_metrics(CL.predict_labels(val, thresholds, global_thr)).withColumn("policy", F.lit("max-F1"))
     rep = MT.metric_report(m, CFG, "pit_window")
-    return rep.select("section", "metric", r6("value"), "target")
+    return rep.select("section", "metric", r6("value"), "text", "target")
 
 
 @register("src1_split_tables", O.with_fragments(["laps"], """
-SELECT season, count(*) AS n_laps, round(sum(LapTime), 6) AS sum_lap_time FROM laps GROUP BY season"""))
+SELECT season, count(*) AS n_laps, round(sum(LapTime), 6) AS sum_lap_time, count(PitInTime) AS n_pit_in,
+       count(PitOutTime) AS n_pit_out FROM laps GROUP BY season"""))
 def q_src1(spark, sf):
     """SRC1-SRC3, SRC9, SRC10: split tables written as stage parquet (test as CSV too),
     loaded all-or-nothing, CSV read back with the lap schema, unioned by name."""
@@ -941,12 +1034,12 @@ def q_src1(spark, sf):
     train, val, test = P.split_frames(laps, CFG)
     for name, frame in (("train", train), ("val", val), ("test", test)):
         IO.write_any(frame, f"{folder}/{name}_raw.parquet", partition_by=["season"])
-    IO.write_any(test.drop("PitInTime", "PitOutTime"), f"{folder}/test_raw.csv")
-    loaded = IO.load_splits(spark, folder)
-    csv_schema = test.drop("PitInTime", "PitOutTime").schema
-    test_csv = IO.read_any(spark, f"{folder}/test_raw.csv", csv_schema)
+    IO.write_any(test, f"{folder}/test_raw.csv")
+    loaded = IO.load_splits(spark, folder, schema=L.LAP_SCHEMA)
+    test_csv = IO.read_any(spark, f"{folder}/test_raw.csv", L.LAP_SCHEMA)
     both = IO.union_sessions([loaded[0], loaded[1], test_csv])
-    return both.groupBy("season").agg(F.count(F.lit(1)).alias("n_laps"), r6(F.sum("LapTime"), "sum_lap_time"))
+    return both.groupBy("season").agg(F.count(F.lit(1)).alias("n_laps"), r6(F.sum("LapTime"), "sum_lap_time"),
+                                      F.count("PitInTime").alias("n_pit_in"), F.count("PitOutTime").alias("n_pit_out"))
 
 
 @register("jn13_representative_stint_laps", O.with_fragments(["ev_lab"], """
@@ -964,20 +1057,23 @@ def q_jn13(spark, sf):
 
 # ------------------------------------------------------------------ null profile and gate (AG15, AG16)
 
-NULL_COLS = ["LapTime_s", "lap_time_delta_s", "deg_velocity", "deg_acceleration", "tire_age_laps", "gap_ahead_s",
-             "gap_ahead_trend", "undercut_threat", "track_evolution_delta", "AirTemp", "TrackTemp", "Humidity",
-             "Compound", "PitInTime", "PitOutTime"]
+#: every column of the feature table
+PROFILED = [
+    "season", "event_name", "session_type", "Driver", "Team", "LapNumber", "Stint", "PitInTime", "PitOutTime", "LapTime", "Time",
+    "Position", "TyreLife", "Compound", "TrackStatus", "IsAccurate", "AirTemp", "TrackTemp", "Humidity", "LapTime_s", "driver_stint_id",
+    "fuel_load_kg", "lap_time_delta_s", "deg_velocity", "deg_acceleration", "tire_age_laps", "tire_age_sq", "safety_car_flag",
+    "vsc_flag", "sc_or_vsc_flag", "gap_ahead_s", "gap_ahead_trend", "undercut_threat", "track_evolution_delta", "lap_norm", "lap_count_norm"]
 
 
 @register("ag15_null_profile", O.with_fragments(["feat"], "\nUNION ALL ".join(
-    [f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM feat" for c in NULL_COLS]
+    [f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM feat" for c in PROFILED]
     + ["SELECT 'rows' AS column_name, count(*) AS null_count FROM feat"])))
 def q_ag15(spark, sf):
     from ..operators.panels import null_profile
-    prof = null_profile(_feats(spark, sf).select(*NULL_COLS))
-    return prof.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("long")
-                                                    .alias("null_count")) for c in ["rows"] + NULL_COLS])).alias("x")) \
-        .select("x.*")
+    feats = _feats(spark, sf).select(*PROFILED)
+    prof = null_profile(feats)
+    return prof.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("long").alias("null_count"))
+                                           for c in ["rows"] + PROFILED])).alias("x")).select("x.*")
 
 
 @register("ag16_null_fraction_gate", O.with_fragments(["feat"], """
@@ -986,8 +1082,7 @@ SELECT round(avg(CAST(lap_time_delta_s IS NULL AS DOUBLE)), 6) AS lap_time_delta
        round(avg(CAST(tire_age_laps IS NULL AS DOUBLE)), 6) AS tire_age_laps,
        round(avg(CAST(undercut_threat IS NULL AS DOUBLE)), 6) AS undercut_threat FROM feat"""))
 def q_ag16(spark, sf):
-    from ..operators import features as FE
-    g = FE.null_fraction_gate(_feats(spark, sf))
+    g = FE.null_fractions(_feats(spark, sf))
     return g.select(*[r6(c) for c in g.columns])
 
 
@@ -996,3 +1091,100 @@ def q_ag16(spark, sf):
 def q_ag09(spark, sf):
     r = FP.feature_ranges(_fingerprints(spark, sf))
     return r.select(*[r6(c) for c in FP_COLS])
+
+
+# ------------------------------------------------------------------ single operators on the lap table
+
+RAW_NAMES = {"Bahrain": " BAHRAIN Grand Prix", "Monaco": "Grand Prix de Monaco ", "Spain": "Spanish Grand Prix", "Britain": "Silverstone 70th",
+             "Singapore": "Marina Bay, Singapore", "Qatar": "Qatar GP"}
+_RAW_SQL = "CASE event_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RAW_NAMES.items()) + " END"
+
+
+@register("pr06_canonical_names", O.with_fragments(["laps"], f"""
+SELECT raw_name, {"CASE " + " ".join(f"WHEN contains(lower(trim(raw_name)), '{a}') THEN '{c}'" for a, c in C.EVENT_ALIASES) + " ELSE raw_name END"}
+         AS event_name, n_laps FROM (SELECT {_RAW_SQL} AS raw_name, count(*) AS n_laps FROM laps GROUP BY 1) x"""))
+def q_pr06(spark, sf):
+    """PR06 + PR07: raw names as the feed spells them, taken from the first name column that has one."""
+    from ..functions import scalars as S
+    raw = S.literal_map(RAW_NAMES)[F.col("event_name")]
+    feed = L.load_laps(spark, sf).select(F.lit(None).cast("string").alias("EventName"), raw.alias("OfficialEventName"), F.lit("?").alias("Country"))
+    named = feed.select(S.event_name_from_columns(feed.columns).alias("raw_name"))
+    return named.groupBy("raw_name").agg(F.count(F.lit(1)).alias("n_laps")) \
+        .select("raw_name", S.canonical_event_name(F.col("raw_name")).alias("event_name"), "n_laps")
+
+
+@register("pr01_seconds", O.with_fragments(["laps"], """
+SELECT season, Driver, LapNumber, event_name, round(LapTime, 3) AS from_interval, round(LapTime, 3) AS from_text FROM laps"""))
+def q_pr01(spark, sf):
+    """PR01 on day-time intervals and on numbers spelled as text."""
+    from ..functions import scalars as S
+    laps = L.load_laps(spark, sf)
+    t = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("LapTime").cast("decimal(18,6)"))
+    raw = laps.select("season", "Driver", "LapNumber", "event_name", F.when(F.col("LapTime").isNotNull(), t).alias("i"),
+                      F.coalesce(F.col("LapTime").cast("string"), F.lit("NaN")).alias("s"))
+    return raw.select("season", "Driver", "LapNumber", "event_name", F.round(S.to_seconds_col(raw, "i"), 3).alias("from_interval"),
+                      F.round(S.to_seconds_col(raw, "s"), 3).alias("from_text"))
+
+
+@register("src4_fingerprint_roundtrip", ORACLE["cp5_circuit_fingerprints"])
+def q_src4(spark, sf):
+    path = IO.fresh_stage_path(spark, "fingerprints")
+    FP.save_fingerprints(_fingerprints(spark, sf), path)
+    return FP.load_fingerprints(spark, path).select("circuit_id", "event_name", *[r6(c) for c in FP_COLS])
+
+
+@register("src8_tagged_sessions", O.with_fragments(["laps"], """
+SELECT season, event_name, session_type, count(*) AS n_laps, round(sum(LapTime), 3) AS total FROM laps
+WHERE event_name IN ('Bahrain', 'Monaco') AND season IN (2018, 2019) GROUP BY ALL"""))
+def q_src8(spark, sf):
+    """SRC8 + SRC9: laps of single sessions without keys, tagged and put together."""
+    laps = L.load_laps(spark, sf)
+    parts = [IO.tag_session(laps.filter((F.col("season") == s) & (F.col("event_name") == e)).drop("season", "event_name", "session_type"), s, e, "R")
+             for s in (2018, 2019) for e in ("Bahrain", "Monaco")]
+    return IO.union_sessions(parts).groupBy("season", "event_name", "session_type").agg(
+        F.count(F.lit(1)).alias("n_laps"), F.round(F.sum("LapTime"), 3).alias("total"))
+
+
+@register("src13_json_results", O.with_fragments(["laps"], """
+SELECT Team, count(*) AS n_laps, round(avg(LapTime), 6) AS mean FROM laps GROUP BY Team"""))
+def q_src13(spark, sf):
+    path = IO.fresh_stage_path(spark, "results")
+    result = L.load_laps(spark, sf).groupBy("Team").agg(F.count(F.lit(1)).alias("n_laps"), r6(F.avg("LapTime"), "mean"))
+    IO.write_results_json(result.select(F.struct("*").alias("section")), path)
+    return spark.read.schema("section struct<Team: string, n_laps: long, mean: double>").json(path).select("section.*")
+
+
+@register("src11_complete_laps", O.with_fragments(["laps"], "SELECT season, count(*) AS n_laps FROM laps GROUP BY season"))
+def q_src11_gate(spark, sf):
+    """SRC11 in the load path: the sessions the calendar of the table names must all be there."""
+    laps = L.load_laps(spark, sf)
+    calendar = L.load_laps(spark, sf).select("season", "event_name", "session_type").distinct()
+    return IO.load_complete(laps, calendar, "laps").groupBy("season").agg(F.count(F.lit(1)).alias("n_laps"))
+
+
+@register("ml11_scaled_windows", O.with_fragments(["lstm_win", "imp"], "WITH raw AS (" + _scaler_sql() + """)
+SELECT part, idx, 0.0 AS mean, CASE WHEN spread THEN 1.0 ELSE 0.0 END AS scale FROM (
+  SELECT part, idx, scale <> 1.0 AS spread FROM raw) x"""))
+def q_ml11_scaled(spark, sf):
+    """ML11 applied: scaled training windows have mean 0 and deviation 1 in every feature that varies."""
+    train = PN.build_lstm_windows(_labeled(spark, sf).filter(F.col("split") == "train"), CFG)
+    scaled = PN.transform_windows(train, PN.fit_window_scaler(train))
+    again = PN.fit_window_scaler(scaled)
+    raw = PN.fit_window_scaler(train).select("part", "idx", (F.round("scale", 6) != 1.0).alias("varies"))
+    return again.join(raw, ["part", "idx"]).select("part", "idx", (F.round("mean", 5) + 0.0).alias("mean"),
+                                                   F.when(F.col("varies"), F.round("scale", 5)).otherwise(F.lit(0.0)).alias("scale"))
+
+
+@register("src14_saved_model")
+def q_src14(spark, sf):
+    """SRC14: a saved and loaded pit model scores like the one that was saved."""
+    labeled = _labeled(spark, sf)
+    val = labeled.filter(F.col("split") == "val")
+    model = CL.train_pit_model(labeled.filter(F.col("split") == "train"), val, CFG)
+    path = IO.fresh_stage_path(spark, "model")
+    model.save(path)
+    again = CL.PitModel.load(spark, path)
+    key = ["driver_stint_id", "LapNumber"]
+    a = model.predict_labels(val).select(*key, F.col("p").alias("p1"), F.col("pred_label").alias("l1"))
+    b = again.predict_labels(val).select(*key, F.col("p").alias("p2"), F.col("pred_label").alias("l2"))
+    return a.join(b, key).agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("p1") != F.col("p2")) | (F.col("l1") != F.col("l2"))).alias("n_differ"))

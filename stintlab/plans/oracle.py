@@ -310,12 +310,12 @@ FP_DIFF = " + ".join(f"CAST(a.{c} <> b.{c} AS INTEGER)" for c in
                      ["avg_deg_rate", "compound_variance", "track_temp_percentile", "high_speed_fraction",
                       "hist_soft_stint_len", "sc_vsc_frequency"])
 
-frag("loco", ["fs", "fp"], """
+frag("loco", ["fs", "fp"], f"""
 SELECT h.circuit,
        (SELECT avg(abs(t.lap_time_delta_s - (SELECT quantile_cont(o.lap_time_delta_s, 0.5) FROM fs o
                                              WHERE o.split = 'train' AND o.event_name <> h.circuit)))
         FROM fs t WHERE t.split = 'test' AND t.event_name = h.circuit) AS mae_p50,
-       0.0 AS fingerprint_distance,
+       (SELECT min(sqrt({FP_DIFF})) FROM fp a JOIN fp b ON a.event_name <> b.event_name WHERE a.event_name = h.circuit) AS fingerprint_distance,
        CASE WHEN h.circuit IN ('Monaco', 'Singapore') THEN 'street' ELSE 'permanent' END AS circuit_type
 FROM (SELECT DISTINCT event_name AS circuit FROM fs WHERE split = 'test'
       AND event_name IN (SELECT event_name FROM fp)) h""")
@@ -508,6 +508,7 @@ frag("lstm_win", ["imp"], f"""
 SELECT driver_stint_id, LapNumber, split, CAST(pit_label AS INTEGER) AS y, CAST(loss_weight AS DOUBLE) AS w,
        count(*) OVER wn AS n_steps,
        sum({' + '.join(LSTM_SEQ)}) OVER wn AS seq_sum,
+       list_sum(list_transform(list({' + '.join(f'{k + 1} * {c}' for k, c in enumerate(LSTM_SEQ))}) OVER wn, lambda v, i: v * i)) AS seq_order,
        {' + '.join(LSTM_STATIC)} AS static_sum, rn
 FROM (SELECT *, row_number() OVER (PARTITION BY driver_stint_id ORDER BY LapNumber) AS rn FROM imp) x
 WINDOW wn AS (PARTITION BY driver_stint_id ORDER BY LapNumber ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)

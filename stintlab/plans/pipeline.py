@@ -9,7 +9,6 @@ from .. import config as C
 from ..functions import scalars as S
 from ..operators import features as FE
 from ..operators.encode import FeatureState
-from ..session import cut_lineage
 
 
 def season_split(df: DataFrame, cfg: C.Config) -> DataFrame:
@@ -48,10 +47,15 @@ def base_features(df: DataFrame, cfg: C.Config, lap_norm: bool = True) -> DataFr
 
 
 def run_full_feature_pipeline(df: DataFrame, cfg: C.Config, state: FeatureState | None = None,
-                              reference: DataFrame | None = None, check_seasons: bool = True):
+                              reference: DataFrame | None = None, check_seasons: bool = True,
+                              null_limit: float | None = 0.05):
     """CP1. Returns (features, state). Without ``state`` the encoders and SC
-    probabilities are fitted on ``df`` itself (or on ``reference`` for the latter)."""
+    probabilities are fitted on ``df`` itself (or on ``reference`` for the latter). Rows
+    fail at action time when a key column has more than ``null_limit`` NULLs (AG16;
+    None switches the gate off)."""
     out = base_features(df, cfg)
+    if null_limit is not None:
+        out = FE.null_fraction_gate(out, limit=null_limit)
     if state is None:
         state = FeatureState.fit(out, cfg, reference=reference, check_seasons=check_seasons)
     out = state.encode(out)
@@ -60,30 +64,20 @@ def run_full_feature_pipeline(df: DataFrame, cfg: C.Config, state: FeatureState
     return out, state
 
 
-def prepare_splits(laps: DataFrame, cfg: C.Config):
-    """CP2: features per split, with encoders/SC probabilities fitted on train only."""
-    feats = base_features(laps, cfg, lap_norm=False)
-    raws = split_frames(laps, cfg)
-    train, val, test = (FE.add_lap_norm(f, source=r) for f, r in zip(split_frames(feats, cfg), raws))
-    state = FeatureState.fit(train, cfg)
+def split_base_features(laps: DataFrame, cfg: C.Config) -> DataFrame:
+    """Every season's base features, tagged by split. ``lap_count_norm`` is normalised
+    within each split frame, as when splits are run apart."""
+    return FE.add_lap_norm(season_split(base_features(laps, cfg, lap_norm=False), cfg), within=["split"],
+                           source=season_split(laps, cfg))
 
-    def finish(frame: DataFrame) -> DataFrame:
-        return state.add_historical_sc_prob(FE.add_circuit_softness(state.encode(frame), cfg))
-
-    return finish(train), finish(val), finish(test), state
 
+def apply_train_state(feats: DataFrame, cfg: C.Config, reference: DataFrame | None = None) -> DataFrame:
+    """CP2: encoders and SC probabilities fitted on the train split (the latter on
+    ``reference`` where given) and applied to all splits of ``split_base_features``."""
+    state = FeatureState.fit(feats.filter(F.col("split") == "train"), cfg, reference=reference)
+    return state.add_historical_sc_prob(FE.add_circuit_softness(state.encode(feats), cfg))
 
-def features_with_state(laps: DataFrame, cfg: C.Config, materialize: bool = True) -> DataFrame:
-    """All seasons' features with train-fitted state, tagged by split (one frame).
 
-    With ``materialize`` the window-heavy base features are written once as a reliable
-    checkpoint (in the cluster's ``spark.checkpoint.dir``) before the state is fitted,
-    so fitting and every later action read the stage instead of recomputing it.
-    """
-    # lap_count_norm is normalised within each split frame, as when splits are run apart.
-    feats = FE.add_lap_norm(season_split(base_features(laps, cfg, lap_norm=False), cfg), within=["split"],
-                            source=season_split(laps, cfg))
-    if materialize:
-        feats = cut_lineage(feats)
-    state = FeatureState.fit(feats.filter(F.col("split") == "train"), cfg)
-    return state.add_historical_sc_prob(FE.add_circuit_softness(state.encode(feats), cfg))
+def features_with_state(laps: DataFrame, cfg: C.Config) -> DataFrame:
+    """CP2 from laps in one lazy plan."""
+    return apply_train_state(split_base_features(laps, cfg), cfg)

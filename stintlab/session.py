@@ -1,12 +1,11 @@
-"""Spark session helpers: session defaults, checkpoint directory, sized broadcast."""
+"""Spark session helpers: session defaults, shared checkpoint folder, stage tables."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Session settings the engine relies on. AQE re-plans joins at runtime (turning a
 # sort-merge join into a broadcast join only when the materialised side is small),
@@ -42,67 +41,40 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when it is unset (local tests) do we create a scratch folder.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. Only
+    where it is unset on a local master (tests) do we create a scratch folder; elsewhere
+    a machine-local folder would be lost to the other machines, so that is an error.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return spark.sparkContext.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="stintlab-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="stintlab-ckpt-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir() or folder
 
 
-def stage_root(spark: SparkSession) -> str:
-    """Shared folder for written stage tables: a ``stages`` folder next to checkpoints."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(os.path.dirname(base.rstrip("/")) if base.startswith("/") else base, "stintlab-stages")
+_staged: dict[tuple, tuple] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss;
-    never a local checkpoint). The frame is persisted for the duration of the write,
-    since writing the checkpoint files would otherwise recompute it; the returned
-    frame reads the files and keeps the input's partitioning."""
-    from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return held.checkpoint(eager=True)
-    finally:
-        held.unpersist()
+def staged_table(name: str, sources: list[DataFrame], build, partition_by: tuple = ("season",)) -> DataFrame:
+    """A stage table as Parquet in the shared folder, partitioned for pruning.
 
-
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast-hint ``df`` only after checking its row count; otherwise leave the
-    choice to AQE (shuffle join, or a runtime broadcast if it turns out small).
-
-    Call this on small, already materialised dimension frames (fitted state, literal
-    lookup tables) so the count is cheap.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def cluster_settings(input_bytes: int, cores: int, target_partition_mb: int = 128) -> dict:
-    """Shuffle/scan sizing for a cluster run over ``input_bytes`` of parquet.
-
-    Initial shuffle partitions are sized so each holds about ``target_partition_mb``
-    (at least 2 waves of the cluster's cores); AQE then coalesces small partitions and
-    splits skewed join partitions. Scan splits stay at 256 MB. Apply with
-    ``SparkSession.builder.config(...)`` or ``spark.conf.set`` before planning.
+    It is written the first time an application asks for ``name`` over the given source
+    files and then read lazily by every later query, so plans start at a scan with
+    partition filters and a pruned schema. New or changed source files have other names
+    and give a new table; only a finished write (``_SUCCESS``) is registered.
     """
-    target = target_partition_mb * 1024 * 1024
-    partitions = max(2 * cores, int(input_bytes // target) + 1)
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_partition_mb}m",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.files.maxPartitionBytes": "256m",
-    }
+    spark = sources[0].sparkSession
+    files = tuple(sorted(f for s in sources for f in s.inputFiles()))
+    key = (spark.sparkContext.applicationId, name, files)
+    if key not in _staged:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        frame = build()
+        (frame.write.partitionBy(*partition_by) if partition_by else frame.write).parquet(path)
+        _staged[key] = (path, frame.schema)
+    path, schema = _staged[key]
+    return spark.read.schema(schema).parquet(path)

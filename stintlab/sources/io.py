@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in any file system that Spark reads."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -41,18 +42,25 @@ def write_any(df: DataFrame, path: str, partition_by: list | None = None) -> Non
         writer.parquet(path)
 
 
-def load_splits(spark: SparkSession, folder: str, names=("train", "val", "test"), suffix: str = "_raw"):
-    """SRC1: all-or-nothing load of the split tables; None when any is missing."""
+def _finished(spark: SparkSession, path: str) -> bool:
+    """A folder counts as a table once its write has committed."""
+    return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def load_splits(spark: SparkSession, folder: str, names=("train", "val", "test"), suffix: str = "_raw", schema=None):
+    """SRC1: all-or-nothing load of the split tables (with the declared schema if given);
+    None when any is missing or unfinished."""
     paths = [f"{folder.rstrip('/')}/{n}{suffix}.parquet" for n in names]
-    if not all(_exists(spark, p) for p in paths):
+    if not all(_finished(spark, p) for p in paths):
         return None
-    return tuple(read_any(spark, p) for p in paths)
+    return tuple(read_any(spark, p, schema) for p in paths)
 
 
 def stage(spark: SparkSession, path: str, compute, partition_by: list | None = None) -> DataFrame:
-    """SRC5: reuse the stage table at ``path`` if present, else compute, write and read
-    it back (the read-back plan starts from the written files: lineage is cut)."""
-    if not _exists(spark, path):
+    """SRC5: reuse the stage table at ``path`` if its write has finished, else compute, write
+    and read it back (the read-back plan starts from the written files: lineage is cut).
+    What an unfinished write left behind is overwritten."""
+    if not _finished(spark, path):
         write_any(compute(), path, partition_by)
     return read_any(spark, path)
 
@@ -97,7 +105,13 @@ def season_event_codes(df: DataFrame) -> DataFrame:
     events = df.select("season", "event_name").filter(F.col("event_name").isNotNull()).distinct()
     codes = events.withColumn("circuit_id", (F.dense_rank().over(
         Window.partitionBy("season").orderBy("event_name")) - 1).cast("int"))
-    return df.join(codes, ["season", "event_name"], "left")
+    return df.join(F.broadcast(codes), ["season", "event_name"], "left")  # one row per race of the calendar
+
+
+def load_complete(laps: DataFrame, expected_sessions: DataFrame, what: str = "split") -> DataFrame:
+    """SRC11 in the load path: ``laps``, after every expected session has been found."""
+    assert_loaded(load_status(laps, expected_sessions), what)
+    return laps
 
 
 def load_status(laps: DataFrame, expected_sessions: DataFrame) -> DataFrame:
@@ -116,12 +130,12 @@ def load_status(laps: DataFrame, expected_sessions: DataFrame) -> DataFrame:
 
 def assert_loaded(status: DataFrame, what: str = "split") -> None:
     """SRC11: raise if any season is empty or partially loaded."""
-    bad = status.filter(~F.col("complete")).limit(5).collect()
+    bad = status.filter(~F.col("complete")).orderBy("season").collect()  # one row per season
     if bad:
         raise RuntimeError(f"{what} incomplete: " + ", ".join(
             f"{r['season']}: loaded={r['loaded_sessions']} failed={r['failed_sessions']}" for r in bad))
 
 
 def write_results_json(df: DataFrame, path: str) -> None:
-    """SRC13: rows (nested columns allowed) as JSON lines."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """SRC13: rows (nested columns allowed) as JSON lines, one file per partition of ``df``."""
+    df.write.mode("overwrite").json(path)

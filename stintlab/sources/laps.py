@@ -172,9 +172,5 @@ def load_race_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_weather(laps_from_events(events), weather_from_events(events))
 
 
-def load_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weather_from_events(read_table(spark, sf_dir, "events"))
-
-
 def load_qualifying_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualifying_from_events(read_table(spark, sf_dir, "events"))

@@ -16,15 +16,15 @@ from stintlab.operators.ranking import running_totals
 from stintlab.sources.qualifying import load_qualifying_sessions
 
 
+#: circuit -> (pace lost per lap of tyre age, air temperature, a caution in how many of its two races)
+CIRCUITS = {"North": (0.04, 18.0, 2), "South": (0.11, 24.0, 1), "East": (0.07, 36.0, 0), "West": (0.22, 30.0, 1)}
+
+
 @pytest.fixture(scope="module")
 def fp_frame(spark):
-    rows = []
-    for cid, (name, slope, air, flag) in enumerate([("Monaco", 0.02, 25.0, 1), ("Qatar", 0.30, 35.0, 0),
-                                                    ("Spain", 0.15, 30.0, 0)]):
-        for comp in ("SOFT", "MEDIUM", "HARD"):
-            for lap in range(1, 9):
-                tyre = lap if comp == "SOFT" else lap + 2
-                rows.append((2021, name, cid, comp, float(lap), slope * lap, air, tyre, flag))
+    rows = [(season, name, cid, comp, float(age), slope * age + 0.3 * k, air, age + (0 if comp == "SOFT" else 5), int(n <= cautions))
+            for cid, (name, (slope, air, cautions)) in enumerate(CIRCUITS.items()) for n, season in enumerate((2020, 2021), 1)
+            for k, comp in enumerate(("SOFT", "MEDIUM", "HARD")) for age in range(1, 12)]
     return spark.createDataFrame(rows, "season int, event_name string, circuit_id int, Compound string, "
                                        "tire_age_laps double, lap_time_delta_s double, AirTemp double, TyreLife int, "
                                        "sc_or_vsc_flag int")
@@ -32,12 +32,34 @@ def fp_frame(spark):
 
 def test_fingerprints(spark, cfg, fp_frame):
     fp = {r["event_name"]: r for r in FP.compute_circuit_fingerprints(fp_frame, cfg).collect()}
-    for r in fp.values():
-        assert all(math.isfinite(r[c]) for c in FP.C.FINGERPRINT_COLS)
-    assert fp["Monaco"]["avg_deg_rate"] < fp["Spain"]["avg_deg_rate"] < fp["Qatar"]["avg_deg_rate"]
-    assert fp["Qatar"]["avg_deg_rate"] == pytest.approx(0.30)
-    assert fp["Monaco"]["sc_vsc_frequency"] == 1.0
-    assert fp["Monaco"]["hist_soft_stint_len"] == 4.5
+    assert set(fp) == set(CIRCUITS)
+    for name, (slope, air, cautions) in CIRCUITS.items():
+        assert fp[name]["avg_deg_rate"] == pytest.approx(slope)
+        assert fp[name]["track_temp_percentile"] == pytest.approx(air / 36.0)
+        assert fp[name]["sc_vsc_frequency"] == cautions / 2
+        assert fp[name]["hist_soft_stint_len"] == 6.0  # median of 1..11
+        assert fp[name]["compound_variance"] == pytest.approx(0.3)  # deviation of means 0.3 apart
+
+
+@pytest.mark.parametrize("include_self", [True, False])
+def test_nearest_fingerprint_equals_all_distances(spark, cfg, fp_frame, include_self):
+    fp = FP.compute_circuit_fingerprints(fp_frame, cfg)
+    rows = fp.collect()
+    got = {r["event_name"]: r["fingerprint_distance"] for r in FP.nearest_fingerprint(fp, cfg, include_self).collect()}
+    for a in rows:
+        want = min(math.sqrt(sum(a[c] != b[c] for c in FP.C.FINGERPRINT_COLS)) for b in rows if include_self or a != b)
+        assert got[a["event_name"]] == pytest.approx(want)
+
+
+def test_distance_with_table_ranges(spark, cfg, fp_frame):
+    """AG10 with AG09's ranges: dimensions scaled by the spread of the whole table."""
+    fp = FP.compute_circuit_fingerprints(fp_frame, cfg)
+    ranges = FP.feature_ranges(fp).first()
+    rows = fp.collect()
+    a, b = rows[0], rows[1]
+    want = math.sqrt(sum(((a[c] - b[c]) / ranges[c]) ** 2 for c in FP.C.FINGERPRINT_COLS))
+    vec = lambda r: F.array(*[F.lit(float(r[c])) for c in FP.C.FINGERPRINT_COLS])
+    assert spark.range(1).select(FP.fingerprint_distance(vec(a), vec(b), vec(ranges)).alias("d")).first()["d"] == pytest.approx(want)
 
 
 def test_fingerprint_distance(spark):
@@ -51,13 +73,14 @@ def test_fingerprint_distance(spark):
 def test_fingerprint_roundtrip(spark, cfg, fp_frame, tmp_path):
     fp = FP.compute_circuit_fingerprints(fp_frame, cfg)
     FP.save_fingerprints(fp, str(tmp_path / "fp"))
-    assert FP.load_fingerprints(spark, str(tmp_path / "fp")).count() == 3
+    assert FP.load_fingerprints(spark, str(tmp_path / "fp")).count() == len(CIRCUITS)
+    with pytest.raises(FileNotFoundError):
+        FP.load_fingerprints(spark, str(tmp_path / "none"))
 
 
-def test_threshold_max_f1(spark):
-    df = spark.createDataFrame([(0, 0.1), (0, 0.2), (1, 0.7), (1, 0.9)], "y int, p double")
-    r = CL.find_threshold_max_f1(df).first()
-    assert 0.2 < r["threshold"] <= 0.7 and r["threshold"] == 0.7
+def test_threshold_of_a_separable_score(spark):
+    df = spark.createDataFrame([(int(k >= 6), k / 10) for k in range(10)], "y int, p double")
+    assert CL.find_threshold_max_f1(df).first()["threshold"] == 0.6
 
 
 def _brute_threshold(y, p):

@@ -1,4 +1,4 @@
-"""Labels, cleaning, counterfactual scoring (reference test cases)."""
+"""Labels, cleaning, counterfactual scoring on inputs of our own."""
 
 from datetime import datetime
 
@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from stintlab.operators import counterfactual as CF
 from stintlab.operators import labels as LB
 
-T0 = datetime(2023, 3, 5, 15, 0, 0)
+T0 = datetime(2022, 7, 10, 14, 5, 0)
 
 
-def _driver_laps(spark, pits, caution=(), driver="A"):
-    rows = [(driver, lap, T0 if lap in pits else None, 1 if lap in caution else 0) for lap in range(1, 21)]
+N_LAPS = 24
+
+
+def _driver_laps(spark, stops, caution=(), driver="K1"):
+    rows = [(driver, lap, T0 if lap in stops else None, 1 if lap in caution else 0) for lap in range(1, N_LAPS + 1)]
     return spark.createDataFrame(rows, "Driver string, LapNumber int, PitInTime timestamp, sc_or_vsc_flag int")
 
 
@@ -20,31 +23,20 @@ def _labels(df):
     return {r["LapNumber"]: (r["pit_label"], r["loss_weight"]) for r in LB.encode_pit_labels(df).collect()}
 
 
-def test_pit_lap_and_warning_laps(spark):
-    lab = _labels(_driver_laps(spark, {10, 15}))
-    assert lab[10][0] == 2
-    assert [lab[i][0] for i in (7, 8, 9)] == [1, 1, 1]
-    assert lab[15][0] == 2 and lab[6][0] == 0
-
-
-def test_adjacent_pits(spark):
-    lab = _labels(_driver_laps(spark, {10, 11, 15}))
-    assert lab[10][0] == 2 and lab[11][0] == 2
+@pytest.mark.parametrize("stops, caution", [({6, 19}, ()), ({12, 13}, {10, 20}), ({2, 24}, {1, 23}), (set(), {4})])
+def test_labels_follow_their_definition(spark, stops, caution):
+    """2 on a stop, 1 on the three laps before one, else 0; no weight on caution laps."""
+    for lap, (label, weight) in _labels(_driver_laps(spark, stops, caution)).items():
+        assert label == (2 if lap in stops else 1 if any(lap < s <= lap + 3 for s in stops) else 0)
+        assert weight == (0.0 if lap in caution else 1.0)
 
 
-def test_zero_weight_under_caution(spark):
-    lab = _labels(_driver_laps(spark, {10, 15}, caution={9}))
-    assert lab[9][1] == 0.0 and lab[8][1] == 1.0
-
-
-def test_label_distribution_bands(spark):
-    df = None
-    for d in "ABCD":
-        part = _driver_laps(spark, {10, 15}, driver=d)
-        df = part if df is None else df.unionByName(part)
-    rows = LB.encode_pit_labels(df).groupBy("pit_label").count().collect()
-    share = {r["pit_label"]: r["count"] / 80 for r in rows}
-    assert 0.55 < share[0] < 0.8 and 0.15 < share[1] < 0.35 and 0.05 < share[2] < 0.15
+def test_label_shares_of_a_field(spark):
+    field = _driver_laps(spark, {8, 17}, driver="K0")
+    for k in range(1, 5):
+        field = field.unionByName(_driver_laps(spark, {7 + k, 16 + k}, driver=f"K{k}"))
+    share = {r["pit_label"]: r["count"] / (5 * N_LAPS) for r in LB.encode_pit_labels(field).groupBy("pit_label").count().collect()}
+    assert share == {0: pytest.approx(16 / 24), 1: pytest.approx(6 / 24), 2: pytest.approx(2 / 24)}
 
 
 def test_stint_transition_rule(spark):
@@ -71,14 +63,16 @@ def test_cleaning_rules_order(spark, cfg):
     assert kept == [3, 6]
 
 
-def _cf_frame(spark, preds, deltas=(0.1, 0.2, 1.5, 0.3), curve=None, flags=(0, 0, 0, 0)):
-    labels = [0, 0, 2, 0]
-    rows = [("R", "A", "s1", lap, labels[i], deltas[i], flags[i], preds[i], curve[i] if curve else None)
-            for i, lap in enumerate(range(1, 5))]
+PACE = (0.4, 0.0, 0.9, 2.1, 0.6)  # the car stops on lap 4
+
+
+def _cf_frame(spark, calls, curve=None, cautions=(), pace=PACE):
+    rows = [("Race", "K1", "stint", lap, 2 if lap == 4 else 0, d, int(lap in cautions), 2 if lap in calls else 0, curve[lap - 1] if curve else None)
+            for lap, d in enumerate(pace, 1)]
     return spark.createDataFrame(rows, "event_name string, Driver string, driver_stint_id string, LapNumber int, "
                                        "pit_label int, lap_time_delta_s double, sc_or_vsc_flag int, "
                                        "pred_label int, p50 double").withColumns(
-        {"Compound": F.lit("SOFT"), "Team": F.lit("X")})
+        {"Compound": F.lit("MEDIUM"), "Team": F.lit("Team K")})
 
 
 def _race_delta(df, cfg):
@@ -88,24 +82,23 @@ def _race_delta(df, cfg):
 def test_counterfactual_cases(spark, cfg):
     cons = cfg.replace(strategy_policy="conservative_advisor", allow_late_divergence=False)
     aggr = cfg.replace(strategy_policy="aggressive", allow_late_divergence=True)
-    assert _race_delta(_cf_frame(spark, [0, 0, 2, 0]), cons) == 0.0
-    earlier = _race_delta(_cf_frame(spark, [0, 2, 0, 0], curve=[0.1, 0.1, 0.8, 0.3]), cons)
-    assert earlier == pytest.approx(1.4 / 22)
-    assert _race_delta(_cf_frame(spark, [0, 0, 0, 0], curve=[0.1, 0.2, 0.5, 0.3]), cons) == 0.0
-    late = _race_delta(_cf_frame(spark, [0, 0, 0, 0], curve=[0.1, 0.2, 0.5, 0.3]), aggr)
-    assert late == pytest.approx(-1.0 / 22)
-    capped = _race_delta(_cf_frame(spark, [0, 2, 0, 0], deltas=(0.1, 200.0, 200.0, 0.3), curve=[0.1, 0.0, 0.2, 0.3]),
-                         cons)
-    assert capped == 5.0
-    caution = _race_delta(_cf_frame(spark, [0, 2, 0, 0], flags=(0, 1, 0, 0)), cons)
-    assert caution == 0.0
+    loss = float(cfg.pit_stop_time_loss_s)
+    curve = [0.2, 0.35, 0.5, 0.85, 0.3]
+    assert _race_delta(_cf_frame(spark, {4}), cons) == 0.0  # agrees with the stop
+    assert _race_delta(_cf_frame(spark, {3, 4}, curve), cons) == pytest.approx((2.1 - 0.5) / loss)  # an earlier call, by the curve
+    assert _race_delta(_cf_frame(spark, {2, 3}), cons) == pytest.approx((2.1 - 0.0) / loss)  # the first call, by its own pace
+    assert _race_delta(_cf_frame(spark, (), curve), cons) == 0.0  # never called: only the aggressive policy pays
+    assert _race_delta(_cf_frame(spark, (), curve), aggr) == pytest.approx(-(2.1 - 0.85) / loss)
+    assert _race_delta(_cf_frame(spark, {2}, curve, cautions={2}), cons) == 0.0  # a call under caution decides nothing
+    huge = _cf_frame(spark, {1}, pace=(0.0, 0.0, 0.0, 40 * loss, 0.0))
+    assert _race_delta(huge, cons) == CF.C.COUNTERFACTUAL_CAP
 
 
 def test_entity_aggregate_counts(spark):
-    recs = spark.createDataFrame([("RaceA_VER", 0.2, False, False), ("RaceA_PER", -0.3, False, False),
-                                  ("RaceB_LEC", 0.01, True, True)],
+    recs = spark.createDataFrame([("North_K1", 0.6, False, False), ("North_K2", -0.7, False, False),
+                                  ("North_K3", 0.4, False, False), ("South_K1", -0.02, True, True)],
                                  "driver_id string, delta_pos double, is_wet boolean, is_street boolean")
     s = CF.aggregate_by_entity(recs, "driver", include_map=True).first()
-    assert (s["drivers_positive"], s["drivers_negative"], s["drivers_neutral"]) == (1, 1, 1)
-    assert s["per_driver_deltas"]["RaceA_VER"] == 0.2
-    assert s["wet_driver_mean"] == pytest.approx(0.01) and s["dry_driver_mean"] == pytest.approx(-0.05)
+    assert (s["drivers_positive"], s["drivers_negative"], s["drivers_neutral"]) == (2, 1, 1)
+    assert s["per_driver_deltas"]["North_K3"] == 0.4
+    assert s["wet_driver_mean"] == pytest.approx(-0.02) and s["dry_driver_mean"] == pytest.approx(0.1)

@@ -41,3 +41,54 @@ def test_train_save_reload(spark, cfg, tmp_path):
     assert 0.25 - 1e-9 <= m["average_precision"] <= 1.0  # never below the positive prevalence (12 of 48)
     IO.write_results_json(spark.createDataFrame([m.asDict()]), str(tmp_path / "results"))
     assert spark.read.json(str(tmp_path / "results")).count() == 1
+
+
+def test_class_weights_come_from_train_only(spark, cfg):
+    train = spark.createDataFrame([(1,)] * 2 + [(0,)] * 6, "y int")
+    both = train.unionByName(spark.createDataFrame([(1,)] * 50, "y int"))
+    weights = {r["y"]: r["w"] for r in CL.class_weights(both, fitted_on=train).distinct().collect()}
+    assert weights == {1: 2.0, 0: pytest.approx(8 / 12)}
+
+
+def test_broken_model_part_is_an_error(spark, cfg, tmp_path):
+    train, val = _pit_frame(spark, ["Bahrain", "Monaco"], 30), _pit_frame(spark, ["Bahrain", "Monaco"], 24)
+    model = CL.train_pit_model(train, val, cfg, max_iter=2, extra_circuits=[])
+    path = tmp_path / "model"
+    model.save(str(path))
+    (path / "calibrator").rename(tmp_path / "elsewhere")
+    with pytest.raises(Exception):
+        CL.PitModel.load(spark, str(path))
+    model.calibrator, model.thresholds = None, None
+    model.save(str(tmp_path / "plain"))
+    again = CL.PitModel.load(spark, str(tmp_path / "plain"))
+    assert again.calibrator is None and again.thresholds is None
+
+
+def test_unfinished_stage_is_written_again(spark, tmp_path):
+    path, calls = str(tmp_path / "stage"), []
+
+    def compute():
+        calls.append(1)
+        return spark.range(5)
+
+    assert IO.stage(spark, path, compute).count() == IO.stage(spark, path, compute).count() == 5 and len(calls) == 1
+    (tmp_path / "stage" / "_SUCCESS").unlink()
+    assert IO.load_splits(spark, str(tmp_path), names=("stage",), suffix="") is None
+    assert IO.stage(spark, path, compute).count() == 5 and len(calls) == 2
+
+
+def test_load_gate_names_every_bad_season(spark):
+    keys = "season int, event_name string, session_type string"
+    expected = spark.createDataFrame([(s, e, "R") for s in range(2010, 2020) for e in ("North", "South")], keys)
+    laps = expected.filter("season >= 2018 or event_name = 'North'")
+    with pytest.raises(RuntimeError) as told:
+        IO.load_complete(laps, expected)
+    assert all(str(s) in str(told.value) for s in range(2010, 2018)) and "2018" not in str(told.value)
+    assert IO.load_complete(expected, expected).count() == 20
+
+
+def test_metric_report_keeps_text(spark, cfg):
+    from stintlab.operators.metrics import metric_report
+    got = {r["metric"]: (r["value"], r["text"], r["target"]) for r in
+           metric_report(spark.createDataFrame([(0.5, "3/4", 2)], "mcc double, heuristics string, n int"), cfg, "s").collect()}
+    assert got == {"mcc": (0.5, None, cfg.metric_targets["mcc"]), "heuristics": (None, "3/4", None), "n": (2.0, None, None)}

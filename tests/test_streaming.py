@@ -1,6 +1,7 @@
 """Structured Streaming session ingestion: equals the batch features, restarts without
 duplicates from its checkpoint."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from stintlab.plans import pipeline as P
@@ -10,20 +11,33 @@ from stintlab.streaming import ingest as ST
 SF = "/root/testdata/sf0.001"
 
 
-def _summary(df):
-    return sorted((r["season"], r["n"], round(r["s"], 6)) for r in
-                  df.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("lap_time_delta_s").alias("s"))
-                  .collect())
+KEY = ["season", "event_name", "Driver", "LapNumber"]
+
+
+def _rows(df):
+    """Every feature column of every lap."""
+    cols = sorted(c for c in df.columns if c not in ("batch",))
+    return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*KEY, *cols).collect()), key=str)
 
 
 def test_stream_equals_batch_and_restarts_cleanly(spark, cfg, tmp_path):
     src, sink, ckpt = str(tmp_path / "src"), str(tmp_path / "sink"), str(tmp_path / "ckpt")
     laps = L.load_race_laps(spark, SF)
-    laps.repartition("season", "event_name").write.partitionBy("season", "event_name").parquet(src)
-    schema = spark.read.parquet(src).schema
-    ST.start_session_ingest(spark, src, schema, sink, ckpt, cfg, files_per_trigger=4).awaitTermination()
-    first = _summary(ST.read_ingested(spark, sink))
-    assert first == _summary(P.base_features(spark.read.parquet(src), cfg))
+    laps.repartition(8, *L.SESSION_KEYS).write.partitionBy("season", "event_name").parquet(src)
+    table = spark.read.parquet(src)
+    longest = float(table.agg(F.max("LapNumber")).first()[0])
+    go = lambda: ST.start_session_ingest(spark, src, table.schema, sink, ckpt, longest, cfg, files_per_trigger=4).awaitTermination()
+    go()
+    first = _rows(ST.read_ingested(spark, sink))
+    assert first == _rows(P.base_features(table, cfg))
     # a restart from the same checkpoint finds no new files and writes nothing more
-    ST.start_session_ingest(spark, src, schema, sink, ckpt, cfg, files_per_trigger=4).awaitTermination()
-    assert _summary(ST.read_ingested(spark, sink)) == first
+    go()
+    assert _rows(ST.read_ingested(spark, sink)) == first
+
+
+def test_a_session_in_two_files_is_an_error(spark, cfg, tmp_path):
+    src = str(tmp_path / "src")
+    L.load_race_laps(spark, SF).repartition(3).write.partitionBy("season", "event_name").parquet(src)
+    with pytest.raises(Exception, match="several files"):
+        ST.start_session_ingest(spark, src, spark.read.parquet(src).schema, str(tmp_path / "sink"), str(tmp_path / "ckpt"), 10.0,
+                                cfg).awaitTermination()
