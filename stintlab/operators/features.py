@@ -1,11 +1,9 @@
 """Stint-aware lap features (DataFrame -> DataFrame, usable with ``df.transform``).
 
 Partitioning plan (see README): per-driver/stint windows share one hash partitioning on
-(season, event_name, Driver); per-(session, lap) windows share another. The full
-pipeline therefore needs driver -> (session, lap) -> driver exchanges only. Session-wide
-scalars (lap-3 median, session length, global maxima) are computed by partial
-aggregation into small per-session tables and joined back (AQE broadcasts them at
-runtime when small); no window ever spans a whole session.
+(season, event_name, Driver). Values over a lap or a session (leader's time, medians,
+session length, maxima) are partial aggregates joined back; what needs an order within a
+lap is cut into runs of places or steps of the gap. No window spans a lap or a session.
 """
 
 from __future__ import annotations
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import scalars as S
 from ..sources.laps import SESSION_KEYS, STINT_KEYS, STINT_SHUFFLE_KEYS
-from .ranking import attach_scalars
+from .ranking import attach_scalars, exact_quantiles
 
 LAP_KEYS = SESSION_KEYS + ["LapNumber"]
 
@@ -113,15 +111,66 @@ def add_sc_flags(df: DataFrame, cfg: C.Config) -> DataFrame:
 
 # --------------------------------------------------------------------------- WN06-WN09, JN02-JN03
 
-def gap_to_leader(df: DataFrame) -> Column:
-    """WN06: explicit GapToLeader, else Time - min(Time) per (session, lap), clipped >= 0."""
+#: positions in one window of a lap's running order
+PLACES = 32
+
+
+def add_gap_to_leader(df: DataFrame) -> DataFrame:
+    """WN06: ``_gap`` = explicit GapToLeader, else Time - min(Time) per (session, lap), clipped >= 0.
+    The leader's time is an aggregate joined back, so no window holds a whole lap."""
     if "GapToLeader" in df.columns:
-        return S.to_seconds_col(df, "GapToLeader")
+        return df.withColumn("_gap", S.to_seconds_col(df, "GapToLeader"))
     if "Time" not in df.columns:
-        return F.lit(None).cast("double")
+        return df.withColumn("_gap", F.lit(None).cast("double"))
+    keys = _session_keys(df) + ["LapNumber"]
     t = S.to_seconds_col(df, "Time")
-    w = Window.partitionBy(*(_session_keys(df) + ["LapNumber"]))
-    return F.when(t.isNotNull(), F.greatest(t - F.min(t).over(w), F.lit(0.0)))
+    lead = df.groupBy(*keys).agg(F.min(t).alias("_lead"))
+    return _join_keys(df, lead, keys).withColumn("_gap", F.when(t.isNotNull(), F.greatest(t - F.col("_lead"), F.lit(0.0)))).drop("_lead")
+
+
+def _join_keys(df: DataFrame, table: DataFrame, keys: list) -> DataFrame:
+    """Left join on keys of which some may be NULL (they match each other)."""
+    t = table.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in table.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(t, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _add_gap_ahead(df: DataFrame, keys: list) -> DataFrame:
+    """WN07: gap to the car one place ahead. Windows hold ``PLACES`` positions of a lap; the first car of such
+    a run takes its predecessor from a table with the last car of every run."""
+    pos = S.nan_to_null(F.col("Position").cast("string").try_cast("double")) if "Position" in df.columns else F.lit(None).cast("double")
+    out = df.withColumn("_pos", pos).withColumn("_run", F.coalesce(F.floor(F.col("_pos") / PLACES), F.lit(2**62)).cast("long"))
+    order = [F.col("_pos").asc_nulls_last(), F.col("Driver").asc_nulls_last()]
+    inner = Window.partitionBy(*keys, "_run").orderBy(*order)
+    out = out.withColumns({"_n": F.row_number().over(inner), "_ahead": F.lag("_gap").over(inner)})
+    place = F.struct(F.coalesce("_pos", F.lit(0.0)), F.col("Driver").isNull(), F.coalesce("Driver", F.lit("")))
+    last = df.withColumn("_pos", pos).withColumn("_run", F.coalesce(F.floor(F.col("_pos") / PLACES), F.lit(2**62)).cast("long")) \
+        .groupBy(*keys, "_run").agg(F.max_by(F.struct("_gap"), place).alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_run"))).drop("_last")
+    out = _join_keys(out, last, keys + ["_run"])
+    first = (F.col("_n") == 1) & F.col("_before").isNull()
+    ahead = F.when(F.col("_n") == 1, F.col("_before._gap")).otherwise(F.col("_ahead"))
+    diff = F.greatest(F.col("_gap") - ahead, F.lit(0.0))
+    # greatest() skips NULLs: an unknown gap on either side counts as none
+    known = ~first & F.col("_gap").isNotNull() & ahead.isNotNull()
+    return out.withColumn("gap_ahead_s", F.when(known, diff).otherwise(F.lit(0.0))).drop("_pos", "_run", "_n", "_ahead", "_before")
+
+
+def _add_undercut(df: DataFrame, keys: list, gap_s: float) -> DataFrame:
+    """JN02-JN03 on ``_gap`` and ``_recent_pit``. Gaps are cut into steps a little wider than ``gap_s``: a rival
+    less than ``gap_s`` ahead is in the same step or the one before. Within a step the nearest recent
+    pitter below is a running maximum; of the step before only its largest pitter gap matters."""
+    width = gap_s * (1 + 1e-9)  # rounding of the quotient must not skip a step
+    pitter = F.when(F.col("_recent_pit") == 1, F.col("_gap"))
+    out = df.withColumn("_step", F.floor(F.col("_gap") / F.lit(width)))
+    steps = _join_keys(out, out.groupBy(*keys, "_step").agg(F.max(pitter).alias("_prev")).withColumn("_step", F.col("_step") + 1), keys + ["_step"])
+    inner = Window.partitionBy(*keys, "_step").orderBy("_gap", F.col("Driver").asc_nulls_first())
+    steps = steps.withColumn("_below", F.max(pitter).over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+    # cars with equal gaps share the value of the first of them; a peer's own gap is no threat
+    steps = steps.withColumn("_below", F.min("_below").over(Window.partitionBy(*keys, "_step", "_gap")))
+    near = lambda c: (F.col(c) < F.col("_gap")) & ((F.col("_gap") - F.col(c)) < F.lit(gap_s))
+    threat = F.coalesce(near("_below"), F.lit(False)) | F.coalesce(near("_prev"), F.lit(False))
+    return steps.withColumn("undercut_threat", threat.cast("int")).drop("_step", "_prev", "_below")
 
 
 def _recent_pit_flag(df: DataFrame, look_back: int) -> Column:
@@ -132,55 +181,41 @@ def _recent_pit_flag(df: DataFrame, look_back: int) -> Column:
 
 
 def add_lap_level_features(df: DataFrame, cfg: C.Config, gap: bool = True, undercut: bool = True,
-                           evolution: bool = True) -> DataFrame:
-    """WN06-WN07, WN09 (per-lap part) and JN02-JN03 — every window partitioned by
-    (session, LapNumber), so they share one exchange.
+                           evolution: bool = True, source: DataFrame | None = None) -> DataFrame:
+    """WN06-WN07, WN09 (per-lap part) and JN02-JN03. No window holds a whole (session, lap):
+    the leader's time and the lap median are aggregates joined back, running orders are cut into
+    runs of places and gaps into steps, so a lap with many cars spreads over many tasks.
 
     Undercut (JN02-JN03): driver d on lap l is threatened iff some other driver r, who
     pitted on a lap in [l - look_back, l - 1], has on lap l a gap-to-leader g_r with
-    0 < g_d - g_r < gap_s. Implemented without pairs: ordering the (session, lap)
-    partition by gap, only the nearest recent pitter strictly below g_d matters.
+    0 < g_d - g_r < gap_s. ``source`` may give raw laps with ``LapTime_s`` for the medians.
     """
-    skeys = _session_keys(df)
-    lap_keys = skeys + ["LapNumber"]
+    keys = _session_keys(df) + ["LapNumber"]
     out = df
-    if undercut and "PitInTime" in df.columns:
+    pits = undercut and "PitInTime" in df.columns
+    if pits:
         out = out.withColumn("_recent_pit", _recent_pit_flag(out, cfg.undercut_threat_laps))
-    # One exchange for every (session, lap) window below.
-    out = out.repartition(*lap_keys)
-    out = out.withColumn("_gap", gap_to_leader(out))
+    if gap or pits:
+        out = add_gap_to_leader(out)
     if gap:
-        pos = F.col("Position").cast("string").try_cast("double") if "Position" in out.columns else F.lit(None)
-        w_pos = Window.partitionBy(*lap_keys).orderBy(S.nan_to_null(pos).asc_nulls_last(),
-                                                      F.col("Driver").asc_nulls_last())
-        diff = F.greatest(F.col("_gap") - F.lag("_gap", 1).over(w_pos), F.lit(0.0))
-        out = out.withColumn("gap_ahead_s", F.when(F.row_number().over(w_pos) == 1, F.lit(0.0))
-                             .when(F.col("_gap").isNull(), F.lit(0.0))
-                             .otherwise(F.coalesce(diff, F.lit(0.0))))
-    if undercut:
-        if "PitInTime" in df.columns:
-            # Largest gap of a recent pitter strictly below my gap: ROWS frame up to the
-            # previous row, taken at the first row of my peer group (equal gaps), then
-            # spread over the peer group. Floating-point subtraction is monotone, so if
-            # any rival satisfies g_d - g_r < gap_s, this nearest one does.
-            pitter_gap = F.when((F.col("_recent_pit") == 1) & F.col("_gap").isNotNull(), F.col("_gap"))
-            w_gap = Window.partitionBy(*lap_keys).orderBy(F.col("_gap").asc_nulls_first(),
-                                                          F.col("Driver").asc_nulls_first())
-            out = out.withColumn("_below", F.max(pitter_gap).over(w_gap.rowsBetween(Window.unboundedPreceding, -1)))
-            out = out.withColumn("_below", F.min("_below").over(Window.partitionBy(*(lap_keys + ["_gap"]))))
-            # where no rival is below, a peer's own gap is all that min() can find: it is no threat
-            threat = F.col("_gap").isNotNull() & F.col("_below").isNotNull() & (F.col("_below") < F.col("_gap")) & \
-                ((F.col("_gap") - F.col("_below")) < F.lit(float(cfg.undercut_threat_gap_s)))
-            out = out.withColumn("undercut_threat", F.when(threat, 1).otherwise(0).cast("int"))
-            out = out.drop("_recent_pit", "_below")
-        else:
-            out = out.withColumn("undercut_threat", F.lit(0))
+        out = _add_gap_ahead(out, keys)
+    if pits:
+        out = _add_undercut(out, keys, float(cfg.undercut_threat_gap_s)).drop("_recent_pit")
+    elif undercut:
+        out = out.withColumn("undercut_threat", F.lit(0))
     if evolution:
-        corrected = F.col("LapTime_s") + F.col("LapNumber") * F.lit(cfg.track_evolution_fuel_effect)
-        out = out.withColumn("_lap_median", F.percentile(corrected, 0.5).over(Window.partitionBy(*lap_keys)))
+        medians = corrected_medians(source if source is not None else out, cfg, keys)
+        out = _join_keys(out, medians.withColumnRenamed("_median", "_lap_median"), keys)
     return out.drop("_gap")
 
 
+def corrected_medians(laps: DataFrame, cfg: C.Config, keys: list) -> DataFrame:
+    """Exact median of LapTime_s + lap * effect per group, without holding a group in one task."""
+    lt = F.col("LapTime_s") if "LapTime_s" in laps.columns else S.to_seconds_col(laps, "LapTime")
+    values = laps.select(*keys, (lt + F.col("LapNumber") * F.lit(cfg.track_evolution_fuel_effect)).alias("_v"))
+    return exact_quantiles(values, "_v", [0.5], by=keys).select(*keys, F.col("q0").alias("_median"))
+
+
 def add_gap_trend(df: DataFrame) -> DataFrame:
     """WN08: gap_ahead_s minus its value 3 stint rows earlier; NULL -> 0."""
     w = stint_window(df)
@@ -203,10 +238,8 @@ def add_undercut_threat(df: DataFrame, cfg: C.Config) -> DataFrame:
 def lap3_medians(laps: DataFrame, cfg: C.Config) -> DataFrame:
     """Per session: median of LapTime_s + lap * effect over lap-3 rows (one row/session).
     Computed from the raw lap columns so it never re-runs the feature windows."""
-    skeys = _session_keys(laps)
-    lt = F.col("LapTime_s") if "LapTime_s" in laps.columns else S.to_seconds_col(laps, "LapTime")
-    corrected = lt + F.col("LapNumber") * F.lit(cfg.track_evolution_fuel_effect)
-    return laps.filter(F.col("LapNumber") == 3).groupBy(*skeys).agg(F.percentile(corrected, 0.5).alias("_lap3_median"))
+    keys = _session_keys(laps)
+    return corrected_medians(laps.filter(F.col("LapNumber") == 3), cfg, keys).withColumnRenamed("_median", "_lap3_median")
 
 
 def add_track_evolution(df: DataFrame, cfg: C.Config, source: DataFrame | None = None) -> DataFrame:

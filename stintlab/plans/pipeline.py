@@ -30,8 +30,8 @@ def split_frames(df: DataFrame, cfg: C.Config):
 def base_features(df: DataFrame, cfg: C.Config, lap_norm: bool = True) -> DataFrame:
     """CP1 without the fitted steps: every deterministic row/window feature.
 
-    Exchange plan: stint windows (one hash partitioning on season, event, Driver) ->
-    (session, lap) windows (one exchange) -> stint window for the gap trend.
+    Exchange plan: stint windows (one hash partitioning on season, event, Driver) -> windows
+    over runs and steps within a lap -> stint window for the gap trend.
     """
     raw = df if "LapTime_s" in df.columns else df.withColumn("LapTime_s", S.to_seconds_col(df, "LapTime"))
     out = FE.to_driver_partitioning(FE.add_stint_id(raw))
@@ -40,7 +40,7 @@ def base_features(df: DataFrame, cfg: C.Config, lap_norm: bool = True) -> DataFr
     out = FE.add_degradation_derivatives(out)
     out = FE.add_tire_age_features(out)
     out = FE.add_sc_flags(out, cfg)
-    out = FE.add_lap_level_features(out, cfg, gap=True, undercut=True, evolution=True)
+    out = FE.add_lap_level_features(out, cfg, source=raw)
     out = FE.add_gap_trend(out)
     out = FE.add_track_evolution(out, cfg, source=raw)
     return FE.add_lap_norm(out, source=raw) if lap_norm else out
