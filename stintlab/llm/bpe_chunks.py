@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from . import textbytes as tb
 from .frames import pick, prepare
-from .tokens import Remembered, load_tokenizer
+from .tokens import Remembered, byte_letters, load_tokenizer
 
 ROLL = 16
 CUT_BITS = 10
@@ -127,16 +127,10 @@ class ChunkEncoder(Remembered):
 
 
 def _piece_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of every id end to end and their bounds, from a tokenizer file.
-
-    Byte-level vocabularies write each byte as a printable character: bytes that are printable in Latin-1 as
-    themselves, the others in order as the characters from U+0100 on.
-    """
+    """The bytes of every id end to end and their bounds, from a tokenizer file."""
     with open(path, encoding="utf-8") as file:
         told = json.load(file)
-    themselves = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(themselves)]
-    byte_of = {chr(b): b for b in themselves} | {chr(0x100 + k): b for k, b in enumerate(others)}
+    byte_of = {c: b for b, c in byte_letters().items()}
     pieces = {i: bytes(byte_of[c] for c in token) for token, i in told["model"]["vocab"].items()
               if all(c in byte_of for c in token)}
     pieces |= {t["id"]: t["content"].encode() for t in told["added_tokens"]}

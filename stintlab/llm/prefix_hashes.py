@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,8 +236,6 @@ def fingerprint_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def with_common_extension(df: DataFrame, left: Column, right: Column, left_at: Column, right_at: Column, name: str = "extension") -> DataFrame:
     """Add the length of the longest common run of two texts from given positions (null if an input is null)."""
-    import pandas as pd
-
     prepare(df.sparkSession)
 
     @F.pandas_udf("long")

@@ -24,6 +24,18 @@ def test_ids_equal_the_tokenizer(tokenizer):
         assert ids[bounds[k]:bounds[k + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+def test_plain_words_equal_the_tokenizer(tokenizer):
+    """Every printable ASCII and Latin-1 letter in several surroundings, and the file's other characters."""
+    encoder = WordEncoder(PATH)
+    assert encoder.known_steps
+    words = [f.format(c) for c in map(chr, [*range(1, 0x250), 0x301, 0x3A3, 0x1E9E, 0x2028, 0x3000, 0xFB01, 0x1F600])
+             for f in ("{0}", "a{0}b", "{0}s", "'{0}", "1{0}2", "A{0}E{0}", ".{0}!")]
+    words += ["it's", "I'LL", "don't", "x'reY", "'s", "''ve", "<|endoftext|>x", "A<|startoftext|>", "<|", "ÀÉÎÕÜÞß", "×÷", "ªº", "µ"]
+    for text in words:
+        ids, _ = encoder.encode([text.encode()])
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def check(out, ids, tokens, segments, loss, padded=0):
     pieces, sequences = {}, {}
     for r in out.collect():
