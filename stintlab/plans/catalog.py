@@ -450,6 +450,16 @@ def q_cf4(spark, sf):
     return d.select("driver_id", "race_id", "driver", "team", r6("delta_pos"), "is_wet", "is_street")
 
 
+@register("cf4_wet_before_cleaning", O.with_fragments(["cf_driver", "fs"], f"""
+SELECT d.driver_id, round(d.delta_pos, 6) AS delta_pos, coalesce(w.wet, false) AS is_wet FROM cf_driver d
+LEFT JOIN (SELECT event_name, Driver, bool_or(coalesce(Compound IN ({", ".join(f"'{c}'" for c in CFG.wet_compounds)}), false)) AS wet
+           FROM fs WHERE split = 'test' GROUP BY ALL) w ON w.event_name = d.race_id AND w.Driver = d.driver"""))
+def q_cf4_wet(spark, sf):
+    """CF4 with PR15's flag from the laps before cleaning."""
+    before = _fs(spark, sf).filter(F.col("split") == "test")
+    return CF.per_driver_deltas(_cf_laps(spark, sf), CFG, wet_source=before).select("driver_id", r6("delta_pos"), "is_wet")
+
+
 @register("cf5_per_team_deltas", O.with_fragments(["cf_team"], """
 SELECT team_id, race_id, team, round(delta_pos, 6) AS delta_pos, is_wet, is_street FROM cf_team"""))
 def q_cf5(spark, sf):
