@@ -44,13 +44,21 @@ def test_stages_are_named_and_chained(spark):
     assert by.where("n <> doc_tokens").count() == 0
 
 
-def test_run_equals_the_stages(spark):
-    out = corpus_pipeline.run(spark, SF).groupBy().agg(F.countDistinct("doc_id").alias("d"), F.sum("length").alias("n")).first()
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, step in corpus_pipeline.STAGES:
-        docs = step(spark, docs, SF)
-    again = docs.groupBy().agg(F.countDistinct("doc_id").alias("d"), F.sum("length").alias("n")).first()
-    assert tuple(out) == tuple(again)
+def test_run_applies_the_stages_in_order(spark, monkeypatch):
+    seen = []
+
+    def step(name):
+        def apply(spark, docs, sf_dir):
+            seen.append((name, docs.columns, docs.count()))
+            return docs.where("doc_id > 0") if name != "d" else docs.select("doc_id")
+
+        return apply
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(k, step(k)) for k in "abcd"])
+    out = corpus_pipeline.run(spark, SF)
+    columns = spark.read.parquet(f"{SF}/documents.parquet").columns
+    assert [(k, c) for k, c, _ in seen] == [(k, columns) for k in "abcd"] and out.columns == ["doc_id"]
+    assert seen[0][2] == seen[1][2] + 1 == out.count() + 1
 
 
 def test_odd_rows_and_clashing_columns(spark):
