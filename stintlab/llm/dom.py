@@ -23,9 +23,9 @@ GROUPS = [{"p", "blockquote", "pre"}, HEADINGS, {"li", "ul", "ol", "dl", "dt", "
 MAIN, OFF, FORM = GROUPS[5], GROUPS[6], GROUPS[7]
 #: words in class, id and role attributes
 GOOD_WORDS = {"article", "body", "content", "entry", "main", "page", "post", "story", "text", "prose"}
-BAD_WORDS = {"ad", "ads", "advert", "advertisement", "aside", "banner", "bar", "breadcrumb", "breadcrumbs", "comment", "comments",
-             "consent", "contentinfo", "cookie", "cookies", "copyright", "disclaimer", "discussion", "foot", "footer", "form", "gdpr", "head",
-             "header", "links", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup",
+BAD_WORDS = {"ad", "ads", "advert", "advertisement", "aside", "banner", "bar", "button", "breadcrumb", "breadcrumbs", "comment", "comments",
+             "consent", "contentinfo", "cookie", "cookies", "copyright", "disclaimer", "dialog", "discussion", "fieldset", "foot", "footer", "form", "gdpr", "head",
+             "header", "input", "label", "links", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup",
              "promo", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social",
              "sponsor", "sponsored", "subscribe", "tags", "toolbar", "topbar", "widget"}
 FEATURES = ["log_chars", "log_own", "log_below", "density", "links", "punctuation", "depth", "siblings", "place", "same_siblings", "share",
@@ -160,7 +160,10 @@ class Page:
         groups = [[float(tag in g) for g in GROUPS] for tag in self.tags]
         for v, tag in enumerate(self.tags):
             p = self.parents[v]
-            words = {w for a in ATTRIBUTE.findall(self.attributes[v]) for w in WORD.findall("".join(a).lower())} if self.attributes[v] else ()
+            # element names that say what they hold count as words, too
+            words = {tag} if tag in MAIN | OFF | FORM else set()
+            if self.attributes[v]:
+                words |= {w for a in ATTRIBUTE.findall(self.attributes[v]) for w in WORD.findall("".join(a).lower())}
             good, bad = sum(w in GOOD_WORDS for w in words), sum(w in BAD_WORDS for w in words)
             m, o, g, b, f = above[p] if v else (0, 0, 0, 0, 0)
             above[v] = (m + (tag in MAIN), o + (tag in OFF), g + (good > 0 and not bad), b + (bad > 0), f + (tag in FORM))

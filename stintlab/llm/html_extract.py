@@ -163,6 +163,14 @@ def _variants(source: str, number: int) -> Iterator[str]:
         body = inner[:mid] + dropped + inner[mid:] if mid >= 4 else inner + dropped
         yield (f"<html><body>{at(heads, 2)}{at(menus, 1)}{at(notes, 3)}{at(adverts, 1) if r % 2 else ''}<div><{container} data-keep>{body}</{container.split()[0]}>"
                f"{at(comments, 1)}{at(sides, 2)}</div>{at(forms, 2)}{at(foots, 1)}</body></html>")
+    # all parts side by side
+    container = _CONTAINERS[number % (len(_CONTAINERS) - 1)]
+    around = [*heads, *menus, *notes, *adverts, *sides, *forms, *comments, *foots]
+    turn = number % len(around)
+    around = around[turn:] + around[:turn]
+    middle = len(around) // 2
+    yield (f"<html><body>{''.join(around[:middle])}<{container} data-keep>{inner}</{container.split()[0]}>"
+           f"{''.join(around[middle:])}</body></html>")
 
 
 def _labelled(page: Page) -> np.ndarray:
