@@ -10,13 +10,16 @@ similarity, and the share of equal coordinates concentrates as with independent
 *Candidates.* Coordinates are cut into bands; documents that agree in a whole band share a bucket.
 With 32 bands of 4 a pair at similarity 0.8 shares none with probability 5e-8.
 
-*Links.* Documents with equal sets form one class first, so copies never meet in pairs. Each class is
-then compared with the first class of the bucket it shares most often; verified links give components.
+*Links.* Documents with equal sets form one class first, so copies never meet in pairs. Each bucket has a
+hub, its class with the largest buckets in all, which in a group of edited copies is the text they were
+edited from. Each class is compared with the hub it shares most buckets with; verified links give components.
 Only buckets that still hold several components go on: there each member outside the bucket's largest
-component is compared with all members of other components. Pairs inside one component need no
-comparison, as they cannot change the result; no other candidate is dropped, except pairs whose
-sketches agree in under 75 of 128 coordinates (six standard deviations below 0.8). Every link is
-verified on the full sets: ``100 * intersection >= percent * union``.
+component may still link to members of other components. Pairs inside one component need no comparison, as
+they cannot change the result. Members near the component's centre ``H`` carry their set as differences from
+it, ``H \\ A`` and ``A \\ H``, which give the exact intersection of two members within the join,
+``|H| - |(H \\ A) u (H \\ B)| + |(A \\ H) n (B \\ H)|``; so of a large group of edited copies only links leave the
+join. Other pairs are dropped only if their sketches agree in under 75 of 128 coordinates (six standard
+deviations below 0.8). Every link is verified on the full sets: ``100 * intersection >= percent * union``.
 
 Defined results: a text with fewer words than a shingle forms one shingle of all its words; null and
 empty texts (or only white space) have an empty set and link with nothing; rows with a null id link
@@ -44,6 +47,7 @@ LEAST_AGREEING = 75
 
 _U = np.uint64
 _SEEDS = tb.coefficients(2 * COORDINATES, 77)
+_ROUNDS = tb.coefficients(2 * COORDINATES, 1234)
 _BAND_MIX = tb.coefficients(COORDINATES, 991)
 _SET_MIX = tb.coefficients(2, 5)
 
@@ -93,7 +97,7 @@ def sketch(elements: np.ndarray, bounds: np.ndarray, t: int = COORDINATES) -> np
         slot = np.searchsorted(least, at)
         best = np.full(len(least), none)
         np.minimum.at(best, slot, value)
-        flat[least] = tb.mix64(best + _U(i) * _U(0x9E3779B97F4A7C15))
+        flat[least] = tb.mix64(best + _ROUNDS[i])
         flat_filled[least] = True
         unfinished = ~filled.all(axis=1)[owner]
         live, owner = live[unfinished], owner[unfinished]
@@ -141,10 +145,13 @@ def _sets(words_each: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words_each: int, percent: int) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, words_each: int) -> DataFrame:
+    """Full sets of the texts with these ids: ``id``, ``elements``."""
+    return stage(docs.join(ids, "id", "left_semi").mapInArrow(_sets(words_each), "id long, elements array<long>"), "sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. ``b`` may be a hub of many ``a``."""
-    ends = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ends")
-    sets = stage(docs.join(ends, "id", "left_semi").mapInArrow(_sets(words_each), "id long, elements array<long>"), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -166,23 +173,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                  "id long, n long, s1 long, s2 long, bands array<long>, sketch array<smallint>"), "sketches")
     key = ["n", "s1", "s2"]
     classes = seen.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"))
-    member = stage(seen.select("id", *key).join(classes, key, "left").select("id", "n", "rep"), "members")
+    member = stage(seen.select("id", *key).join(classes, key, "left")
+                   .select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "members")
     reps = stage(seen.where("n > 0").join(classes.select(*key, F.col("rep").alias("id")), [*key, "id"], "left_semi")
                  .select("id", "bands", "sketch"), "classes")
 
-    entries = reps.select("id", F.explode("bands").alias("bucket"))
-    hubs = entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
-    shared = stage(entries.join(hubs.select("bucket", "hub"), "bucket").distinct(), "buckets")
-    stars = shared.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times"))
-    best = (stars.groupBy("id").agg(F.max(F.struct("times", (-F.col("hub")).alias("m"))).alias("top"))
-            .select(F.col("id").alias("a"), (-F.col("top.m")).alias("b")))
-    links = stage(_verified(docs, stage(best, "stars"), words_each, percent), "links")
+    entries = reps.select("id", F.explode("bands").alias("bucket")).distinct()
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stage(entries.join(sizes, "bucket"), "buckets")
+    weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    hubs = (shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("m"))).alias("top"))
+            .select("bucket", (-F.col("top.m")).alias("hub")))
+    stars = shared.join(hubs, "bucket").where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("times"))
+    best = stage(stars.groupBy("id").agg(F.max(F.struct("times", (-F.col("hub")).alias("m"))).alias("top"))
+                 .select(F.col("id").alias("a"), (-F.col("top.m")).alias("b")), "stars")
+    ends = stage(best.select(F.col("a").alias("id")).union(best.select("b")).distinct(), "ends")
+    links = stage(_verified(_sets_of(docs, ends, words_each), best, percent), "links")
     one_id = (member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
               .where("a < b").select("a", "b"))
     links = stage(links.union(one_id), "links")
 
-    rest = _across(shared, reps, components(links))
-    links = links.union(_verified(docs, stage(rest, "pairs"), words_each, percent))
+    links = links.union(_across(docs, shared.select("bucket", "id"), reps, components(links), words_each, percent))
     roots = components(links).withColumnsRenamed({"node": "rep"})
     return (member.join(roots, "rep", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -190,21 +201,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))))
 
 
-def _across(shared: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs between different components in the buckets that hold several."""
-    named = (shared.select("bucket", "id").join(labels.withColumnsRenamed({"node": "id"}), "id", "left")
+def _across(docs: DataFrame, shared: DataFrame, reps: DataFrame, labels: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """Verified links between different components, from the buckets that hold several."""
+    named = (shared.join(labels.withColumnsRenamed({"node": "id"}), "id", "left")
              .select("bucket", "id", F.coalesce("root", "id").alias("root")))
     mixed = (named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo < hi").select("bucket"))
     left = stage(named.join(mixed, "bucket"), "mixed")
     main = (left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
             .groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top")).select("bucket", F.col("top.root").alias("main")))
-    drawn = reps.select("id", "sketch")
-    full = left.join(main, "bucket").join(drawn, "id")
-    small = full.where("root <> main").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
-    other = full.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), "main")
-    agreeing = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
-    return (small.join(other, ["bucket"])
-            .where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
-                   & (agreeing >= LEAST_AGREEING))
-            .select("a", "b").distinct())
+    full = stage(left.join(main, "bucket"), "mixed")
+    sets = _sets_of(docs, stage(full.select("id").distinct(), "ends"), words_each)
+    # the centre of a largest component is its member in most of these buckets
+    centre = (full.where("root = main").groupBy("main", "id").agg(F.count(F.lit(1)).alias("c"))
+              .groupBy("main").agg(F.max(F.struct("c", (-F.col("id")).alias("m"))).alias("top")).select("main", (-F.col("top.m")).alias("id")))
+    centre = stage(centre.join(sets, "id").dropDuplicates(["main"]).select("main", F.col("elements").alias("h")), "centres")
+    member = full.select("main", "id").distinct().join(sets, "id").join(reps.select("id", "sketch"), "id").join(centre, "main")
+    lacks, adds = F.array_except("h", "elements"), F.array_except("elements", "h")
+    member = member.select("main", "id", "sketch", F.size("elements").alias("n"), F.size("h").alias("hn"), lacks.alias("lacks"), adds.alias("adds"))
+    near = (F.col("hn") - F.size("lacks")) * 2 >= F.col("hn") + F.size("adds")  # similarity to the centre of a half
+    member = stage(member.select("main", "id", "sketch", "n", "hn", *[F.when(near, F.col(c)).alias(c) for c in ("lacks", "adds")]), "members")
+    known = full.join(member, ["main", "id"])
+    names = ("id", "root", "sketch", "n", "lacks", "adds")
+    small = known.where("root <> main").select("bucket", "main", "hn", *[F.col(c).alias(c + "1") for c in names])
+    other = known.select("bucket", *[F.col(c).alias(c + "2") for c in names])
+    agreeing = F.size(F.filter(F.zip_with("sketch1", "sketch2", lambda x, y: x == y), lambda same: same))
+    both_lack = F.size("lacks1") + F.size("lacks2") - F.size(F.array_intersect("lacks1", "lacks2"))
+    common = F.col("hn") - both_lack + F.size(F.array_intersect("adds1", "adds2"))
+    total = F.col("n1") + F.col("n2")
+    links = F.when(F.col("lacks1").isNotNull() & F.col("lacks2").isNotNull(), common * (100 + percent) >= percent * total) \
+        .otherwise(agreeing >= LEAST_AGREEING)
+    pairs = (small.join(other, "bucket")
+             .where((F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2")))
+                    & (F.least("n1", "n2") * (100 + percent) >= percent * total) & links)
+             .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
+    return _verified(sets, stage(pairs, "pairs"), percent)
