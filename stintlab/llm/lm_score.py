@@ -203,7 +203,9 @@ def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     prepare(spark)
     docs = pick(df, id=id_col, text=text_col)
     wanted = stage(target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("id")).where("id is not null").distinct(), "target")
-    flagged = docs.join(wanted.withColumn("hit", F.lit(True)), "id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("target"))
+    # one plan at every size: the ids grow with the corpus, so they are never broadcast
+    hits = wanted.withColumn("hit", F.lit(True)).hint("shuffle_hash")
+    flagged = docs.join(hits, "id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("target"))
     model = spark.sparkContext.broadcast(fit(flagged, vocabulary_share, bigram_share))
     kind = docs.schema["id"].dataType.simpleString()
     out = docs.mapInArrow(_scored(model), f"id {kind}, n_words long, target_loss double, background_loss double, ce_difference double")
