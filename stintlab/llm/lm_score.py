@@ -1,21 +1,25 @@
 """Cross-entropy difference: score documents by matched target and background bigram models.
 
-Both models are interpolated bigram models of the same form over one vocabulary: the words that make up at
-least ``1 / VOCABULARY_SHARE`` of all background words (so there are at most ``VOCABULARY_SHARE``), with one
-class for all other words, and marks for the start and the end of a text. Bigrams are kept in both models if
-they make up at least ``1 / BIGRAM_SHARE`` of all background bigrams (at most ``BIGRAM_SHARE`` of them); the
-probability mass of the others goes to the word alone. With ``c`` the counts of one model over its texts,
+Both models are interpolated bigram models of the same form over one vocabulary: all words of the corpus, and one
+mark for the edge of a text (before its first word and after its last). With ``c`` the counts of one model over
+its texts, ``N`` its events (words and ends) and ``|V|`` the words of the corpus,
 
     p(w)     = (c(w) + 1) / (N + |V| + 2)
-    p(w | h) = LAMBDA * c(h w) / c(h) [h w kept]  +  (1 - LAMBDA * sum_kept c(h v) / c(h)) * p(w)
+    p(w | h) = LAMBDA * c(h w) / c(h)  +  (1 - LAMBDA [c(h) > 0]) * p(w)
 
 and the loss of a word is ``-ln p(w | h)``. A document's score is the mean over its words and its end of
 the target loss minus the background loss; lower is closer to the target.
 
-Counts are taken over all documents: tasks count their own texts, and Spark adds up the counts. The two
-shares bound the model that is broadcast, whatever the size of the corpus; everything counted before grows
-with the corpus and stays distributed. Words are the runs of ``[^\\x20\\x09-\\x0D]``, A-Z in lower case, and are
-handled as 64-bit hashes.
+No word and no bigram is left out, so the model grows with the corpus and is never collected or broadcast: tasks
+count their own texts, Spark adds up the counts, and the counts of words and bigrams stay one distributed table.
+Texts are dealt over chunks of about ``CHUNK`` events by the hash of their id and text; every chunk's distinct words
+and bigrams are joined with the counts and come back to the chunk's texts. A word or bigram has one row a
+chunk in that join, however often it occurs. Words are the runs of ``[^\\x20\\x09-\\x0D]``, A-Z in lower case;
+words and bigrams are handled as 64-bit hashes.
+
+A caller may set bars: ``vocabulary_share`` makes one class of all words below that share of the background words,
+and is the one case in which a table of words (``vocabulary_share`` at most) is broadcast; ``bigram_share`` gives
+the mass of the bigrams below that share of the background bigrams to the word alone.
 
 Defined results: null and empty texts have no words and are scored on their end alone; rows with a null id are
 scored but are never target texts; repeated rows count and are returned as often as they come; with no target
@@ -26,7 +30,6 @@ texts are used.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,87 +39,79 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .frames import pick, prepare, stage
 
-VOCABULARY_SHARE = 50_000
 BIGRAM_SHARE = 200_000
 LAMBDA = 0.75
 #: distinct n-grams a task holds before it emits its counts
-HELD = 1 << 20
+HELD = 1 << 19
+#: events (words and ends of texts) in a chunk of texts that are scored together, on average
+CHUNK = 1 << 18
 
-#: classes of the vocabulary: other words, start of text, end of text; words follow
-OTHER, START, END, FIRST = 0, 1, 2, 3
+#: stand for the edge of a text and for the words below a bar, beside the hashes of words
+EDGE, OTHER = 1, 2
+#: marks the count of a word; bigrams have their history, or ``PAIR`` where it is not needed
+WORD, PAIR = -1, 0
 
 
 class Counter:
-    """Counts of 64-bit keys in both corpora, merged when many have come in."""
+    """Counts of 64-bit keys in both corpora, merged when many have come in. ``kind`` belongs to the key."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray, target: np.ndarray) -> None:
-        found, where = np.unique(keys, return_inverse=True)
-        self.parts.append((found, np.bincount(where, minlength=len(found)), np.bincount(where, weights=target, minlength=len(found)).astype(np.int64)))
+    def add(self, keys: np.ndarray, kind: np.ndarray, target: np.ndarray) -> None:
+        found, first, where = np.unique(keys, return_index=True, return_inverse=True)
+        self.parts.append((found, kind[first], np.bincount(where, minlength=len(found)),
+                           np.bincount(where, weights=target, minlength=len(found)).astype(np.int64)))
         self.size += len(found)
 
     def merge(self) -> None:
-        keys, n, t = (np.concatenate(x) for x in zip(*self.parts))
-        found, where = np.unique(keys, return_inverse=True)
-        self.parts = [(found, np.bincount(where, weights=n).astype(np.int64), np.bincount(where, weights=t).astype(np.int64))]
+        keys, kind, n, t = (np.concatenate(x) for x in zip(*self.parts))
+        found, first, where = np.unique(keys, return_index=True, return_inverse=True)
+        self.parts = [(found, kind[first], np.bincount(where, weights=n).astype(np.int64), np.bincount(where, weights=t).astype(np.int64))]
         self.size = len(found)
 
     def batch(self) -> pa.RecordBatch:
         self.merge()
-        keys, n, t = self.parts[0]
-        self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(t)], ["key", "n", "target"])
+        columns, self.parts, self.size = self.parts[0], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "h", "n", "target"])
 
 
-COUNTED = "key long, n long, target long"
+COUNTED = "key long, h long, n long, target long"
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]):
-    """(batch, group, hashes of all words, bounds per text, target flag per text)."""
+def _grouped(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray | None):
+    """(batch, group, words per text, events, the event before each, bounds per text)."""
     for batch in batches:
-        flags = np.asarray(batch.column("target").cast(pa.int8())) if "target" in batch.schema.names else None
         for group in tb.groups(batch.column("text")):
             data = tb.ASCII_LOWER[group.data]
             starts, ends, bounds = tb.word_spans(data, group.offsets)
-            yield batch, group, tb.as_int64(tb.word_hashes(data, starts, ends)), bounds, flags[group.rows] if flags is not None else None
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = Counter()
-    for _, _, words, bounds, flags in _grouped(batches):
-        counter.add(words, np.repeat(flags, np.diff(bounds)))
-        if counter.size > 4 * HELD:
-            counter.merge()
-            if counter.size > HELD:
-                yield counter.batch()
-    if counter.parts:
-        yield counter.batch()
-
-
-def _classes(words: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of every event (words, then the end of each text), the class before it, and bounds per text."""
-    at = np.searchsorted(vocabulary, words)
-    known = np.zeros(len(words), bool)
-    inside = at < len(vocabulary)
-    known[inside] = vocabulary[at[inside]] == words[inside]
-    classes = np.where(known, at + FIRST, OTHER)
-    events = np.insert(classes, bounds[1:], END)
+            yield batch, group, np.diff(bounds), *_events(tb.as_int64(tb.word_hashes(data, starts, ends)), bounds, vocabulary)
+
+
+def _events(words: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every event (words, then the end of each text), the one before it, and bounds per text."""
+    if vocabulary is not None:
+        words = np.where(np.isin(words, vocabulary), words, OTHER)
+    events = np.insert(words, bounds[1:], EDGE)
     limits = bounds + np.arange(len(bounds))
     before = np.empty_like(events)
     before[1:] = events[:-1]
-    before[limits[:-1]] = START
+    before[limits[:-1]] = EDGE
     return events, before, limits
 
 
-def _count_bigrams(vocabulary):
+def _pairs(before: np.ndarray, events: np.ndarray) -> np.ndarray:
+    return tb.as_int64(tb.mix64(before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + events.view(np.uint64)))
+
+
+def _count(vocabulary, histories: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, words_known = Counter(), vocabulary.value
-        for _, _, words, bounds, flags in _grouped(batches):
-            events, before, limits = _classes(words, bounds, words_known)
-            counter.add(before * np.int64(len(words_known) + FIRST) + events, np.repeat(flags, np.diff(limits)))
+        counter, known = Counter(), vocabulary.value if vocabulary else None
+        for batch, group, _, events, before, limits in _grouped(batches, known):
+            flags = np.repeat(np.asarray(batch.column("target").cast(pa.int8()))[group.rows], np.diff(limits))
+            kind = before if histories else np.full(len(events), PAIR)
+            counter.add(np.concatenate([events, _pairs(before, events)]), np.concatenate([np.full(len(events), WORD), kind]), np.tile(flags, 2))
             if counter.size > 4 * HELD:
                 counter.merge()
                 if counter.size > HELD:
@@ -127,76 +122,63 @@ def _count_bigrams(vocabulary):
     return run
 
 
-@dataclass(frozen=True)
-class Model:
-    """Both models over one vocabulary. ``alone[m][w]`` is p(w); ``rest[m][h]`` the mass left to it after ``h``;
-    ``pairs`` are the kept bigrams ``h * classes + w`` in order and ``joint[m]`` their discounted shares."""
-
-    vocabulary: np.ndarray
-    alone: np.ndarray
-    rest: np.ndarray
-    pairs: np.ndarray
-    joint: np.ndarray
-
-    def losses(self, events: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """-ln p of every event under the target (row 0) and the background model (row 1)."""
-        keys = before * np.int64(self.alone.shape[1]) + events
-        at = np.minimum(np.searchsorted(self.pairs, keys), max(len(self.pairs) - 1, 0))
-        p = self.rest[:, before] * self.alone[:, events]
-        if len(self.pairs):
-            p += np.where(self.pairs[at] == keys, self.joint[:, at], 0.0)
-        return -np.log(p)
-
-
-def fit(docs: DataFrame, vocabulary_share: int = VOCABULARY_SHARE, bigram_share: int = BIGRAM_SHARE) -> Model:
-    """Count and build both models. ``docs`` has ``text`` and ``target`` (boolean); background is all rows."""
-    spark = docs.sparkSession
-    counts = stage(docs.mapInArrow(_count_words, COUNTED).groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target")), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # at most vocabulary_share rows pass, as their shares add up to one at most
-    known = counts.where(F.col("n") * vocabulary_share >= total).select("key").toPandas()["key"].to_numpy(np.int64)
-    vocabulary = np.sort(known)
-    sent = spark.sparkContext.broadcast(vocabulary)
-    classes = len(vocabulary) + FIRST
-    bigrams = stage(docs.mapInArrow(_count_bigrams(sent), COUNTED).groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target")), "bigrams")
-    split = bigrams.select((F.floor(F.col("key") / classes)).cast("long").alias("h"), (F.col("key") % classes).alias("w"), "key", "n", "target")
-    events = bigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    kept = F.col("n") * bigram_share >= events
-
-    def dense(rows, column: str) -> np.ndarray:  # rows: one for each class at most
-        out = np.zeros((2, classes))
-        frame = rows.toPandas()
-        for m, name in enumerate(("target", "n")):
-            out[m, frame[column].to_numpy(np.int64)] = frame[name].to_numpy(np.float64)
-        return out
-
-    sums = [F.sum("target").alias("target"), F.sum("n").alias("n")]
-    single = dense(split.groupBy("w").agg(*sums), "w")
-    history = dense(split.groupBy("h").agg(*sums), "h")
-    covered = dense(split.where(kept).groupBy("h").agg(*sums), "h")
-    pairs = split.where(kept).select("key", "h", "target", "n").toPandas().sort_values("key")  # bigram_share rows at most
-    # the start mark is never predicted: |V| words, the other class and the end share the smoothing
-    alone = (single + 1) / (single.sum(axis=1, keepdims=True) + len(vocabulary) + 2)
-    seen = np.maximum(history, 1)
-    joint = LAMBDA * pairs[["target", "n"]].to_numpy(np.float64).T / seen[:, pairs["h"].to_numpy(np.int64)]
-    return Model(vocabulary, alone, 1 - LAMBDA * covered / seen, pairs["key"].to_numpy(np.int64), joint)
-
-
-def _scored(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch, group, words, bounds, _ in _grouped(batches):
-            events, before, limits = _classes(words, bounds, m.vocabulary)
-            loss = np.add.reduceat(m.losses(events, before), limits[:-1], axis=1) / np.diff(limits)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(group.rows)), pa.array(np.diff(bounds)), pa.array(loss[0]), pa.array(loss[1]),
-                 pa.array(loss[0] - loss[1])], ["id", "n_words", "target_loss", "background_loss", "ce_difference"])
+def _counts(docs: DataFrame, vocabulary=None, histories: bool = False) -> DataFrame:
+    """A row for each word and each bigram: ``key``, ``h``, and its counts ``n`` and ``target``."""
+    counted = docs.mapInArrow(_count(vocabulary, histories), COUNTED)
+    return stage(counted.groupBy("key").agg(F.max("h").alias("h"), F.sum("n").alias("n"), F.sum("target").alias("target")), "ngrams")
+
+
+def _vocabulary(docs: DataFrame, share: int):
+    """The words that make up at least ``1 / share`` of all, sent to the tasks; there are ``share`` at most."""
+    found = _counts(docs).where((F.col("h") == WORD) & (F.col("key") != EDGE))
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    known = found.where(F.col("n") * share >= total).select("key").toPandas()["key"].to_numpy(np.int64)
+    return docs.sparkSession.sparkContext.broadcast(known)
+
+
+def _covered(counts: DataFrame, share: int, events: int) -> DataFrame:
+    """Without the bigrams below the bar; words with the counts ``covered`` and ``covered_target`` of those kept after them."""
+    kept = counts.where((F.col("h") == WORD) | (F.col("n") * share >= events))
+    after = kept.where(F.col("h") != WORD).groupBy(F.col("h").alias("key")).agg(F.sum("target").alias("covered_target"), F.sum("n").alias("covered"))
+    return kept.join(after, "key", "left").na.fill(0, ["covered_target", "covered"])
+
+
+def _needed(vocabulary):
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        keys = np.zeros(0, np.int64)
+        for _, _, _, events, before, _ in _grouped(texts.to_batches(), vocabulary.value if vocabulary else None):
+            keys = np.union1d(keys, np.concatenate([events, before, _pairs(before, events)]))
+        return pa.table({"chunk": pa.array(np.full(len(keys), key[0].as_py(), np.int64)), "key": pa.array(keys)})
+
+    return run
+
+
+def _scored(vocabulary, size: np.ndarray):
+    """``size`` is ``N + |V| + 2`` of the target (row 0) and the background model (row 1)."""
+
+    def run(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
+        order = np.argsort(counts.column("key").to_numpy())
+        keys = counts.column("key").to_numpy()[order]
+        read = lambda *names: np.stack([counts.column(c).to_numpy()[order].astype(np.float64) for c in names])
+        n = read("target", "n")
+        covered = read("covered_target", "covered") if "covered" in counts.schema.names else n
+        out = []
+        for batch, group, lengths, events, before, limits in _grouped(texts.to_batches(), vocabulary.value if vocabulary else None):
+            h, w, pairs = np.searchsorted(keys, before), np.searchsorted(keys, events), _pairs(before, events)
+            at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+            seen = np.maximum(n[:, h], 1)
+            p = LAMBDA * np.where(keys[at] == pairs, n[:, at], 0) / seen + (1 - LAMBDA * covered[:, h] / seen) * (n[:, w] + 1) / size
+            loss = np.add.reduceat(-np.log(p), limits[:-1], axis=1) / np.diff(limits)
+            out.append(pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(group.rows)), pa.array(lengths), pa.array(loss[0]), pa.array(loss[1]),
+                 pa.array(loss[0] - loss[1])], ["id", "n_words", "target_loss", "background_loss", "ce_difference"]))
+        return pa.Table.from_batches(out)
 
     return run
 
 
 def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          vocabulary_share: int = VOCABULARY_SHARE, bigram_share: int = BIGRAM_SHARE) -> DataFrame:
+          vocabulary_share: int | None = None, bigram_share: int | None = BIGRAM_SHARE) -> DataFrame:
     """Per row: the id, ``n_words``, mean ``target_loss`` and ``background_loss``, and their difference
     ``ce_difference``. ``target_ids`` has the ids of the target texts in its first column."""
     spark = df.sparkSession
@@ -206,9 +188,19 @@ def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col
     # one plan at every size: the ids grow with the corpus, so they are never broadcast
     hits = wanted.withColumn("hit", F.lit(True)).hint("shuffle_hash")
     flagged = docs.join(hits, "id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("target"))
-    model = spark.sparkContext.broadcast(fit(flagged, vocabulary_share, bigram_share))
+    vocabulary = _vocabulary(flagged, vocabulary_share) if vocabulary_share else None
+    counts = _counts(flagged, vocabulary, histories=bool(bigram_share))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("target", "n")]
+    total = counts.where(F.col("h") == WORD).agg(*sums, F.count(F.when(~F.col("key").isin(EDGE, OTHER), 1)).alias("words")).first()
+    # known words, the class of others and the end share the smoothing
+    size = np.array([[total["target"]], [total["n"]]], np.float64) + (len(vocabulary.value) if vocabulary else total["words"]) + 2
+    model = (_covered(counts, bigram_share, total["n"]) if bigram_share else counts).drop("h")
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(total["n"] // CHUNK + 1)))
+    needed = dealt.groupBy("chunk").applyInArrow(_needed(vocabulary), "chunk long, key long")
+    looked = needed.join(model.hint("merge"), "key")
     kind = docs.schema["id"].dataType.simpleString()
-    out = docs.mapInArrow(_scored(model), f"id {kind}, n_words long, target_loss double, background_loss double, ce_difference double")
+    out = dealt.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(
+        _scored(vocabulary, size), f"id {kind}, n_words long, target_loss double, background_loss double, ce_difference double")
     return out.withColumnRenamed("id", id_col)
 
 

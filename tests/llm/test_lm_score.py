@@ -61,3 +61,23 @@ def test_no_targets_and_empty_tables(spark):
     none = spark.createDataFrame([], "id long")
     assert lm_score.score(frame(spark), none).count() == len(rows())
     assert lm_score.score(frame(spark, []), none).count() == 0
+
+
+def big(n):
+    """``n`` background words, and target texts with rare words and a rare pair of frequent words."""
+    filler = " ".join(f"w{k * k % 97}" for k in range(n))
+    return [(0, filler, None, None, None), (1, "zebra quagga " * 2 + "w1 w5 w1 w5", None, None, None), (2, "zebra w3", None, None, None),
+            (3, "okapi w3 w1 w5", None, None, None), (4, "w5 w1", None, None, None)]
+
+
+def whole(spark, data):
+    got = lm_score.score(frame(spark, data), spark.createDataFrame([(1,)], "id long")).collect()
+    for a, b in zip(sorted((str(r[0]), *r[1:]) for r in got), brute(data, {1}, 1 << 60, 1 << 60), strict=True):
+        assert a[:2] == b[:2] and all(abs(x - y) < 2e-6 for x, y in zip(a[2:], b[2:]))
+    return {r["doc_id"]: r["ce_difference"] for r in got}
+
+
+def test_rare_words_are_in_the_model(spark):
+    # zebra: 3 of 150,018 words, okapi: 1
+    found = whole(spark, big(150_000))
+    assert found[2] < found[3]
