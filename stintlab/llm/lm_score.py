@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .frames import pick, prepare, stage
 
-BIGRAM_SHARE = 200_000
 LAMBDA = 0.75
 #: distinct n-grams a task holds before it emits its counts
 HELD = 1 << 19
@@ -178,7 +177,7 @@ def _scored(vocabulary, size: np.ndarray):
 
 
 def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          vocabulary_share: int | None = None, bigram_share: int | None = BIGRAM_SHARE) -> DataFrame:
+          vocabulary_share: int | None = None, bigram_share: int | None = None) -> DataFrame:
     """Per row: the id, ``n_words``, mean ``target_loss`` and ``background_loss``, and their difference
     ``ce_difference``. ``target_ids`` has the ids of the target texts in its first column."""
     spark = df.sparkSession

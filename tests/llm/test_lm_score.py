@@ -81,3 +81,10 @@ def test_rare_words_are_in_the_model(spark):
     # zebra: 3 of 150,018 words, okapi: 1
     found = whole(spark, big(150_000))
     assert found[2] < found[3]
+
+
+def test_rare_bigrams_are_in_the_model(spark):
+    # 'w1 w5' makes up 3 of some 450,000 bigrams, and occurs in the filler never
+    data = big(450_000)
+    assert "w1 w5" not in data[0][1]
+    whole(spark, data)
