@@ -1,11 +1,13 @@
-"""Licence scan: TF-IDF cosine of notice lines to templates, then inheritance along directories.
+"""Licence scan: TF-IDF cosine of files, headers and notices to templates, then inheritance along directories.
 
-*Statistics.* The vocabulary is the words of the templates. Its inverse document frequencies
-``ln((1 + N) / (1 + df)) + 1`` are counted over all files; every other word weighs as much as a word that no
-file has. *Lines* of a file are vectors of word counts times weights; the cosine with a template is a sparse join of the
-line's words with the template's. A line is looked at only if it holds one of the *telling* words: these are
-chosen so that the template words left over have too little weight, in any combination, to reach the
-threshold (Cauchy-Schwarz), so no line is missed. A file's own licence is its best line's.
+*Statistics.* Inverse document frequencies ``ln((1 + N) / (1 + df)) + 1`` of all words are counted over all files, as one
+distributed table. *Parts* of a file are its lines, its paragraphs, its header (the comment lines it begins with) and
+its whole text; each is a vector of word counts times weights. *Templates* are the notices of ``TEMPLATES`` and the
+titles, headers and whole licence texts of ``license_texts``. The cosine with a template is a sparse join of the part's
+words with the template's. A part is looked at only if it can reach the threshold: by Cauchy-Schwarz it must hold words
+with ``threshold ** 2`` of a template's squared weight, which is tested with the *telling* words and then with the
+``TOP`` heaviest words of each template, the others taken as found, so no part is missed. A file's own licence is its
+best part's.
 
 *Inheritance.* A short file with a licence (``file_words`` words at most) is a licence file of its directory. A file
 without a licence of its own takes that of the nearest directory at or above its own that has one; a
@@ -14,18 +16,20 @@ files only with their own directory.
 
 Everything is DataFrame expressions; only template words and their counts reach the driver. Defined results:
 null and empty texts have no licence of their own; a null path is the root; ties between templates go to the
-first name, between lines to the better score; rows that share an id share a result (their best line); repeated rows are
+first name, between parts to the better score; rows that share an id share a result (their best part); repeated rows are
 returned as often as they come; an empty table gives an empty result; extra columns are ignored. Whole texts are scanned.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import pick, stage
+from .frames import stage
+from .license_texts import TEXTS
 
 # Short names and usual notice lines of common licences.
 TEMPLATES = {
@@ -43,6 +47,11 @@ TEMPLATES = {
 }
 THRESHOLD = 0.75
 FILE_WORDS = 40
+#: heaviest words of a template that a part is tested for before its vector is built
+TOP = 12
+LINE, PARAGRAPH, HEADER, WHOLE = 0, 1, 2, 3
+#: a line of a comment, or blank
+COMMENT = r"^\s*($|#|//|/\*|\*|--|;|%|<!--)"
 NOT_WORD = "[^a-z0-9]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,20 +65,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), NOT_WORD), "")
 
 
-def _weights(files: DataFrame, templates: dict[str, str]) -> tuple[dict[str, float], float]:
-    """Weight of each template word, and of a word that is in none."""
-    vocabulary = sorted({w for t in templates.values() for w in _words_of(t)})
-    found = (files.select(F.explode(F.array_intersect(words(F.col("text")), F.array(*[F.lit(w) for w in vocabulary]))).alias("w"))
-             .groupBy("w").count().collect())  # a row for each template word at most
-    n, df = files.count(), {r["w"]: r["count"] for r in found}
-    return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}, math.log(1 + n) + 1
+def _frequencies(files: DataFrame) -> DataFrame:
+    """In how many files each word occurs: ``w`` and ``df``."""
+    return stage(files.select(F.explode(F.array_distinct(words(F.col("text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+
+
+def _weights(frequencies: DataFrame, n: int, vocabulary: set[str]) -> dict[str, float]:
+    """Weight of each template word."""
+    df = {r["w"]: r["df"] for r in frequencies.where(F.col("w").isin(sorted(vocabulary))).collect()}  # a row for each template word at most
+    return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
 
 
 def _telling(templates: dict[str, str], weight: dict[str, float], threshold: float) -> list[str]:
     """Words of which every line that reaches the threshold has at least one."""
     out: set[str] = set()
     for text in templates.values():
-        squares = sorted(((_words_of(text).count(w) * weight[w]) ** 2, w) for w in set(_words_of(text)))
+        squares = sorted(((n * weight[w]) ** 2, w) for w, n in Counter(_words_of(text)).items())
         norm, rest = sum(s for s, _ in squares), 0.0
         for square, w in squares:
             rest += square
@@ -78,31 +89,62 @@ def _telling(templates: dict[str, str], weight: dict[str, float], threshold: flo
     return sorted(out)
 
 
-def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """The best template of each file with a line at or over the threshold: ``id``, ``license``, ``score``.
+def _can_reach(ws: Column, vectors: list[tuple[str, dict[str, float]]], threshold: float) -> Column:
+    """Whether the words could reach the threshold with a template, if all but its ``TOP`` heaviest words were there."""
+    shares: dict[str, list[float]] = {}
+    rest = [1.0] * len(vectors)
+    for k, (_, vector) in enumerate(vectors):
+        for y, w in sorted(((y, w) for w, y in vector.items()), reverse=True)[:TOP]:
+            shares.setdefault(w, [0.0] * len(vectors))[k] = y * y
+            rest[k] -= y * y
+    row = lambda values: F.array(*[F.lit(float(x)) for x in values])
+    table = F.create_map(*[x for w, values in sorted(shares.items()) for x in (F.lit(w), row(values))])
+    found = F.array_intersect(ws, F.array(*[F.lit(w) for w in sorted(shares)]))
+    reach = F.aggregate(found, row(rest), lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda x, y: x + y))
+    return F.exists(reach, lambda x: x >= (threshold * 0.999) ** 2)
+
+
+def _parts(files: DataFrame, telling: list[str]) -> DataFrame:
+    """Lines, paragraphs, header and whole text of files with a telling word: ``id``, ``tag``, ``kind``, ``at``, ``part``."""
+    has = lambda text: F.translate(text, _UPPER, _LOWER).rlike("(?<![a-z0-9])(" + "|".join(telling) + ")(?![a-z0-9])")
+    lines, part = F.split("text", "\n"), lambda kind, at, text: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), text.alias("part"))
+    # 0 if all lines are comments: then the header is the whole text
+    code = F.array_position(F.transform(lines, lambda line: ~line.rlike(COMMENT)), F.lit(True))
+    header = F.array_join(F.slice(lines, F.lit(1), F.greatest(code - 1, F.lit(0)).cast("int")), "\n")
+    parts = F.concat(F.transform(lines, lambda line, k: part(LINE, k, line)),
+                     F.transform(F.split("text", r"\n[ \t\r#*/;%-]*\n"), lambda text, k: part(PARAGRAPH, k, text)),
+                     F.array(part(HEADER, F.lit(0), header), part(WHOLE, F.lit(0), F.col("text"))))
+    return (files.where(has(F.col("text"))).select("id", F.xxhash64("text").alias("tag"), F.explode(parts).alias("p"))
+            .select("id", "tag", "p.*").where(has(F.col("part"))))
+
+
+def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD,
+                 texts: dict[str, list[str]] = TEXTS) -> DataFrame:
+    """The best template of each file with a part at or over the threshold: ``id``, ``license``, ``score``.
 
     ``files`` has ``id`` and ``text``.
     """
     spark = files.sparkSession
-    weight, other = _weights(files, templates)
-    telling = _telling(templates, weight, threshold)
-    has = F.lower("line").rlike("(?<![a-z0-9])(" + "|".join(telling) + ")(?![a-z0-9])")
-    lines = (files.select("id", F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n")).alias("at", "line")).where(has)
-             .select("id", "tag", "at", F.explode(words(F.col("line"))).alias("w")))
-    idf = F.create_map(*[F.lit(x) for item in weight.items() for x in item])
-    counts = lines.groupBy("id", "tag", "at", "w").agg(F.count(F.lit(1)).alias("n"))
-    terms = counts.withColumn("x", F.col("n") * F.coalesce(F.element_at(idf, F.col("w")), F.lit(other)))
-    norms = {}
-    for name, text in templates.items():
-        norms[name] = math.sqrt(sum((_words_of(text).count(w) * weight[w]) ** 2 for w in set(_words_of(text))))
-    entries = [(name, rank, w, _words_of(templates[name]).count(w) * weight[w] / norms[name])
-               for rank, name in enumerate(sorted(templates)) for w in sorted(set(_words_of(templates[name])))]
+    named = [(name, text) for name in sorted({*templates, *texts}) for text in [*filter(None, [templates.get(name)]), *texts.get(name, [])]]
+    counted = [(name, Counter(_words_of(text))) for name, text in named]
+    frequencies, n = _frequencies(files), files.count()
+    weight = _weights(frequencies, n, {w for _, c in counted for w in c})
+    vectors = []
+    for name, c in counted:
+        norm = math.sqrt(sum((k * weight[w]) ** 2 for w, k in c.items()))
+        vectors.append((name, {w: k * weight[w] / norm for w, k in c.items()}))
+    telling = _telling({str(k): text for k, (_, text) in enumerate(named)}, weight, threshold)
+    entries = [(name, k, w, y) for k, (name, vector) in enumerate(vectors) for w, y in sorted(vector.items())]
     table = F.broadcast(spark.createDataFrame(entries, "license string, rank int, w string, y double"))  # the templates' words
-    key = ["id", "tag", "at"]
-    # one row a line: its norm, and its entries that any template shares
+    key = ["id", "tag", "kind", "at"]
+    parts = _parts(files, telling).select(*key, words(F.col("part")).alias("ws")).where(_can_reach(F.col("ws"), vectors, threshold))
+    counts = parts.select(*key, F.explode("ws").alias("w")).groupBy(*key, "w").agg(F.count(F.lit(1)).alias("n"))
+    idf = F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
+    terms = counts.join(frequencies, "w").select(*key, "w", (F.col("n") * idf).alias("x"))
+    # one row a part: its norm, and its entries that any template shares
     shared = F.collect_list(F.when(F.col("w").isin(sorted(weight)), F.struct("w", "x"))).alias("shared")
-    line = terms.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), shared)
-    dots = (line.select(*key, "norm", F.explode("shared").alias("s")).select(*key, "norm", "s.w", "s.x").join(table, "w")
+    part = terms.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), shared)
+    dots = (part.select(*key, "norm", F.explode("shared").alias("s")).select(*key, "norm", "s.w", "s.x").join(table, "w")
             .groupBy(*key, "norm", "license", "rank").agg((F.sum(F.col("x") * F.col("y")) / F.col("norm")).alias("score")))
     rounded = dots.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
     best = F.max_by(F.struct("license", "score"), F.struct("score", -F.col("rank")))

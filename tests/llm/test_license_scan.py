@@ -81,3 +81,27 @@ def test_telling_words_miss_no_line():
     for text in ls.TEMPLATES.values():
         rest = [w for w in ls._words_of(text) if w not in telling]
         assert sum(weight[w] ** 2 for w in rest) < 0.75**2 * sum(weight[w] ** 2 for w in ls._words_of(text))
+
+
+CASES = {
+    "GPL-3.0": "# {f}\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as "
+               "published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\nimport os\n" + TEXT,
+    "Apache-2.0": TEXT + "\n\nLicensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+                  "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\n",
+    "MIT": TEXT + "\nThis software is released under the MIT License, see the file LICENSE for details.\n" + TEXT,
+    "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+               "// file, You can obtain one at http://mozilla.org/MPL/2.0/.\nint x;\n" + TEXT,
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\n"
+                    "are met:\n\n" + TEXT,
+}
+
+
+def test_headers_titles_and_whole_texts(spark):
+    rows = [(k, text, None, f"d{k}", 0) for k, text in enumerate(CASES.values())]
+    whole = [(20 + k, ls.TEXTS[name][-1] + "\n" + TEXT, None, f"w{k}", 0) for k, name in enumerate(["GPL-2.0", "GPL-3.0", "MIT", "LGPL-3.0"])]
+    title = [(30, "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", None, "t", 0)]
+    rest = [(40 + k, TEXT + f" the work of it is for you and the others {k}", None, "r", 0) for k in range(20)]
+    found = {r[0]: r[1] for r in run(spark, rows + whole + title + rest)}
+    assert [found[k] for k in range(len(CASES))] == list(CASES)
+    assert [found[20 + k] for k in range(4)] == ["GPL-2.0", "GPL-3.0", "MIT", "LGPL-3.0"] and found[30] == "GPL-3.0"
+    assert not any(found[40 + k] for k in range(20))
