@@ -9,7 +9,8 @@ with ``threshold ** 2`` of a template's squared weight, which is tested with the
 ``TOP`` heaviest words of each template, the others taken as found, so no part is missed. A file's own licence is its
 best part's.
 
-*Inheritance.* A short file with a licence (``file_words`` words at most) is a licence file of its directory. A file
+*Inheritance.* A file is a licence file of its directory if its whole text reaches the threshold, however long it is, and
+gives the directory the licence of its whole text; so is a note with a licence (``file_words`` words at most). A file
 without a licence of its own takes that of the nearest directory at or above its own that has one; a
 directory's licence is that of its licence file with the smallest id. Directories are joined with their ancestors,
 files only with their own directory.
@@ -22,6 +23,7 @@ returned as often as they come; an empty table gives an empty result; extra colu
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 
@@ -72,7 +74,8 @@ def _frequencies(files: DataFrame) -> DataFrame:
 
 def _weights(frequencies: DataFrame, n: int, vocabulary: set[str]) -> dict[str, float]:
     """Weight of each template word."""
-    df = {r["w"]: r["df"] for r in frequencies.where(F.col("w").isin(sorted(vocabulary))).collect()}  # a row for each template word at most
+    known = frequencies.sparkSession.createDataFrame([(w,) for w in sorted(vocabulary)], "w string")
+    df = {r["w"]: r["df"] for r in frequencies.join(F.broadcast(known), "w", "left_semi").collect()}  # a row for each template word at most
     return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
 
 
@@ -97,10 +100,10 @@ def _can_reach(ws: Column, vectors: list[tuple[str, dict[str, float]]], threshol
         for y, w in sorted(((y, w) for w, y in vector.items()), reverse=True)[:TOP]:
             shares.setdefault(w, [0.0] * len(vectors))[k] = y * y
             rest[k] -= y * y
-    row = lambda values: F.array(*[F.lit(float(x)) for x in values])
-    table = F.create_map(*[x for w, values in sorted(shares.items()) for x in (F.lit(w), row(values))])
-    found = F.array_intersect(ws, F.array(*[F.lit(w) for w in sorted(shares)]))
-    reach = F.aggregate(found, row(rest), lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda x, y: x + y))
+    # as JSON: thousands of literals take the driver longer than the scan
+    table = F.from_json(F.lit(json.dumps(shares)), "map<string,array<double>>")
+    found = F.array_intersect(ws, F.split(F.lit(" ".join(sorted(shares))), " "))
+    reach = F.aggregate(found, F.from_json(F.lit(json.dumps(rest)), "array<double>"), lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda x, y: x + y))
     return F.exists(reach, lambda x: x >= (threshold * 0.999) ** 2)
 
 
@@ -120,10 +123,8 @@ def _parts(files: DataFrame, telling: list[str]) -> DataFrame:
 
 def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD,
                  texts: dict[str, list[str]] = TEXTS) -> DataFrame:
-    """The best template of each file with a part at or over the threshold: ``id``, ``license``, ``score``.
-
-    ``files`` has ``id`` and ``text``.
-    """
+    """The best template of each file with a part at or over the threshold: ``id``, ``license``, ``score``; and
+    ``whole``, the best one of its whole text if that is at or over the threshold. ``files`` has ``id`` and ``text``."""
     spark = files.sparkSession
     named = [(name, text) for name in sorted({*templates, *texts}) for text in [*filter(None, [templates.get(name)]), *texts.get(name, [])]]
     counted = [(name, Counter(_words_of(text))) for name, text in named]
@@ -141,14 +142,15 @@ def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     counts = parts.select(*key, F.explode("ws").alias("w")).groupBy(*key, "w").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
     terms = counts.join(frequencies, "w").select(*key, "w", (F.col("n") * idf).alias("x"))
-    # one row a part: its norm, and its entries that any template shares
-    shared = F.collect_list(F.when(F.col("w").isin(sorted(weight)), F.struct("w", "x"))).alias("shared")
+    # one row a part: its norm, and its entries
+    shared = F.collect_list(F.struct("w", "x")).alias("shared")
     part = terms.groupBy(*key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), shared)
     dots = (part.select(*key, "norm", F.explode("shared").alias("s")).select(*key, "norm", "s.w", "s.x").join(table, "w")
             .groupBy(*key, "norm", "license", "rank").agg((F.sum(F.col("x") * F.col("y")) / F.col("norm")).alias("score")))
     rounded = dots.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
     best = F.max_by(F.struct("license", "score"), F.struct("score", -F.col("rank")))
-    return rounded.groupBy("id").agg(best.alias("b")).select("id", "b.license", "b.score")
+    whole = F.max_by("license", F.when(F.col("kind") == WHOLE, F.struct("score", -F.col("rank"))))
+    return rounded.groupBy("id").agg(best.alias("b"), whole.alias("whole")).select("id", "b.license", "b.score", "whole")
 
 
 def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES,
@@ -163,8 +165,8 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
     own = stage(own_licenses(rows.select("id", "text"), templates, threshold), "licenses")
     light = rows.select("id", "directory", (F.size(words(F.col("text"))) <= file_words).alias("short"))
     named = stage(light.join(own, "id", "left"), "files")
-    sources = (named.where("short and license is not null").groupBy("directory")
-               .agg(F.min_by("license", "id").alias("inherited")))
+    sources = (named.withColumn("given", F.coalesce("whole", F.when(F.col("short"), F.col("license")))).where("given is not null")
+               .groupBy("directory").agg(F.min_by("given", "id").alias("inherited")))
     levels = F.split("directory", "/")
     above = (named.select("directory").distinct()
              .select("directory", F.explode(F.sequence(F.lit(0), F.size(levels))).alias("depth"))

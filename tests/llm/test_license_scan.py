@@ -105,3 +105,15 @@ def test_headers_titles_and_whole_texts(spark):
     assert [found[k] for k in range(len(CASES))] == list(CASES)
     assert [found[20 + k] for k in range(4)] == ["GPL-2.0", "GPL-3.0", "MIT", "LGPL-3.0"] and found[30] == "GPL-3.0"
     assert not any(found[40 + k] for k in range(20))
+
+
+def test_long_licence_files_give_their_directory_a_licence(spark):
+    mit = "Copyright (c) 2020 The Authors\n\n" + ls.TEXTS["MIT"][-1]
+    apache = ls.TEXTS["Apache-2.0"][-1]
+    assert len(mit.split()) > 3 * ls.FILE_WORDS and len(apache.split()) > 1000
+    rows = [(1, mit, None, "p", 0), (2, TEXT, None, "p/q", 0), (3, apache, None, "p/r", 0), (4, TEXT, None, "p/r/s", 0),
+            (5, CASES["GPL-3.0"] + TEXT * 3, None, "h", 0), (6, TEXT, None, "h/i", 0)]
+    found = {r[0]: r for r in run(spark, rows)}
+    assert found[2][4:] == ("p", "MIT", "MIT") and found[4][4:] == ("p/r", "Apache-2.0", "Apache-2.0")
+    # a source file with a header is no licence file
+    assert found[5][1] == "GPL-3.0" and found[6][6] is None
