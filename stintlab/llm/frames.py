@@ -63,7 +63,18 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     Cuts lineage with files every executor can read again after a loss. The folder is
     ``spark.checkpoint.dir`` (a scratch folder only where that is unset, as in tests).
     """
+    return stage_at(df, name)[0]
+
+
+def stage_at(df: DataFrame, name: str = "stage", **options: str) -> tuple[DataFrame, str]:
+    """As ``stage``, with options for the Parquet writer; the frame and its folder, for ``drop_stage``."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_stage(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that a later one has replaced, so that rounds do not pile up on disk."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

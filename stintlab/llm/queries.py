@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, html_extract, license_scan, lm_score, near_dedup, packing, prefix_hashes, quality_rules, sharding, substring_dedup
+from . import bpe_chunks, centroids, html_extract, license_scan, lm_score, near_dedup, packing, prefix_hashes, quality_rules, sharding, substring_dedup
 from .frames import stage
 from .tokens import vocabulary
 
@@ -90,3 +90,8 @@ SHARD_BYTES = 1 << 20
 @register("op9_extendible_sharding", sharding.oracle(SHARD_BYTES))
 def op9(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), limit_bytes=SHARD_BYTES)
+
+
+@register("op13_centroid_clustering", centroids.oracle())
+def op13(spark, sf_dir):
+    return centroids.digests(centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5))
