@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, centroids, html_extract, license_scan, lm_score, near_dedup, packing, prefix_hashes, quality_rules, sharding, substring_dedup
+from . import bpe_chunks, centroids, cross_tokens, html_extract, license_scan, lm_score, near_dedup, packing, prefix_hashes, quality_rules, sharding, substring_dedup
 from .frames import stage
 from .tokens import vocabulary
 
@@ -95,3 +95,9 @@ def op9(spark, sf_dir):
 @register("op13_centroid_clustering", centroids.oracle())
 def op13(spark, sf_dir):
     return centroids.digests(centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5))
+
+
+@register("op11_cross_token_alignment")
+def op11(spark, sf_dir):
+    return cross_tokens.align_corpus(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                     vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.tiktoken"))
