@@ -38,11 +38,11 @@ from .frames import pick, prepare, stage_at
 from .tokens import Remembered, load_tokenizer
 
 #: bytes of texts that make one chunk
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: a pair of ids as one number: a * B_IDS + b
 B_IDS = 1 << 20
 #: bytes of distinct units remembered by a worker before it starts afresh
-REMEMBERED_BYTES = 24 << 20
+REMEMBERED_BYTES = 4 << 20
 
 _LAST_OF_WORD = np.zeros(256, bool)
 _LAST_OF_WORD[0x21:0x7F] = True
@@ -69,6 +69,10 @@ class Aligner(Remembered):
         self.a_bytes = [pieces[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = [self._b_piece(i) for i in range(len(self.b))]
+        self.a_sizes, self.b_sizes = (np.array([len(p) for p in pieces]) for pieces in (self.a_bytes, self.b_bytes))
+        # every id as text, followed by a comma, the bar after a group's last A token, the end after its last B token
+        self.names = max(len(self.a_bytes), len(self.b_bytes))
+        self.written = np.array([""] * self.names + [f"{i}{end}" for end in ",|;" for i in range(self.names)], object)
 
     def _b_piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -85,46 +89,60 @@ class Aligner(Remembered):
     def forget(self) -> None:
         super().forget()
         self.flat = np.zeros(4096, np.int64)
-        self.told: list[str] = []  # groups of each unit as text; empty if its tokens don't spell it out
+        self.told: list[str] = []  # groups of each unit as text, each with its end; empty if its tokens don't spell it out
         self.measures = np.zeros((1024, 3), np.int64)  # A tokens, B tokens, groups
         self.bytes_kept = 0
 
-    def tokens(self, units: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of units in A and in B; every unit starts with a space."""
-        texts = [u.decode() for u in units]
-        a: list = [None] * len(units)
-        odd = [i for i, u in enumerate(units) if self.ranks is None or max(u) > COMMON_BYTE]
-        for i, coded in zip(odd, self.tokenizer.encode_batch([texts[i] for i in odd], add_special_tokens=False)):
-            a[i] = coded.ids
-        plain = [i for i, ids in enumerate(a) if ids is None]
-        for i, ids in zip(plain, self.ranks.encode_ordinary_batch([texts[i] for i in plain], num_threads=1) if plain else ()):
-            a[i] = ids
+    def tokens(self, text: bytes, odd: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids in A and in B of a text that starts with a space; None if they don't spell it out."""
+        told = text.decode()
+        a = self.tokenizer.encode(told, add_special_tokens=False).ids if odd or self.ranks is None else self.ranks.encode_ordinary(told)
         # B puts a space before what it encodes; a lone space is not expressed by an empty text
-        space = self.b.piece_to_id("▁")
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return a, [ids if u != b" " else [space] for u, ids in zip(units, b)]
+        b = self.b.encode(told[1:], num_threads=1) if len(text) > 1 else [self.b.piece_to_id("▁")]
+        if b"".join([self.a_bytes[i] for i in a]) != text or b"".join([self.b_bytes[i] for i in b]) != text:
+            return None
+        return np.array(a), np.array(b)
 
     def learn(self, units: list[bytes]) -> None:
-        a, b = self.tokens(units)
-        pairs, sizes, measures = [], [], np.zeros((len(units), 3), np.int64)
-        for k, (unit, x, y) in enumerate(zip(units, a, b)):
-            if b"".join([self.a_bytes[i] for i in x]) != unit or b"".join([self.b_bytes[i] for i in y]) != unit:
-                self.told.append("")
-                sizes.append(0)
-                continue
-            found, groups = align([len(self.a_bytes[i]) for i in x], [len(self.b_bytes[i]) for i in y])
-            pairs += [x[i] * B_IDS + y[j] for i, j in found]
-            sizes.append(len(found))
-            measures[k] = len(x), len(y), len(groups)
-            told, lo, low = [], 0, 0
-            for hi, high in groups:
-                told.append(",".join(map(str, x[lo:hi])) + "|" + ",".join(map(str, y[low:high])))
-                lo, low = hi, high
-            self.told.append(";".join(told))
+        """Encode and align new units: those that end in printable ASCII end to end, as both vocabularies cut between them."""
+        odd = [max(u) > COMMON_BYTE for u in units]
+        joined = [i for i, u in enumerate(units) if _LAST_OF_WORD[u[-1]] and not odd[i]]
+        coded = self.tokens(b"".join([units[i] for i in joined]), False) if joined else None
+        if coded:
+            self._keep([units[i] for i in joined], *coded)
+        alone = sorted(set(range(len(units))) - set(joined)) if coded else range(len(units))
+        for i in alone:
+            coded = self.tokens(units[i], odd[i])
+            if coded:
+                self._keep([units[i]], *coded)
+            else:
+                self._add([units[i]], np.zeros((1, 3), np.int64), [""], np.zeros(0, np.int64), np.zeros(1, np.int64))
+
+    def _keep(self, units: list[bytes], a: np.ndarray, b: np.ndarray) -> None:
+        """Align the tokens of units that stand end to end and remember them by unit."""
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.cumsum([len(u) for u in units])
+        links = np.union1d(a_ends, b_ends)  # ends of the segments
+        common = np.intersect1d(a_ends, b_ends)
+        i, j = np.searchsorted(a_ends, links), np.searchsorted(b_ends, links)
+        per_unit = [np.diff(np.searchsorted(e, ends, side="right"), prepend=0) for e in (links, a_ends, b_ends, common)]
+        # the groups as text: the A tokens of a group, then its B tokens, each with what follows it
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        upto_a, upto_b = np.searchsorted(a_ends, common, side="right"), np.searchsorted(b_ends, common, side="right")
+        told = np.empty(len(a) + len(b), object)
+        before_b = np.concatenate([[0], upto_b])[a_group]
+        told[np.arange(len(a)) + before_b] = self.written[a + self.names * (1 + np.isin(a_ends, common))]
+        told[np.arange(len(b)) + upto_a[b_group]] = self.written[b + self.names * (1 + 2 * np.isin(b_ends, common))]
+        pieces, cuts = told.tolist(), np.concatenate([[0], np.cumsum(per_unit[1] + per_unit[2])]).tolist()
+        told = ["".join(pieces[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+        self._add(units, np.stack([per_unit[1], per_unit[2], per_unit[3]], axis=1), told, a[i].astype(np.int64) * B_IDS + b[j], per_unit[0])
+
+    def _add(self, units: list[bytes], measures: np.ndarray, told: list[str], pairs: np.ndarray, sizes: np.ndarray) -> None:
         known = len(self.index)
         self._room_rows(known + len(units))
         self.measures[known:known + len(units)] = measures
-        self.keep(units, np.array(pairs, np.int64), np.array(sizes, np.int64))
+        self.told += told
+        self.keep(units, pairs, sizes)
         self.bytes_kept += sum(map(len, units))
 
     def _room_rows(self, need: int) -> None:
@@ -156,27 +174,6 @@ class Aligner(Remembered):
         return at, np.array(ends)
 
 
-def align(a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Overlapping tokens of two tilings of the same bytes, in order, and the token counts at each common end."""
-    links, groups = [], []
-    i = j = 0
-    a_end, b_end = a_sizes[0], b_sizes[0]
-    while True:
-        links.append((i, j))
-        if a_end == b_end:
-            groups.append((i + 1, j + 1))
-            i, j = i + 1, j + 1
-            if i == len(a_sizes):
-                return links, groups
-            a_end, b_end = a_end + a_sizes[i], b_end + b_sizes[j]
-        elif a_end < b_end:
-            i += 1
-            a_end += a_sizes[i]
-        else:
-            j += 1
-            b_end += b_sizes[j]
-
-
 def _packed(numbers: np.ndarray) -> bytes:
     """Non-negative numbers as compressed bytes (length first)."""
     raw = numbers.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes()  # like bytes stand together
@@ -208,7 +205,7 @@ def _chunk(aligner: Aligner, number: int, digests: list[bytes], texts: list[byte
         if hi > lo:
             mine = at[lo:hi]
             measures[k] = aligner.measures[mine].sum(axis=0)
-            told.append(hashlib.sha256(";".join([aligner.told[u] for u in mine.tolist()]).encode()).hexdigest())
+            told.append(hashlib.sha256("".join([aligner.told[u] for u in mine.tolist()])[:-1].encode()).hexdigest())
         else:
             told.append("")
     units, local = np.unique(at, return_inverse=True)

@@ -14,6 +14,9 @@ from .helpers import frame, rows
 A, B, RANKS = (vocabulary(f"{name}") for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
 
 
+PIECES = _piece_table(A)
+
+
 @pytest.fixture(scope="module")
 def libraries():
     import sentencepiece
@@ -25,7 +28,7 @@ def libraries():
 
 def whole(text, a, b):
     """Ids and byte lengths of a whole text in both vocabularies by the libraries; None where bytes differ."""
-    pieces, bounds = _piece_table(A)
+    pieces, bounds = PIECES
     x, y = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
     xs = [pieces[bounds[i]:bounds[i + 1]].tobytes() for i in x]
     ys = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode() for i in y]
@@ -121,7 +124,7 @@ def test_units_equal_whole_texts(libraries):
         text = "".join(r.choice(letters, r.integers(1, 30)))
         x, _, y, _ = whole(text, *libraries)
         at, _ = aligner.units([text.encode()])
-        told = ";".join(aligner.told[u] for u in at.tolist())
+        told = "".join(aligner.told[u] for u in at.tolist())[:-1]
         groups = [g.split("|") for g in told.split(";")]
         assert [int(i) for g in groups for i in g[0].split(",")] == x
         assert [int(i) for g in groups for i in g[1].split(",")] == y
