@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, centroids, cross_tokens, html_extract, license_scan, lm_score, near_dedup, packing, prefix_hashes, quality_rules, sharding, substring_dedup
+from . import (bpe_chunks, centroids, cross_tokens, html_extract, jaccard_join, license_scan, lm_score, near_dedup, packing,
+               prefix_hashes, quality_rules, sharding, substring_dedup)
 from .frames import stage
 from .tokens import vocabulary
 
@@ -101,3 +102,8 @@ def op13(spark, sf_dir):
 def op11(spark, sf_dir):
     return cross_tokens.align_corpus(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
                                      vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
+@register("op12_ngram_jaccard_join", jaccard_join.oracle())
+def op12(spark, sf_dir):
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"), words_each=4, percent=85)
