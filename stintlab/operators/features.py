@@ -295,16 +295,26 @@ def null_fractions(df: DataFrame, cols=GATED) -> DataFrame:
     return df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols if c in df.columns])
 
 
-def null_fraction_gate(df: DataFrame, cols=GATED, limit: float = 0.05) -> DataFrame:
-    """AG16, lazy: ``df`` itself, whose rows fail at action time when a key column has more
-    than ``limit`` NULLs. The one-row aggregate is attached to every row."""
-    names = [c for c in cols if c in df.columns]
-    if not names:
-        return df
-    over = F.concat_ws(", ", *[F.when(F.col(c) > F.lit(limit), F.concat(F.lit(f"{c}: "), F.round(c, 3).cast("string"))) for c in names])
-    verdict = null_fractions(df, names).select(F.when(over != "", F.raise_error(F.concat(F.lit("too many nulls in "), over)))
-                                               .otherwise(F.lit(True)).alias("_gate"))
-    return attach_scalars(df, verdict).filter("_gate").drop("_gate")
+def null_counts(cols=GATED) -> dict[str, Column]:
+    """AG16 as aggregates that can be observed while a table is written: its rows and the NULLs of key columns."""
+    return {"rows": F.count(F.lit(1)), **{c: F.count_if(F.col(c).isNull()) for c in cols}}
+
+
+def nulls_over_limit(counts: dict, limit: float = 0.05) -> str:
+    """The columns of ``null_counts`` with too many NULLs and their fractions; empty if there are none."""
+    rows = counts["rows"]
+    return ", ".join(f"{c}: {n / rows:.3f}" for c, n in counts.items() if c != "rows" and rows and n / rows > limit)
+
+
+def refuse_nulls(limit: float = 0.05):
+    """AG16 as the verdict on a stage table: raises on observed ``null_counts`` over the limit."""
+
+    def accept(counts: dict) -> None:
+        over = nulls_over_limit(counts, limit)
+        if over:
+            raise AssertionError(f"too many nulls in {over}")
+
+    return accept
 
 
 def check_null_fractions(df: DataFrame, cols=GATED, limit: float = 0.05) -> dict:

@@ -41,13 +41,15 @@ CFG = C.default_config()
 
 def _laps(spark, sf):
     """Race laps derived from ``events`` (bridge + as-of weather): a stage table by season."""
-    return staged_table("race-laps", [L.read_table(spark, sf, "events")], lambda: L.load_race_laps(spark, sf))
+    return staged_table(spark, "race-laps", [f"{sf}/events.parquet"], lambda: L.load_race_laps(spark, sf))
 
 
 def _base(spark, sf):
-    """The window features of all laps, without the frame-dependent lap norms: a stage table."""
-    return staged_table("base-features", [L.read_table(spark, sf, "events")],
-                        lambda: P.base_features(_laps(spark, sf), CFG, lap_norm=False))
+    """The window features of all laps, without the frame-dependent lap norms: a stage table, refused (AG16) if
+    the NULLs counted while it is written are too many."""
+    return staged_table(spark, "base-features", [f"{sf}/events.parquet"],
+                        lambda: P.base_features(_laps(spark, sf), CFG, lap_norm=False),
+                        metrics=FE.null_counts(), accept=FE.refuse_nulls())
 
 
 def _feats(spark, sf):
@@ -102,7 +104,7 @@ SELECT driver_stint_id, LapNumber, session_type, round(fuel_load_kg, 6) AS fuel_
        round(track_evolution_delta, 6) AS track_evolution_delta, undercut_threat,
        round(lap_norm, 6) AS lap_norm, round(lap_count_norm, 6) AS lap_count_norm FROM feat"""))
 def q_cp1(spark, sf):
-    f = FE.null_fraction_gate(_feats(spark, sf))  # AG16 in the pipeline
+    f = _feats(spark, sf)  # gated by AG16 when its stage was written
     return f.select("driver_stint_id", "LapNumber", "session_type", r6("fuel_load_kg"), r6("lap_time_delta_s"),
                     r6("deg_velocity"), r6("deg_acceleration"), r6("tire_age_laps"), r6("tire_age_sq"),
                     r6("gap_ahead_s"), r6("gap_ahead_trend"), "safety_car_flag", "vsc_flag", "sc_or_vsc_flag",
@@ -199,14 +201,14 @@ from ..operators import fingerprint as FP  # noqa: E402
 
 def _labeled(spark, sf):
     """Evaluation path over all splits: clean -> label (CP3), a stage table by split and season."""
-    return staged_table("labelled-laps", [L.read_table(spark, sf, "events")], lambda: LB.clean_then_label(_fs(spark, sf), CFG),
+    return staged_table(spark, "labelled-laps", [f"{sf}/events.parquet"], lambda: LB.clean_then_label(_fs(spark, sf), CFG),
                         partition_by=("split", "season"))
 
 
 def _fingerprints(spark, sf):
     """One row per circuit, from the labelled training laps."""
     train = _labeled(spark, sf).filter(F.col("split") == "train")
-    return staged_table("fingerprints", [L.read_table(spark, sf, "events")],
+    return staged_table(spark, "fingerprints", [f"{sf}/events.parquet"],
                         lambda: FP.compute_circuit_fingerprints(train, CFG), partition_by=())
 
 

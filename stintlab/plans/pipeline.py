@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .. import config as C
 from ..functions import scalars as S
 from ..operators import features as FE
 from ..operators.encode import FeatureState
+from ..session import remove, stage_folder, write_observed
 
 
 def season_split(df: DataFrame, cfg: C.Config) -> DataFrame:
@@ -50,12 +53,22 @@ def run_full_feature_pipeline(df: DataFrame, cfg: C.Config, state: FeatureState
                               reference: DataFrame | None = None, check_seasons: bool = True,
                               null_limit: float | None = 0.05):
     """CP1. Returns (features, state). Without ``state`` the encoders and SC
-    probabilities are fitted on ``df`` itself (or on ``reference`` for the latter). Rows
-    fail at action time when a key column has more than ``null_limit`` NULLs (AG16;
-    None switches the gate off)."""
-    out = base_features(df, cfg)
-    if null_limit is not None:
-        out = FE.null_fraction_gate(out, limit=null_limit)
+    probabilities are fitted on ``df`` itself (or on ``reference`` for the latter).
+
+    The features are computed once: written as a stage table, from which the fits and the result read. While they
+    are written the NULLs of the key columns are counted (AG16); if a column has more than ``null_limit`` of them the
+    table is removed and the rows of the result fail at action time (None switches the gate off)."""
+    spark = df.sparkSession
+    base = base_features(df, cfg)
+    path = f"{stage_folder(spark)}/features-{uuid.uuid4().hex[:12]}"
+    gated = [c for c in FE.GATED if c in base.columns] if null_limit is not None else []
+    over = FE.nulls_over_limit(write_observed(base, path, FE.null_counts(gated) if gated else {}) or {"rows": 0}, null_limit or 0.0)
+    if over:
+        remove(spark, path)
+        refusal = F.raise_error(F.lit(f"too many nulls in {over}"))
+        refused = spark.range(1).select(*[refusal.cast(f.dataType).alias(f.name) for f in base.schema])
+        return refused, state
+    out = spark.read.schema(base.schema).parquet(path)
     if state is None:
         state = FeatureState.fit(out, cfg, reference=reference, check_seasons=check_seasons)
     out = state.encode(out)
@@ -76,8 +89,3 @@ def apply_train_state(feats: DataFrame, cfg: C.Config, reference: DataFrame | No
     ``reference`` where given) and applied to all splits of ``split_base_features``."""
     state = FeatureState.fit(feats.filter(F.col("split") == "train"), cfg, reference=reference)
     return state.add_historical_sc_prob(FE.add_circuit_softness(state.encode(feats), cfg))
-
-
-def features_with_state(laps: DataFrame, cfg: C.Config) -> DataFrame:
-    """CP2 from laps in one lazy plan."""
-    return apply_train_state(split_base_features(laps, cfg), cfg)
