@@ -12,13 +12,19 @@ elements put last are ordered once more as a whole.
 *Size-aware join.* Sets of at most ``x`` elements emit the 2-subsets of their beginnings (``k = 2``); two of them are
 candidates if they emit a common subset. Larger sets scan the inverted lists of the elements of their beginnings
 (``k = 1``), which hold all sets large enough to be similar to one of them. ``x`` is the size class with the
-least cost: subsets emitted up to it plus list entries scanned beyond it, both counted exactly.
+least cost: subsets emitted up to it plus list entries scanned beyond it, both counted exactly. A pair counts where it
+meets only if the places of what it shares leave room for enough common elements.
 
 *Links.* Candidates whose reserves already rule the similarity out are dropped by an exact bound, the others verified
 on full sets: ``100 * intersection >= percent * union``. ``similar_pairs`` returns all links between
-representatives. ``join_components`` needs only the components: each set is first compared with the set that
-leads its lists (the one with the longest lists in all), then only sets of different components within a list, as
-others cannot change the result; a large group of near copies so takes one comparison a member.
+representatives. ``join_components`` needs only the components, and takes less for large groups of near copies:
+
+1. Each set is compared with its leader, the set with the longest lists among those it meets.
+2. Sets near the same leader H are kept as differences from it. Two of them that are similar, but not both linked
+   with H, share an element of these differences: otherwise ``|A ^ B| = |A ^ H| + |B ^ H|``, and whatever keeps that small
+   keeps both close enough to H. So they are joined on (H, element of the difference), where the copies' common
+   text no longer occurs, and ``|A ^ B| = |dA| + |dB| - 2 |dA n dB|`` decides within the join.
+3. Other pairs come from the lists, without those of one leader or one component.
 
 Defined results: a text with fewer words than a shingle has one shingle of all its words; null and empty texts (or
 only white space) have an empty set and link with nothing; rows with a null id link with nothing and are kept;
@@ -45,6 +51,10 @@ from .near_dedup import shingle_sets
 FREQUENT = 32
 #: classes of set sizes by which costs are added up: this many for each doubling
 CLASSES = 4
+#: cost of a subset, which is shuffled, in list entries, which are only compared
+SUBSET_COST = 16
+#: sets at least this similar to their leader (in percent) are kept as differences from it
+NEAR = 34
 
 _U = np.uint64
 _MIX = tb.coefficients(2, 17)
@@ -154,8 +164,9 @@ def boundary(costs: list[tuple[int, int, int]]) -> int:
     return best
 
 
-def _lists(firsts: DataFrame, percent: int, cut: int | None) -> tuple[DataFrame, int]:
-    """``bucket, id, n`` of all candidates' lists and subsets with two sets or more, and the boundary used."""
+def _lists(firsts: DataFrame, percent: int, cut: int | None) -> DataFrame:
+    """``bucket, id, n, cap`` of all lists and subsets where a pair can meet, with the ``size`` of each. ``cap`` is the
+    most a set can share with another one if this is the first they share."""
     rows = firsts.select("id", "n", F.posexplode("first").alias("r", "e"))
     shared = rows.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rows = stage(rows.join(shared, "e"), "shared")
@@ -163,21 +174,19 @@ def _lists(firsts: DataFrame, percent: int, cut: int | None) -> tuple[DataFrame,
     if cut is None:
         per_set = rows.groupBy("id", "n").agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(inside, F.col("df")).otherwise(0)).alias("entries"))
         per_class = per_set.groupBy(F.floor(F.log2("n") * CLASSES)).agg(
-            F.max("n"), F.sum(F.expr("m * (m - 1) div 2")), F.sum("entries"))
+            F.max("n"), F.sum(F.expr(f"m * (m - 1) div 2 * {SUBSET_COST}")), F.sum("entries"))
         cut = boundary([tuple(r)[1:] for r in per_class.collect()])  # CLASSES rows for each doubling of sizes
-    small = (rows.where(F.col("n") <= cut).groupBy("id", "n").agg(F.sort_array(F.collect_list("e")).alias("es"))
-             .select("id", "n", F.explode(_pairs_of("es")).alias("bucket")))
+    subsets = """flatten(transform(es, (x, i) -> transform(slice(es, i + 2, size(es)),
+                 y -> struct(xxhash64(x.e, y.e) AS bucket, n + 1 - y.r AS cap))))"""
+    small = (rows.where(F.col("n") <= cut).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("r", "e"))).alias("es"))
+             .select("id", "n", F.inline(F.expr(subsets))))
     partner = math.ceil((cut + 1) * percent / 100)
-    listed = rows.where(inside & (F.col("n") >= partner)).select("id", "n", F.col("e").alias("bucket"))
+    listed = rows.where(inside & (F.col("n") >= partner)).select("id", "n", F.col("e").alias("bucket"), (F.col("n") - F.col("r")).alias("cap"))
     entries = small.unionByName(listed)
-    sizes = (entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-             .where("size > 1"))
-    return stage(entries.join(sizes.select("bucket", "size"), "bucket"), "lists"), cut
-
-
-def _pairs_of(name: str) -> Column:
-    """Hashes of all 2-subsets of an array column."""
-    return F.expr(f"flatten(transform({name}, (x, i) -> transform(slice({name}, i + 2, size({name})), y -> xxhash64(x, y))))")
+    # the smaller of two similar sets must have room for what it shares with one as large as itself
+    leads = F.max((F.col("cap") * (100 + percent) >= F.col("n") * (2 * percent)).cast("int"))
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), leads.alias("leads")).where("size > 1 and leads = 1")
+    return stage(entries.join(sizes.drop("leads"), "bucket"), "lists")
 
 
 def _sizes_fit(percent: int, a: str = "n1", b: str = "n2") -> Column:
@@ -228,19 +237,56 @@ def _led(lists: DataFrame, percent: int) -> DataFrame:
             .select(F.col("id").alias("a"), (-F.col("top.m")).alias("b")))
 
 
-def _met(lists: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different ``root`` that share a list and are not ruled out. ``lists``: bucket, id, n, root."""
-    full = lists.join(reps.select("id", "reserve"), "id")
-    main = (lists.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-            .groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("top")).select("bucket", F.col("top.root").alias("main")))
-    names = ("id", "n", "root", "reserve")
-    left = (full.join(main, "bucket").where("root <> main")
-            .select("bucket", "main", *[F.col(c).alias(c + "1") for c in names]))
-    right = full.select("bucket", *[F.col(c).alias(c + "2") for c in names])
-    limit, similar = _may_be_similar(percent)
-    both = left.join(right, "bucket").where((F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2")))
-                                            & _sizes_fit(percent))
-    return (both.withColumn("limit", limit).where(similar)
+def _compared(docs: DataFrame, led: DataFrame, words_each: int) -> DataFrame:
+    """Each set and its leader on full sets: ``a, b, n_a, n_b, common`` and the difference ``d`` of the two where they are near."""
+    ends = stage(led.select(F.col("a").alias("id")).union(led.select("b")).distinct(), "ends")
+    sets = stage(_sets_of(docs, ends, words_each).dropDuplicates(["id"]), "sets")
+    both = (led.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b"))
+    d = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    n_a, n_b = F.size("x").cast("long"), F.size("y").cast("long")
+    told = both.select("a", "b", n_a.alias("n_a"), n_b.alias("n_b"), d.alias("d"))
+    told = told.withColumn("common", F.expr("(n_a + n_b - size(d)) div 2"))
+    return told.withColumn("d", F.when(_similar("common", "n_a", "n_b", NEAR), F.col("d")))
+
+
+def _similar(common: str, a: str, b: str, percent: int) -> Column:
+    return (F.col(common) > 0) & (F.col(common) * 100 >= percent * (F.col(a) + F.col(b) - F.col(common)))
+
+
+def _of_one_leader(near: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of different ``root`` between sets near the same leader. ``near``: id, n, root, leader, d."""
+    # a similar set shares at least this much of the difference, so the beginnings of two differences meet; rare elements come first
+    least = F.greatest(F.lit(1), F.size("d") - F.floor(F.col("n") * ((100 - percent) / percent) + F.lit(1e-9)).cast("int"))
+    every = near.select("leader", "id", F.explode("d").alias("e"))
+    counts = every.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("c"))
+    ranked = every.join(counts, ["leader", "e"]).groupBy("leader", "id").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("ranked"))
+    entries = ranked.join(near.drop("leader"), "id")
+    entries = stage(entries.withColumn("first", F.explode(F.slice("ranked", F.lit(1), F.size("d") - least + 1))).where("first.c > 1")
+                    .select("leader", "id", "n", "root", "d", F.col("first.e").alias("e")), "differences")
+    left, right = (entries.select("leader", "e", *[F.col(c).alias(c + k) for c in ("id", "n", "root", "d")]) for k in "12")
+    apart = F.size("d1") + F.size("d2") - 2 * F.size(F.array_intersect("d1", "d2"))
+    common = (F.col("n1") + F.col("n2") - apart) / 2
+    return (left.join(right, ["leader", "e"])
+            .where((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & _sizes_fit(percent)
+                   & (common * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent))
+            .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
+
+
+def _met(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different ``root`` and different ``leader`` that meet in a list with room for enough common elements."""
+    several = (lists.groupBy("bucket").agg(F.min("leader").alias("l1"), F.max("leader").alias("l2"), F.min("root").alias("r1"), F.max("root").alias("r2"))
+               .where("l1 < l2 and r1 < r2").select("bucket"))
+    lists = stage(lists.join(several, "bucket"), "mixed")
+    # sets of a list's main leader meet the others only
+    main = (lists.groupBy("bucket", "leader").agg(F.count(F.lit(1)).alias("size"))
+            .groupBy("bucket").agg(F.max(F.struct("size", "leader")).alias("top")).select("bucket", F.col("top.leader").alias("main")))
+    left, right = (lists.select("bucket", *[F.col(c).alias(c + k) for c in ("id", "n", "cap", "root", "leader")]) for k in "12")
+    left = left.join(main, "bucket").where("leader1 <> main")
+    return (left.join(right, "bucket")
+            .where(((F.col("leader2") == F.col("main")) | (F.col("id1") < F.col("id2"))) & (F.col("root1") != F.col("root2"))
+                   & (F.col("leader1") != F.col("leader2")) & _sizes_fit(percent)
+                   & (F.least("cap1", "cap2") * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent))
             .select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct())
 
 
@@ -250,16 +296,15 @@ def _candidates(df: DataFrame, id_col: str, text_col: str, words_each: int, perc
     prepare(df.sparkSession)
     docs = pick(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     member, reps = _classes(docs, words_each, percent)
-    lists, cut = _lists(_beginnings(docs, reps, words_each, percent, frequent), percent, cut)
-    return docs, member, reps, lists
+    return docs, member, reps, _lists(_beginnings(docs, reps, words_each, percent, frequent), percent, cut)
 
 
 def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, percent: int = 85,
                   frequent: int = FREQUENT, cut: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All links between class representatives (``a < b``, ``common``, ``n_a``, ``n_b``), and the membership (``id``, ``n``, ``rep``)."""
     docs, member, reps, lists = _candidates(df, id_col, text_col, words_each, percent, frequent, cut)
-    pairs = _met(lists.withColumn("root", F.col("id")), reps, percent)
-    return _verified(docs, stage(pairs, "pairs"), words_each, percent), member
+    pairs = stage(_met(lists.withColumns({"root": F.col("id"), "leader": F.col("id")}), percent), "pairs")
+    return _verified(docs, stage(_plausible(pairs, reps, percent), "pairs"), words_each, percent), member
 
 
 def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, percent: int = 85,
@@ -267,16 +312,20 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: the id, ``n_shingles`` (set size) and ``component_id`` (smallest id reachable over links, itself included;
     null for a null id). ``cut`` overrides the boundary found by cost (0: lists only)."""
     docs, member, reps, lists = _candidates(df, id_col, text_col, words_each, percent, frequent, cut)
-    stars = stage(_plausible(stage(_led(lists, percent), "stars"), reps, percent), "stars")
-    links = _verified(docs, stars, words_each, percent).select("a", "b")
+    led = stage(_plausible(stage(_led(lists, percent), "led"), reps, NEAR), "led")
+    compared = stage(_compared(docs, led, words_each), "compared")
+    links = compared.where(_similar("common", "n_a", "n_b", percent)).select("a", "b")
     one_id = (member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
               .where("a < b").select("a", "b"))
     links = stage(links.union(one_id), "links")
-    named = (lists.join(components(links).withColumnsRenamed({"node": "id"}), "id", "left")
-             .select("bucket", "id", "n", F.coalesce("root", "id").alias("root")))
-    named = stage(named, "named")
-    mixed = (named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"))
-    others = _verified(docs, stage(_met(named.join(mixed, "bucket"), reps, percent), "pairs"), words_each, percent).select("a", "b")
+    named = components(links).withColumnsRenamed({"node": "id"})
+    near = compared.where("d is not null").select(F.col("a").alias("id"), F.col("n_a").alias("n"), F.col("b").alias("leader"), "d")
+    near = stage(near.join(named, "id", "left").withColumn("root", F.coalesce("root", "id")), "near")
+    known = lists.select("bucket", "id", "n", "cap").join(near.select("id", "leader"), "id", "left").join(named, "id", "left")
+    known = known.withColumns({"leader": F.coalesce("leader", "id"), "root": F.coalesce("root", "id")})
+    pairs = stage(_met(stage(known, "named"), percent), "pairs")
+    others = _verified(docs, stage(_plausible(pairs, reps, percent), "pairs"), words_each, percent).select("a", "b")
+    others = stage(others.union(_of_one_leader(near, percent)), "links")
     roots = components(links.union(others)).withColumnsRenamed({"node": "rep"})
     return (member.join(roots, "rep", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id")))
