@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import scalars as S
-from .ranking import attach_scalars, exact_quantiles, running_totals
+from ..session import stage_once
+from .ranking import attach_scalars, bucket_boundaries_by, exact_quantiles, histogram_quantiles, running_totals, with_ordinals
 
 COMPOUNDS = ["SOFT", "MEDIUM", "HARD"]
 TEST_FEATURES = ["deg_acceleration", "deg_velocity", "gap_ahead_s", "gap_ahead_trend", "fuel_load_kg",
@@ -58,26 +59,30 @@ def stint_length_histogram(df: DataFrame, bins: int = 20) -> DataFrame:
     rng = lengths.groupBy("Compound").agg(F.min("length").alias("_lo"), F.max("length").alias("_hi"))
     lo = F.when(F.col("_hi") > F.col("_lo"), F.col("_lo")).otherwise(F.col("_lo") - 0.5)
     hi = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi")).otherwise(F.col("_hi") + 0.5)
-    j = lengths.join(rng, "Compound").withColumns({"_a": lo, "_b": hi})
+    j = lengths.join(F.broadcast(rng), "Compound").withColumns({"_a": lo, "_b": hi})  # one row a compound
     idx = F.least(F.floor((F.col("length") - F.col("_a")) * (F.lit(float(bins)) / (F.col("_b") - F.col("_a")))),
                   F.lit(bins - 1)).cast("int")
     return j.groupBy("Compound", idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def value_histogram(df: DataFrame, features, group: str) -> DataFrame:
+    """Counts per (feature, group, value), unpivoted: one scan and one exchange for all features, written as a stage
+    table from which ranks, ties, moments, quartiles and whiskers are read."""
+    wide = df.filter(F.col(group).isNotNull()).select(group, *[F.col(f).cast("double").alias(f) for f in features])
+    long = wide.unpivot([group], list(features), "feature", "v").filter(F.col("v").isNotNull())
+    return stage_once(long.groupBy("feature", group, "v").agg(F.count(F.lit(1)).alias("_cnt")), "value-histogram")
+
+
 def box_stats(df: DataFrame, features=("deg_velocity", "deg_acceleration"), by: str = "Compound") -> DataFrame:
-    """AG25: quartiles and 1.5 IQR whiskers per group for each feature."""
-    out = None
-    for f in features:
-        src = df.filter(F.col(f).isNotNull() & F.col(by).isNotNull())
-        q = exact_quantiles(src, f, [0.25, 0.5, 0.75], by=[by]).select(
-            by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
-        iqr = F.col("q3") - F.col("q1")
-        w = src.join(q, by).groupBy(by, "q1", "median", "q3").agg(
-            F.min(F.when(F.col(f) >= F.col("q1") - 1.5 * iqr, F.col(f))).alias("whislo"),
-            F.max(F.when(F.col(f) <= F.col("q3") + 1.5 * iqr, F.col(f))).alias("whishi"))
-        part = w.withColumn("feature", F.lit(f))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """AG25: quartiles and 1.5 IQR whiskers per group for each feature, all from one histogram."""
+    hist = value_histogram(df, features, by)
+    q = histogram_quantiles(hist, "v", [0.25, 0.5, 0.75], ["feature", by], bucket_boundaries_by(hist, "v", "feature")).select(
+        "feature", by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    iqr = F.col("q3") - F.col("q1")
+    return hist.join(F.broadcast(q), ["feature", by]).groupBy(by, "q1", "median", "q3", "feature").agg(  # features x compounds
+        F.min(F.when(F.col("v") >= F.col("q1") - 1.5 * iqr, F.col("v"))).alias("whislo"),
+        F.max(F.when(F.col("v") <= F.col("q3") + 1.5 * iqr, F.col("v"))).alias("whishi")) \
+        .select(by, "q1", "median", "q3", "whislo", "whishi", "feature")
 
 
 def pit_now_rate_by(df: DataFrame, by: str = "undercut_threat") -> DataFrame:
@@ -215,55 +220,51 @@ def fingerprint_pca(fp: DataFrame, cols=EDA_FP_COLS, k: int = 2) -> DataFrame:
     return out.select("event_name", *[F.col("_a")[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
-def average_ranks(df: DataFrame, value: str, out: str = "rank", by: list | None = None) -> DataFrame:
-    """1-based ranks with ties averaged, computed with bucketed running counts."""
-    by = list(by or [])
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    below = running_totals(counts, value, ["_cnt"], by=by, descending=False, inclusive=False, prefix="_below")
-    ranks = below.select(*by, value, (F.col("_below_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
-    return df.join(ranks, on=by + [value], how="left")
-
-
-def _rank_stats(df: DataFrame, feature: str, group: str):
-    src = df.filter(F.col(feature).isNotNull() & F.col(group).isNotNull()).select(group, F.col(feature).alias("v"))
-    sizes = src.groupBy(group).agg(F.count(F.lit(1)).alias("_ng"))
-    return src.join(sizes.filter(F.col("_ng") > 3), group, "left_semi")
-
-
 def anova_kruskal(df: DataFrame, features=TEST_FEATURES, group: str = "pit_label") -> DataFrame:
     """MS10 + MS11: one-way ANOVA F and tie-corrected Kruskal-Wallis H over the
     ``group`` classes with more than 3 values; p-values in closed form for three
-    groups (F(2, d) and chi-square(2) tails), NULL otherwise."""
-    out = None
-    for f in features:
-        src = _rank_stats(df, f, group)
-        g = src.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"),
-                                   F.var_pop("v").alias("vp"))
-        tot = src.agg(F.count(F.lit(1)).alias("_ntot"), F.avg("v").alias("_mall"))
-        gg = attach_scalars(g, tot)
-        anova = gg.agg(F.count(F.lit(1)).alias("k"), F.first("_ntot").alias("_ntot"),
-                       F.sum(F.col("n") * F.pow(F.col("m") - F.col("_mall"), 2)).alias("ssb"),
-                       F.sum(F.col("n") * F.col("vp")).alias("ssw"))
-        ranked = average_ranks(src, "v", "r")
-        rsum = ranked.groupBy(group).agg(F.sum("r").alias("R"), F.count(F.lit(1)).alias("n")) \
-            .agg(F.sum(F.pow(F.col("R"), 2) / F.col("n")).alias("sr"))
-        ties = src.groupBy("v").agg(F.count(F.lit(1)).alias("t")).agg(
-            F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("tt"))
-        m = attach_scalars(attach_scalars(anova, rsum), ties)
-        N = F.col("_ntot").cast("double")
-        d1 = F.col("k") - 1
-        d2 = F.col("_ntot") - F.col("k")
-        fstat = (F.col("ssb") / d1) / F.nullif(F.col("ssw") / d2, F.lit(0.0))
-        h = (F.lit(12.0) / (N * (N + 1)) * F.col("sr") - 3 * (N + 1)) / \
-            F.nullif(F.lit(1.0) - F.col("tt") / (N * N * N - N), F.lit(0.0))
-        part = m.select(
-            F.lit(f).alias("feature"), F.col("k").cast("int").alias("groups"), fstat.alias("anova_f"),
-            F.when(F.col("k") == 3, F.pow(F.lit(1.0) + 2.0 * fstat / d2, -d2 / 2.0)).alias("anova_p"),
-            h.alias("kruskal_h"), F.when(F.col("k") == 3, F.exp(-h / 2.0)).alias("kruskal_p"))
-        out = part if out is None else out.unionByName(part)
+    groups (F(2, d) and chi-square(2) tails), NULL otherwise.
+
+    All features share one histogram of (feature, group, value). A running count over a feature's values gives
+    the average rank and the ties of every value; moments and rank sums are aggregates of the histogram.
+    """
+    hist = value_histogram(df, features, group)
+    sizes = hist.groupBy("feature", group).agg(F.sum("_cnt").alias("n"), (F.sum(F.col("v") * F.col("_cnt")) / F.sum("_cnt")).alias("m"))
+    sizes = sizes.filter(F.col("n") > 3)
+    hist = hist.join(F.broadcast(sizes), ["feature", group])  # features x classes
+    ranked = running_totals(hist, "v", ["_cnt"], by=["feature"], descending=False, prefix="_upto",
+                            bounds=bucket_boundaries_by(hist, "v", "feature"))
+    tied = ranked.groupBy("feature", "v").agg(F.max("_upto_cnt").alias("_upto"), F.sum("_cnt").alias("_t"))
+    tied = tied.withColumn("r", F.col("_upto") - (F.col("_t") - 1) / 2.0)
+    t = F.col("_t").cast("double")
+    ties = tied.groupBy("feature").agg(F.sum(t * t * t - t).alias("tt"))
+    per = hist.join(tied.select("feature", "v", "r"), ["feature", "v"]).groupBy("feature", group).agg(
+        F.first("n").alias("n"), F.first("m").alias("m"), F.sum(F.col("r") * F.col("_cnt")).alias("R"),
+        F.sum(F.pow(F.col("v") - F.col("m"), 2) * F.col("_cnt")).alias("ss"))
+    grand = per.groupBy("feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_mall"))
+    m = per.join(F.broadcast(grand), "feature").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("_ntot"), F.sum("ss").alias("ssw"),
+        F.sum(F.col("n") * F.pow(F.col("m") - F.col("_mall"), 2)).alias("ssb"), F.sum(F.pow(F.col("R"), 2) / F.col("n")).alias("sr"))
+    m = m.join(F.broadcast(ties), "feature")  # one row a feature
+    N = F.col("_ntot").cast("double")
+    d1 = F.col("k") - 1
+    d2 = F.col("_ntot") - F.col("k")
+    fstat = (F.col("ssb") / F.nullif(d1, F.lit(0))) / F.nullif(F.col("ssw") / F.nullif(d2, F.lit(0)), F.lit(0.0))
+    h = (F.lit(12.0) / (N * (N + 1)) * F.col("sr") - 3 * (N + 1)) / \
+        F.nullif(F.lit(1.0) - F.col("tt") / F.nullif(N * N * N - N, F.lit(0.0)), F.lit(0.0))
+    out = m.select(
+        "feature", F.col("k").cast("int").alias("groups"), fstat.alias("anova_f"),
+        F.when(F.col("k") == 3, F.pow(F.lit(1.0) + 2.0 * fstat / d2, -d2 / 2.0)).alias("anova_p"),
+        h.alias("kruskal_h"), F.when(F.col("k") == 3, F.exp(-h / 2.0)).alias("kruskal_p"))
     return out.filter(F.col("groups") >= 2)
 
 
+def ordered_tests(tests: DataFrame) -> DataFrame:
+    """SO4: the tests in order of their p-value (then feature) with their place; NULL p-values last."""
+    keyed = tests.withColumn("_p", F.coalesce("anova_p", F.lit(float("inf"))))
+    return with_ordinals(keyed, ["_p", "feature"], "place").drop("_p")
+
+
 def spearman_matrix(df: DataFrame, cols=CORR_COLS) -> DataFrame:
     """MS09: Spearman correlation matrix over complete cases, via MLlib
     ``Correlation.corr(method='spearman')`` (distributed ranks, ties averaged);

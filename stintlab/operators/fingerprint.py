@@ -15,7 +15,8 @@ from .. import config as C
 from ..functions import scalars as S
 from ..sources.io import exists
 from .encode import assert_seasons_subset
-from .ranking import attach_scalars, exact_quantiles
+from ..session import stage_once
+from .ranking import attach_scalars, leave_one_out_quantiles
 
 COMPOUNDS = ["SOFT", "MEDIUM", "HARD"]
 
@@ -110,23 +111,17 @@ def run_loco_cv(full: DataFrame, fp: DataFrame, cfg: C.Config, include_self: boo
 
     For each test circuit with a fingerprint: baseline = median of train-season deltas
     of all *other* circuits; MAE of the held-out deltas against it; nearest fingerprint
-    distance; street/permanent. Train deltas are reduced to a value histogram per
-    circuit, then each histogram row is fanned out to the held-out circuits it counts
-    for (all but its own) — work N x #circuits, no pairs of laps.
+    distance; street/permanent. The medians come from one histogram of (circuit, delta) by
+    rank selection on running counts of all circuits minus the circuit's own.
     """
     test = full.filter(F.col("season") == cfg.test_season)
     train = full.filter(F.col("season").isin(*cfg.train_seasons))
     near = nearest_fingerprint(fp, cfg, include_self).select(
         F.col("event_name").alias("circuit"), "fingerprint_distance")
     held = test.select(F.col("event_name").alias("circuit")).distinct().join(near, "circuit", "inner")
-    hist = train.filter(F.col("lap_time_delta_s").isNotNull()).groupBy("event_name", "lap_time_delta_s") \
-        .agg(F.count(F.lit(1)).alias("_cnt"))
-    # the held-out circuits as one array (bounded by the circuits of the sport)
-    names = held.agg(F.collect_set("circuit").alias("_held"))
-    fan = attach_scalars(hist, names).withColumn(
-        "circuit", F.explode(F.filter("_held", lambda h: ~h.eqNullSafe(F.col("event_name"))))).drop("_held")
-    baseline = exact_quantiles(fan, "lap_time_delta_s", [0.5], by=["circuit"], weight="_cnt") \
-        .select("circuit", F.col("q0").alias("_baseline"))
+    hist = stage_once(train.filter(F.col("lap_time_delta_s").isNotNull()).groupBy(F.col("event_name").alias("circuit"), "lap_time_delta_s")
+                      .agg(F.count(F.lit(1)).alias("_cnt")), "delta-histogram")
+    baseline = leave_one_out_quantiles(hist, held, "lap_time_delta_s", [0.5], "circuit").select("circuit", F.col("q0").alias("_baseline"))
     held_laps = test.select(F.col("event_name").alias("circuit"), "lap_time_delta_s")
     mae = held_laps.join(F.broadcast(baseline), "circuit", "left").groupBy("circuit").agg(
         F.avg(F.abs(F.col("lap_time_delta_s") - F.col("_baseline"))).alias("mae_p50"))

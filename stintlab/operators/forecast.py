@@ -13,27 +13,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .ranking import bucket_boundaries, exact_quantiles
+from ..session import stage_once
+from .ranking import bucket_boundaries_by, histogram_quantiles, with_ordinals
 
 LEVELS = [["event_name", "Compound", "tire_age_laps"], ["Compound", "tire_age_laps"], ["tire_age_laps"]]
 
 
-def fit_quantile_table(train: DataFrame, cfg: C.Config, keys: list, target: str = "lap_time_delta_s",
-                       bounds: list | None = None) -> DataFrame:
+def quantile_levels(train: DataFrame, cfg: C.Config, target: str = "lap_time_delta_s") -> DataFrame:
+    """Exact quantiles of every back-off level in one table: ``level``, the keys (NULL where a level has none), ``_q0``...
+
+    GROUPING SETS roll the laps up to the histograms of all levels in one scan and one exchange; the quantiles
+    of all levels come from one running total whose groups carry the level.
+    """
+    keys = LEVELS[0]
+    laps = train.filter(F.col(target).isNotNull()).select(*keys, F.col(target).cast("double").alias("_v"))
+    hist = laps.groupingSets([[*map(F.col, level), F.col("_v")] for level in LEVELS], *map(F.col, keys), F.col("_v")) \
+        .agg(F.grouping_id(*keys, "_v").alias("_gid"), F.count(F.lit(1)).alias("_cnt"))
+    # the grouping id has a bit for every key that a level leaves out
+    level_of = F.lit(None).cast("int")
+    for level, names in enumerate(LEVELS):
+        gid = sum(2 ** (len(keys) - i) for i, k in enumerate(keys) if k not in names)
+        level_of = F.when(F.col("_gid") == gid, F.lit(level)).otherwise(level_of)
+    hist = hist.withColumn("level", level_of).drop("_gid")
+    for i, k in enumerate(keys):  # a missing key matches no lap; the keys a level leaves out get one filler
+        used = [level for level, names in enumerate(LEVELS) if k in names]
+        hist = hist.where(F.col(k).isNotNull() | ~F.col("level").isin(*used))
+    filler = {k: F.coalesce(F.col(k), F.lit("" if dict(laps.dtypes)[k] == "string" else 0).cast(dict(laps.dtypes)[k])) for k in keys}
+    hist = stage_once(hist.withColumns(filler), "quantile-levels")
     qs = [float(q) for q in cfg.quantiles]
-    # exact quantiles without holding a (possibly huge) key group in one task
-    out = exact_quantiles(train.filter(F.col(target).isNotNull()), target, qs, by=keys, prefix="_q", bounds=bounds)
-    return out.select(*keys, *[f"_q{i}" for i in range(len(qs))])
+    out = histogram_quantiles(hist, "_v", qs, ["level", *keys], bucket_boundaries_by(hist, "_v", "level"), prefix="_q")
+    return out.select("level", *keys, *[f"_q{i}" for i in range(len(qs))])
 
 
 def predict_quantiles(train: DataFrame, test: DataFrame, cfg: C.Config, target: str = "lap_time_delta_s") -> DataFrame:
     """ML13 + JN08 + AG13: prediction table for every test lap with a prediction."""
     out = test.select("driver_stint_id", "event_name", "LapNumber", "Compound", "tire_age_laps")
     names = ["p10", "p50", "p90"]
-    bounds = bucket_boundaries(train.filter(F.col(target).isNotNull()), target)  # shared by all levels
+    levels = quantile_levels(train, cfg, target)
     for level, keys in enumerate(LEVELS):
-        table = fit_quantile_table(train, cfg, keys, target, bounds)
-        table = table.select(*keys, *[F.col(f"_q{i}").alias(f"_l{level}_{i}") for i in range(len(names))])
+        table = levels.where(F.col("level") == level).select(*keys, *[F.col(f"_q{i}").alias(f"_l{level}_{i}") for i in range(len(names))])
         out = out.join(F.broadcast(table), on=keys, how="left")  # circuits x compounds x tyre ages at most
     preds = out.select(
         "driver_stint_id", "event_name", "LapNumber",
@@ -108,5 +126,5 @@ def trend_points(curve: DataFrame, trend: DataFrame, x: str = "LapNumber", by: s
 
 
 def ordered_predictions(pred: DataFrame) -> DataFrame:
-    """SO4: the prediction table in (stint, lap) order (a range-partitioned sort)."""
-    return pred.orderBy("driver_stint_id", "LapNumber")
+    """SO4: the prediction table with each row's place (``ordinal``) in (stint, lap) order."""
+    return with_ordinals(pred, ["driver_stint_id", "LapNumber", "event_name"])

@@ -194,6 +194,11 @@ def q_pr13(spark, sf):
     return laps.groupBy("Team", "is_top4").agg(F.count(F.lit(1)).alias("n_laps"))
 
 
+#: the stage tables that queries share, in the order they are written: name -> (spark, sf_dir) -> DataFrame
+STAGES = {"race_laps": _laps, "base_features": _base, "labelled_laps": lambda spark, sf: _labeled(spark, sf),
+          "fingerprints": lambda spark, sf: _fingerprints(spark, sf)}
+
+
 # ------------------------------------------------------------------ fingerprints, LOCO
 
 from ..operators import fingerprint as FP  # noqa: E402
@@ -396,6 +401,12 @@ def q_ml13(spark, sf):
     return table.select("driver_stint_id", "event_name", "LapNumber", r6("p10"), r6("p50"), r6("p90"))
 
 
+@register("so4_ordered_predictions", O.with_fragments(["fc"], """
+SELECT driver_stint_id, event_name, LapNumber, row_number() OVER (ORDER BY driver_stint_id, LapNumber, event_name) AS ordinal FROM fc"""))
+def q_so4(spark, sf):
+    return FC.ordered_predictions(_forecast(spark, sf)).select("driver_stint_id", "event_name", "LapNumber", F.col("ordinal").cast("long").alias("ordinal"))
+
+
 def _fc_joined(spark, sf):
     labeled = _labeled(spark, sf)
     return FC.with_actuals(_forecast(spark, sf, labeled), labeled.filter(F.col("split") == "test"))
@@ -695,6 +706,13 @@ def q_ms10(spark, sf):
     return t.select("feature", "groups", *[r6(c) for c in ["anova_f", "anova_p", "kruskal_h", "kruskal_p"]])
 
 
+@register("so4_tests_by_p_value", O.with_fragments(["ev_lab"], f"""
+SELECT feature, row_number() OVER (ORDER BY anova_p, feature) AS place, anova_p FROM ({_anova_sql()}) t"""))
+def q_so4_tests(spark, sf):
+    tests = X.ordered_tests(X.anova_kruskal(_eda(spark, sf)).withColumn("anova_p", F.round("anova_p", 6)))
+    return tests.select("feature", F.col("place").cast("long").alias("place"), "anova_p")
+
+
 @register("ag14_mean_quantile_curve", O.with_fragments(["fc"], """
 SELECT event_name, LapNumber, round(avg(p10), 6) AS p10, round(avg(p50), 6) AS p50, round(avg(p90), 6) AS p90
 FROM fc GROUP BY event_name, LapNumber"""))

@@ -132,3 +132,10 @@ def staged_table(spark: SparkSession, name: str, sources: list[str], build, part
                 remove(spark, path)
                 raise
     return spark.read.parquet(path)
+
+
+def stage_once(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to a folder of its own and read it back: one run of its plan for many readers."""
+    path = f"{stage_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
