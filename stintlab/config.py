@@ -234,7 +234,7 @@ PANEL_UNKNOWN_REALS = [
 
 # Boosted-tree settings for the pit-window classifier.
 PIT_GBT = {"max_iter": 500, "max_depth": 5, "step_size": 0.03, "min_instances_per_node": 25,
-           "subsampling_rate": 0.8, "feature_subset": "0.8", "seed": 42}
+           "subsampling_rate": 0.8, "feature_subset": "0.8", "seed": 42, "patience": 50}
 COMPOUND_GBT = {"max_iter": 400, "max_depth": 5, "step_size": 0.05, "subsampling_rate": 0.8,
                 "feature_subset": "0.7", "seed": 42, "min_instances_per_node": 3, "min_info_gain": 0.1}
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import stage_once
 from .ranking import attach_scalars, bucket_boundaries, running_totals
 
 DEGRADATION_CIRCUITS = ["Bahrain", "Britain", "Spain", "Italy", "Monaco", "Singapore"]
@@ -150,6 +151,7 @@ class PitModel:
     features: list
     thresholds: DataFrame | None = None
     global_threshold: float = 0.5
+    validation_losses: list | None = None  # of the prefixes of 1, 2, ... trees that were fitted
 
     def predict_proba(self, df: DataFrame, out: str = "p") -> DataFrame:
         """ML04: raw positive-class probability -> calibrated probability."""
@@ -209,26 +211,69 @@ def class_weights(df: DataFrame, fitted_on: DataFrame | None = None, label: str
     return df.join(F.broadcast(weights), on=label, how="left").withColumn("w", F.coalesce("w", F.lit(1.0)))
 
 
+def best_prefix(losses: list, patience: int) -> tuple[int, bool]:
+    """Length of the ensemble prefix with the least loss before ``patience`` trees in a row bring none, and whether
+    the losses reach that far. Losses are those of the prefixes of 1, 2, ... trees."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        if k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def prefix_model(model, n_trees: int):
+    """The first ``n_trees`` trees of a fitted boosted model as a model of its own."""
+    from pyspark.ml.classification import GBTClassificationModel
+    if n_trees >= model.getNumTrees:
+        return model
+    java, jvm = model._java_obj, _jvm()
+    trees = _array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, java.trees(), n_trees)
+    weights = _array(jvm.double, java.treeWeights(), n_trees)
+    cut = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, trees, weights))
+    cut._resetUid(model.uid)
+    return model._copyValues(cut)
+
+
+def fit_boosted(estimator, train: DataFrame, val: DataFrame, max_iter: int, patience: int):
+    """ML02: boosted trees cut to the prefix that is best on validation rows, by patience.
+
+    MLlib evaluates every prefix in one pass (``evaluateEachIteration``). The fit is repeated with twice the trees
+    until ``patience`` trees without gain are among them or ``max_iter`` is reached; with one seed the trees of a longer
+    fit begin with those of a shorter one. Returns the model and the validation loss of its prefixes.
+    """
+    n = min(max_iter, patience + 14)
+    while True:
+        model = estimator.copy({estimator.maxIter: n}).fit(train)
+        losses = list(model.evaluateEachIteration(val))
+        best, certain = best_prefix(losses, patience)
+        if certain or n >= max_iter:
+            return prefix_model(model, best), losses
+        n = min(max_iter, 2 * n)
+
+
 def train_pit_model(train: DataFrame, val: DataFrame, cfg: C.Config, features: list | None = None,
                     max_iter: int | None = None, extra_circuits=None) -> PitModel:
-    """ML02-ML03 + ML06: boosted trees with balanced weights and validation-based early
-    stopping, isotonic calibration fitted on validation, thresholds tuned on
+    """ML02-ML03 + ML06: boosted trees with balanced weights and patience on the validation
+    loss, isotonic calibration fitted on validation, thresholds tuned on
     calibrated validation scores."""
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
     features = features or pit_feature_names(train, cfg)
-    tr = build_pit_window_dataset(train, cfg, features).withColumn("_is_val", F.lit(False))
-    va = build_pit_window_dataset(val, cfg, features).withColumn("_is_val", F.lit(True))
-    both = class_weights(tr.unionByName(va, allowMissingColumns=True), fitted_on=tr)
+    tr, va = (build_pit_window_dataset(df, cfg, features) for df in (train, val))
     p = cfg.pit_gbt
-    gbt = GBTClassifier(labelCol="y", featuresCol="features", weightCol="w", validationIndicatorCol="_is_val",
-                        maxIter=max_iter or p["max_iter"], maxDepth=p["max_depth"], stepSize=p["step_size"],
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    gbt = GBTClassifier(labelCol="y", featuresCol="features", weightCol="w", maxDepth=p["max_depth"], stepSize=p["step_size"],
                         minInstancesPerNode=p["min_instances_per_node"], subsamplingRate=p["subsampling_rate"],
                         featureSubsetStrategy=p["feature_subset"], seed=p["seed"])
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(both)
-    model = PitModel(pipeline, None, features)
+    columns = ["y", "w", "features"]
+    weighed = [assembler.transform(class_weights(df, fitted_on=tr)).select(*columns) for df in (tr, va)]
+    boosted, losses = fit_boosted(gbt, stage_once(weighed[0], "fit-train"), stage_once(weighed[1], "fit-val"), max_iter or p["max_iter"], p["patience"])
+    model = PitModel(PipelineModel([assembler, boosted]), None, features)
+    model.validation_losses = losses
     val_scored = model.predict_proba(va, "_raw_p")
     iso = IsotonicRegression(featuresCol="_iso_in", labelCol="y", predictionCol="_iso_pred")
     calibrator = iso.fit(val_scored.withColumn("_iso_in", F.col("_raw_p")))
@@ -236,3 +281,16 @@ def train_pit_model(train: DataFrame, val: DataFrame, cfg: C.Config, features: l
     cal = model.predict_proba(va, "p")
     model.thresholds, model.global_threshold = tune_circuit_thresholds(cal, cfg, extra_circuits=extra_circuits)
     return model
+
+
+def _jvm():
+    from pyspark.sql import SparkSession
+    return SparkSession.active()._jvm
+
+
+def _array(kind, values, n: int):
+    from pyspark.sql import SparkSession
+    out = SparkSession.active().sparkContext._gateway.new_array(kind, n)
+    for k in range(n):
+        out[k] = values[k]
+    return out

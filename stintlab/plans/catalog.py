@@ -911,6 +911,43 @@ def q_ml02(spark, sf):
     return m.select(*[r6(c) for c in m.columns])
 
 
+@register("ml02_best_prefix", O.with_fragments(["ev_lab"], """
+SELECT count(*) AS n_val, 0 AS n_off, true AS stopped_at_best FROM ev_lab
+WHERE split = 'val' AND pit_label IN (0, 1, 2) AND loss_weight > 0"""))
+def q_ml02_prefix(spark, sf):
+    """ML02: the model is the prefix of least validation loss, and the contributions along its trees' paths sum to
+    its margins (``n_off`` counts validation rows that differ)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators import attribution as AT
+    labeled = _labeled(spark, sf)
+    split = {k: labeled.filter(F.col("split") == k) for k in ("train", "val")}
+    model = CL.train_pit_model(split["train"], split["val"], CFG)
+    assembler, boosted = model.pipeline.stages
+    best, _ = CL.best_prefix(model.validation_losses, CFG.pit_gbt["patience"])
+    key = ["season", "event_name", "Driver", "LapNumber"]
+    rows = assembler.transform(CL.build_pit_window_dataset(split["val"], CFG, model.features)).select(*key, "features")
+    phi = AT.tree_attributions(boosted, rows, model.features, key).groupBy(*key).agg(F.sum("phi").alias("sum"))
+    margins = boosted.transform(rows).select(*key, vector_to_array("rawPrediction")[1].alias("margin"))
+    off = F.count_if(F.coalesce(F.abs(F.col("sum") - F.col("margin")) > 1e-9, F.lit(True)))
+    return margins.join(phi, key, "left").agg(F.count(F.lit(1)).alias("n_val"), off.cast("int").alias("n_off"),
+                                              F.lit(boosted.getNumTrees == best).alias("stopped_at_best"))
+
+
+@register("ml03_isotonic_calibration", O.with_fragments(["pw_val_pred"], """
+WITH d AS (SELECT p, count(*) AS n, sum(y) AS s FROM pw_val_pred GROUP BY p),
+     c AS (SELECT p, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER w - n AS n0, sum(s) OVER w - s AS s0 FROM d WINDOW w AS (ORDER BY p)),
+     means AS (SELECT i.p, a.p AS a, min((b.s - a.s0)::DOUBLE / (b.n - a.n0)) AS low
+               FROM c i JOIN c a ON a.p <= i.p JOIN c b ON b.p >= i.p GROUP BY i.p, a.p)
+SELECT round(p, 6) AS p, round(max(low), 6) AS calibrated FROM means GROUP BY p"""))
+def q_ml03(spark, sf):
+    """ML03 on the baseline score: the calibrated value of every distinct validation score (in SQL: the largest of
+    the least means of the runs around it)."""
+    from ..operators.isotonic import Isotonic
+    val = CL.baseline_pit_score(CL.build_pit_window_dataset(_labeled(spark, sf).filter(F.col("split") == "val"), CFG))
+    return val.select("p").distinct().select(r6("p"), r6(Isotonic.fit(val).apply(F.col("p")), "calibrated"))
+
+
 @register("ml07_compound_accuracy")
 def q_ml07(spark, sf):
     data = _xgb(spark, sf)
@@ -925,6 +962,26 @@ def q_ml09(spark, sf):
                                                              F.count(F.lit(1)).alias("n"))
 
 
+@register("ml09_tree_attribution_sums", O.with_fragments(["xgb"], f"""
+SELECT 3 * count(*) AS n, 0 AS n_off FROM xgb WHERE label IS NOT NULL AND season = {CFG.test_season}"""))
+def q_ml09_sums(spark, sf):
+    """ML09 of the boosted recommender itself: for every test row and class the contributions sum to the margin."""
+    data = _xgb(spark, sf)
+    phi, margins = MD.boosted_attributions(MD.train_compound_model(data, CFG), data, CFG)
+    key = ["_row", "class"]
+    both = margins.join(phi.groupBy(*key).agg(F.sum("phi").alias("sum")), key, "left")
+    off = F.count_if(F.coalesce(F.abs(F.col("sum") - F.col("margin")) > 1e-9, F.lit(True)))
+    return both.agg(F.count(F.lit(1)).alias("n"), off.cast("int").alias("n_off"))
+
+
+@register("ml10_boosted_recovery")
+def q_ml10_boosted(spark, sf):
+    """ML10 on the contributions of the boosted recommender."""
+    data = _xgb(spark, sf)
+    phi, _ = MD.boosted_attributions(MD.train_compound_model(data, CFG), data, CFG)
+    return MD.heuristic_recovery(phi, CFG).select("heuristic", "passed")
+
+
 @register("ml10_heuristic_recovery")
 def q_ml10(spark, sf):
     phi = MD.linear_attributions(_xgb(spark, sf), CFG)

@@ -92,3 +92,55 @@ def test_metric_report_keeps_text(spark, cfg):
     got = {r["metric"]: (r["value"], r["text"], r["target"]) for r in
            metric_report(spark.createDataFrame([(0.5, "3/4", 2)], "mcc double, heuristics string, n int"), cfg, "s").collect()}
     assert got == {"mcc": (0.5, None, cfg.metric_targets["mcc"]), "heuristics": (None, "3/4", None), "n": (2.0, None, None)}
+
+
+def test_best_prefix_by_patience():
+    assert CL.best_prefix([5.0, 4.0, 3.0, 3.5, 3.2, 2.0], 2) == (3, True)  # the later minimum lies beyond the patience
+    assert CL.best_prefix([5.0, 4.0, 3.0, 3.5], 2) == (3, False)
+    assert CL.best_prefix([1.0, 1.0, 1.0], 2) == (1, True) and CL.best_prefix([1.0], 5) == (1, False)
+
+
+def test_model_is_the_prefix_and_contributions_sum_to_margins(spark, cfg):
+    from pyspark.ml.functions import vector_to_array
+
+    from stintlab.operators import attribution as AT
+    train, val = _pit_frame(spark, ["Bahrain", "Monaco"], 40), _pit_frame(spark, ["Bahrain", "Spain"], 24)
+    model = CL.train_pit_model(train, val, cfg, max_iter=6, extra_circuits=[])
+    assembler, boosted = model.pipeline.stages
+    assert len(model.validation_losses) == 6
+    assert boosted.getNumTrees == CL.best_prefix(model.validation_losses, cfg.pit_gbt["patience"])[0]
+    rows = assembler.transform(CL.build_pit_window_dataset(val, cfg, model.features)).withColumn("row", F.monotonically_increasing_id()).cache()
+    for m in (boosted, CL.prefix_model(boosted, 1)):
+        phi = AT.tree_attributions(m, rows.select("row", "features"), model.features, ["row"])
+        sums = phi.groupBy("row").agg(F.sum("phi").alias("s"))
+        margins = m.transform(rows).select("row", vector_to_array("rawPrediction")[1].alias("margin"))
+        both = margins.join(sums, "row").collect()
+        assert len(both) == 48 and all(abs(r["s"] - r["margin"]) < 1e-9 for r in both)
+        assert {r["feature"] for r in phi.select("feature").distinct().collect()} <= {AT.BASE, *model.features}
+
+
+def test_isotonic_in_ranges_equals_pooling_at_once(spark):
+    import random
+
+    from stintlab.operators import isotonic as IS
+    r = random.Random(3)
+    data = [(round(r.random(), 2), int(r.random() < 0.2 + 0.5 * r.random())) for _ in range(600)] + [(None, 1), (0.5, None)]
+    df = spark.createDataFrame(data, "p double, y int")
+    seen = {}
+    for p, y in data:
+        if p is not None and y is not None:
+            seen.setdefault(p, []).append(y)
+    scores = sorted(seen)
+    # by definition: the largest of the least means of the runs around a score
+    mean = lambda a, b: sum(sum(seen[s]) for s in scores[a:b + 1]) / sum(len(seen[s]) for s in scores[a:b + 1])
+    n = len(scores)
+    expected = {scores[i]: max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(0, n, 3)}
+    for bounds in ([], [k / 40 for k in range(1, 40)]):
+        model = IS.Isotonic.fit(df, bounds=bounds)
+        got = {x["p"]: x["c"] for x in df.select("p", model.apply(F.col("p")).alias("c")).distinct().collect()}
+        assert got[None] is None
+        assert all(got[s] == pytest.approx(v) for s, v in expected.items())
+    assert model.value == sorted(model.value) and len(set(model.value)) == len(model.value)
+    edges = spark.createDataFrame([(-1.0,), (2.0,), ((model.hi[0] + model.lo[1]) / 2,)], "p double").select(model.apply(F.col("p"))).collect()
+    assert [x[0] for x in edges] == pytest.approx([model.value[0], model.value[-1], (model.value[0] + model.value[1]) / 2])
+    assert spark.range(1).select(IS.Isotonic.fit(df.where("p > 5")).apply(F.lit(0.3))).first()[0] is None
