@@ -55,6 +55,8 @@ CLASSES = 4
 SUBSET_COST = 16
 #: sets at least this similar to their leader (in percent) are kept as differences from it
 NEAR = 34
+#: rounds in which the sets of a list are compared with one of them, before pairs are
+STAR_ROUNDS = 2
 
 _U = np.uint64
 _MIX = tb.coefficients(2, 17)
@@ -254,23 +256,57 @@ def _similar(common: str, a: str, b: str, percent: int) -> Column:
     return (F.col(common) > 0) & (F.col(common) * 100 >= percent * (F.col(a) + F.col(b) - F.col(common)))
 
 
-def _of_one_leader(near: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of different ``root`` between sets near the same leader. ``near``: id, n, root, leader, d."""
+def _differences(near: DataFrame, percent: int) -> DataFrame:
+    """Lists of the sets near one leader by the elements of their differences: ``leader, e, id, n, d``. ``near``: id, n, leader, d."""
     # a similar set shares at least this much of the difference, so the beginnings of two differences meet; rare elements come first
     least = F.greatest(F.lit(1), F.size("d") - F.floor(F.col("n") * ((100 - percent) / percent) + F.lit(1e-9)).cast("int"))
     every = near.select("leader", "id", F.explode("d").alias("e"))
     counts = every.groupBy("leader", "e").agg(F.count(F.lit(1)).alias("c"))
     ranked = every.join(counts, ["leader", "e"]).groupBy("leader", "id").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("ranked"))
     entries = ranked.join(near.drop("leader"), "id")
-    entries = stage(entries.withColumn("first", F.explode(F.slice("ranked", F.lit(1), F.size("d") - least + 1))).where("first.c > 1")
-                    .select("leader", "id", "n", "root", "d", F.col("first.e").alias("e")), "differences")
-    left, right = (entries.select("leader", "e", *[F.col(c).alias(c + k) for c in ("id", "n", "root", "d")]) for k in "12")
+    return (entries.withColumn("first", F.explode(F.slice("ranked", F.lit(1), F.size("d") - least + 1))).where("first.c > 1")
+            .select("leader", F.col("first.e").alias("e"), "id", "n", "d"))
+
+
+def _link(percent: int) -> Column:
+    """Whether two sets near one leader (suffixes 1 and 2) are similar, exactly."""
     apart = F.size("d1") + F.size("d2") - 2 * F.size(F.array_intersect("d1", "d2"))
     common = (F.col("n1") + F.col("n2") - apart) / 2
-    return (left.join(right, ["leader", "e"])
-            .where((F.col("id1") < F.col("id2")) & (F.col("root1") != F.col("root2")) & _sizes_fit(percent)
-                   & (common * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent))
-            .select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct())
+    return (F.col("root1") != F.col("root2")) & _sizes_fit(percent) & (common * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
+
+
+def _sides(entries: DataFrame, *extra: str) -> list[DataFrame]:
+    return [entries.select("leader", "e", *extra, *[F.col(c).alias(c + k) for c in ("id", "n", "root", "d")]) for k in "12"]
+
+
+def _of_one_leader(near: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of sets near the same leader, ``links`` being those known.
+
+    In each list all sets are first compared with one of them, then with one outside the list's main component, and so
+    on for ``STAR_ROUNDS`` rounds, with components anew after each; only then are the members of what are
+    still different components compared. So a group of copies yields about a link a member, not one a pair.
+    """
+    lists = stage(_differences(near, percent), "differences")
+    found = links
+    for k in range(STAR_ROUNDS + 1):
+        roots = components(found).withColumnsRenamed({"node": "id"})
+        entries = lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        main = (entries.groupBy("leader", "e", "root").agg(F.count(F.lit(1)).alias("size"))
+                .groupBy("leader", "e").agg(F.max(F.struct("size", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+                .select("leader", "e", F.col("top.root").alias("main")))
+        lists = stage(entries.join(main, ["leader", "e"]), "differences")  # lists of one component are done
+        left, right = _sides(lists, "main")
+        if k == STAR_ROUNDS:
+            both = left.where("root1 <> main").join(right.drop("main"), ["leader", "e"])
+            pairs = both.where(((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2"))) & _link(percent))
+        else:
+            first = left.where("root1 <> main") if k else left
+            closest = F.min_by(F.struct("id1", "n1", "root1", "d1"), F.struct(F.size("d1"), "id1")).alias("h")
+            centre = first.groupBy("leader", "e").agg(closest).select("leader", "e", "h.*")
+            pairs = right.join(centre, ["leader", "e"]).where(_link(percent))
+        found = stage(found.union(pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()), "links")
+        lists = lists.drop("main", "root")
+    return found
 
 
 def _met(lists: DataFrame, percent: int) -> DataFrame:
@@ -320,13 +356,12 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = stage(links.union(one_id), "links")
     named = components(links).withColumnsRenamed({"node": "id"})
     near = compared.where("d is not null").select(F.col("a").alias("id"), F.col("n_a").alias("n"), F.col("b").alias("leader"), "d")
-    near = stage(near.join(named, "id", "left").withColumn("root", F.coalesce("root", "id")), "near")
+    near = stage(near, "near")
     known = lists.select("bucket", "id", "n", "cap").join(near.select("id", "leader"), "id", "left").join(named, "id", "left")
     known = known.withColumns({"leader": F.coalesce("leader", "id"), "root": F.coalesce("root", "id")})
     pairs = stage(_met(stage(known, "named"), percent), "pairs")
     others = _verified(docs, stage(_plausible(pairs, reps, percent), "pairs"), words_each, percent).select("a", "b")
-    others = stage(others.union(_of_one_leader(near, percent)), "links")
-    roots = components(links.union(others)).withColumnsRenamed({"node": "rep"})
+    roots = components(_of_one_leader(near, stage(links.union(others), "links"), percent)).withColumnsRenamed({"node": "rep"})
     return (member.join(roots, "rep", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id")))
 
