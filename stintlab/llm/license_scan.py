@@ -6,8 +6,10 @@ its whole text; each is a vector of word counts times weights. *Templates* are t
 titles, headers and whole licence texts of ``license_texts``. The cosine with a template is a sparse join of the part's
 words with the template's. A part is looked at only if it can reach the threshold: by Cauchy-Schwarz it must hold words
 with ``threshold ** 2`` of a template's squared weight, which is tested with the *telling* words and then with the
-``TOP`` heaviest words of each template, the others taken as found, so no part is missed. A file's own licence is its
-best part's.
+``TOP`` heaviest words of each template, the others taken as found, so no part is missed. Then a bound of the score is
+added up over its words: the exact dot product with each template, and a norm from below, in which words that are neither
+in a template nor among the ``FREQUENT`` most frequent ones weigh as much as the rarest of these. Only parts that may
+still reach the threshold are joined with the frequencies of all words. A file's own licence is its best part's.
 
 *Inheritance.* A file is a licence file of its directory if its whole text reaches the threshold, however long it is, and
 gives the directory the licence of its whole text; so is a note with a licence (``file_words`` words at most). A file
@@ -16,7 +18,7 @@ directory's licence is that of its licence file with the smallest id. Directorie
 files only with their own directory.
 
 Everything is DataFrame expressions; only template words and their counts reach the driver. Defined results:
-null and empty texts have no licence of their own; a null path is the root; ties between templates go to the
+null and empty texts have no licence of their own, nor have rows with a null id; a null path is the root; ties between templates go to the
 first name, between parts to the better score; rows that share an id share a result (their best part); repeated rows are
 returned as often as they come; an empty table gives an empty result; extra columns are ignored. Whole texts are scanned.
 """
@@ -51,6 +53,8 @@ THRESHOLD = 0.75
 FILE_WORDS = 40
 #: heaviest words of a template that a part is tested for before its vector is built
 TOP = 12
+#: most frequent words of the files that are sent to the tasks with their weights
+FREQUENT = 4096
 LINE, PARAGRAPH, HEADER, WHOLE = 0, 1, 2, 3
 #: a line of a comment, or blank
 COMMENT = r"^\s*($|#|//|/\*|\*|--|;|%|<!--)"
@@ -121,6 +125,23 @@ def _parts(files: DataFrame, telling: list[str]) -> DataFrame:
             .select("id", "tag", "p.*").where(has(F.col("part"))))
 
 
+def _survivors(parts: DataFrame, key: list[str], frequencies: DataFrame, n: int, weight: dict[str, float],
+               vectors: list[tuple[str, dict[str, float]]], threshold: float) -> DataFrame:
+    """Keys of the parts whose bound reaches the threshold. As ``tf ** 2 >= tf``, a part's squared norm is at least the sum of
+    the squared weights over all its words, and dot products are sums over them too: one row a word, one result a part."""
+    top = frequencies.orderBy(F.desc("df"), "w").limit(FREQUENT).collect()
+    known = {r["w"]: math.log((1 + n) / (1 + r["df"])) + 1 for r in top}
+    least = math.log((1 + n) / (1 + top[-1]["df"])) + 1 if top else 1.0
+    known |= weight
+    rows = [(w, g * g, [g * vector.get(w, 0.0) for _, vector in vectors]) for w, g in known.items()]
+    table = parts.sparkSession.createDataFrame(rows, "w string, square double, shares array<double>")
+    told = parts.select(*key, F.explode("ws").alias("w")).join(F.broadcast(table), "w", "left")  # FREQUENT and the templates' words
+    sums = told.groupBy(*key).agg(F.sum(F.coalesce("square", F.lit(least * least))).alias("square"),
+                                  *[F.sum(F.get("shares", F.lit(k))).alias(f"dot{k}") for k in range(len(vectors))])
+    reach = F.greatest(*[F.coalesce(f"dot{k}", F.lit(0.0)) for k in range(len(vectors))])
+    return stage(sums.where(reach >= threshold * 0.999 * F.sqrt("square")).select(*key), "survivors")
+
+
 def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD,
                  texts: dict[str, list[str]] = TEXTS) -> DataFrame:
     """The best template of each file with a part at or over the threshold: ``id``, ``license``, ``score``; and
@@ -139,6 +160,9 @@ def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     table = F.broadcast(spark.createDataFrame(entries, "license string, rank int, w string, y double"))  # the templates' words
     key = ["id", "tag", "kind", "at"]
     parts = _parts(files, telling).select(*key, words(F.col("part")).alias("ws")).where(_can_reach(F.col("ws"), vectors, threshold))
+    kept = _survivors(parts, key, frequencies, n, weight, vectors, threshold)
+    few = files.join(kept.select("id").distinct(), "id", "left_semi")
+    parts = _parts(few, telling).select(*key, words(F.col("part")).alias("ws")).join(kept, key, "left_semi")
     counts = parts.select(*key, F.explode("ws").alias("w")).groupBy(*key, "w").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
     terms = counts.join(frequencies, "w").select(*key, "w", (F.col("n") * idf).alias("x"))
