@@ -211,7 +211,7 @@ WITH docs AS (
          doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS hit
   FROM documents),
 flat AS (SELECT r, hit, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM docs),
-vocabulary AS (SELECT word FROM flat GROUP BY word HAVING count(*) * 50000 >= (SELECT count(*) FROM flat)),
+vocabulary AS (SELECT word FROM flat GROUP BY word),
 events AS (
   SELECT r, hit, i, CASE WHEN v.word IS NULL THEN '#other' ELSE 'w' || v.word END AS w FROM flat LEFT JOIN vocabulary v USING (word)
   UNION ALL SELECT r, hit, len(words) + 1, '#end' FROM docs),
@@ -221,8 +221,7 @@ size AS (SELECT count(*) FILTER (hit) AS t, count(*) AS b FROM steps),
 classes AS (SELECT count(*) + 2 AS k FROM vocabulary),
 alone AS (SELECT w, (single.t + 1) / (size.t + k)::DOUBLE AS t, (single.b + 1) / (size.b + k)::DOUBLE AS b FROM single, size, classes),
 history AS (SELECT h, count(*) FILTER (hit) AS t, count(*) AS b FROM steps GROUP BY h),
-pairs AS (SELECT h, w, count(*) FILTER (hit) AS t, count(*) AS b FROM steps GROUP BY h, w
-          HAVING count(*) * 200000 >= (SELECT b FROM size)),
+pairs AS (SELECT h, w, count(*) FILTER (hit) AS t, count(*) AS b FROM steps GROUP BY h, w),
 covered AS (SELECT h, sum(t) AS t, sum(b) AS b FROM pairs GROUP BY h),
 loss AS (
   SELECT r,
