@@ -1249,6 +1249,40 @@ def q_src11_gate(spark, sf):
     return IO.load_complete(laps, calendar, "laps").groupBy("season").agg(F.count(F.lit(1)).alias("n_laps"))
 
 
+@register("src11_missing_session", O.with_fragments(["laps"], f"""
+WITH have AS (SELECT DISTINCT season, event_name FROM laps WHERE session_type = 'R'),
+     want AS (SELECT s.season, e.event_name FROM (SELECT unnest(range({L.FIRST_SEASON}, {L.FIRST_SEASON + L.N_SEASONS})) AS season) s,
+                     (SELECT unnest([{", ".join(f"'{c}'" for c in [*L.CIRCUITS, "Elsewhere"])}]) AS event_name) e)
+SELECT CAST(season AS INTEGER) AS season, CAST(count(h.event_name) AS BIGINT) AS loaded_sessions,
+       CAST(count(*) - count(h.event_name) AS BIGINT) AS failed_sessions, false AS complete
+FROM want LEFT JOIN have h USING (season, event_name) GROUP BY season"""))
+def q_src11_missing(spark, sf):
+    """SRC11 against a calendar of its own that names one session more than was driven: every season reports it."""
+    calendar = spark.createDataFrame([(s, c, "R") for s in range(L.FIRST_SEASON, L.FIRST_SEASON + L.N_SEASONS) for c in [*L.CIRCUITS, "Elsewhere"]],
+                                     "season int, event_name string, session_type string")
+    laps = L.load_laps(spark, sf).filter(F.col("session_type") == "R")
+    return IO.load_status(laps, calendar).select("season", F.col("loaded_sessions").cast("long").alias("loaded_sessions"),
+                                                 F.col("failed_sessions").cast("long").alias("failed_sessions"), "complete")
+
+
+@register("jn04_undercut_of_one_session", O.with_fragments(["feat"], """
+SELECT Driver, LapNumber, undercut_threat FROM feat WHERE season = 2019 AND event_name = 'Monaco' AND session_type = 'R'"""))
+def q_jn04(spark, sf):
+    """JN04: the undercut of a lap table without session columns (one session)."""
+    one = _laps(spark, sf).filter((F.col("season") == 2019) & (F.col("event_name") == "Monaco") & (F.col("session_type") == "R"))
+    return FE.add_undercut_threat(one.drop("season", "event_name", "session_type"), CFG).select("Driver", "LapNumber", "undercut_threat")
+
+
+@register("pr17_model_frame", O.with_fragments(["ev_lab"], """
+SELECT split, count(*) AS n, round(sum(coalesce(tire_age_laps, 0)), 6) AS tire_age_laps, round(sum(coalesce(deg_velocity, 0)), 6) AS deg_velocity,
+       round(sum(coalesce(gap_ahead_s, 0)), 6) AS gap_ahead_s, 0.0 AS not_there FROM ev_lab GROUP BY split"""))
+def q_pr17(spark, sf):
+    """PR17: features as doubles without NULLs; one that the table lacks is 0."""
+    names = ["tire_age_laps", "deg_velocity", "gap_ahead_s", "not_there"]
+    frame = CL.model_frame(_labeled(spark, sf), names)
+    return frame.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *[r6(F.sum(c), c) for c in names])
+
+
 @register("ml11_scaled_windows", O.with_fragments(["lstm_win", "imp"], "WITH raw AS (" + _scaler_sql() + """)
 SELECT part, idx, 0.0 AS mean, CASE WHEN spread THEN 1.0 ELSE 0.0 END AS scale FROM (
   SELECT part, idx, scale <> 1.0 AS spread FROM raw) x"""))
