@@ -128,11 +128,10 @@ def _classes(docs: DataFrame, words_each: int, percent: int) -> tuple[DataFrame,
     seen = stage(scan.drop("reserve"), "set-keys")
     classes = seen.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"))
     member = stage(seen.join(classes, key, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "members")
-    # scanned again rather than staged with the reserves of all copies; one text where an id has several
-    ids = classes.select(*key, F.col("rep").alias("id"))
-    reps = scan.where("n > 0").join(ids, [*key, "id"], "left_semi").select("id", "n", "reserve", "s1")
-    one = seen.where("n > 0").groupBy("id").agg(F.min(F.struct("n", "s1")).alias("m")).select("id", "m.n", "m.s1")
-    return member, stage(reps.join(one, ["id", "n", "s1"], "left_semi").drop("s1").dropDuplicates(["id"]), "reserves")
+    # scanned again rather than staged with the reserves of all copies; an id that stands for several texts keeps one
+    ids = classes.groupBy(F.col("rep").alias("id")).agg(F.min(F.struct(*key)).alias("k")).select("id", "k.*")
+    reps = scan.where("n > 0").join(ids, [*key, "id"], "left_semi").dropDuplicates([*key, "id"])  # dealt alike: one exchange
+    return member, stage(reps.select("id", "n", "reserve"), "reserves")
 
 
 def _beginnings(docs: DataFrame, reps: DataFrame, words_each: int, percent: int, frequent: int) -> DataFrame:
