@@ -9,8 +9,9 @@ on a cluster.
 
 All features but ``lap_count_norm`` are computed within a session; that one divides by the
 longest session, so a stream needs the fitted maximum (``fitted_max_laps``) and then equals
-the batch in every column. A session must arrive in one file: each batch is checked, and one
-in which a session comes from several files fails instead of giving wrong stints.
+the batch in every column. A session must arrive in one file: a batch in which a session comes
+from several files fails, and so does one with a session that an earlier batch had (their keys are kept in a
+small table beside the sink), instead of giving wrong stints.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..operators import features as FE
 from ..plans import pipeline as P
+from ..sources.io import exists
 from ..sources.laps import SESSION_KEYS
 
 
@@ -33,9 +35,26 @@ def assert_whole_sessions(batch: DataFrame) -> None:
         raise ValueError(f"session {cut[0]['s']} is spread over several files")
 
 
+def _sessions_folder(sink: str) -> str:
+    return f"{sink.rstrip('/')}-sessions"
+
+
+def assert_new_sessions(batch: DataFrame, sink: str, batch_id: int) -> None:
+    """Fail when a session of the batch was in another batch; then note the batch's sessions (a replay replaces its own)."""
+    spark, folder = batch.sparkSession, _sessions_folder(sink)
+    here = batch.select(*SESSION_KEYS).distinct()
+    if exists(spark, folder):
+        earlier = spark.read.parquet(folder).filter(F.col("batch") != batch_id)
+        again = here.join(earlier, SESSION_KEYS, "left_semi").select(F.concat_ws("/", *SESSION_KEYS).alias("s")).limit(1).collect()
+        if again:
+            raise ValueError(f"session {again[0]['s']} came in an earlier batch already")
+    here.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
 def session_feature_writer(sink: str, cfg: C.Config, fitted_max_laps: float, partition_by=("season",)):
     def write(batch: DataFrame, batch_id: int) -> None:
         assert_whole_sessions(batch)
+        assert_new_sessions(batch, sink, batch_id)
         feats = FE.add_lap_norm(P.base_features(batch, cfg, lap_norm=False), fitted_max_laps=fitted_max_laps, source=batch)
         feats.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{sink.rstrip('/')}/batch={batch_id}")
     return write

@@ -41,3 +41,17 @@ def test_a_session_in_two_files_is_an_error(spark, cfg, tmp_path):
     with pytest.raises(Exception, match="several files"):
         ST.start_session_ingest(spark, src, spark.read.parquet(src).schema, str(tmp_path / "sink"), str(tmp_path / "ckpt"), 10.0,
                                 cfg).awaitTermination()
+
+
+def test_a_session_in_two_batches_is_an_error(spark, cfg, tmp_path):
+    src, sink, ckpt = str(tmp_path / "src"), str(tmp_path / "sink"), str(tmp_path / "ckpt")
+    laps = L.load_race_laps(spark, SF).filter("season = 2018 and event_name = 'Monaco'").coalesce(1)
+    half = laps.agg(F.max("LapNumber")).first()[0] // 2
+    laps.filter(F.col("LapNumber") <= half).write.parquet(src)
+    go = lambda: ST.start_session_ingest(spark, src, laps.schema, sink, ckpt, 10.0, cfg).awaitTermination()
+    go()
+    before = _rows(ST.read_ingested(spark, sink))
+    laps.filter(F.col("LapNumber") > half).write.mode("append").parquet(src)
+    with pytest.raises(Exception, match="earlier batch"):
+        go()
+    assert _rows(ST.read_ingested(spark, sink)) == before
