@@ -10,16 +10,15 @@ its texts, ``N`` its events (words and ends) and ``|V|`` the words of the corpus
 and the loss of a word is ``-ln p(w | h)``. A document's score is the mean over its words and its end of
 the target loss minus the background loss; lower is closer to the target.
 
-No word and no bigram is left out, so the model grows with the corpus and is never collected or broadcast: tasks
-count their own texts, Spark adds up the counts, and the counts of words and bigrams stay one distributed table.
-Texts are dealt over chunks of about ``CHUNK`` events by the hash of their id and text; every chunk's distinct words
-and bigrams are joined with the counts and come back to the chunk's texts. A word or bigram has one row a
-chunk in that join, however often it occurs. Words are the runs of ``[^\\x20\\x09-\\x0D]``, A-Z in lower case;
-words and bigrams are handled as 64-bit hashes.
+No word and no bigram is left out, so the model grows with the corpus and is never collected or broadcast. Texts
+are dealt over chunks of about ``CHUNK`` events by the hash of their id and text. A chunk counts its words and bigrams,
+sorts their 64-bit hashes and sends them to key ranges, one block of gaps and counts a range. A range adds up
+the counts of all chunks and answers each block with the corpus counts of its keys, in the block's order. The answers
+need no keys: the chunk sorts its words and bigrams again and reads the counts off in order. A word or bigram
+thus crosses the network once a chunk in about six bytes, and its count comes back in a fraction of one. Where chunks and
+ranges are so many that blocks hold few keys, a block is a row of a few keys; there are never more blocks than keys.
 
-A caller may set bars: ``vocabulary_share`` makes one class of all words below that share of the background words,
-and is the one case in which a table of words (``vocabulary_share`` at most) is broadcast; ``bigram_share`` gives
-the mass of the bigrams below that share of the background bigrams to the word alone.
+Words are the runs of ``[^\\x20\\x09-\\x0D]``, A-Z in lower case; words and bigrams are handled as 64-bit hashes.
 
 Defined results: null and empty texts have no words and are scored on their end alone; rows with a null id are
 scored but are never target texts; repeated rows count and are returned as often as they come; with no target
@@ -29,177 +28,215 @@ texts are used.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .frames import pick, prepare, stage
+from .textbytes import U
 
 LAMBDA = 0.75
-#: distinct n-grams a task holds before it emits its counts
-HELD = 1 << 19
-#: events (words and ends of texts) in a chunk of texts that are scored together, on average
-CHUNK = 1 << 18
+#: words a task holds before it emits the distinct ones
+HELD = 1 << 20
+#: events (words and ends of texts) in a chunk of texts that are counted and scored together, on average
+CHUNK = 1 << 20
+#: keys of all chunks that meet in a range, at most on average
+RANGE = 1 << 21
 
-#: stand for the edge of a text and for the words below a bar, beside the hashes of words
-EDGE, OTHER = 1, 2
-#: marks the count of a word; bigrams have their history, or ``PAIR`` where it is not needed
-WORD, PAIR = -1, 0
+#: stands for the edge of a text, beside the hashes of words
+EDGE = U(1)
+#: bytes of a gap that are sent as they are; its upper bytes and the counts are mostly zero and compressed
+LOW = 5
 
 
-class Counter:
-    """Counts of 64-bit keys in both corpora, merged when many have come in. ``kind`` belongs to the key."""
+def _planes(values: np.ndarray, kind: str) -> np.ndarray:
+    """The bytes of ``values``, lowest first: a row for each byte of the type."""
+    return values.astype(kind).view(np.uint8).reshape(len(values), -1).T
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.size = 0
 
-    def add(self, keys: np.ndarray, kind: np.ndarray, target: np.ndarray) -> None:
-        found, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        self.parts.append((found, kind[first], np.bincount(where, minlength=len(found)),
-                           np.bincount(where, weights=target, minlength=len(found)).astype(np.int64)))
-        self.size += len(found)
+def _from_planes(planes: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-    def merge(self) -> None:
-        keys, kind, n, t = (np.concatenate(x) for x in zip(*self.parts))
-        found, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        self.parts = [(found, kind[first], np.bincount(where, weights=n).astype(np.int64), np.bincount(where, weights=t).astype(np.int64))]
-        self.size = len(found)
 
-    def batch(self) -> pa.RecordBatch:
-        self.merge()
-        columns, self.parts, self.size = self.parts[0], [], 0
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "h", "n", "target"])
+def encode_block(base: int, keys: np.ndarray, target: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending ``keys`` from ``base`` on with their two counts."""
+    gaps = _planes(np.diff(keys, prepend=U(base)), "<u8")
+    rest = [gaps[LOW:], _planes(target, "<u4"), _planes(n, "<u4")]
+    return gaps[:LOW].tobytes(), zlib.compress(b"".join(p.tobytes() for p in rest), 1)
 
 
-COUNTED = "key long, h long, n long, target long"
+def decode_block(base: int, low: bytes, rest: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = len(low) // LOW
+    others = np.frombuffer(zlib.decompress(rest), np.uint8).reshape(-1, size)
+    gaps = np.concatenate([np.frombuffer(low, np.uint8).reshape(LOW, size), others[:8 - LOW]])
+    target, n = others[8 - LOW:12 - LOW], others[12 - LOW:]
+    return U(base) + np.cumsum(_from_planes(gaps, "<u8"), dtype=U), _from_planes(target, "<u4"), _from_planes(n, "<u4")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray | None):
-    """(batch, group, words per text, events, the event before each, bounds per text)."""
+def _grouped(batches: Iterator[pa.RecordBatch]):
+    """(batch, group, word hashes, bounds of the words of each text)."""
     for batch in batches:
         for group in tb.groups(batch.column("text")):
             data = tb.ASCII_LOWER[group.data]
             starts, ends, bounds = tb.word_spans(data, group.offsets)
-            yield batch, group, np.diff(bounds), *_events(tb.as_int64(tb.word_hashes(data, starts, ends)), bounds, vocabulary)
-
-
-def _events(words: np.ndarray, bounds: np.ndarray, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every event (words, then the end of each text), the one before it, and bounds per text."""
-    if vocabulary is not None:
-        words = np.where(np.isin(words, vocabulary), words, OTHER)
-    events = np.insert(words, bounds[1:], EDGE)
-    limits = bounds + np.arange(len(bounds))
-    before = np.empty_like(events)
-    before[1:] = events[:-1]
-    before[limits[:-1]] = EDGE
-    return events, before, limits
-
-
-def _pairs(before: np.ndarray, events: np.ndarray) -> np.ndarray:
-    return tb.as_int64(tb.mix64(before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + events.view(np.uint64)))
-
-
-def _count(vocabulary, histories: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, known = Counter(), vocabulary.value if vocabulary else None
-        for batch, group, _, events, before, limits in _grouped(batches, known):
-            flags = np.repeat(np.asarray(batch.column("target").cast(pa.int8()))[group.rows], np.diff(limits))
-            kind = before if histories else np.full(len(events), PAIR)
-            counter.add(np.concatenate([events, _pairs(before, events)]), np.concatenate([np.full(len(events), WORD), kind]), np.tile(flags, 2))
-            if counter.size > 4 * HELD:
-                counter.merge()
-                if counter.size > HELD:
-                    yield counter.batch()
-        if counter.parts:
-            yield counter.batch()
+            yield batch, group, tb.word_hashes(data, starts, ends), bounds
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with its events ``n`` for each text, and a row with its ``key`` for each distinct word held."""
+    held, size = [], 0
+
+    def distinct(kind: pa.DataType) -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(held))
+        none = [pa.nulls(len(keys), t) for t in (kind, pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(tb.as_int64(keys))], ["id", "hash", "n", "key"])
+
+    kind = None
+    for batch, group, words, bounds in _grouped(batches):
+        at, kind = pa.array(group.rows), batch.column("id").type
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id").take(at), batch.column("hash").take(at), pa.array(np.diff(bounds) + 1), pa.nulls(len(at), pa.int64())],
+            ["id", "hash", "n", "key"])
+        held.append(np.unique(words))
+        size += len(held[-1])
+        if size > HELD:
+            held = [np.unique(np.concatenate(held))]
+            size = len(held[0])
+            if 2 * size > HELD:
+                yield distinct(kind)
+                held, size = [], 0
+    if size:
+        yield distinct(kind)
+
+
+class Chunk:
+    """The events of a chunk's texts and the sorted ``keys`` of their words and bigrams.
+
+    ``texts`` has the rows to score and a row without ``scored`` for each id that is a target text.
+    """
+
+    def __init__(self, texts: pa.Table):
+        marks = texts.filter(pc.invert(texts.column("scored"))).column("id")
+        rows = texts.filter(texts.column("scored"))
+        ids, lengths, events, before, target = [], [], [], [], []
+        for batch, group, words, bounds in _grouped(rows.to_batches()):
+            found = batch.column("id").take(pa.array(group.rows))
+            limits = bounds + np.arange(len(bounds))
+            step = np.insert(words, bounds[1:], EDGE)
+            last = np.empty_like(step)
+            last[1:] = step[:-1]
+            last[limits[:-1]] = EDGE
+            hit = np.asarray(pc.is_in(found, value_set=marks.combine_chunks()).cast(pa.uint8()))
+            ids.append(found)
+            lengths.append(np.diff(bounds))
+            events.append(step)
+            before.append(last)
+            target.append(np.repeat(hit, np.diff(limits)))
+        self.ids, self.lengths = pa.chunked_array(ids, texts.schema.field("id").type), np.concatenate([np.zeros(0, np.int64), *lengths])
+        events, before = (np.concatenate([np.zeros(0, U), *x]) for x in (events, before))
+        self.target = np.concatenate([np.zeros(0, np.uint8), *target])
+        pairs = tb.mix64(before * U(0x9E3779B97F4A7C15) + events)
+        self.keys, where = np.unique(np.concatenate([events, pairs]), return_inverse=True)
+        self.events, self.pairs = where[:len(events)], where[len(events):]
+        # the event before each is the one before it in its text, or the edge
+        edge = np.searchsorted(self.keys, EDGE)
+        self.before = np.roll(self.events, 1)
+        self.before[self.starts()] = edge
+
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths + 1) - self.lengths - 1
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        where = np.concatenate([self.events, self.pairs])
+        return (np.bincount(where, weights=np.tile(self.target, 2), minlength=len(self.keys)).astype(np.int64),
+                np.bincount(where, minlength=len(self.keys)))
+
+
+def _blocks(bits: int):
+    """The counts of a chunk, cut into ``2**bits`` ranges of keys."""
 
-    return run
-
-
-def _counts(docs: DataFrame, vocabulary=None, histories: bool = False) -> DataFrame:
-    """A row for each word and each bigram: ``key``, ``h``, and its counts ``n`` and ``target``."""
-    counted = docs.mapInArrow(_count(vocabulary, histories), COUNTED)
-    return stage(counted.groupBy("key").agg(F.max("h").alias("h"), F.sum("n").alias("n"), F.sum("target").alias("target")), "ngrams")
-
-
-def _vocabulary(docs: DataFrame, share: int):
-    """The words that make up at least ``1 / share`` of all, sent to the tasks; there are ``share`` at most."""
-    found = _counts(docs).where((F.col("h") == WORD) & (F.col("key") != EDGE))
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    known = found.where(F.col("n") * share >= total).select("key").toPandas()["key"].to_numpy(np.int64)
-    return docs.sparkSession.sparkContext.broadcast(known)
+    def run(key: tuple, texts: pa.Table) -> pa.Table:
+        chunk, rows = Chunk(texts), []
+        target, n = chunk.counts()
+        parts, starts = np.unique(chunk.keys >> U(64 - bits), return_index=True)
+        for part, lo, hi in zip(parts.tolist(), starts.tolist(), [*starts[1:].tolist(), len(chunk.keys)]):
+            rows.append((part, key[0].as_py(), *encode_block(part << (64 - bits), chunk.keys[lo:hi], target[lo:hi], n[lo:hi])))
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "chunk", "low", "rest"])
 
+    return run
 
-def _covered(counts: DataFrame, share: int, events: int) -> DataFrame:
-    """Without the bigrams below the bar; words with the counts ``covered`` and ``covered_target`` of those kept after them."""
-    kept = counts.where((F.col("h") == WORD) | (F.col("n") * share >= events))
-    after = kept.where(F.col("h") != WORD).groupBy(F.col("h").alias("key")).agg(F.sum("target").alias("covered_target"), F.sum("n").alias("covered"))
-    return kept.join(after, "key", "left").na.fill(0, ["covered_target", "covered"])
 
+def _answers(bits: int):
+    """The corpus counts of a range's keys for each chunk's block, in the block's order."""
 
-def _needed(vocabulary):
-    def run(key: tuple, texts: pa.Table) -> pa.Table:
-        keys = np.zeros(0, np.int64)
-        for _, _, _, events, before, _ in _grouped(texts.to_batches(), vocabulary.value if vocabulary else None):
-            keys = np.union1d(keys, np.concatenate([events, before, _pairs(before, events)]))
-        return pa.table({"chunk": pa.array(np.full(len(keys), key[0].as_py(), np.int64)), "key": pa.array(keys)})
+    def run(key: tuple, blocks: pa.Table) -> pa.Table:
+        base = key[0].as_py() << (64 - bits)
+        found = [decode_block(base, a, b) for a, b in zip(blocks.column("low").to_pylist(), blocks.column("rest").to_pylist())]
+        keys, target, n = (np.concatenate(x) for x in zip(*found))
+        _, where = np.unique(keys, return_inverse=True)
+        both = np.stack([np.bincount(where, weights=x)[where].astype(np.int64) for x in (target, n)])
+        ends = np.cumsum([len(k) for k, _, _ in found]).tolist()
+        totals = [zlib.compress(b"".join(_planes(row[lo:hi], "<i8").tobytes() for row in both), 1) for lo, hi in zip([0, *ends], ends)]
+        return pa.table([blocks.column("part"), blocks.column("chunk"), pa.array(totals, pa.binary())], ["part", "chunk", "totals"])
 
     return run
 
 
-def _scored(vocabulary, size: np.ndarray):
+def _scored(size: np.ndarray):
     """``size`` is ``N + |V| + 2`` of the target (row 0) and the background model (row 1)."""
 
-    def run(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        order = np.argsort(counts.column("key").to_numpy())
-        keys = counts.column("key").to_numpy()[order]
-        read = lambda *names: np.stack([counts.column(c).to_numpy()[order].astype(np.float64) for c in names])
-        n = read("target", "n")
-        covered = read("covered_target", "covered") if "covered" in counts.schema.names else n
-        out = []
-        for batch, group, lengths, events, before, limits in _grouped(texts.to_batches(), vocabulary.value if vocabulary else None):
-            h, w, pairs = np.searchsorted(keys, before), np.searchsorted(keys, events), _pairs(before, events)
-            at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-            seen = np.maximum(n[:, h], 1)
-            p = LAMBDA * np.where(keys[at] == pairs, n[:, at], 0) / seen + (1 - LAMBDA * covered[:, h] / seen) * (n[:, w] + 1) / size
-            loss = np.add.reduceat(-np.log(p), limits[:-1], axis=1) / np.diff(limits)
-            out.append(pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(group.rows)), pa.array(lengths), pa.array(loss[0]), pa.array(loss[1]),
-                 pa.array(loss[0] - loss[1])], ["id", "n_words", "target_loss", "background_loss", "ce_difference"]))
-        return pa.Table.from_batches(out)
+    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(texts)
+        order = answers.column("part").to_numpy().argsort().tolist()
+        totals = answers.column("totals").to_pylist()
+        read = [np.frombuffer(zlib.decompress(totals[k]), np.uint8) for k in order]
+        n = np.concatenate([np.stack([_from_planes(p, "<i8") for p in x.reshape(2, 8, -1)]) for x in read] or [np.zeros((2, 0))], axis=1)
+        if n.shape[1] != len(chunk.keys):
+            raise RuntimeError(f"{n.shape[1]} counts for {len(chunk.keys)} words and bigrams of chunk {key[0]}")
+        loss = np.zeros((2, len(chunk.lengths)))
+        if len(chunk.lengths):
+            h, w, p = (n[:, x].astype(np.float64) for x in (chunk.before, chunk.events, chunk.pairs))
+            seen = np.maximum(h, 1)
+            each = -np.log(LAMBDA * p / seen + (1 - LAMBDA * h / seen) * (w + 1) / size)
+            loss = np.add.reduceat(each, chunk.starts(), axis=1) / (chunk.lengths + 1)
+        return pa.table([chunk.ids, pa.array(chunk.lengths), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])],
+                        ["id", "n_words", "target_loss", "background_loss", "ce_difference"])
 
     return run
 
 
-def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          vocabulary_share: int | None = None, bigram_share: int | None = None) -> DataFrame:
+def score(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``n_words``, mean ``target_loss`` and ``background_loss``, and their difference
     ``ce_difference``. ``target_ids`` has the ids of the target texts in its first column."""
-    spark = df.sparkSession
-    prepare(spark)
-    docs = pick(df, id=id_col, text=text_col)
-    wanted = stage(target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("id")).where("id is not null").distinct(), "target")
-    # one plan at every size: the ids grow with the corpus, so they are never broadcast
-    hits = wanted.withColumn("hit", F.lit(True)).hint("shuffle_hash")
-    flagged = docs.join(hits, "id", "left").select("text", F.coalesce("hit", F.lit(False)).alias("target"))
-    vocabulary = _vocabulary(flagged, vocabulary_share) if vocabulary_share else None
-    counts = _counts(flagged, vocabulary, histories=bool(bigram_share))
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("target", "n")]
-    total = counts.where(F.col("h") == WORD).agg(*sums, F.count(F.when(~F.col("key").isin(EDGE, OTHER), 1)).alias("words")).first()
-    # known words, the class of others and the end share the smoothing
-    size = np.array([[total["target"]], [total["n"]]], np.float64) + (len(vocabulary.value) if vocabulary else total["words"]) + 2
-    model = (_covered(counts, bigram_share, total["n"]) if bigram_share else counts).drop("h")
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(total["n"] // CHUNK + 1)))
-    needed = dealt.groupBy("chunk").applyInArrow(_needed(vocabulary), "chunk long, key long")
-    looked = needed.join(model.hint("merge"), "key")
+    prepare(df.sparkSession)
+    docs = pick(df, id=id_col, text=text_col).withColumn("hash", F.xxhash64("id", "text"))
     kind = docs.schema["id"].dataType.simpleString()
-    out = dealt.groupBy("chunk").cogroup(looked.groupBy("chunk")).applyInArrow(
-        _scored(vocabulary, size), f"id {kind}, n_words long, target_loss double, background_loss double, ce_difference double")
+    sizes = stage(docs.mapInArrow(_sizes, f"id {kind}, hash long, n long, key long"), "sizes")
+    texts = sizes.where("key is null")
+    wanted = target_ids.select(F.col(f"`{target_ids.columns[0]}`").alias("id")).where("id is not null").distinct()
+    # one plan at every size: the ids grow with the corpus, so they are never broadcast
+    hits = stage(texts.select("id", "hash", "n").join(wanted.hint("shuffle_hash"), "id"), "targets")
+    words = sizes.where("key is not null").agg(F.countDistinct("key").alias("n")).first()["n"]
+    target, n = (d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] for d in (hits, texts))
+    size = np.array([[target], [n]], np.float64) + words + 2
+    # words and bigrams of all chunks: two an event at most
+    bits = max(1, (2 * n // RANGE).bit_length())
+    chunk = F.pmod(F.col("hash"), F.lit(n // CHUNK + 1)).alias("chunk")
+    rows = docs.select(chunk, "id", "text", F.lit(True).alias("scored"))
+    marks = hits.select(chunk, "id", F.lit(None).cast("string").alias("text"), F.lit(False).alias("scored")).distinct()
+    dealt = rows.union(marks).groupBy("chunk")
+    blocks = dealt.applyInArrow(_blocks(bits), "part long, chunk long, low binary, rest binary")
+    answers = blocks.groupBy("part").applyInArrow(_answers(bits), "part long, chunk long, totals binary")
+    out = dealt.cogroup(answers.groupBy("chunk")).applyInArrow(
+        _scored(size), f"id {kind}, n_words long, target_loss double, background_loss double, ce_difference double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -213,7 +250,7 @@ WITH docs AS (
 flat AS (SELECT r, hit, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM docs),
 vocabulary AS (SELECT word FROM flat GROUP BY word),
 events AS (
-  SELECT r, hit, i, CASE WHEN v.word IS NULL THEN '#other' ELSE 'w' || v.word END AS w FROM flat LEFT JOIN vocabulary v USING (word)
+  SELECT r, hit, i, 'w' || word AS w FROM flat
   UNION ALL SELECT r, hit, len(words) + 1, '#end' FROM docs),
 steps AS (SELECT r, hit, w, coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), '#start') AS h FROM events),
 single AS (SELECT w, count(*) FILTER (hit) AS t, count(*) AS b FROM steps GROUP BY w),
