@@ -49,7 +49,7 @@ def _leaves(sums: DataFrame, start: int, stop: int, limit: int) -> DataFrame:
     buckets = (up.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"),
                                                  (F.min("lo") == F.max("hi")).alias("one"))
                .where((F.col("shard_bytes") <= limit) | F.col("one")))
-    fitting = up.select("p", "depth", "bucket").join(buckets, ["depth", "bucket"])
+    fitting = up.select("p", "depth", "bucket").join(buckets.hint("shuffle_hash"), ["depth", "bucket"])
     best = F.min_by(F.struct("depth", "bucket", "shard_bytes", "shard_rows"), "depth").alias("leaf")
     return fitting.groupBy("p").agg(best).select("p", "leaf.*")
 
@@ -69,7 +69,8 @@ def assign_shards(df: DataFrame, key_col: str = "doc_id", text_col: str = "text"
         placed = left.withColumn("p", _prefix("h", stop))
         sums = placed.groupBy("p").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"),
                                        F.min("h").alias("lo"), F.max("h").alias("hi"))
-        leaves = stage(_leaves(stage(sums, "histogram"), start, stop, limit_bytes), "leaves")
+        # the leaves grow with the table: never broadcast, however small their file is
+        leaves = stage(_leaves(stage(sums, "histogram"), start, stop, limit_bytes), "leaves").hint("shuffle_hash")
         parts.append(placed.join(leaves, "p"))
         deeper = placed.join(leaves, "p", "left_anti").select("key", "n_bytes", "h")
         worst = deeper.groupBy(_prefix("h", stop).alias("p")).agg(F.sum("n_bytes").alias("n")).agg(F.max("n").alias("n")).first()["n"]

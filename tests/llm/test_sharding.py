@@ -51,3 +51,9 @@ def test_written_shards_read_back(spark, tmp_path):
     sharding.write_shards(df, sharding.assign_shards(df, limit_bytes=5_000), str(tmp_path / "out"))
     back = spark.read.option("inferSchema", "false").parquet(str(tmp_path / "out"))
     assert back.count() == df.count()
+
+
+def test_leaves_are_never_broadcast(spark):
+    out = sharding.assign_shards(frame(spark), limit_bytes=5_000)
+    out.collect()
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
