@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -155,6 +156,9 @@ class Page:
             children[p].append(v)
             firsts[v] = min(firsts.get(v, seen), *(firsts[c] for c in children[v])) if children[v] else firsts.get(v, seen)
         total = max(1, chars[0])
+        # once a parent, so that many siblings cost no more than few
+        alike = [Counter(self.tags[c] for c in beside) for beside in children]
+        held = [sum(chars[c] for c in beside) for beside in children]
         depth, rows = [0] * n, []
         above = [(0, 0, 0, 0, 0)] * n
         groups = [[float(tag in g) for g in GROUPS] for tag in self.tags]
@@ -169,12 +173,12 @@ class Page:
             above[v] = (m + (tag in MAIN), o + (tag in OFF), g + (good > 0 and not bad), b + (bad > 0), f + (tag in FORM))
             depth[v] = depth[p] + 1 if v else 0
             beside = children[p] if v else [0]
-            same = sum(self.tags[c] == tag for c in beside) if len(beside) < 64 else 64
+            same = alike[p][tag] if v else 1
             size = chars[v]
             rows.append([
                 math.log1p(size), math.log1p(own[v]), math.log1p(below[v]), math.log1p(size / (below[v] + 1)), links[v] / max(1, size),
                 points[v] / max(1, size), depth[v], math.log1p(len(beside)), (beside[0] - v) / max(1, beside[0] - beside[-1]) if v else 0.0,
                 math.log1p(same), size / total, firsts.get(v, 0) / total, *groups[v], good, bad, *above[v],
-                math.log1p(sum(chars[c] for c in beside) / len(beside)) if len(beside) < 64 else math.log1p(chars[p] / len(beside)),
+                math.log1p((held[p] if v else size) / len(beside)),
                 links[p] / max(1, chars[p]) if v else 0.0])
         return np.array(rows, np.float64)

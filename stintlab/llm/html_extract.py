@@ -138,7 +138,8 @@ def _variants(source: str, number: int) -> Iterator[str]:
         return
     before, inner, after = cut
     yield f"{before}<{tag} data-keep>{inner}{after}"
-    lines = [line for line in Page(inner).text([True] * 100_000).split("\n") if line] or ["-"]
+    article = Page(inner)
+    lines = [line for line in article.text([True] * len(article.tags)).split("\n") if line] or ["-"]
     pick_line = lambda k: lines[k % len(lines)][:160]
     links = "".join(f'<li><a href="/{k}">{pick_line(k)[:18]}</a></li>' for k in range(5))
     notes = [f'<div class="cookie-notice"><p>{pick_line(1)}</p><button>OK</button></div>',
@@ -206,13 +207,15 @@ def fit(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> Trees | None:
     from pyspark.ml.functions import array_to_vector
 
     marked = F.lower("html").rlike("<(article|main)[\\s>]")
-    first = (pages.where(marked & F.col("id").isNotNull()).select("id", F.xxhash64("id").alias("h"))
-             .orderBy("h", "id").limit(training_pages).collect())
+    # of rows that share an id, the one with the smallest html
+    marked_pages = pages.where(marked & F.col("id").isNotNull())
+    first = (marked_pages.select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(training_pages).collect())
     if not first:
         return None
     ids = sorted({r["id"] for r in first})
     number = F.create_map(*[F.lit(v) for k, i in enumerate(ids) for v in (i, k)])
-    chosen = pages.where(F.col("id").isin(ids)).dropDuplicates(["id"]).select(F.element_at(number, F.col("id")).alias("number"), "html")
+    chosen = (marked_pages.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("html").alias("html"))
+              .select(F.element_at(number, F.col("id")).alias("number"), "html"))
     rows = stage(chosen.mapInArrow(_training_rows, "x array<double>, label double"), "training")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:

@@ -22,6 +22,26 @@ def test_tree_and_text_of_broken_html():
     assert Page("").text([True]) == "" and Page("<p").features().shape[1] == len(FEATURES)
 
 
+def test_siblings_count_at_every_number():
+    """The share of equal tags and the mean text of siblings follow one definition from few to many."""
+    same, mean = FEATURES.index("same_siblings"), FEATURES.index("sibling_chars")
+    for k in (3, 63, 64, 200):
+        page = Page("<div>" + "".join(f"<p>{'x' * (j % 5 + 1)}</p><b>y</b>" for j in range(k)) + "</div>")
+        x = page.features()
+        beside = [v for v, t in enumerate(page.tags) if t in "pb"]
+        chars = sum(j % 5 + 2 for j in range(k))
+        for v in beside:
+            assert np.isclose(x[v, same], np.log1p(k)) and np.isclose(x[v, mean], np.log1p(chars / (2 * k)))
+
+
+def test_a_hundred_thousand_elements():
+    source = "<html><body><article>" + "<p>w</p>" * 100_001 + "</article></body></html>"
+    variant = next(html_extract._variants(source, 0))
+    page = Page(variant)
+    assert len(page.tags) > 100_001 and len(list(html_extract._variants(source, 0))) == 5
+    assert len(page.features()) == len(page.tags)
+
+
 def brute_decode(parents, scores, own):
     n, best = len(parents), (-1e18, None)
     for code in range(3 ** n):
