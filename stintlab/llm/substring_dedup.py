@@ -171,8 +171,9 @@ def repeat_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = seeds.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     # rows without shared anchors pass through, so that this exchange of the texts is the one that
     # remove_repeats uses again; the task skips them
+    # in one order, so that a task that runs again after a lost executor settles the same windows
     found = (docs.join(wanted.hint("shuffle_hash"), "id", "left").select("id", "tag", "text", "rest", "anchors")
-             .mapInArrow(_windows(min_words, seed_words), "id long, at long, h1 long, h2 int"))
+             .sortWithinPartitions("id", "tag").mapInArrow(_windows(min_words, seed_words), "id long, at long, h1 long, h2 int"))
     # settled rows need no lookup; they are spread by their id
     by = Window.partitionBy("h1", "h2", F.when(F.col("h2").isNull(), F.col("id")))
     covered = (found.withColumn("first", F.min("id").over(by)).where("h2 is null or first < id")
