@@ -7,8 +7,9 @@ limit scaled to one and weighted by the waiting demand ``w``. If none fits, a pi
 its front fills the sequence (``cut=True``), else the sequence is closed.
 
 Every task packs the rows of its own partition while it reads them, with at most ``WAITING`` pieces in
-memory, so there is no shuffle and no group. Examples longer than a limit are cut first. What is left at
-the end of a partition is cut into sequences whose lengths are powers of two, which need no padding.
+memory, so there is no shuffle and no group. Examples longer than a limit are cut first. With ``cut``, a sequence
+that stays short of the token limit (many short examples, a limit on segments or loss, the end of a partition) is cut
+into sequences whose lengths are powers of two, which need no padding.
 
 Defined results: a null or empty text has the end id alone; a null id is kept as null; repeated rows
 are packed as often as they come; an empty table gives an empty result; extra columns are ignored. Very
@@ -33,8 +34,8 @@ from .tokens import WordEncoder
 #: pieces that wait for a sequence in one task
 WAITING = 512
 
-SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, "
-          "sequence_id long, segment long, offset long")
+SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
+          "offset long, segment long, loss_tokens long")
 
 
 class Piece:
@@ -81,7 +82,7 @@ class Packer:
     def _place(self, piece: Piece) -> Iterator[list[Piece]]:
         self._wait(piece)
         if not self.free:
-            yield self._fill()
+            yield from self._close()
 
     def _wait(self, piece: Piece) -> None:
         slot = self.free.pop()
@@ -132,11 +133,14 @@ class Packer:
 
     def finish(self) -> Iterator[list[Piece]]:
         while len(self.free) < self.most:
-            sequence = self._fill()
-            if self.cut and sum(len(p.ids) for p in sequence) < self.limits[0]:
-                yield from _powers_of_two(sequence)
-            else:
-                yield sequence
+            yield from self._close()
+
+    def _close(self) -> Iterator[list[Piece]]:
+        sequence = self._fill()
+        if self.cut and sum(len(p.ids) for p in sequence) < self.limits[0]:
+            yield from _powers_of_two(sequence)
+        else:
+            yield sequence
 
 
 def _powers_of_two(sequence: list[Piece]) -> Iterator[list[Piece]]:
@@ -167,7 +171,7 @@ def _packed(path: str, end_id: int, limits: tuple[int, int, int], cut: bool):
             offset = 0
             for segment, p in enumerate(sequence):
                 rows.append((p.example, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4").tobytes()), p.tokens,
-                             int(p.loss[-1] - p.loss[0]), base + count, segment, offset))
+                             base + count, offset, segment, int(p.loss[-1] - p.loss[0])))
                 offset += len(p.ids)
             count += 1
 
@@ -211,7 +215,7 @@ def pack(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
     ``(text string, loss boolean)``, as for a prompt and its answer; the ids of the parts follow each
     other, then ``end_id`` (which bears loss as the last part does). One row per piece: the id,
     ``start`` and ``length`` within the example, ``ids_crc32``, ``doc_tokens`` (the example's, with the
-    end id), ``loss_tokens``, ``sequence_id``, ``segment`` and ``offset`` within the sequence.
+    end id), ``sequence_id``, ``offset`` and ``segment`` within the sequence, and the piece's ``loss_tokens``.
     The tokenizer must be one that drops white space (see ``tokens.WordEncoder``).
     """
     prepare(df.sparkSession)

@@ -46,6 +46,20 @@ def op2(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+@register("pack_instruction_pairs")
+def pack_pairs(spark, sf_dir):
+    """Every answer behind its prompt (the turn before it, if that is the user's); only answers bear loss. All three
+    limits bind: 2,048 tokens, 8 segments, 1,024 loss-bearing tokens. ``example`` is ``conv_id * 65536 + turn``."""
+    turns = table(spark, sf_dir, "conversations")
+    prompts = (turns.where("role = 'user'").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt")))
+    pairs = turns.where("role = 'assistant'").join(prompts.hint("shuffle_hash"), ["conv_id", "turn"], "left")
+    part = lambda text, loss: F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(loss).alias("loss"))
+    examples = pairs.select((F.col("conv_id") * 65536 + F.col("turn")).alias("example"),
+                            F.array(part("prompt", False), part("text", True)).alias("parts"))
+    return packing.pack(examples, vocabulary("word_bpe_49k.json"), "example", parts_col="parts", tokens=2048, segments=8,
+                        loss_tokens=1024, cut=False)
+
+
 @register("op5_quality_rules")
 def op5(spark, sf_dir):
     stats = stage(quality_rules.with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -80,6 +80,38 @@ def test_loss_limit_of_instruction_data(spark, tokenizer):
     assert packing.pack(frame(spark, []), PATH).count() == 0
 
 
+@pytest.mark.parametrize("length", [3, 7])
+def test_streams_of_short_examples_need_no_padding(length):
+    packer, sequences = packing.Packer(4096, 1024, 4096), []
+    for k in range(5000):
+        sequences += packer.add(packing.Piece(k, 0, np.full(length, k, np.int32), np.arange(length + 1), length))
+    sequences += packer.finish()
+    found = sorted((int(p.ids[0]), p.start, len(p.ids)) for s in sequences for p in s)
+    assert sum(n for *_, n in found) == 5000 * length and len({(k, s) for k, s, _ in found}) == len(found)
+    sizes = [sum(len(p.ids) for p in s) for s in sequences]
+    assert all(n & (n - 1) == 0 and n <= 4096 for n in sizes) and max(map(len, sequences)) <= 1024
+
+
+def test_instruction_pairs_keep_all_limits(spark, tokenizer):
+    from stintlab.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    turns = {(r["conv_id"], r["turn"]): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    size = lambda r: len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)
+    want = {}
+    for (conv, turn), r in turns.items():
+        if r["role"] == "assistant":
+            before = turns.get((conv, turn - 1))
+            want[conv * 65536 + turn] = ((size(before) if before and before["role"] == "user" else 0) + size(r) + 1, size(r) + 1)
+    found, sequences = {}, {}
+    for r in queries.QUERIES["pack_instruction_pairs"](spark, sf).collect():
+        n, loss = found.get(r["example"], (0, 0))
+        found[r["example"]] = (n + r["length"], loss + r["loss_tokens"])
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    assert found == want
+    assert all(sum(r["length"] for r in s) <= 2048 and len(s) <= 8 and sum(r["loss_tokens"] for r in s) <= 1024 for s in sequences.values())
+
+
 def test_dot_product_prefers_the_scarce_limit():
     packer = packing.Packer(100, 10, 50, cut=False, waiting=8)
     piece = lambda name, n, loss: packing.Piece(name, 0, np.zeros(n, np.int32), np.linspace(0, loss, n + 1).astype(int), n)
