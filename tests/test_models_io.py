@@ -144,3 +144,43 @@ def test_isotonic_in_ranges_equals_pooling_at_once(spark):
     edges = spark.createDataFrame([(-1.0,), (2.0,), ((model.hi[0] + model.lo[1]) / 2,)], "p double").select(model.apply(F.col("p"))).collect()
     assert [x[0] for x in edges] == pytest.approx([model.value[0], model.value[-1], (model.value[0] + model.value[1]) / 2])
     assert spark.range(1).select(IS.Isotonic.fit(df.where("p > 5")).apply(F.lit(0.3))).first()[0] is None
+
+
+def test_boosted_fit_is_not_thrown_away_for_a_common_prefix(spark):
+    """A best prefix of 37 trees with a patience of 50 took two fits: 64 trees, then 128."""
+    fits = []
+
+    class Model:
+        def __init__(self, n):
+            self.getNumTrees = n
+
+        def evaluateEachIteration(self, val):  # noqa: N802
+            return [abs(k - 36) + 1.0 for k in range(self.getNumTrees)]
+
+    class Estimator:
+        maxIter = "maxIter"  # noqa: N815
+
+        def copy(self, params):
+            self.n = params["maxIter"]
+            return self
+
+        def fit(self, train):
+            fits.append(self.n)
+            return Model(self.n)
+
+    cut = CL.prefix_model
+    CL.prefix_model = lambda model, n: n
+    try:
+        assert CL.fit_boosted(Estimator(), None, None, 500, 50)[0] == 37
+        assert len(fits) == 1
+        fits.clear()
+        assert CL.fit_boosted(Estimator(), None, None, 60, 50)[0] == 37 and fits == [60]
+    finally:
+        CL.prefix_model = cut
+
+
+def test_thresholds_do_not_score_the_validation_rows_again(spark, cfg):
+    train, val = _pit_frame(spark, ["Bahrain", "Monaco"], 30), _pit_frame(spark, ["Bahrain", "Monaco"], 24)
+    model = CL.train_pit_model(train, val, cfg, max_iter=2, extra_circuits=[])
+    plan = model.thresholds._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan and "Exchange" not in plan
