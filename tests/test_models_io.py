@@ -184,3 +184,28 @@ def test_thresholds_do_not_score_the_validation_rows_again(spark, cfg):
     model = CL.train_pit_model(train, val, cfg, max_iter=2, extra_circuits=[])
     plan = model.thresholds._jdf.queryExecution().executedPlan().toString()
     assert "UDF" not in plan and "Exchange" not in plan
+
+
+def test_ablations_run_beside_each_other_in_their_order(spark, cfg, monkeypatch):
+    import threading
+
+    from stintlab.operators import models as MD
+    together, asked = threading.Barrier(2, timeout=60), []
+
+    class Model:
+        def __init__(self, features):
+            self.features = features
+
+        def predict_labels(self, df):
+            return df.select("y", F.lit(len(self.features) / 100).alias("p"), F.lit(2).alias("pred_label"))
+
+    def fit(train, val, cfg, features, max_iter=None):
+        together.wait()  # six models in pairs: one after the other they would wait in vain
+        asked.append(features)
+        return Model(features)
+
+    monkeypatch.setattr(MD.CL, "train_pit_model", fit)
+    monkeypatch.setattr(MD, "ABLATION_THREADS", 2)
+    frame = _pit_frame(spark, ["Bahrain"], 12).withColumn("Team", F.lit("Ferrari"))
+    rows = MD.run_ablations(frame, frame, frame, cfg).collect()
+    assert [r["ablation_name"] for r in rows] == [a[0] for a in MD.ABLATIONS] and len(asked) == 6
