@@ -53,12 +53,16 @@ THRESHOLD = 0.75
 FILE_WORDS = 40
 #: heaviest words of a template that a part is tested for before its vector is built
 TOP = 12
+#: parts of up to so many words are told apart by each number of words, longer ones by its power of two
+SHORT_PART = 64
 #: most frequent words of the files that are sent to the tasks with their weights
 FREQUENT = 4096
 LINE, PARAGRAPH, HEADER, WHOLE = 0, 1, 2, 3
 #: a line of a comment, or blank
 COMMENT = r"^\s*($|#|//|/\*|\*|--|;|%|<!--)"
 NOT_WORD = "[^a-z0-9]+"
+#: flag of a pattern: ASCII letters match in either case
+ANY_CASE = "(?i)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,9 +70,24 @@ def _words_of(text: str) -> list[str]:
     return [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()]
 
 
+def _lowered(text: Column) -> Column:
+    """With ASCII letters in lower case, others as they are."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
+def _split(lowered: Column) -> Column:
+    return F.array_remove(F.split(lowered, NOT_WORD), "")
+
+
 def words(text: Column) -> Column:
     """Words of ASCII letters and digits, in lower case."""
-    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), NOT_WORD), "")
+    return _split(_lowered(text))
+
+
+def _is_short(text: Column, most: int) -> Column:
+    """Whether a text has ``most`` words or fewer. It is split no further than that takes: of ``most + 3`` pieces the first and the
+    last may be empty, the rest are words."""
+    return F.size(F.array_remove(F.split(text, ANY_CASE + NOT_WORD, most + 3), "")) <= most
 
 
 def _frequencies(files: DataFrame) -> DataFrame:
@@ -97,23 +116,31 @@ def _telling(templates: dict[str, str], weight: dict[str, float], threshold: flo
 
 
 def _can_reach(ws: Column, vectors: list[tuple[str, dict[str, float]]], threshold: float) -> Column:
-    """Whether the words could reach the threshold with a template, if all but its ``TOP`` heaviest words were there."""
+    """Whether the words could reach the threshold with a template, if of its words but the ``TOP`` heaviest there were the heaviest,
+    as many as the part has words."""
     shares: dict[str, list[float]] = {}
-    rest = [1.0] * len(vectors)
+    rest: list[list[float]] = []
     for k, (_, vector) in enumerate(vectors):
-        for y, w in sorted(((y, w) for w, y in vector.items()), reverse=True)[:TOP]:
+        squares = sorted(((y, w) for w, y in vector.items()), reverse=True)
+        for y, w in squares[:TOP]:
             shares.setdefault(w, [0.0] * len(vectors))[k] = y * y
-            rest[k] -= y * y
+        rest.append([y * y for y, _ in squares[TOP:]])
+    # of parts of no more than so many words: the most that words but the heaviest can hold
+    limits = [*range(SHORT_PART + 1), *[SHORT_PART << j for j in range(1, max(map(len, rest)).bit_length())]]
+    most = [[sum(own[:m]) for own in rest] for m in limits]
+    n = F.size(ws)
+    place = F.when(n <= SHORT_PART, n).otherwise(F.least(SHORT_PART + F.ceil(F.log2(n / SHORT_PART)), F.lit(len(limits) - 1))) + 1
     # as JSON: thousands of literals take the driver longer than the scan
     table = F.from_json(F.lit(json.dumps(shares)), "map<string,array<double>>")
     found = F.array_intersect(ws, F.split(F.lit(" ".join(sorted(shares))), " "))
-    reach = F.aggregate(found, F.from_json(F.lit(json.dumps(rest)), "array<double>"), lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda x, y: x + y))
+    start = F.element_at(F.from_json(F.lit(json.dumps(most)), "array<array<double>>"), place.cast("int"))
+    reach = F.aggregate(found, start, lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda x, y: x + y))
     return F.exists(reach, lambda x: x >= (threshold * 0.999) ** 2)
 
 
 def _parts(files: DataFrame, telling: list[str]) -> DataFrame:
-    """Lines, paragraphs, header and whole text of files with a telling word: ``id``, ``tag``, ``kind``, ``at``, ``part``."""
-    has = lambda text: F.translate(text, _UPPER, _LOWER).rlike("(?<![a-z0-9])(" + "|".join(telling) + ")(?![a-z0-9])")
+    """Lines, paragraphs, header and whole text of files with a telling word, in lower case: ``id``, ``tag``, ``kind``, ``at``, ``part``."""
+    any_word = "(?<![a-z0-9])(" + "|".join(telling) + ")(?![a-z0-9])"
     lines, part = F.split("text", "\n"), lambda kind, at, text: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), text.alias("part"))
     # 0 if all lines are comments: then the header is the whole text
     code = F.array_position(F.transform(lines, lambda line: ~line.rlike(COMMENT)), F.lit(True))
@@ -121,8 +148,9 @@ def _parts(files: DataFrame, telling: list[str]) -> DataFrame:
     parts = F.concat(F.transform(lines, lambda line, k: part(LINE, k, line)),
                      F.transform(F.split("text", r"\n[ \t\r#*/;%-]*\n"), lambda text, k: part(PARAGRAPH, k, text)),
                      F.array(part(HEADER, F.lit(0), header), part(WHOLE, F.lit(0), F.col("text"))))
-    return (files.where(has(F.col("text"))).select("id", F.xxhash64("text").alias("tag"), F.explode(parts).alias("p"))
-            .select("id", "tag", "p.*").where(has(F.col("part"))))
+    # texts are lowered once, after the filter; comment marks and blank lines are the same in either case
+    told = files.where(F.col("text").rlike(ANY_CASE + any_word)).select("id", F.xxhash64("text").alias("tag"), _lowered(F.col("text")).alias("text"))
+    return told.select("id", "tag", F.explode(parts).alias("p")).select("id", "tag", "p.*").where(F.col("part").rlike(any_word))
 
 
 def _survivors(parts: DataFrame, key: list[str], frequencies: DataFrame, n: int, weight: dict[str, float],
@@ -159,10 +187,11 @@ def own_licenses(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     entries = [(name, k, w, y) for k, (name, vector) in enumerate(vectors) for w, y in sorted(vector.items())]
     table = F.broadcast(spark.createDataFrame(entries, "license string, rank int, w string, y double"))  # the templates' words
     key = ["id", "tag", "kind", "at"]
-    parts = _parts(files, telling).select(*key, words(F.col("part")).alias("ws")).where(_can_reach(F.col("ws"), vectors, threshold))
+    # exploded from an array of one: a filter on a plain projection would split the part again wherever it names its words
+    parts = _parts(files, telling).select(*key, F.explode(F.array(_split(F.col("part")))).alias("ws")).where(_can_reach(F.col("ws"), vectors, threshold))
     kept = _survivors(parts, key, frequencies, n, weight, vectors, threshold)
     few = files.join(kept.select("id").distinct(), "id", "left_semi")
-    parts = _parts(few, telling).select(*key, words(F.col("part")).alias("ws")).join(kept, key, "left_semi")
+    parts = _parts(few, telling).select(*key, _split(F.col("part")).alias("ws")).join(kept, key, "left_semi")
     counts = parts.select(*key, F.explode("ws").alias("w")).groupBy(*key, "w").agg(F.count(F.lit(1)).alias("n"))
     idf = F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1
     terms = counts.join(frequencies, "w").select(*key, "w", (F.col("n") * idf).alias("x"))
@@ -187,7 +216,7 @@ def scan(df: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "t
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
                      F.coalesce(path, F.lit("")).alias("directory"))
     own = stage(own_licenses(rows.select("id", "text"), templates, threshold), "licenses")
-    light = rows.select("id", "directory", (F.size(words(F.col("text"))) <= file_words).alias("short"))
+    light = rows.select("id", "directory", _is_short(F.col("text"), file_words).alias("short"))
     named = stage(light.join(own, "id", "left"), "files")
     sources = (named.withColumn("given", F.coalesce("whole", F.when(F.col("short"), F.col("license")))).where("given is not null")
                .groupBy("directory").agg(F.min_by("given", "id").alias("inherited")))

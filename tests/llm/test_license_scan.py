@@ -117,3 +117,39 @@ def test_long_licence_files_give_their_directory_a_licence(spark):
     assert found[2][4:] == ("p", "MIT", "MIT") and found[4][4:] == ("p/r", "Apache-2.0", "Apache-2.0")
     # a source file with a header is no licence file
     assert found[5][1] == "GPL-3.0" and found[6][6] is None
+
+
+def vectors_of(texts):
+    out = []
+    for name, text in texts:
+        counts = {w: ls._words_of(text).count(w) for w in set(ls._words_of(text))}
+        norm = math.sqrt(sum(n * n for n in counts.values()))
+        out.append((name, {w: n / norm for w, n in counts.items()}))
+    return out
+
+
+def test_a_part_is_dropped_if_it_has_too_few_words_for_every_template(spark):
+    whole = [(name, texts[-1]) for name, texts in sorted(ls.TEXTS.items())]
+    vectors = vectors_of(whole)
+    cosine = lambda ws, v: sum(ws.count(w) * v.get(w, 0.0) for w in set(ws)) / math.sqrt(sum(ws.count(w) ** 2 for w in set(ws)))
+    few = [sorted(v, key=v.get, reverse=True)[:2] for _, v in vectors]  # two words, whatever their weight in one licence, are no other licence
+    few = [ws for ws in few if max(sum(v.get(w, 0.0) ** 2 for w in ws) for _, v in vectors) < 0.5]
+    parts = [ls._words_of(text)[:n] for _, text in whole for n in (5, 40, 64, 65, 100, 200, 400, 10**6)] + few + [[]]
+    rows = spark.createDataFrame([(k, ws) for k, ws in enumerate(parts)], "k int, ws array<string>")
+    kept = {r["k"] for r in rows.where(ls._can_reach(F.col("ws"), vectors, 0.75)).collect()}
+    reaching = {k for k, ws in enumerate(parts) if ws and max(cosine(ws, v) for _, v in vectors) >= 0.75}
+    assert len(reaching) > len(whole) and reaching <= kept
+    assert few and not any(k in kept for k in range(len(parts) - len(few) - 1, len(parts)))
+
+
+def test_short_files_are_told_by_their_first_words(spark):
+    texts = ["", " ", "a", "a b c", " a b c ", "A,b;C.", "a b c d", " a b c d", "a b c d ", "K İ a b c", "a b c d e f", "äaß9 x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    told = rows.select((F.size(ls.words(F.col("t"))) <= 3).alias("slow"), ls._is_short(F.col("t"), 3).alias("short")).collect()
+    assert [r["short"] for r in told] == [r["slow"] for r in told] and {r["slow"] for r in told} == {True, False}
+
+
+def test_letter_case_and_rows_of_one_id_with_other_texts(spark):
+    t = ls.TEMPLATES["MIT"]
+    rows = [(1, t.upper(), None, "a", 0), (1, t, None, "a", 0), (2, TEXT.upper() + "\n# " + t.swapcase() + "\n" + TEXT, None, "b", 0), (3, TEXT, None, "c", 0)]
+    assert run(spark, rows) == brute(rows)
