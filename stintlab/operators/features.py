@@ -27,11 +27,21 @@ def stint_window(df: DataFrame | None = None, ordered: bool = True):
     return w.orderBy("LapNumber") if ordered else w
 
 
-def to_driver_partitioning(df: DataFrame) -> DataFrame:
+#: laps that a task of the driver partitioning is meant to hold: every window of its chain sorts them in memory of its own
+LAPS_PER_TASK = 250_000
+
+
+def driver_tasks(df: DataFrame, rows: int) -> int:
+    """Tasks for ``rows`` laps: as many as there are cores, and more as laps grow, so that a task's memory does not grow with them."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // LAPS_PER_TASK))
+
+
+def to_driver_partitioning(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """Hash-partition on (season, event_name, Driver): satisfies every stint and
-    driver window (their keys are supersets), so one exchange serves them all."""
+    driver window (their keys are supersets), so one exchange serves them all. ``tasks`` is their number (see
+    ``driver_tasks``), else the session's, of which small ones are put together."""
     if all(c in df.columns for c in STINT_SHUFFLE_KEYS):
-        return df.repartition(*STINT_SHUFFLE_KEYS)
+        return df.repartition(tasks, *STINT_SHUFFLE_KEYS) if tasks else df.repartition(*STINT_SHUFFLE_KEYS)
     return df.repartition("driver_stint_id") if "driver_stint_id" in df.columns else df
 
 

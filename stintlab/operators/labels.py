@@ -68,9 +68,9 @@ def filter_top_constructors(df: DataFrame, cfg: C.Config, apply_filter: bool | N
     return out.filter(F.col("is_top4")) if enabled else out
 
 
-def clean_then_label(df: DataFrame, cfg: C.Config) -> DataFrame:
-    """CP3: cleaning masks, then labels (the evaluation path). One exchange serves the windows of both."""
-    return encode_pit_labels(apply_cleaning_masks(to_driver_partitioning(df), cfg))
+def clean_then_label(df: DataFrame, cfg: C.Config, tasks: int | None = None) -> DataFrame:
+    """CP3: cleaning masks, then labels (the evaluation path). One exchange, of ``tasks`` parts if given, serves the windows of both."""
+    return encode_pit_labels(apply_cleaning_masks(to_driver_partitioning(df, tasks), cfg))
 
 
 def label_then_clean(df: DataFrame, cfg: C.Config) -> DataFrame:

@@ -44,11 +44,17 @@ def _laps(spark, sf):
     return staged_table(spark, "race-laps", [f"{sf}/events.parquet"], lambda: L.load_race_laps(spark, sf))
 
 
+def _tasks(spark, sf) -> int:
+    """Tasks for all laps by driver; their number is told by the footers of the stage table."""
+    laps = _laps(spark, sf)
+    return FE.driver_tasks(laps, laps.count())
+
+
 def _base(spark, sf):
     """The window features of all laps, without the frame-dependent lap norms: a stage table, refused (AG16) if
     the NULLs counted while it is written are too many."""
     return staged_table(spark, "base-features", [f"{sf}/events.parquet"],
-                        lambda: P.base_features(_laps(spark, sf), CFG, lap_norm=False),
+                        lambda: P.base_features(_laps(spark, sf), CFG, lap_norm=False, tasks=_tasks(spark, sf)),
                         metrics=FE.null_counts(), accept=FE.refuse_nulls())
 
 
@@ -206,7 +212,7 @@ from ..operators import fingerprint as FP  # noqa: E402
 
 def _labeled(spark, sf):
     """Evaluation path over all splits: clean -> label (CP3), a stage table by split and season."""
-    return staged_table(spark, "labelled-laps", [f"{sf}/events.parquet"], lambda: LB.clean_then_label(_fs(spark, sf), CFG),
+    return staged_table(spark, "labelled-laps", [f"{sf}/events.parquet"], lambda: LB.clean_then_label(_fs(spark, sf), CFG, _tasks(spark, sf)),
                         partition_by=("split", "season"))
 
 

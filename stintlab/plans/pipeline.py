@@ -30,16 +30,16 @@ def split_frames(df: DataFrame, cfg: C.Config):
             df.filter(F.col("season") == cfg.test_season))
 
 
-def base_features(df: DataFrame, cfg: C.Config, lap_norm: bool = True) -> DataFrame:
+def base_features(df: DataFrame, cfg: C.Config, lap_norm: bool = True, tasks: int | None = None) -> DataFrame:
     """CP1 without the fitted steps: every deterministic row/window feature.
 
     Exchange plan: recent stops (one hash partitioning on season, event, Driver) -> runs -> steps within a
     lap, on the raw columns -> all stint windows (season, event, Driver again). Tables of a row per lap or session
-    are broadcast.
+    are broadcast. ``tasks`` is the number of tasks by driver (``FE.driver_tasks``).
     """
     raw = df if "LapTime_s" in df.columns else df.withColumn("LapTime_s", S.to_seconds_col(df, "LapTime"))
-    out = FE.add_lap_level_features(FE.to_driver_partitioning(raw), cfg, evolution=False)
-    out = FE.to_driver_partitioning(FE.add_stint_id(out))
+    out = FE.add_lap_level_features(FE.to_driver_partitioning(raw, tasks), cfg, evolution=False)
+    out = FE.to_driver_partitioning(FE.add_stint_id(out), tasks)
     out = FE.add_fuel_load(out, cfg)
     out = FE.add_lap_time_delta(out, cfg)
     out = FE.add_degradation_derivatives(out)

@@ -136,3 +136,28 @@ def test_laps_are_dealt_anew_only_for_drivers_runs_and_steps(spark, cfg, tmp_pat
     assert "hashpartitioning(_lap" in plan and "hashpartitioning(coalesce" not in plan
     assert len(re.findall(r"\bExchange\b", labelled)) == 1  # the stint's median and the driver's labels
     assert "SortMergeJoin" not in normed
+
+
+def test_laps_of_a_task_do_not_grow_with_the_table(spark, cfg, tmp_path, monkeypatch):
+    """The windows by driver sorted what the session's number of partitions left them, however many laps there were."""
+    from stintlab.plans import catalog
+    laps = spark.createDataFrame([(2018, "Monaco", "R", f"d{k}", "Ferrari", lap, 1.0, None, None, 80.0 + lap, 80.0 * lap, 1.0, float(lap), "SOFT", "1", True)
+                                  for k in range(40) for lap in range(1, 6)], L.LAP_SCHEMA)
+    monkeypatch.setattr(FE, "LAPS_PER_TASK", 20)
+    tasks = FE.driver_tasks(laps, laps.count())
+    assert tasks == 10 and FE.driver_tasks(laps, 0) == spark.sparkContext.defaultParallelism
+    weather = laps.withColumns({"AirTemp": F.lit(20.0), "TrackTemp": F.lit(30.0), "Humidity": F.lit(40.0)})
+    number = lambda df: df.rdd.getNumPartitions()
+    features = P.base_features(weather, cfg, lap_norm=False, tasks=tasks)
+    labelled = LB.clean_then_label(features, cfg, tasks)
+    assert number(features) == number(labelled) == tasks
+    rows = lambda df: sorted(map(str, df.collect()))
+    plain = P.base_features(weather, cfg, lap_norm=False)
+    assert rows(features) == rows(plain) and rows(labelled) == rows(LB.clean_then_label(plain, cfg))
+    given = []
+    monkeypatch.setattr(catalog, "staged_table", lambda spark, name, sources, build, *args, **more: build() if name != "race-laps" else weather)
+    for module, name in ((catalog.P, "base_features"), (catalog.LB, "clean_then_label")):
+        plan = lambda df, *args, real=getattr(module, name), tasks=None, **more: given.append(tasks or args[-1]) or real(df, *args, **more)
+        monkeypatch.setattr(module, name, plan)
+    catalog._labeled(spark, SF)
+    assert set(given) == {tasks}
