@@ -1087,9 +1087,8 @@ def _longest(spark, sf) -> float:
 def q_stream(spark, sf):
     from ..streaming import ingest as ST
     src = IO.fresh_stage_path(spark, "session-files")
-    # one file per session (season, circuit), the unit the source ingests
-    L.load_race_laps(spark, sf).repartition("season", "event_name").write.partitionBy("season", "event_name") \
-        .parquet(src)
+    # one file per session (season, circuit), the unit the source ingests, from the stage table that also tells the longest session
+    _laps(spark, sf).repartition("season", "event_name").write.partitionBy("season", "event_name").parquet(src)
     laps_schema = spark.read.parquet(src).schema
     sink = IO.fresh_stage_path(spark, "session-features")
     q = ST.start_session_ingest(spark, src, laps_schema, sink, IO.fresh_stage_path(spark, "stream-ckpt"), 

@@ -55,3 +55,14 @@ def test_a_session_in_two_batches_is_an_error(spark, cfg, tmp_path):
     with pytest.raises(Exception, match="earlier batch"):
         go()
     assert _rows(ST.read_ingested(spark, sink)) == before
+
+
+def test_the_stream_and_its_longest_session_share_one_derivation_of_the_laps(spark, monkeypatch):
+    from stintlab.plans import catalog
+    catalog._laps(spark, SF)
+    made = []
+    real = L.load_race_laps
+    monkeypatch.setattr(L, "load_race_laps", lambda *args: made.append(1) or real(*args))
+    out = catalog.QUERIES["stream_session_ingest"](spark, SF)
+    assert out.agg(F.sum("n_laps")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert not made
