@@ -26,9 +26,9 @@ def quantile_levels(train: DataFrame, cfg: C.Config, target: str = "lap_time_del
     of all levels come from one running total whose groups carry the level.
     """
     keys = LEVELS[0]
-    laps = train.filter(F.col(target).isNotNull()).select(*keys, F.col(target).cast("double").alias("_v"))
-    hist = laps.groupingSets([[*map(F.col, level), F.col("_v")] for level in LEVELS], *map(F.col, keys), F.col("_v")) \
-        .agg(F.grouping_id(*keys, "_v").alias("_gid"), F.count(F.lit(1)).alias("_cnt"))
+    laps = train.filter(F.col(target).isNotNull()).select(*keys, F.col(target).cast("double").alias(target))
+    hist = laps.groupingSets([[*map(F.col, level), F.col(target)] for level in LEVELS], *map(F.col, keys), F.col(target)) \
+        .agg(F.grouping_id(*keys, target).alias("_gid"), F.count(F.lit(1)).alias("_cnt"))
     # the grouping id has a bit for every key that a level leaves out
     level_of = F.lit(None).cast("int")
     for level, names in enumerate(LEVELS):
@@ -41,7 +41,7 @@ def quantile_levels(train: DataFrame, cfg: C.Config, target: str = "lap_time_del
     filler = {k: F.coalesce(F.col(k), F.lit("" if dict(laps.dtypes)[k] == "string" else 0).cast(dict(laps.dtypes)[k])) for k in keys}
     hist = stage_once(hist.withColumns(filler), "quantile-levels")
     qs = [float(q) for q in cfg.quantiles]
-    out = histogram_quantiles(hist, "_v", qs, ["level", *keys], bucket_boundaries_by(hist, "_v", "level"), prefix="_q")
+    out = histogram_quantiles(hist, target, qs, ["level", *keys], bucket_boundaries_by(hist, target, "level"), prefix="_q")
     return out.select("level", *keys, *[f"_q{i}" for i in range(len(qs))])
 
 

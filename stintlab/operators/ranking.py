@@ -188,15 +188,19 @@ def leave_one_out_quantiles(hist: DataFrame, groups: DataFrame, value: str, prob
 def with_ordinals(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame:
     """SO4: ``df`` with the place (from 1) of every row in the order of some columns, rows with equal keys in any order.
 
-    Rows are dealt to tasks by ranges of the keys and written; places within a range are then shifted by the rows of
-    earlier ranges, so no task sorts more than its range. Rows with equal keys share a range.
+    Rows are dealt to tasks by ranges of the keys, whose bounds are drawn once; places within a range are then shifted by the rows
+    of earlier ranges, so no task sorts more than its range. Rows with equal keys share a range.
     """
-    from ..session import stage_once
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    staged = stage_once(ranged, "ranges")  # the ranges are drawn anew on every run, so they are written down
+    key = F.struct(*order)
+    # drawn anew a plan's ranges could differ from those of its sizes: their least keys are fixed values, one row per task of the range exchange
+    drawn = df.select(*order).repartitionByRange(*order).groupBy(F.spark_partition_id().alias("_range")).agg(F.min(key).alias("_least"))
+    types = df.select(key.alias("_least")).schema["_least"].dataType
+    least = [r["_least"] for r in drawn.orderBy("_least").collect()]
+    bounds = [F.struct(*[F.lit(b[f.name]).cast(f.dataType).alias(f.name) for f in types]) for b in least[1:]]
+    ranged = df.withColumn("_range", bucket_number(key, bounds))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    sizes = staged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     earlier = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_range", earlier.alias("_off"))  # one row per task of the range exchange
-    return staged.withColumn("_place", place).join(F.broadcast(offsets), "_range") \
+    offsets = sizes.select("_range", earlier.alias("_off"))  # one row per range
+    return ranged.withColumn("_place", place).join(F.broadcast(offsets), "_range") \
         .withColumn(name, F.col("_place") + F.col("_off")).drop("_range", "_place", "_off")
