@@ -209,3 +209,33 @@ def test_ablations_run_beside_each_other_in_their_order(spark, cfg, monkeypatch)
     frame = _pit_frame(spark, ["Bahrain"], 12).withColumn("Team", F.lit("Ferrari"))
     rows = MD.run_ablations(frame, frame, frame, cfg).collect()
     assert [r["ablation_name"] for r in rows] == [a[0] for a in MD.ABLATIONS] and len(asked) == 6
+
+
+def test_boosted_fit_has_no_more_tasks_than_its_rows_need(spark, cfg, tmp_path, monkeypatch):
+    """The stages of a fit had a task for every file read: 12 files of a few rows were 12 tasks a stage."""
+    path = str(tmp_path / "rows")
+    train, val = _pit_frame(spark, ["Bahrain", "Monaco"], 30), _pit_frame(spark, ["Bahrain", "Monaco"], 24)
+    train.repartition(12).write.parquet(path)
+    monkeypatch.setattr(CL, "LEAST_FIT_TASKS", 1)
+    rows = spark.read.parquet(path)
+    for per_task, parts in ((60, 1), (30, 2), (59, 2), (1000, 1)):
+        monkeypatch.setattr(CL, "ROWS_PER_FIT_TASK", per_task)
+        cut = CL.fit_rows(rows)
+        assert cut.rdd.getNumPartitions() == min(parts, rows.rdd.getNumPartitions())
+        assert sorted(cut.collect()) == sorted(rows.collect())
+    assert CL.fit_rows(rows.where("false")).count() == 0
+    monkeypatch.setattr(CL, "ROWS_PER_FIT_TASK", 1000)
+    seen, fit = [], CL.fit_boosted
+
+    def watched(estimator, train, val, max_iter, patience):
+        seen.append(train.rdd.getNumPartitions())
+        return fit(estimator, train, val, max_iter, patience)
+
+    monkeypatch.setattr(CL, "fit_boosted", watched)
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 * 1024 * 1024))  # a task for every file read
+    try:
+        CL.train_pit_model(rows, val, cfg, max_iter=1, extra_circuits=[])
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    assert seen == [1]
